@@ -75,21 +75,24 @@ class Index:
         doc = np.repeat(np.arange(len(count)), blocks * BLOCK)
         place = np.arange(at[-1] * BLOCK) - np.repeat(at[:-1] * BLOCK, blocks * BLOCK)
         full = values[first[:-1][doc] + np.minimum(place, count[doc] - 1)]
-        low, high = (full >> tk.U(16)).astype(np.uint32), (full >> tk.U(32)).astype(np.uint32)
+        # One row for each place in a block, so that the minimum over blocks runs along whole rows.
+        low = np.ascontiguousarray((full >> tk.U(16)).astype(np.uint32).reshape(-1, BLOCK).T)
+        v, spare = np.empty_like(low), np.empty_like(low)
         doc, place = doc[::BLOCK], place[::BLOCK] // BLOCK
         left = blocks[doc] - place  # blocks from here to the document's end
+        widths = [1 << j for j in range(self.levels[-1][0].bit_length() - 1)]
+        #: What takes blocks beyond the document's end out of a minimum.
+        beyond = {w: np.where(left > w, 0, 0xFFFFFFFF).astype(np.uint32) for w in widths}
+        step = np.empty(len(doc), np.uint32)
         for i, (x, a) in enumerate(zip(*tk.seeds(self.hashes), strict=True)):
-            v = (low ^ x) * a
-            v = (v ^ (v >> np.uint32(15))) * np.uint32(0x2C1B3C6D) ^ high
-            v = v.reshape(-1, BLOCK)
-            for half in (BLOCK // 2, BLOCK // 4, BLOCK // 8):
-                v = np.minimum(v[:, :half], v[:, half : 2 * half])
-            least, width = v[:, 0], 1
+            least, width = tk.permuted(low, x, a, v, spare).min(axis=0), 1
             for wide, bits, seen, tables in self.levels:
                 while width < wide:  # the minimum over twice as many blocks, within the document
-                    step = np.full_like(least, 0xFFFFFFFF)
-                    step[:-width or None] = least[width:]
-                    least = np.minimum(least, np.where(left > width, step, np.uint32(0xFFFFFFFF)))
+                    cut = min(width, len(step))
+                    step[: len(step) - cut] = least[cut:]
+                    step[len(step) - cut :] = 0xFFFFFFFF
+                    np.maximum(step, beyond[width], out=step)
+                    np.minimum(least, step, out=least)
                     width *= 2
                 hit = np.flatnonzero(seen[i][least & np.uint32((1 << bits) - 1)])
                 if len(hit):

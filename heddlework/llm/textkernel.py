@@ -132,16 +132,23 @@ def seeds(k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 2**32, k, np.uint32), r.integers(0, 2**31, k, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def permuted(low: np.ndarray, x: np.uint32, a: np.uint32, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """One MinHash function of 32-bit values; out and spare are arrays of their shape to work in."""
+    np.bitwise_xor(low, x, out=out)
+    np.multiply(out, a, out=out)
+    np.right_shift(out, np.uint32(15), out=spare)
+    np.bitwise_xor(out, spare, out=out)
+    return np.multiply(out, np.uint32(0x2C1B3C6D), out=out)
+
+
 def minhash(values: np.ndarray, first: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """MinHash signatures, uint32 of shape (texts, k); texts without shingles get the largest value."""
     full = np.flatnonzero(first[:-1] < first[1:])
     out = np.full((len(first) - 1, k), 0xFFFFFFFF, np.uint32)
     if len(full):
         low = (values >> U(16)).astype(np.uint32)
-        high = (values >> U(32)).astype(np.uint32)
+        v, spare = np.empty_like(low), np.empty_like(low)
         at = first[:-1][full]
         for i, (x, a) in enumerate(zip(*seeds(k, seed), strict=True)):
-            v = (low ^ x) * a
-            v = (v ^ (v >> np.uint32(15))) * np.uint32(0x2C1B3C6D) ^ high
-            out[full, i] = np.minimum.reduceat(v, at)
+            out[full, i] = np.minimum.reduceat(permuted(low, x, a, v, spare), at)
     return out
