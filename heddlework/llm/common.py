@@ -46,3 +46,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator works on; a null text counts as empty, other columns are left out."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def join_by_source(rows: DataFrame, small: DataFrame, on: str, most: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join of rows to one row for each value of ``on``, nulls equal to nulls, when a value may hold a third of all rows.
+
+    A small side of at most ``most`` rows, which is counted first, is broadcast. A larger one is
+    copied ``salts`` times, and the rows of each value are dealt over the copies.
+    """
+    rest = [c for c in small.columns if c != on]
+    small = small.select(F.col(on).alias("_on"), *rest)
+    if small.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(small), rows[on].eqNullSafe(small["_on"]), "left").drop("_on")
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("_dealt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return rows.join(small, rows[on].eqNullSafe(small["_on"]) & (rows["_dealt"] == small["_salt"]), "left").drop("_on", "_salt", "_dealt")
