@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, quality
 from .decontamination import op1_decontamination
+from .jaccard import op10_jaccard
+from .licenses import op5_licences
+from .lmscore import op3_lm_scoring
+from .mixing import op6_mixing
 from .pii import op4_pii
+from .quality import op9_quality
+from .suffixes import op2_suffix_dedup
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_pii": op4_pii,
+    "op5_licences": op5_licences,
+    "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op9_quality": op9_quality,
+    "op10_jaccard": op10_jaccard,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licences": licenses.ORACLE, "op9_quality": quality.ORACLE}
