@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses, quality
 from .decontamination import op1_decontamination
+from .html import op8_html
 from .jaccard import op10_jaccard
 from .licenses import op5_licences
 from .lmscore import op3_lm_scoring
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licences": op5_licences,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
 }
