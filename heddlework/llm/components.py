@@ -29,11 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the least node of its component."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    seen = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
+    # Done when every node points to one other node, and that one to none.
+    while edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() or edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
         edges = cut(_star(_star(edges, True), False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
