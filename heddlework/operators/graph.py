@@ -1,23 +1,26 @@
 """Operators on property graphs: tables of nodes (node_id, ...) and edges (source_id, target_id, ...).
 
-Walks advance by one shuffle join for each level. What has been visited is written out every few
-levels, in the folder of ``spark.checkpoint.dir`` if there is one, so that plans stay short.
+Walks advance by one shuffle join for each level. Each level's front is written into the folder of
+``spark.checkpoint.dir``, and what has been visited every few levels, so that plans stay short and a
+lost executor costs no more than the level under way.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: checkpointed where a checkpoint folder is set, else cached with the means to recompute it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir():
-        return df.checkpoint()
-    df = df.persist()
-    df.count()
-    return df
+def kept(df: DataFrame) -> DataFrame:
+    """Written into the shared folder and read back: later steps depend on the files alone."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def reached(edges: DataFrame, starts: DataFrame, depth: int = 0, reverse: bool = False) -> DataFrame:
@@ -27,15 +30,15 @@ def reached(edges: DataFrame, starts: DataFrame, depth: int = 0, reverse: bool =
     """
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    visited = _kept(starts.select(F.col("node_id").alias("start_id"), "node_id").distinct().withColumn("depth", F.lit(0)))
+    visited = kept(starts.select(F.col("node_id").alias("start_id"), "node_id").distinct().withColumn("depth", F.lit(0)))
     front, level = visited, 0
     while not depth or level < depth:
         level += 1
         found = front.join(steps, front["node_id"] == steps["_from"]).select("start_id", F.col("_to").alias("node_id")).distinct()
-        front = _kept(found.join(visited, ["start_id", "node_id"], "left_anti").withColumn("depth", F.lit(level)))
+        front = kept(found.join(visited, ["start_id", "node_id"], "left_anti").withColumn("depth", F.lit(level)))
         if not front.limit(1).count():
             break
-        visited = _kept(visited.unionByName(front)) if level % 4 == 0 else visited.unionByName(front)
+        visited = kept(visited.unionByName(front)) if level % 4 == 0 else visited.unionByName(front)
     return visited
 
 
@@ -64,11 +67,11 @@ def rolled_up(edges: DataFrame, of: DataFrame) -> DataFrame:
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or between cycles: what is left when nodes without incoming or without outgoing edges are removed again and again."""
-    rest = _kept(edges.select("source_id", "target_id").distinct())
+    rest = kept(edges.select("source_id", "target_id").distinct())
     n = rest.count()
     while n:
         less = rest.join(rest.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
-        less = _kept(less.join(rest.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id"))
+        less = kept(less.join(rest.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id"))
         m = less.count()
         if m == n:
             break
