@@ -309,7 +309,7 @@ def labelled_pages(n: int = 120, seed: int = 9) -> Iterator[tuple[str, list[int]
         for _ in range(r.choice([1, 2, 4, 8, 14])):
             kind = r.random()
             if kind < 0.72:
-                leaf("p", r.choice([sentence(1, 12), sentence(8, 160), f"<b>{sentence(2, 20)}</b> {sentence(5, 60)}", f'{sentence(3, 20)} <a href="/z">{words(1, 4)}</a> {words(2, 20)}.']), 1)
+                leaf("p", r.choice([words(1, 2), sentence(1, 12), sentence(8, 160), f"<b>{sentence(2, 20)}</b> {sentence(5, 60)}", f'{sentence(3, 20)} <a href="/z">{words(1, 4)}</a> {words(2, 20)}.']), 1)
             elif kind < 0.82:
                 leaf(r.choice(["h2", "h3"]), words(1, 8), 1)
             elif kind < 0.9:
