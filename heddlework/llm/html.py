@@ -223,7 +223,7 @@ class Field:
         return self
 
 
-def labelled_pages(n: int = 120, seed: int = 9) -> Iterator[tuple[str, list[int]]]:
+def labelled_pages(n: int = 160, seed: int = 9) -> Iterator[tuple[str, list[int]]]:
     """Pages with the label of each of their blocks, written from plans of an article and what may stand around and in it."""
     r = random.Random(seed)
     letters = "aeioubcdfglmnprst"
@@ -289,7 +289,8 @@ def labelled_pages(n: int = 120, seed: int = 9) -> Iterator[tuple[str, list[int]
                 leaf(r.choice(["p", "li", "div"]), r.choice([sentence(3, 40), f'<a href="/y">{words(2, 8)}</a>']), 0)
             html.append(f"</{tag}>")
 
-        if r.random() < 0.6:
+        ahead = r.random() < 0.7  # whether anything stands before the article
+        if ahead and r.random() < 0.6:
             html.append(r.choice(["<header>", '<div class="header">', '<header id="masthead">', '<div id="topbar">']))
             leaf(r.choice(["h1", "div", "p"]), words(1, 4), 0)
             if r.random() < 0.5:
@@ -297,10 +298,10 @@ def labelled_pages(n: int = 120, seed: int = 9) -> Iterator[tuple[str, list[int]
             if r.random() < 0.6:
                 menu("", "nav")
             html.append("</header>" if "<header" in "".join(html[-30:]) else "</div>")
-        if r.random() < 0.7:
+        if ahead and r.random() < 0.7:
             menu(*r.choice([("", "nav"), (' class="menu"', "div"), (' class="breadcrumb"', "nav"), (' id="navigation"', "div")]))
         for part, p in ((notice, 0.3), (advert, 0.5), (form, 0.2), (side, 0.3)):
-            if r.random() < p:
+            if ahead and r.random() < p:
                 part()
         opened, closed = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="article-content">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post">', "</div>"), ('<article class="post">', "</article>"), ("<div>", "</div>"), ('<div class="page">', "</div>")])
         html.append(opened)
