@@ -2,8 +2,8 @@
 
 A position of a text is retained if the 5 words there are the minimiser (least hash) of one of the
 windows of ``W`` such positions around it, so equal passages retain the same positions. Each retained
-suffix is keyed by a hash of its first ``T = least + 1 - W`` words; of equal keys in one document the
-first is kept. The suffixes of all documents are sorted by (key, document), in ranges that split even
+suffix is keyed by a hash of its first ``T = least + 1 - W`` words; equal keys in one document make
+one row. The suffixes of all documents are sorted by (key, document), in ranges that split even
 one key over many tasks, and neighbours with equal keys in different documents are matches. A passage
 of ``least`` words has a retained suffix among its first ``W`` positions whose ``T`` words lie inside
 it, so it is found. Matches of two documents on one diagonal form runs; the ends of each run are
@@ -69,19 +69,23 @@ def suffixes(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
                 if not len(pos):
                     continue
                 key = tk.Sums(hashes)(pos, pos + t)
-                # The first position of each key in each text.
-                _, at = np.unique(tk.mix(key ^ (doc[pos].astype(tk.U) * tk.U(0x9E3779B97F4A7C15))), return_index=True)
-                at.sort()
-                pos, key = pos[at], key[at]
-                own = pa.array(doc[pos] + b.rows.start)
+                # One row for each key of each text, with its first position; further ones in a list.
+                both = tk.mix(key ^ (doc[pos].astype(tk.U) * tk.U(0x9E3779B97F4A7C15)))
+                order = np.argsort(both, kind="stable")
+                new = np.ones(len(order), bool)
+                new[1:] = both[order][1:] != both[order][:-1]
+                place = (pos - b.first[doc[pos]]).astype(np.int32)
+                further = np.concatenate([[0], np.cumsum(np.diff(np.append(np.flatnonzero(new), len(order))) - 1)]).astype(np.int32)
+                own, at = pa.array(doc[pos[order[new]]] + b.rows.start), order[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array((pos - b.first[doc[pos]]).astype(np.int32))], names=["key", "doc_id", "part", "pos"]
+                    [pa.array(key[at].view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array(place[at]), pa.ListArray.from_arrays(pa.array(further), pa.array(place[order[~new]]))],
+                    names=["key", "doc_id", "part", "pos", "more"],
                 )
 
-    return documents.mapInArrow(run, "key long, doc_id long, part int, pos int")
+    return documents.mapInArrow(run, "key long, doc_id long, part int, pos int, more array<int>")
 
 
-MATCH = "edge boolean, key long, doc_id long, part int, pos int, other long, other_part int, other_pos int"
+MATCH = "edge boolean, key long, doc_id long, part int, pos int, more array<int>, other long, other_part int, other_pos int"
 
 
 def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,40 +93,35 @@ def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The first and last row of the range are also given as edges, for ranges that cut a key.
     """
-    before: dict[str, np.ndarray] | None = None  # the last row so far
-    waiting = None  # that row, if it has no match yet
-    first_seen = False
-    names = ("key", "doc_id", "part", "pos")
+    names, types = ("key", "doc_id", "part", "pos", "more"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+    before: list[pa.Array] | None = None  # the last row so far
+    waiting = False  # whether that row has no match yet
 
-    def out(edge: bool, x: dict[str, np.ndarray], y: dict[str, np.ndarray] | None) -> pa.RecordBatch:
-        n = len(x["key"])
-        types = (pa.int64(), pa.int32(), pa.int32())
-        other = [pa.array(y[k], t) if y is not None else pa.nulls(n, t) for k, t in zip(names[1:], types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, edge)), pa.array(x["key"], pa.int64()), *(pa.array(x[k], t) for k, t in zip(names[1:], types, strict=True)), *other], names=["edge", "key", "doc_id", "part", "pos", "other", "other_part", "other_pos"])
+    def out(edge: bool, x: list[pa.Array], y: list[pa.Array] | None) -> pa.RecordBatch:
+        n = len(x[0])
+        other = [y[i] if y is not None else pa.nulls(n, types[i]) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, edge)), *x, *other], names=["edge", *names, "other", "other_part", "other_pos"])
 
     for batch in rows:
         if not batch.num_rows:
             continue
-        x = {k: batch.column(k).to_numpy() for k in names}
-        if not first_seen:
-            yield out(True, {k: v[:1] for k, v in x.items()}, None)
-            first_seen = True
-        if before is not None:
-            x = {k: np.concatenate([before[k], v]) for k, v in x.items()}
-        match = (x["key"][1:] == x["key"][:-1]) & ((x["doc_id"][1:] != x["doc_id"][:-1]) | (x["part"][1:] != x["part"][:-1]))
+        x = [batch.column(k).cast(t) for k, t in zip(names, types, strict=True)]
+        if before is None:
+            yield out(True, [c[:1] for c in x], None)
+        else:
+            x = [pa.concat_arrays([c, d]) for c, d in zip(before, x, strict=True)]
+        key, doc, part = (c.to_numpy() for c in x[:3])
+        match = (key[1:] == key[:-1]) & ((doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))
         previous, following = np.concatenate([[False], match]), np.concatenate([match, [False]])
-        old = before is not None
-        # The row before this batch was reported if it had an earlier match.
         report = previous | following
-        if old:
+        if before is not None:  # a row of the batch before was reported there if it had a match there
             report[0] = following[0] and waiting
-        use_previous = previous.copy()
         at = np.flatnonzero(report)
         if len(at):
-            partner = np.where(use_previous[at], at - 1, at + 1)
-            yield out(False, {k: v[at] for k, v in x.items()}, {k: v[partner] for k, v in x.items()})
-        before = {k: v[-1:] for k, v in x.items()}
-        waiting = not previous[-1]
+            partner = pa.array(np.where(previous[at], at - 1, at + 1))
+            yield out(False, [c.take(pa.array(at)) for c in x], [c.take(partner) for c in x])
+        waiting = not previous[-1] and (len(key) > 1 or before is None or waiting)
+        before = [c[-1:] for c in x]
     if before is not None:
         yield out(True, before, None)
 
@@ -133,10 +132,12 @@ def matches(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
     ordered = rows.repartitionByRange("key", "doc_id", "part", "pos").sortWithinPartitions("key", "doc_id", "part", "pos")
     found = cut(ordered.mapInArrow(neighbours, MATCH), "suffixes")
     # Two edges for each range: of those with one key, each is matched with one of another document.
-    edges = found.filter("edge").select("key", "doc_id", "part", "pos").distinct()
+    edges = found.filter("edge").select("key", "doc_id", "part", "pos", "more").distinct()
     other = edges.select("key", F.col("doc_id").alias("other"), F.col("part").alias("other_part"), F.col("pos").alias("other_pos"))
-    least_other = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos").agg(F.min(F.struct("other", "other_part", "other_pos")).alias("x")).select("doc_id", "part", "pos", "x.*")
-    return found.filter("NOT edge").drop("edge", "key").unionByName(least_other)
+    met = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos", "more").agg(F.min(F.struct("other", "other_part", "other_pos")).alias("x")).select("doc_id", "part", "pos", "more", "x.*")
+    both = found.filter("NOT edge").drop("edge", "key").unionByName(met)
+    # What holds for the first position of a key in a text holds for the further ones.
+    return both.select("doc_id", "part", F.explode(F.concat(F.array("pos"), "more")).alias("pos"), "other", "other_part", "other_pos")
 
 
 def runs(found: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
