@@ -84,7 +84,10 @@ def paths(df: DataFrame, key: str, time: str, event: str, first: str, middle: st
 
 
 def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int) -> DataFrame:
-    """Sliding-window limits on a stream: (client, time, allowed); state is the allowed times of the window and goes after two windows."""
+    """Sliding-window limits on a stream with a watermark: (client, time, allowed).
+
+    State is the allowed times of a client's window; it goes when the watermark is two windows past them.
+    """
     kind = stream.schema[client].dataType.simpleString()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,9 +107,10 @@ def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int)
                 out.append(ok)
             yield pd.DataFrame({client: key[0], time: pdf[time].to_numpy(), "allowed": out})
         state.update((held,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        last = max([state.getCurrentWatermarkMs(), *(int(x * 1000) for x in held)])
+        state.setTimeoutTimestamp(last + 2 * seconds * 1000)
 
-    return stream.select(client, time).groupBy(client).applyInPandasWithState(run, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.select(client, time).groupBy(client).applyInPandasWithState(run, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:

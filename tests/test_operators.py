@@ -139,7 +139,7 @@ def test_bucket_limit(spark):
 def test_stream_limit_equals_batch(spark, tmp_path):
     rows = [("a", 0), ("a", 1), ("a", 2), ("b", 2), ("a", 12), ("a", 13)]
     _times(spark, rows).write.parquet(f"{tmp_path}/in/x.parquet")
-    stream = spark.readStream.schema("id int, c string, t timestamp").parquet(f"{tmp_path}/in/x.parquet")
+    stream = spark.readStream.schema("id int, c string, t timestamp").parquet(f"{tmp_path}/in/x.parquet").withWatermark("t", "1 minute")
     got = streams.upsert_sink(streams.limited(stream, "c", "t", 2, 10), [], "append")
     batch = temporal.sliding_decisions(_times(spark, rows), "c", "t", "id", 2, 10)
     assert sorted((r.c, r.t, r.allowed) for r in got.collect()) == sorted((r.c, r.t, r.allowed) for r in batch.collect())
