@@ -123,7 +123,7 @@ class Index:
 def item_blocks(items: DataFrame, n: int, hashes: int, max_shingles: int) -> Iterator[Index]:
     """The benchmark in blocks of at most max_shingles shingles; an item larger than that is a block of its own.
 
-    The driver holds one block at a time. It reads the items in the order of their ids, one Spark partition at a time.
+    The driver holds one block at a time; it reads the items one Spark partition after the other.
     """
     ids: list[int] = []
     sets: list[np.ndarray] = []
