@@ -87,6 +87,6 @@ ORACLES = {
     "s16_export": """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS text, 'json' AS form FROM region UNION ALL SELECT r_regionkey || ',' || r_name, 'csv' FROM region""",
     "s17_import": "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'malformed' WHEN c_custkey % 5 = 0 THEN 'missing id' ELSE 'good' END AS kind, count(*) AS n FROM customer GROUP BY 1",
     "s19_partition_overwrite": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0 GROUP BY 1",
-    "s23_collection": "SELECT 3 AS tables, 14 AS columns, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) AS records, 0 AS errors",
+    "s23_collection": "SELECT CAST(3 AS BIGINT) AS tables, CAST(14 AS BIGINT) AS columns, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) AS records, CAST(0 AS BIGINT) AS errors",
     "s23_incremental": "SELECT 'customer' AS table_name, count(*) AS row_count FROM customer WHERE c_custkey > 50 UNION ALL SELECT 'events', count(*) FROM events WHERE event_id > 100",
 }

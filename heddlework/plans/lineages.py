@@ -123,7 +123,7 @@ ORACLES = {
     "j18_base_columns": "WITH RECURSIVE r AS (SELECT p_partkey AS k, p_partkey // 2 AS s FROM part WHERE p_partkey % 2 = 0 AND p_partkey > 0 UNION ALL SELECT k, s // 2 FROM r WHERE s % 2 = 0) SELECT 'v.' || k AS target, 'v.' || min(s) AS source FROM r GROUP BY k",
     "a28_table_rollup": f"SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources FROM {_EDGES} GROUP BY 1",
     "a29_lineage_report": f"SELECT count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, count(*) AS n_edges, 3 * (SELECT count(*) FROM part) AS n_statements FROM {_EDGES}",
-    "a30_complexity": f"WITH {_F} SELECT stmt_id, count(*) AS n_columns, CAST(sum(n_sources) AS BIGINT) AS n_sources, max(n_sources) AS max_sources, round(avg(n_sources), 6) AS avg_sources, count(*) FILTER (operator LIKE 'SUM%') AS n_operators, count(*) + 0.5 * sum(n_sources) + 2.0 * count(*) FILTER (operator LIKE 'SUM%') AS score FROM y GROUP BY 1",
-    "a31_stream_features": f"WITH {_F} SELECT count(*) FILTER (pos = 1) AS n_time, count(*) FILTER (pos = 0) AS n_window, 0 AS n_watermark FROM y",
-    "l8_graph_edges": f"WITH {_F} SELECT s AS source_id, 'derived_from' AS type, 1.0 AS confidence, CAST(sum(branches) AS BIGINT) AS n, count(DISTINCT target || ':' || stmt_id) AS n_ids FROM x GROUP BY 1",
+    "a30_complexity": f"WITH {_F} SELECT stmt_id, count(*) AS n_columns, CAST(sum(n_sources) AS BIGINT) AS n_sources, max(n_sources) AS max_sources, round(avg(n_sources), 6) AS avg_sources, count(*) FILTER (operator LIKE 'SUM%') AS n_operators, CAST(count(*) + 0.5 * sum(n_sources) + 2.0 * count(*) FILTER (operator LIKE 'SUM%') AS DOUBLE) AS score FROM y GROUP BY 1",
+    "a31_stream_features": f"WITH {_F} SELECT count(*) FILTER (pos = 1) AS n_time, count(*) FILTER (pos = 0) AS n_window, CAST(0 AS BIGINT) AS n_watermark FROM y",
+    "l8_graph_edges": f"WITH {_F} SELECT s AS source_id, 'derived_from' AS type, CAST(1.0 AS DOUBLE) AS confidence, CAST(sum(branches) AS BIGINT) AS n, count(DISTINCT target || ':' || stmt_id) AS n_ids FROM x GROUP BY 1",
 }

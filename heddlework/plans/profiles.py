@@ -169,8 +169,8 @@ ORACLES = {
     "a1_table_statistics": "SELECT count(*) AS row_count, count(DISTINCT l_returnflag || strftime(l_shipdate, '%Y-%m')) AS partition_count FROM lineitem",
     "a2_column_statistics": _a2_sql(),
     "a2_distinct_estimates": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, true AS within FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
-    "a3_top_values": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS place FROM (SELECT column_name, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")) + ") GROUP BY ALL)) WHERE place <= 5",
-    "a4_part_statistics": f"SELECT partition_id, CAST(sum(rows) AS BIGINT) AS row_count, CAST(sum(bytes) AS BIGINT) AS size_bytes, count(*) AS part_count FROM {_PARTS} WHERE active = 1 GROUP BY partition_id",
+    "a3_top_values": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS place FROM (SELECT column_name, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")) + ") GROUP BY ALL)) WHERE place <= 5",
+    "a4_part_statistics": f"SELECT CAST(partition_id AS INTEGER) AS partition_id, CAST(sum(rows) AS BIGINT) AS row_count, CAST(sum(bytes) AS BIGINT) AS size_bytes, count(*) AS part_count FROM {_PARTS} WHERE active = 1 GROUP BY partition_id",
     "a5_allocated_size": "SELECT CASE WHEN year(o_orderdate) < 1995 THEN 'old' ELSE 'new' END AS table_name, count(*) AS row_count, count(*) * 8192 AS size_bytes FROM orders GROUP BY 1",
     "a6_index_assembly": "SELECT p_brand AS index_name, string_agg(p_type, ',' ORDER BY p_partkey, p_type) AS columns, max(p_size % 2) = 0 AS is_unique, count(*) AS n_columns FROM part GROUP BY p_brand",
     "a7_partition_listing": "SELECT l_returnflag AS table_name, strftime(l_shipdate, '%Y%m') AS partition_name, min(l_linenumber) AS ordinal FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2",
