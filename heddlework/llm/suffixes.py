@@ -75,10 +75,15 @@ def suffixes(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
                 new = np.ones(len(order), bool)
                 new[1:] = both[order][1:] != both[order][:-1]
                 place = (pos - b.first[doc[pos]]).astype(np.int32)
-                further = np.concatenate([[0], np.cumsum(np.diff(np.append(np.flatnonzero(new), len(order))) - 1)]).astype(np.int32)
-                own, at = pa.array(doc[pos[order[new]]] + b.rows.start), order[new]
+                count = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+                further = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                more = pa.ListArray.from_arrays(further, pa.array(place[order[~new]]), mask=pa.array(count == 0))
+                # In the order of the texts, which packs better on its way to the sort.
+                back = np.argsort(order[new])
+                at, more = order[new][back], more.take(pa.array(back))
+                own = pa.array(doc[pos[at]] + b.rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array(place[at]), pa.ListArray.from_arrays(pa.array(further), pa.array(place[order[~new]]))],
+                    [pa.array(key[at].view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array(place[at]), more],
                     names=["key", "doc_id", "part", "pos", "more"],
                 )
 
@@ -137,7 +142,7 @@ def matches(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
     met = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos", "more").agg(F.min(F.struct("other", "other_part", "other_pos")).alias("x")).select("doc_id", "part", "pos", "more", "x.*")
     both = found.filter("NOT edge").drop("edge", "key").unionByName(met)
     # What holds for the first position of a key in a text holds for the further ones.
-    return both.select("doc_id", "part", F.explode(F.concat(F.array("pos"), "more")).alias("pos"), "other", "other_part", "other_pos")
+    return both.select("doc_id", "part", F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))).alias("pos"), "other", "other_part", "other_pos")
 
 
 def runs(found: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
