@@ -4,11 +4,13 @@ A position of a text is retained if the 5 words there are the minimiser (least h
 windows of ``W`` such positions around it, so equal passages retain the same positions. Each retained
 suffix is keyed by a hash of its first ``T = least + 1 - W`` words; equal keys in one document make
 one row. The suffixes of all documents are sorted by (key, document), in ranges that split even
-one key over many tasks, and neighbours with equal keys in different documents are matches. A passage
-of ``least`` words has a retained suffix among its first ``W`` positions whose ``T`` words lie inside
-it, so it is found. Matches of two documents on one diagonal form runs; the ends of each run are
-extended to the left and right by comparing the words around it in both documents. Runs that reach
-``least`` words are passages; overlapping passages of a document are merged.
+one key over many tasks, and those with a neighbour of equal key in another document are marked.
+
+A run of ``least`` words has a minimiser among its first ``W`` positions whose ``T`` words lie inside
+it. So a run that another document has begins at most ``W - 1`` words before a marked position, which
+is its minimiser. All suffixes that begin there are sorted in the same way by all their first ``least``
+words: those with an equal neighbour in another document are the repeated runs, and which documents
+share only a part of a run has no influence. Runs that overlap or touch are merged to passages.
 
 A text of fewer than ``least`` words (null: none) has no passage. Words are maximal runs of what is
 not ASCII white space. Equal rows count as one document, rows of one doc_id with different texts as
@@ -39,11 +41,9 @@ def _sliding(v: np.ndarray, w: int, better: np.ufunc) -> np.ndarray:
     return better(v[: len(v) - (w - width)], v[w - width :]) if width < w else v
 
 
-def retained(b: tk.Batch, hashes: np.ndarray, w: int = W) -> np.ndarray:
-    """Indexes of the words where retained suffixes begin."""
+def minimisers(b: tk.Batch, hashes: np.ndarray, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the GRAM words at each word, and the least of the w from each word on (0 where they leave the text)."""
     n = len(hashes)
-    if n < w + GRAM:
-        return np.zeros(0, np.int64)
     end = np.repeat(b.first[1:], b.n_words)
     at = np.arange(n)
     gram = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -51,46 +51,81 @@ def retained(b: tk.Batch, hashes: np.ndarray, w: int = W) -> np.ndarray:
     least = _sliding(gram, w, np.minimum)
     # A window that leaves its text chooses nothing: no gram hashes to 0.
     least[at[: len(least)] + w + GRAM - 1 > end[: len(least)]] = 0
+    return gram, least
+
+
+def retained(b: tk.Batch, hashes: np.ndarray, w: int = W) -> np.ndarray:
+    """Indexes of the words where retained suffixes begin."""
+    n = len(hashes)
+    if n < w + GRAM:
+        return np.zeros(0, np.int64)
+    gram, least = minimisers(b, hashes, w)
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     return np.flatnonzero(_sliding(padded, w, np.maximum)[:n] == gram)
 
 
+SUFFIXES = "key long, doc_id long, part int, pos int, more array<int>"
+
+
+def keyed(batch: pa.RecordBatch, b: tk.Batch, hashes: np.ndarray, pos: np.ndarray, length: int) -> pa.RecordBatch:
+    """One row for each key of each text, the hash of the words from one of the positions on, with its first position; further ones in a list."""
+    doc = b.doc
+    key = tk.Sums(hashes)(pos, pos + length)
+    both = tk.mix(key ^ (doc[pos].astype(tk.U) * tk.U(0x9E3779B97F4A7C15)))
+    order = np.argsort(both, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = both[order][1:] != both[order][:-1]
+    place = (pos - b.first[doc[pos]]).astype(np.int32)
+    count = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+    further = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+    more = pa.ListArray.from_arrays(further, pa.array(place[order[~new]]), mask=pa.array(count == 0))
+    # In the order of the texts, which packs better on its way to the sort.
+    back = np.argsort(order[new])
+    at, more = order[new][back], more.take(pa.array(back))
+    own = pa.array(doc[pos[at]] + b.rows.start)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[at].view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array(place[at]), more],
+        names=["key", "doc_id", "part", "pos", "more"],
+    )
+
+
 def suffixes(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
-    """(key, doc_id, part, pos): one row for each key of each text; part tells texts of one doc_id apart."""
+    """(key, doc_id, part, pos, more) of the retained suffixes; part tells texts of one doc_id apart."""
     t = least + 1 - w
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for b in tk.batches(batch.column("text")):
                 hashes = tk.word_hashes(b)
-                doc = b.doc
                 pos = retained(b, hashes, w)
-                pos = pos[pos + t <= b.first[1:][doc[pos]]]
-                if not len(pos):
-                    continue
-                key = tk.Sums(hashes)(pos, pos + t)
-                # One row for each key of each text, with its first position; further ones in a list.
-                both = tk.mix(key ^ (doc[pos].astype(tk.U) * tk.U(0x9E3779B97F4A7C15)))
-                order = np.argsort(both, kind="stable")
-                new = np.ones(len(order), bool)
-                new[1:] = both[order][1:] != both[order][:-1]
-                place = (pos - b.first[doc[pos]]).astype(np.int32)
-                count = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
-                further = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                more = pa.ListArray.from_arrays(further, pa.array(place[order[~new]]), mask=pa.array(count == 0))
-                # In the order of the texts, which packs better on its way to the sort.
-                back = np.argsort(order[new])
-                at, more = order[new][back], more.take(pa.array(back))
-                own = pa.array(doc[pos[at]] + b.rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), batch.column("doc_id").take(own), batch.column("part").take(own), pa.array(place[at]), more],
-                    names=["key", "doc_id", "part", "pos", "more"],
-                )
-
-    return documents.mapInArrow(run, "key long, doc_id long, part int, pos int, more array<int>")
-
-
-MATCH = "edge boolean, key long, doc_id long, part int, pos int, more array<int>, other long, other_part int, other_pos int"
+                pos = pos[pos + t <= b.first[1:][b.doc[pos]]]
+                if len(pos):
+                    yield keyed(batch, b, hashes, pos, t)
+
+    return documents.mapInArrow(run, SUFFIXES)
+
+
+def whole(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
+    """The same of all suffixes of least words whose minimiser is one of the text's ``marks``, keyed by all of these words."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for b in tk.batches(batch.column("text")):
+                hashes = tk.word_hashes(b)
+                gram, first = minimisers(b, hashes, w)
+                marks = batch.column("marks").slice(b.rows.start, b.rows.stop - b.rows.start)
+                at = marks.flatten().to_numpy() + np.repeat(b.first[:-1], marks.value_lengths().to_numpy())
+                marked = np.full(len(gram), np.iinfo(np.uint64).max, np.uint64)
+                marked[at] = gram[at]
+                pos = np.flatnonzero(_sliding(marked, w, np.minimum) == first)
+                pos = pos[pos + least <= b.first[1:][b.doc[pos]]]
+                if len(pos):
+                    yield keyed(batch, b, hashes, pos, least)
+
+    return documents.mapInArrow(run, SUFFIXES)
+
+
+MATCH = "edge boolean, key long, doc_id long, part int, pos int, more array<int>, other long"
 
 
 def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +139,8 @@ def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(edge: bool, x: list[pa.Array], y: list[pa.Array] | None) -> pa.RecordBatch:
         n = len(x[0])
-        other = [y[i] if y is not None else pa.nulls(n, types[i]) for i in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, edge)), *x, *other], names=["edge", *names, "other", "other_part", "other_pos"])
+        other = y[1] if y is not None else pa.nulls(n, types[1])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, edge)), *x, other], names=["edge", *names, "other"])
 
     for batch in rows:
         if not batch.num_rows:
@@ -131,77 +166,30 @@ def neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(True, before, None)
 
 
-def matches(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
-    """Matches of suffixes with a neighbour: doc_id, part, pos, other, other_part, other_pos."""
-    rows = suffixes(documents, least, w)
+def matches(rows: DataFrame) -> DataFrame:
+    """The suffixes with an equal key in another text: doc_id, part, pos, more, and other, a document that has it."""
     ordered = rows.repartitionByRange("key", "doc_id", "part", "pos").sortWithinPartitions("key", "doc_id", "part", "pos")
     found = cut(ordered.mapInArrow(neighbours, MATCH), "suffixes")
     # Two edges for each range: of those with one key, each is matched with one of another document.
     edges = found.filter("edge").select("key", "doc_id", "part", "pos", "more").distinct()
-    other = edges.select("key", F.col("doc_id").alias("other"), F.col("part").alias("other_part"), F.col("pos").alias("other_pos"))
-    met = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos", "more").agg(F.min(F.struct("other", "other_part", "other_pos")).alias("x")).select("doc_id", "part", "pos", "more", "x.*")
-    both = found.filter("NOT edge").drop("edge", "key").unionByName(met)
+    other = edges.select("key", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
+    met = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos", "more").agg(F.min("other").alias("other"))
+    both = found.filter("NOT edge").select("doc_id", "part", "pos", "more", "other").unionByName(met)
     # What holds for the first position of a key in a text holds for the further ones.
-    return both.select("doc_id", "part", F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))).alias("pos"), "other", "other_part", "other_pos")
-
-
-def runs(found: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
-    """Matches of two texts on one diagonal, joined while their first ``T`` words overlap or touch: start, stop and the other start."""
-    t = least + 1 - w
-    diagonal = F.col("pos") - F.col("other_pos")
-    by = Window.partitionBy("doc_id", "part", "other", "other_part", diagonal).orderBy("pos")
-    found = found.withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(by) > t).cast("int"), F.lit(1)))
-    found = found.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = found.groupBy("doc_id", "part", "other", "other_part", diagonal.alias("_diagonal"), "_run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    return out.select("doc_id", "part", "other", "other_part", "start", (F.col("stop") + t).alias("stop"), (F.col("start") - F.col("_diagonal")).alias("other_start")).withColumn("run", F.xxhash64("doc_id", "part", "other", "other_part", "start", "other_start"))
-
-
-ENDS = "run long, mine boolean, before array<string>, after array<string>"
-
-
-def ends(rows: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
-    """For each run of each text, the up to w words before it (nearest first) and after it."""
-    for batch in rows:
-        out: list[tuple] = []
-        wanted = batch.column("wanted").to_pylist()
-        for b in tk.batches(batch.column("text")):
-            data = b.data.tobytes()
-            for i, asked in enumerate(wanted[b.rows]):
-                first, last = b.first[i], b.first[i + 1]
-                for r in asked:
-                    start, stop = first + r["start"], first + r["stop"]
-                    word = lambda j, b=b, data=data: data[b.starts[j] : b.ends[j]].decode()
-                    out.append((r["run"], r["mine"], [word(j) for j in range(start - 1, max(first, start - w) - 1, -1)], [word(j) for j in range(stop, min(last, stop + w))]))
-        if out:
-            run, mine, before, after = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(mine), pa.array(before, pa.list_(pa.string())), pa.array(after, pa.list_(pa.string()))], names=["run", "mine", "before", "after"])
-
-
-def _common(a: str, b: str) -> F.Column:
-    """How many words two arrays have in common at their start."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), lambda x, i: F.struct((x["go"] & (F.get(a, i) == F.get(b, i))).alias("go"), (x["n"] + (x["go"] & (F.get(a, i) == F.get(b, i))).cast("int")).alias("n")), lambda x: x["n"])
-    return F.when(n > 0, same).otherwise(0)
+    return both.select("doc_id", "part", F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>"))).alias("places"), "other")
 
 
 def passages(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
-    """One row for each passage: doc_id, its first word, the word after its last, and a document that has it too."""
+    """One row for each passage: doc_id, its first word, the word after its last, and a document that has a part of it too."""
     docs = texts(documents).filter("doc_id IS NOT NULL").withColumn("part", F.hash("text"))
-    found = cut(runs(matches(docs, least, w), least, w), "runs")
-    sides = found.select("doc_id", "part", "run", F.lit(True).alias("mine"), "start", "stop").unionByName(
-        found.select(F.col("other").alias("doc_id"), F.col("other_part").alias("part"), "run", F.lit(False).alias("mine"), F.col("other_start").alias("start"), (F.col("other_start") + F.col("stop") - F.col("start")).alias("stop"))
-    )
-    # A text is the neighbour of at most two others for each of its suffixes, so what is asked of it is bounded by its length.
-    wanted = cut(sides.groupBy("doc_id", "part").agg(F.collect_list(F.struct("run", "mine", "start", "stop")).alias("wanted")), "wanted")
-    around = docs.join(wanted, ["doc_id", "part"]).select("text", "wanted").mapInArrow(lambda rows: ends(rows, w), ENDS)
-    # Rows given twice ask twice and get the same words.
-    pair = around.groupBy("run").agg(*(F.max(F.when(F.col("mine") == mine, F.col(x))).alias(f"{x}_{mine}") for x in ("before", "after") for mine in (True, False)))
-    pair = pair.select("run", _common("before_True", "before_False").alias("left"), _common("after_True", "after_False").alias("right"))
-    spans = found.join(pair, "run").select("doc_id", "part", "other", (F.col("start") - F.col("left")).alias("start"), (F.col("stop") + F.col("right")).alias("stop")).filter(F.col("stop") - F.col("start") >= least)
-    by = Window.partitionBy("doc_id", "part").orderBy("start", "stop")
-    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("_passage", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = spans.groupBy("doc_id", "part", "_passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other").alias("other_id"))
+    # A text has no more marks than words.
+    marks = cut(matches(suffixes(docs, least, w)).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("places")).alias("marks")), "marks")
+    around = docs.join(marks, ["doc_id", "part"]).select("doc_id", "part", "text", "marks")
+    found = matches(whole(around, least, w)).select("doc_id", "part", F.explode("places").alias("start"), "other")
+    by = Window.partitionBy("doc_id", "part").orderBy("start")
+    found = found.withColumn("_new", F.coalesce((F.col("start") - F.lag("start").over(by) > least).cast("int"), F.lit(1)))
+    found = found.withColumn("_passage", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    out = found.groupBy("doc_id", "part", "_passage").agg(F.min("start").alias("start"), (F.max("start") + least).alias("stop"), F.min("other").alias("other_id"))
     return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "other_id")
 
 

@@ -193,6 +193,31 @@ def test_passages_just_long_enough(spark):
     assert got == repeated(docs)
 
 
+def test_passages_with_shorter_variants(spark):
+    """Copies of a passage with documents between them that share only a part of it, from either side and in any order."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(9999)}"
+    docs = []
+    for k in range(60):
+        shared = [word() for _ in range(50 + k % 16)]
+        a = r.randrange(11)
+        texts = [shared, shared, shared[a : a + 35 + k % 15], shared[:40], shared[-49:]]
+        r.shuffle(texts)
+        for t in texts:
+            docs.append((len(docs), " ".join([*(word() for _ in range(40)), *t, *(word() for _ in range(40))])))
+    got = defaultdict(set)
+    for x in suffixes.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[x.doc_id].update(range(x.start, x.stop))
+    assert got == repeated(docs)
+
+
+def test_every_passage_is_whole(spark, documents):
+    got = defaultdict(set)
+    for x in suffixes.passages(documents).collect():
+        got[x.doc_id].update(range(x.start, x.stop))
+    assert got == repeated([(r.doc_id, r.text) for r in documents.collect()])
+
+
 def test_passages_odd(spark, odd):
     rows = {(r.doc_id, r.start, r.stop) for r in suffixes.passages(odd).collect()}
     assert rows == set()  # texts that repeat in themselves or as the same row do not repeat across documents
