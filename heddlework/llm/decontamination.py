@@ -143,6 +143,19 @@ def item_blocks(items: DataFrame, n: int, hashes: int, max_shingles: int) -> Ite
         yield Index(np.array(ids, np.int64), sets, hashes)
 
 
+def held(index: Index, texts: pa.Array, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the texts, items that they contain to the threshold or more, and how many of their shingles."""
+    for b in tk.batches(texts):
+        values, first = tk.shingles(b, n)
+        pairs = index.search(values, first)
+        if not len(pairs):
+            continue
+        shared = index.verify(pairs, values, first)
+        doc, item = pairs // len(index.ids), pairs % len(index.ids)
+        keep = shared >= threshold * index.sizes[item] - 1e-9
+        yield doc[keep] + b.rows.start, item[keep], shared[keep]
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, max_shingles: int = 1 << 20) -> DataFrame:
     """One row for each document and benchmark item that it contains to the threshold or more."""
     spark = documents.sparkSession
@@ -154,17 +167,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 5, thresho
         def look(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in rows:
-                for b in tk.batches(batch.column("text")):
-                    values, first = tk.shingles(b, n)
-                    pairs = index.search(values, first)
-                    if not len(pairs):
-                        continue
-                    shared = index.verify(pairs, values, first)
-                    doc, item = pairs // len(index.ids), pairs % len(index.ids)
-                    keep = shared >= threshold * index.sizes[item] - 1e-9
-                    doc, item, shared = doc[keep], item[keep], shared[keep]
+                for doc, item, shared in held(index, batch.column("text"), n, threshold):
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc + b.rows.start)), pa.array(index.ids[item]), pa.array(shared), pa.array(index.sizes[item]), pa.array(shared / index.sizes[item])],
+                        [batch.column("doc_id").take(pa.array(doc)), pa.array(index.ids[item]), pa.array(shared), pa.array(index.sizes[item]), pa.array(shared / index.sizes[item])],
                         names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
                     )
 
@@ -173,11 +178,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 5, thresho
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def cleaned(documents: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, hashes: int = 64, max_shingles: int = 1 << 20) -> DataFrame:
+    """The documents, with all their columns, that contain no benchmark item to the threshold."""
+    schema = documents.schema
+    for index in item_blocks(texts(benchmark, "item_id"), n, hashes, max_shingles):
+        sent = documents.sparkSession.sparkContext.broadcast(index)
+
+        def look(rows: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                stays = np.ones(batch.num_rows, bool)
+                for doc, _, _ in held(sent.value, batch.column("text"), n, threshold):
+                    stays[doc] = False
+                yield batch.filter(pa.array(stays))
+
+        documents = documents.mapInArrow(look, schema)
+    return documents
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents which contain a benchmark item go. Few documents do, so Spark may broadcast their ids by their size."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Pipeline stage: documents which contain a benchmark item go. Each row is judged by its own text, so null and repeated ids do not matter."""
+    return cleaned(docs, table(spark, sf_dir, "benchmark"))

@@ -227,7 +227,7 @@ def verified_links(rows: Iterator[pa.RecordBatch], least: list[int], threshold:
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = 5) -> DataFrame:
-    """One row for each document: doc_id, node, class_id, n_links, n_text_links, n_copies."""
+    """One row for each document: doc_id, node, root (the class by a node of it), class_id, n_links, n_text_links, n_copies."""
     least = least_matches(threshold, tolerance)
     docs = texts(documents).withColumn("node", F.unhex(F.md5("text")))
     signed = cut(signatures(docs, n), "signatures")
@@ -252,9 +252,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float
     found = cut(components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))), "classes")
     counts = links.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("n_links").alias("n_links"))
     ids = cut(found.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id")), "class_ids")
-    info = nodes.select("node", "rep", "copies").join(found.join(ids, "root").select("node", "class_id"), "node", "left").join(counts, "node", "left")
+    info = nodes.select("node", "rep", "copies").join(found.join(ids, "root").select("node", "root", "class_id"), "node", "left").join(counts, "node", "left")
     zero = F.lit(0).cast("long")
-    info = cut(info.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"), F.col("copies").alias("n_copies")), "info")
+    info = cut(info.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"), F.col("copies").alias("n_copies")), "info")
     return signed.select("doc_id", "node").join(info, "node")
 
 
@@ -263,8 +263,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least doc_id stays (of rows given twice, one)."""
-    first = classes(docs).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("nameless")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
+    """Pipeline stage: of each class the document with the least doc_id stays, one without only if all are (of rows given twice, one)."""
+    # By root: unrelated texts that share a doc_id may have equal class_ids.
+    first = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
     first = cut(first.select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")), "kept")
     rows = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     rows = rows.join(first, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))

@@ -9,8 +9,9 @@ every block goes to the highest quotient ``votes / (2 * blocks so far + 1)``. Sh
 A shard's blocks are numbered along that order. With a quota of ``q`` and ``n`` blocks, each block
 is taken ``q // n`` times and the first ``q % n`` once more; a document takes the words of its blocks.
 
-A null text has size 0. Documents that are equal in id and size are interchangeable. With no words
-at all every target is 0. Reruns agree: the order depends on the ids and the seed alone.
+A null text has size 0. Documents that are equal in id, source and text are interchangeable. With no
+words at all every target is 0. Reruns agree: the order depends on the ids and the seed alone, and for
+documents without id, or with one id, on source and text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, join_by_source, table
 
 
+def row_key() -> Column:
+    """A digest of id, source and text, nulls apart: rows with equal keys are interchangeable."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.col("text").cast("string"))))
+
+
 def ranked(df: DataFrame, order: Column) -> DataFrame:
     """Adds ``rank``, from 0, over the whole table without one task for all rows: ranges, their sizes, places in them."""
     parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranked")
@@ -68,9 +74,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shard_documents: int = 16384, seed: int = 7) -> DataFrame:
-    """One row for each document: its size, its source's size and target, and how many of its words the mix takes."""
+    """One row for each document: its size, its source's size and target, and how many of its words the mix takes; node is its row_key."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sizes = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("node")), "sizes")
     sources = cut(targets(sizes, weights, share, cap), "targets")
     words, n = sources.agg(F.sum("target"), F.count(F.lit(1))).first()
     # Small mixes have smaller blocks, about a thousand for each source.
@@ -80,24 +86,30 @@ def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     sources = cut(sources.select("source", "rank", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "quotas")
 
     docs = join_by_source(sizes, sources, "source")
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "shards")).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    # Documents without id are dealt by their keys.
+    dealt = lambda s: F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(s), "node")).otherwise(F.xxhash64(F.lit(s), "doc_id"))
+    docs = docs.withColumn("shard", F.pmod(dealt(seed), "shards")).withColumn("order", dealt(seed + 1))
     shards = docs.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportioned(shards, "rank", "shard", "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
 
-    upto = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size", "node").rowsBetween(Window.unboundedPreceding, 0))
     docs = docs.withColumn("upto", upto).join(shards, ["rank", "shard"])
     n_blocks = F.ceil(F.col("shard_size") / block)
     quota = F.least(F.col("quota"), n_blocks * int(cap))
     docs = docs.withColumn("times", F.when(n_blocks > 0, F.floor(quota / n_blocks)).otherwise(0)).withColumn("more", F.when(n_blocks > 0, quota % n_blocks).otherwise(0) * block)
     once_more = F.greatest(F.lit(0), F.least("upto", "more") - (F.col("upto") - F.col("size")))
-    return docs.select("doc_id", "size", "source", "source_size", "target", (F.col("times") * F.col("size") + once_more).cast("long").alias("taken"))
+    return docs.select("doc_id", "size", "source", "source_size", "target", (F.col("times") * F.col("size") + once_more).cast("long").alias("taken"), "node")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).drop("node")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the documents of which the mix takes words, with how many it takes."""
-    taken = mixed(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), "size", "target", "taken")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
+    # Of equal rows, which may have different takes, each gets one: the copies are numbered, and each take has a range of numbers.
+    taken = mixed(docs).filter("taken > 0").groupBy("node", "size", "target", "taken").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("node").orderBy("taken").rowsBetween(Window.unboundedPreceding, 0))
+    taken = taken.withColumn("_to", upto).select(F.col("node").alias("_node"), "size", "target", "taken", "_n", "_to")
+    rows = docs.withColumn("_key", row_key()).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    return rows.join(taken, (F.col("_key") == F.col("_node")) & F.col("_copy").between(F.col("_to") - F.col("_n") + 1, F.col("_to"))).drop("_key", "_copy", "_node", "_n", "_to")

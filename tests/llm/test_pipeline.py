@@ -1,7 +1,9 @@
 """Each stage of the pipeline on its own input, by brute force."""
 
+import random
+
 import corpus_pipeline
-from heddlework.llm import quality
+from heddlework.llm import decontamination, jaccard, mixing, quality
 
 from .test_documents import base_spans, brute_quality
 from .test_pairs import classes, leaks
@@ -38,3 +40,26 @@ def test_empty_documents(spark, sf, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Null ids and one id on several texts: each stage judges rows, not ids."""
+    r = random.Random(6)
+    text = lambda n=60: " ".join(f"w{r.randrange(9999)}" for _ in range(n))
+    schema = "doc_id long, text string, source string"
+    one, two, three, item = text(), text(), text(), text(20)
+    docs = [(7, one, "s"), (7, two, "s"), (None, three, "s"), (None, three + " end", "s"), (None, item + " " + text(), "s"), (8, item + " " + text(), "s"), (8, text(), "s")]
+    kept = [tuple(x) for x in jaccard.dedup_stage(spark, spark.createDataFrame(docs, schema), "").collect()]
+    near = [x for x in kept if x[1].startswith(three)]
+    assert len(near) == 1 and sorted(map(str, kept)) == sorted(map(str, [*docs[:2], *near, *docs[4:]]))
+    items = spark.createDataFrame([(1, item), (2, text(20))], "item_id long, text string")
+    for most in (1 << 20, 10):
+        clean = decontamination.cleaned(spark.createDataFrame(docs, schema), items, max_shingles=most).collect()
+        assert sorted(x.text for x in clean) == sorted(t for _, t, _ in docs if not t.startswith(item))
+    many = [(None, text(100 + i), "s") for i in range(40)] + [(5, text(80 + i), "t") for i in range(10)] + [(None, one, "s")] * 3 + [(None, one, None)] * 2
+    many = spark.createDataFrame(many, schema)
+    mix = sorted((x.text, str(x.source), x.size, x.taken) for x in mixing.mix_stage(spark, many, "").collect())
+    keys = {(x.k, x.text, str(x.source)) for x in many.withColumn("k", mixing.row_key()).collect()}
+    assert len(keys) == 52
+    wanted = {k: (t, s) for k, t, s in keys}
+    assert mix == sorted((*wanted[x.node], x.size, x.taken) for x in mixing.mixed(many).collect() if x.taken > 0)
