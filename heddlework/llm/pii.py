@@ -40,7 +40,7 @@ PATTERNS = {
     "card": r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?(?=[\x20-]{2}|[\x20-]?(?![0-9\x20-]))",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[^\s,;\"']{6,200})|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[^\s,;\"']{6,}+)|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "address": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:\(at\)|\[at\])\x20?[{_HOST}]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[{_HOST}]++){{1,8}}",
     "contact": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
@@ -223,7 +223,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(df: DataFrame, weights: dict, text: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; of spans that overlap, the earliest counts."""
+    """The documents with every span replaced by its kind in brackets; spans that overlap are masked as one, with the earliest's kind."""
     columns = df.columns
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = with_candidates(df, text)
@@ -233,7 +233,7 @@ def masked(df: DataFrame, weights: dict, text: str = "text") -> DataFrame:
     def step(at: Column, x: Column) -> Column:
         piece = F.array(F.substring(body, at["pos"] + 1, x["start"] - at["pos"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
         behind = x["start"] >= at["pos"]
-        return F.struct(F.when(behind, x["end"]).otherwise(at["pos"]).alias("pos"), F.when(behind, F.concat(at["out"], piece)).otherwise(at["out"]).alias("out"))
+        return F.struct(F.greatest(at["pos"], x["end"]).alias("pos"), F.when(behind, F.concat(at["out"], piece)).otherwise(at["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate("_all", start, step, lambda at: F.array_join(F.concat(at["out"], F.array(F.substring(body, at["pos"] + 1, F.length(body)))), ""))

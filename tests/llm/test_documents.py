@@ -61,6 +61,16 @@ def test_added_spans_and_masks(spark):
     assert masked[0].text == "mail [ADDRESS] or call [CONTACT], [SECRET] or [EMAIL]; [SECRET]" and masked[-1].text is None
 
 
+def test_masks_cover_whole_spans(spark):
+    """Long secrets, and spans that begin inside others."""
+    long = "".join("abcdefgh0123456789"[i * i % 18] for i in range(1000))
+    text = f"token={long} then 4111111111111111@mail.com or 10.0.0.1@example.com, call +1 456 555 2186"
+    docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
+    at = text.index("token=")
+    assert f"secret:{at}:{at + 1006}" in pii.found(docs).first().spans.split(",")
+    assert {r.text for r in pii.mask_stage(spark, docs, "").collect()} == {"[SECRET] then [CARD] or [IP], call [PHONE]"}
+
+
 def test_reliabilities_favour_labelers_that_agree():
     rows = [{"form": a, "gazetteer": b, "context": c, "count": n} for a, b, c, n in [(1, 1, 1, 500), (-1, -1, 1, 300), (1, 1, -1, 200), (-1, -1, -1, 400)]]
     given, posterior = pii.reliabilities(rows)
