@@ -7,20 +7,15 @@ lost executor costs no more than the level under way.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_folder
+from ..sources.storage import cut
 
 
 def kept(df: DataFrame) -> DataFrame:
     """Written into the shared folder and read back: later steps depend on the files alone."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return cut(df, "kept")
 
 
 def reached(edges: DataFrame, starts: DataFrame, depth: int = 0, reverse: bool = False) -> DataFrame:

@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only a session in one local process may do without."""
+    """This session's folder below the one named in ``spark.checkpoint.dir``; only a session in one local process may do without that setting.
+
+    What operators write there is read by the DataFrames they return; ``release`` removes it all.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        own = getattr(shared_folder, "own", None)
-        if own is None:
-            own = shared_folder.own = tempfile.mkdtemp(prefix="heddlework-")
-        return own
-    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = getattr(shared_folder, "own", None)
+        if named is None:
+            named = shared_folder.own = tempfile.mkdtemp(prefix="heddlework-")
+            atexit.register(shutil.rmtree, named, True)
+    return f"{named.rstrip('/')}/heddlework-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: later stages depend on its files alone."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this session's operators wrote into the shared folder, once no DataFrame of theirs is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def object_listing(spark: SparkSession, path: str) -> DataFrame:

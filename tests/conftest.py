@@ -18,6 +18,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from heddlework.sources.storage import release
+
+    release(s)
     s.stop()
 
 
