@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, shared_folder
+
+__all__ = ["WORD", "cut", "join_by_source", "shared_folder", "table", "texts"]
+
 #: A word of a whole text: what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a session in one local process, as in
-    tests, may do without that setting.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        own = getattr(shared_folder, "own", None)
-        if own is None:
-            own = shared_folder.own = tempfile.mkdtemp(prefix="heddlework-")
-        return own
-    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: later stages depend on its files alone."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator works on; a null text counts as empty, other columns are left out."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

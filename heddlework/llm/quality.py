@@ -3,11 +3,17 @@
 Every text is measured whole: words, symbols, repeated lines, and words inside 8-word windows that
 occur more than once. Rules on these measures give failures for each document. For each host (the
 document's source) and rule the rate of failures is shrunk towards all hosts' mean with a beta prior
-whose parameters come from the rates' mean and variance over hosts; a host with a shrunk rate of
-``reject`` or more for any rule is rejected, and its verdict is joined back to its documents.
+whose parameters come from the rates' mean and variance over hosts. From the posterior's mean and
+standard deviation follow two verdicts, which are joined back to the host's documents:
+
+* a host with a rate of surely ``REJECT`` or more (two deviations below the mean still reach it) is
+  rejected: all its documents go;
+* a host with a rate surely above the average (one deviation) is held to that rule: its documents
+  that fail the rule go, base rule or not. Elsewhere a failure of symbols or lines alone is let pass.
 
 A null text has no words and fails. A null source is a host of its own. Repeated rows count as often
-as they occur. Hosts are few columns and few rows; a host with a third of all documents is summed in
+as they occur, and hosts with equal rates and sizes get equal verdicts. The operator ignores further
+columns, the stage keeps them, whatever their names. Hosts are few columns and few rows; a host with a third of all documents is summed in
 parts before the shuffle, and the verdicts are broadcast or dealt out by size.
 """
 
@@ -19,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .common import cut, join_by_source, table
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share of failing documents at which a host is rejected, and the most that the prior may weigh, in documents.
-REJECT, STRONGEST = 0.8, 1000.0
+#: A host is rejected if its shrunk rate of failures, less so many standard deviations, reaches this share.
+REJECT, WIDE = 0.5, 2.0
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -56,8 +63,9 @@ def measure(b: tk.Batch) -> list[np.ndarray]:
     breaks = np.flatnonzero(b.data == 10)
     starts = np.unique(np.concatenate([b.offsets[:-1], breaks + 1]))
     starts = starts[starts < len(b.data)]
-    ends = np.append(starts[1:], len(b.data))
-    ends = ends - (b.data[ends - 1] == 10) if len(ends) else ends
+    # A group of empty texts has neither bytes nor lines.
+    ends = np.append(starts[1:], len(b.data))[: len(starts)]
+    ends = ends - (b.data[ends - 1] == 10)
     line_doc = np.searchsorted(b.offsets, starts, "right") - 1
     full = np.searchsorted(b.starts, starts) < np.searchsorted(b.starts, ends)
     starts, ends, line_doc = starts[full], ends[full], line_doc[full]
@@ -93,26 +101,35 @@ RULES = {"short": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_word
 BASE_FAILED = f"({RULES['short']} OR {RULES['repeats']})"
 
 
-def rejected_hosts(measures: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The sources to reject, as a table of one column."""
+def host_verdicts(measures: DataFrame, reject: float = REJECT) -> DataFrame:
+    """source, ``host_rejected`` and ``strict_<rule>`` of the hosts with any verdict against them."""
     hosts = measures.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.expr(f"CAST({rule} AS LONG)")).alias(k) for k, rule in RULES.items()))
     hosts = cut(hosts, "hosts")
     prior = hosts.agg(*(F.avg(F.col(k) / F.col("n")).alias(f"m_{k}") for k in RULES), *(F.var_pop(F.col(k) / F.col("n")).alias(f"v_{k}") for k in RULES))
     both = hosts.crossJoin(F.broadcast(prior))  # prior is one row
-    bad = F.lit(False)
+    rejected, strict = F.lit(False), {}
     for k in RULES:
         m, v = F.col(f"m_{k}"), F.col(f"v_{k}")
-        strength = F.when(v > 0, F.least(F.lit(STRONGEST), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(STRONGEST))
-        bad = bad | ((F.col(k) + m * strength) / (F.col("n") + strength) >= reject)
-    return both.filter(bad).select("source")
+        # Moments of a beta distribution; hosts that all fail alike (no variance) keep the mean.
+        strength = m * (1 - m) / v - 1
+        rate = F.when(v > 0, (F.col(k) + m * strength) / (F.col("n") + strength)).otherwise(m)
+        spread = F.when(v > 0, F.sqrt(F.greatest(F.lit(0.0), rate * (1 - rate)) / (F.col("n") + strength + 1))).otherwise(F.lit(0.0))
+        rejected = rejected | (rate - WIDE * spread >= reject)
+        strict[k] = rate - spread > m + 1e-9
+    both = both.select("source", rejected.alias("host_rejected"), *(x.alias(f"strict_{k}") for k, x in strict.items()))
+    return both.filter(" OR ".join(["host_rejected", *(f"strict_{k}" for k in RULES)]))
+
+
+def verdicts(measures: DataFrame, reject: float = REJECT) -> DataFrame:
+    """The measures with ``base_failed`` and ``kept``."""
+    out = join_by_source(measures, host_verdicts(measures, reject), "source").withColumn("base_failed", F.expr(BASE_FAILED))
+    bad = F.coalesce(F.expr(" OR ".join(["host_rejected", *(f"(strict_{k} AND {rule})" for k, rule in RULES.items())])), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("host_rejected", *(f"strict_{k}" for k in RULES))
 
 
 def judged(documents: DataFrame, reject: float = REJECT) -> DataFrame:
     """One row for each document: its measures, whether it fails the base rules, and the verdict."""
-    measures = cut(measured(documents), "measures")
-    hosts = rejected_hosts(measures, reject).withColumn("host_rejected", F.lit(True))
-    out = join_by_source(measures, hosts, "source").withColumn("base_failed", F.expr(BASE_FAILED))
-    return out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).select("doc_id", *MEASURES, "base_failed", "kept")
+    return verdicts(cut(measured(documents), "measures"), reject).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,19 +137,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that fail the base rules, or whose host is rejected, go."""
-    hosts = rejected_hosts(measured(docs)).withColumn("_rejected", F.lit(True))
-    schema = docs.schema
+    """Pipeline stage: documents that fail the base rules, or by a verdict on their host, go.
 
-    def passing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts are measured once: the measures are written beside the columns of documents, whatever these are called.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names).withColumns({"source": F.col(names[docs.columns.index("source")]).cast("string"), "_t": F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit(""))})
+    schema = T.StructType([*held.drop("_t").schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            parts = [measure(b) for b in tk.batches(batch.column("text"))]
+            parts = [measure(b) for b in tk.batches(batch.column("_t"))]
             if parts:
-                n_words, n_repeat = (np.concatenate([p[i] for p in parts]) for i in (0, 4))
-                yield batch.filter(pa.array((n_words >= 20) & (100 * n_repeat <= 30 * n_words)))
+                kept = [batch.column(c) for c in (*names, "source")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names=[*names, "source", *MEASURES])
 
-    kept = docs.mapInArrow(passing, schema)
-    return join_by_source(kept, hosts, "source").filter(F.col("_rejected").isNull()).select(*docs.columns)
+    out = verdicts(cut(held.mapInArrow(run, schema), "measured")).filter("kept")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 ORACLE = r"""
@@ -156,9 +177,10 @@ h AS (
   FROM f GROUP BY source),
 u AS (SELECT source, n, k, x FROM (SELECT source, n, unnest([1, 2, 3, 4]) AS k, unnest([f1, f2, f3, f4]) AS x FROM h)),
 p AS (SELECT k, avg(x / n) AS m, var_pop(x / n) AS v FROM u GROUP BY k),
-s AS (SELECT k, m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS z FROM p),
-b AS (SELECT DISTINCT source FROM u JOIN s ON s.k = u.k WHERE (x + m * z) / (n + z) >= 0.8)
+s AS (SELECT source, u.k, n, m, v, CASE WHEN v > 0 THEN (x + m * (m * (1 - m) / v - 1)) / (n + m * (1 - m) / v - 1) ELSE m END AS q FROM u JOIN p ON p.k = u.k),
+b AS (SELECT source, k, q, m, CASE WHEN v > 0 THEN sqrt(greatest(0.0, q * (1 - q)) / (n + m * (1 - m) / v)) ELSE 0.0 END AS z FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM f.source) AS kept
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM f.source AND (q - 2 * z >= 0.5 OR q - z > m + 1e-9 AND
+         CASE k WHEN 1 THEN n_words < 20 WHEN 2 THEN 100 * n_repeat_words > 30 * n_words WHEN 3 THEN 10 * n_symbols > n_words ELSE 10 * n_dup_lines > n_words END)) AS kept
 FROM f
 """

@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -310,14 +311,35 @@ def test_measures(text):
         assert tuple(int(m[0]) for m in got) == tuple(int(m[2]) for m in got) == brute_quality(text)
 
 
-def test_bad_hosts_go(spark):
-    good = " ".join(f"w{i}" for i in range(30))
-    docs = [(i, "short", "bad") for i in range(50)] + [(100, good, "bad")] + [(200 + i, f"{good} {i}", f"host{i % 5}") for i in range(100)] + [(400, "short", "rare")]
-    rows = {r.doc_id: r for r in quality.judged(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
-    assert not rows[100].kept and not rows[100].base_failed  # its host fails nearly always
-    assert all(rows[200 + i].kept for i in range(100)) and not rows[400].kept
+def bad_hosts(spark, tmp_path):
+    good, loud = " ".join(f"w{i}" for i in range(30)), " ".join(f"w{i}#" for i in range(30))
+    docs = [(i, "short", "bad") for i in range(50)] + [(100, good, "bad")] + [(200 + i, f"{good} {i}", f"host{i % 5}") for i in range(100)] + [(400, "short", "rare"), (401, loud, "host1"), (402, None, None)]
+    docs += [(500 + i, f"{loud if i < 12 else good} {i}", "loud") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    return frame
+
+
+def test_bad_hosts_go(spark, tmp_path):
+    """A host that nearly always fails goes whole; one that often fails a rule loses what fails it."""
+    rows = {r.doc_id: r for r in quality.judged(bad_hosts(spark, tmp_path)).collect()}
+    assert not rows[100].kept and not rows[100].base_failed
+    assert all(rows[200 + i].kept for i in range(100)) and rows[401].kept and not rows[400].kept
+    assert [rows[500 + i].kept for i in range(40)] == [i >= 12 for i in range(40)] and not any(rows[500 + i].base_failed for i in range(40))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(quality.ORACLE).fetchall()
+    assert sorted(map(tuple, rows.values())) == sorted(wanted)
+    stage = {r.doc_id for r in quality.quality_stage(spark, bad_hosts(spark, tmp_path / "x"), "").collect()}
+    assert stage == {i for i, r in rows.items() if r.kept}
+
+
+def test_hosts_fall_on_the_given_tables(spark, sf):
+    rows = quality.op9_quality(spark, sf.replace("sf0.001", "sf0.01")).filter("NOT kept AND NOT base_failed").collect()
+    assert rows and all(10 * r.n_symbols > r.n_words or 10 * r.n_dup_lines > r.n_words for r in rows)
 
 
 def test_quality_odd(spark, odd):
     assert quality.judged(odd).count() == len(ODD)
     assert quality.judged(odd.filter("false")).count() == 0
+    assert quality.judged(odd.filter("text = ''")).collect()[0].n_words == 0
