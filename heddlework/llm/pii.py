@@ -16,6 +16,7 @@ points, ends exclusive. Other columns are ignored by the operator and kept by th
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,18 @@ CUES = {
     "secret": "key|login|user|auth|credential|export", "address": "mail|contact|write|reach|address", "contact": "call|phone|tel|mobile|fax|cell|dial",
 }
 AGAINST = "version|isbn|order|invoice|release|section|figure|example"
-CONTEXT = 40
+#: Characters of context, from at most so many pieces (matches and what lies between them) in front of a match.
+CONTEXT, NEAR = 40, 8
 
 #: kinds x votes (3 labelers of 3 values) x lengths x alphabets: the largest number of rows that reach the driver.
 LENGTHS, ALPHABETS = (10, 16, 24), 4
 MOST_PATTERNS = len(KINDS) * 27 * (len(LENGTHS) + 1) * ALPHABETS
 
-_SPAN = "struct<start:int,end:int,m:string>"
+LABELLED = "struct<kind:string,start:int,end:int,form:int,gazetteer:int,context:int,length:int,alphabet:int>"
+#: Running values over an array are taken in blocks of so many, so that no array grows an element at a time.
+RUN = 256
+#: Marks around matches, and what stands for it if a text has it; no pattern tells the two apart.
+MARK, INSTEAD = "\ue000", "\ue001"
 
 
 def _luhn(digits: Column) -> Column:
@@ -84,28 +90,41 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(parts: Column, found: Column) -> Column:
-    """Places of the matches, from the matches and what lies between them."""
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(at: Column, i: Column) -> Column:
-        start = at["pos"] + F.length(F.get(parts, i))
-        end = start + F.length(F.get(found, i))
-        return F.struct(end.alias("pos"), F.concat(at["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("m")))).alias("out"))
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda at: at["out"])).otherwise(none)
+def _running(values: Column, both: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each element what ``both`` makes of start and all elements before it, and last of all elements: one more than there are.
+
+    Within blocks of RUN elements and over the blocks' totals arrays do grow by one element at a
+    time, so n elements take some RUN * n + (n / RUN) ** 2 steps.
+    """
+
+    def over(x: Column, first: Column) -> Column:
+        step = lambda at, y: F.struct(both(at["last"], y).alias("last"), F.concat(at["out"], F.array(at["last"])).alias("out"))
+        return F.aggregate(x, F.struct(first.alias("last"), F.array().cast("array<int>").alias("out")), step, lambda at: F.concat(at["out"], F.array(at["last"])))
+
+    def long(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda i: F.slice(v, i * RUN + 1, RUN))
+        return _named(blocks, lambda b: _named(over(F.transform(b, lambda x: F.aggregate(x, start, both)), start), lambda befores: joined(b, befores)))
+
+    def joined(blocks: Column, befores: Column) -> Column:
+        parts = F.zip_with(blocks, F.slice(befores, 1, F.size(blocks)), lambda b, first: F.slice(over(b, first), 1, F.size(b)))
+        return F.concat(F.flatten(parts), F.array(F.element_at(befores, -1)))
+
+    return _named(values, lambda v: F.when(F.size(v) > RUN, long(v)).otherwise(over(v, start)))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _labelled(kind: str, text: Column, x: Column) -> Column:
+def _labelled(kind: str, x: Column) -> Column:
     """A candidate with the votes of the three labelers and the features of the classifier."""
-    m = x["m"]
+    m, before = x["m"], F.lower(x["before"])
     digits = F.regexp_replace(m, "[^0-9]", "")
-    start = F.greatest(F.lit(1), x["start"] + 1 - CONTEXT)
-    before = F.lower(F.substring(text, start, x["start"] + 1 - start))
     one_digit = F.length(F.translate(digits, "0", "")) == 0
     form = {"secret": _vote(m.rlike("[0-9]"), m.rlike(r"(.)\1{5}")), "address": _vote(m.rlike(r"(?i)dot|\."), F.lit(False)), "contact": _vote(~digits.rlike("^[01]"), one_digit)}.get(kind, _vote(_valid(kind, m), ~_valid(kind, m)))
     gazetteer = {
@@ -118,20 +137,45 @@ def _labelled(kind: str, text: Column, x: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), form.alias("form"), gazetteer.alias("gazetteer"), context.alias("context"), length.alias("length"), alphabet.alias("alphabet"))
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Of the spans of ``more`` those that overlap none of ``base``, by one pass over both in order of their starts."""
+    place = lambda x, own: F.struct(x["start"].alias("start"), own.alias("own"), x["end"].alias("end"), x.alias("span"))
+    none = F.filter(F.transform(more, lambda x: place(x, F.lit(True))), lambda x: F.lit(False))
+    row = F.array_sort(F.concat(none, F.transform(base, lambda x: place(x, F.lit(False))), F.transform(more, lambda x: place(x, F.lit(True)))), lambda x, y: F.coalesce(F.nullif(F.signum(x["start"] - y["start"]).cast("int"), F.lit(0)), x["own"].cast("int") - y["own"].cast("int")))
+    ends = lambda r: _running(F.transform(r, lambda x: F.when(x["own"], 0).otherwise(x["end"])), lambda a, b: F.greatest(a, b), F.lit(0))
+    far = 2**31 - 1
+    starts = lambda r: _running(F.reverse(F.transform(r, lambda x: F.when(x["own"], far).otherwise(x["start"]))), lambda a, b: F.least(a, b), F.lit(far))
+    kept = lambda r, e, s: F.filter(F.transform(r, lambda x, i: F.when(x["own"] & (F.get(e, i) <= x["start"]) & (F.get(s, F.size(r) - 1 - i) >= x["end"]), x["span"])), lambda x: x.isNotNull())
+    swept = _named(row, lambda r: _named(ends(r), lambda e: _named(starts(r), lambda s: kept(r, e, s))))
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), swept).otherwise(more)
+
+
 def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns ``_base`` and ``_more``: the base spans, and the candidates that do not overlap them."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    none = F.array().cast("array<string>")
-    found = {k: F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
-    df = df.withColumns({f"_m_{k}": F.when(F.contains(body, F.lit(NEEDS[k])), x).otherwise(none) if k in NEEDS else x for k, x in found.items()})
-    df = df.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(body, p, -1)).otherwise(none) for k, p in PATTERNS.items()})
-    df = df.withColumns({f"_s_{k}": _spans(F.col(f"_p_{k}"), F.col(f"_m_{k}")) for k in KINDS})
-    labelled = lambda spans, kind: F.transform(spans, lambda x: _labelled(kind, body, x))
-    valid = lambda kind: F.filter(f"_s_{kind}", lambda x: _valid(kind, x["m"]))
-    df = df.withColumn("_base", F.concat(*(labelled(valid(k), k) for k in BASE)))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn("_more", F.concat(*(labelled(F.filter(f"_s_{k}", apart), k) for k in ADDED)))
-    return df.drop(*(f"_{x}_{k}" for x in "mps" for k in KINDS))
+    """Adds the columns ``_base`` and ``_more``: the base spans, and the candidates that do not overlap them.
+
+    Each pattern is matched once: its matches are put between marks, at which the text is then
+    split. What is in front of a match is taken from the pieces before it, so the work grows with the
+    text and its matches alone.
+    """
+    body = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARK, INSTEAD)
+    pieces = {k: F.split(F.regexp_replace(body, F.lit(p), F.lit(f"{MARK}$0{MARK}")), MARK, -1) for k, p in PATTERNS.items()}
+    none = F.array(F.lit(""))
+    df = df.withColumns({f"_p_{k}": F.when(F.contains(body, F.lit(NEEDS[k])), x).otherwise(none) if k in NEEDS else x for k, x in pieces.items()})
+    df = df.withColumns({f"_at_{k}": F.when(F.size(f"_p_{k}") > 1, _running(F.transform(f"_p_{k}", lambda x: F.length(x)), lambda a, b: a + b, F.lit(0))).otherwise(F.array(F.lit(0))) for k in KINDS})
+
+    def span(kind: str, i: Column) -> Column:
+        p, at = F.col(f"_p_{kind}"), F.col(f"_at_{kind}")
+        last = F.greatest(F.lit(1), i - NEAR + 2)
+        before = F.substring(F.array_join(F.slice(p, last, i - last + 1), ""), -CONTEXT, CONTEXT)
+        return F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(p, i).alias("m"), before.alias("before"))
+
+    def spans(kind: str) -> Column:
+        odd = F.sequence(F.lit(1), F.size(f"_p_{kind}") - 2, F.lit(2))
+        return F.when(F.size(f"_p_{kind}") > 1, F.filter(F.transform(odd, lambda i: span(kind, i)), lambda x: _valid(kind, x["m"])))
+
+    labelled = lambda k: F.coalesce(F.transform(spans(k), lambda x: _labelled(k, x)), F.array().cast(f"array<{LABELLED}>"))
+    df = df.withColumns({"_base": F.concat(*(labelled(k) for k in BASE)), "_more": F.concat(*(labelled(k) for k in ADDED))})
+    return df.withColumn("_more", _apart(F.col("_base"), F.col("_more"))).drop(*(f"_{x}_{k}" for x in ("p", "at") for k in KINDS))
 
 
 FEATURES = ("kind", "form", "gazetteer", "context", "length", "alphabet")
@@ -222,26 +266,40 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "documents"))
 
 
-def masked(df: DataFrame, weights: dict, text: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; spans that overlap are masked as one, with the earliest's kind."""
-    columns = df.columns
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = with_candidates(df, text)
-    spans = F.array_sort(F.transform(F.concat("_base", F.filter("_more", lambda x: _sure(weights, x))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    df = df.withColumn("_all", spans)
+#: Texts are cut out of blocks of so many code points.
+CUT = 1024
 
-    def step(at: Column, x: Column) -> Column:
-        piece = F.array(F.substring(body, at["pos"] + 1, x["start"] - at["pos"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        behind = x["start"] >= at["pos"]
-        return F.struct(F.greatest(at["pos"], x["end"]).alias("pos"), F.when(behind, F.concat(at["out"], piece)).otherwise(at["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("_all", start, step, lambda at: F.array_join(F.concat(at["out"], F.array(F.substring(body, at["pos"] + 1, F.length(body)))), ""))
-    return df.withColumn(text, F.when(F.size("_all") > 0, new).otherwise(F.col(text))).select(*columns)
+def _slice(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is given in blocks of CUT."""
+    first = F.floor(start / CUT).cast("int")
+    part = F.array_join(F.slice(blocks, first + 1, F.floor(end / CUT).cast("int") - first + 1), "")
+    return F.substring(part, start - first * CUT + 1, end - start)
+
+
+def masked(candidates: DataFrame, weights: dict, text: str = "text") -> DataFrame:
+    """Documents with candidates, their spans replaced by their kinds in brackets; spans that overlap are masked as one, with the earliest's kind."""
+    body = F.col(text).cast("string")
+    spans = F.array_sort(F.transform(F.concat("_base", F.filter("_more", lambda x: _sure(weights, x))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    df = candidates.withColumn("_all", spans).drop("_base", "_more")
+    some = F.size("_all") > 0
+    df = df.withColumns({"_ends": F.when(some, _running(F.transform("_all", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))), "_blocks": F.when(some, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))})
+    # The first span of each overlapping run: none before it reaches into it.
+    heads = F.filter(F.transform("_all", lambda x, i: F.when(F.get("_ends", i) <= x["start"], F.struct(F.get("_ends", i).alias("since"), x["start"].alias("start"), x["kind"].alias("kind")))), lambda x: x.isNotNull())
+    out = F.transform(heads, lambda x: F.concat(_slice(F.col("_blocks"), x["since"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    rest = _slice(F.col("_blocks"), F.element_at("_ends", -1), F.length(body))
+    return df.withColumn(text, F.when(some, F.concat(F.array_join(out, ""), rest)).otherwise(F.col(text))).drop("_all", "_ends", "_blocks")
 
 
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data in each text is replaced by its kind; every document stays."""
-    weights = fit(cut(with_candidates(texts(docs)).select("_base", "_more"), "pii"))
-    out = masked(docs, weights)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """Pipeline stage: personal data in each text is replaced by its kind; every document stays.
+
+    Texts are matched once: the spans are written beside the columns of documents, whatever these are called.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    candidates = cut(with_candidates(docs.toDF(*names), text), "pii")
+    out = masked(candidates, fit(candidates), text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn(names[docs.columns.index("n_chars")], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -37,7 +37,7 @@ def base_spans(text):
 
 TRICKY = [
     "a@b.com_x@y.zz", "a@b..c d@e.f. g@h.i.", "x@y 1.2.3.4.5.6.7.8 256.1.1.1 00255.1.1.1 1.2.3.4.", "4111 1111 1111 1111 - 4111-1111-1111-1111x 4111  1111 11", "+1 (988) 555-2485 +1-2 +12345678 ++123456789", "é😀 a.b+c%d@é.x q@w.e😀 4242424242424242",
-    "@".join(["a"] * 50) + ".com", "a@b-.c--d..e@f.g", None, "", "5" * 40, "1.2.3.4 " * 300, "a@" + "b." * 5000 + "c", "a" * 50000 + "@", "4111 1111 1111 1111 4111 1111 1111 1111", "a@b.c@d.e@f.g", "12-34 56--78 9", "1" * 100000, "+1" + " " * 5000, "%@a.b -@-.- _a@b.c_d@e.f",
+    "@".join(["a"] * 50) + ".com", "a@b-.c--d..e@f.g", None, "", "5" * 40, "1.2.3.4 " * 300, "a@" + "b." * 5000 + "c", "a" * 8000 + "@", "4111 1111 1111 1111 4111 1111 1111 1111", "a@b.c@d.e@f.g", "12-34 56--78 9", "1" * 100000, "+1" + " " * 5000, "%@a.b -@-.- _a@b.c_d@e.f",
 ]
 
 
@@ -58,8 +58,8 @@ def test_added_spans_and_masks(spark):
     rows = pii.found(docs).collect()
     added = {s.split(":")[0] for r in rows for s in r.spans.split(",") if s}
     assert {"email", "secret", "address", "contact"} <= added
-    masked = pii.mask_stage(spark, docs, "").collect()
-    assert masked[0].text == "mail [ADDRESS] or call [CONTACT], [SECRET] or [EMAIL]; [SECRET]" and masked[-1].text is None
+    masked = {r.doc_id: r.text for r in pii.mask_stage(spark, docs, "").collect()}
+    assert masked[0] == "mail [ADDRESS] or call [CONTACT], [SECRET] or [EMAIL]; [SECRET]" and masked[99] is None
 
 
 def test_masks_cover_whole_spans(spark):
@@ -72,6 +72,26 @@ def test_masks_cover_whole_spans(spark):
     assert {r.text for r in pii.mask_stage(spark, docs, "").collect()} == {"[SECRET] then [CARD] or [IP], call [PHONE]"}
 
 
+def test_very_long_texts_full_of_numbers(spark):
+    """A megabyte of numbers, and as many candidates beside base spans: all found, and all masked."""
+    r = np.random.default_rng(4)
+    numbers = ", ".join(str(x) for x in r.integers(10**12, 10**17, 60000))
+    mixed = "é call (456) 555-2186 or 4111 1111 1111 1111 x " * 8000
+    rows = {x.doc_id: x for x in pii.found(spark.createDataFrame([(1, numbers), (2, mixed)], "doc_id long, text string")).collect()}
+    for i, t in ((1, numbers), (2, mixed)):
+        assert rows[i].base_sha256 == hashlib.sha256(base_spans(t).encode()).hexdigest() and rows[i].n_card > 5000
+    assert rows[2].n_added == 8000
+    docs = {x.doc_id: x.text for x in pii.mask_stage(spark, spark.createDataFrame([(1, numbers), (2, mixed)], "doc_id long, text string"), "").collect()}
+    assert docs[2] == "é call [CONTACT] or [CARD] x " * 8000 and docs[1].count("[CARD]") == rows[1].n_card and not base_spans(docs[1])
+
+
+def test_candidates_that_touch_base_spans_go(spark):
+    texts = ["password=4111111111111111 a", "token=a@b.co x", "pwd=abcdefgh 1.2.3.4", "(456) 555-2186", ""]
+    rows = {x.doc_id: x for x in pii.with_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[x.kind for x in rows[i]["_base"]] for i in range(5)] == [["card"], ["email"], ["ip"], [], []]
+    assert [[x.kind for x in rows[i]["_more"]] for i in range(5)] == [[], [], ["secret"], ["contact"], []]
+
+
 def test_reliabilities_favour_labelers_that_agree():
     rows = [{"form": a, "gazetteer": b, "context": c, "count": n} for a, b, c, n in [(1, 1, 1, 500), (-1, -1, 1, 300), (1, 1, -1, 200), (-1, -1, -1, 400)]]
     given, posterior = pii.reliabilities(rows)
