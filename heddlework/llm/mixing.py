@@ -11,7 +11,8 @@ is taken ``q // n`` times and the first ``q % n`` once more; a document takes th
 
 A null text has size 0. Documents that are equal in id, source and text are interchangeable. With no
 words at all every target is 0. Reruns agree: the order depends on the ids and the seed alone, and for
-documents without id, or with one id, on source and text.
+documents without id, or with one id, on source and text. Other columns are ignored by the operator and
+kept by the stage.
 """
 
 from __future__ import annotations
@@ -27,32 +28,35 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.col("text").cast("string"))))
 
 
-def ranked(df: DataFrame, order: Column) -> DataFrame:
-    """Adds ``rank``, from 0, over the whole table without one task for all rows: ranges, their sizes, places in them."""
-    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranked")
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Adds a rank, from 0, over the whole table without one task for all rows: ranges, their sizes, places in them."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = parts.groupBy("_part").count()
     # One row for each partition.
     before = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return parts.join(F.broadcast(before), "_part").withColumn("rank", F.coalesce("_before", F.lit(0)) + place - 1).drop("_part", "_before")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.coalesce("_before", F.lit(0)) + place - 1).drop("_part", "_before")
 
 
 def apportioned(df: DataFrame, group: str, item: str, votes: str, seats: str) -> DataFrame:
     """Adds ``quota``: within each group, its seats to the highest quotients votes / (2 * i + 1), i = 0, 1, ...
 
     Ties go to the lower item. A quota is within one part in 2 * seats / items of its exact share, or
-    half a seat; so all but a few seats of each item are certain, and only those few are ranked.
+    half a seat; so all but a few seats of each item are certain, and only those few are ranked, in
+    ranges that may cut a group. Sums by group are partial before the shuffle.
     """
-    g = Window.partitionBy(group)
-    df = df.withColumns({"_all": F.sum(votes).over(g), "_n": F.count(F.lit(1)).over(g)})
+    whole = df.groupBy(group).agg(F.sum(votes).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    df = join_by_source(df, whole, group)
     share = F.when(F.col("_all") > 0, F.col(votes) / F.col("_all") * F.col(seats)).otherwise(F.lit(0.0))
     slack = F.when(F.col(seats) > 0, F.col("_n") / F.col(seats)).otherwise(F.lit(0.0))
     df = df.withColumn("_low", F.greatest(F.lit(0), F.floor(share * (1 - slack)) - 1)).withColumn("_high", F.when(F.col(votes) > 0, F.floor(share * (1 + slack)) + 2).otherwise(F.lit(0)))
-    df = df.withColumn("_open", F.col(seats) - F.sum("_low").over(g))
-    seat = df.filter("_high > _low").select(group, item, "_low", "_open", votes, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_i"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.col(votes) / (2 * F.col("_i") + 1)), item))
-    won = seat.withColumn("_place", place).filter("_place <= _open").groupBy(group, item).agg(F.count(F.lit(1)).alias("_won"))
-    return df.join(won, [group, item], "left").withColumn("quota", (F.col("_low") + F.coalesce("_won", F.lit(0))).cast("long")).drop("_all", "_n", "_low", "_high", "_open", "_won")
+    df = cut(df, "shares")
+    seat = df.filter("_high > _low").select(group, item, votes, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_i"))
+    seat = cut(ranked(seat, F.col(group), F.desc(F.col(votes) / (2 * F.col("_i") + 1)), F.col(item), name="_place"), "seats")
+    # A group's seats that are still open, and the rank of its first.
+    still = df.groupBy(group).agg((F.first(seats) - F.sum("_low")).alias("_open")).join(seat.groupBy(F.col(group).alias("_g")).agg(F.min("_place").alias("_first")), F.col(group) == F.col("_g")).drop("_g")
+    won = join_by_source(seat, still, group).filter("_place - _first < _open").groupBy(group, item).agg(F.count(F.lit(1)).alias("_won"))
+    return df.join(won, [group, item], "left").withColumn("quota", (F.col("_low") + F.coalesce("_won", F.lit(0))).cast("long")).drop("_all", "_n", "_low", "_high", "_won")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -73,7 +77,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return sources.withColumn("target", F.least(most, F.col("weight") * level))
 
 
-def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shard_documents: int = 16384, seed: int = 7) -> DataFrame:
+def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 64, shard_documents: int = 2048, seed: int = 7) -> DataFrame:
     """One row for each document: its size, its source's size and target, and how many of its words the mix takes; node is its row_key."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("node")), "sizes")
@@ -90,7 +94,7 @@ def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     dealt = lambda s: F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(s), "node")).otherwise(F.xxhash64(F.lit(s), "doc_id"))
     docs = docs.withColumn("shard", F.pmod(dealt(seed), "shards")).withColumn("order", dealt(seed + 1))
     shards = docs.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    shards = apportioned(shards, "rank", "shard", "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
+    shards = apportioned(cut(shards, "shards"), "rank", "shard", "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
 
     upto = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size", "node").rowsBetween(Window.unboundedPreceding, 0))
     docs = docs.withColumn("upto", upto).join(shards, ["rank", "shard"])
@@ -106,10 +110,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents of which the mix takes words, with how many it takes."""
+    """Pipeline stage, the last: the documents of which the mix takes words, with ``size``, ``target`` and ``taken``, which replace columns of these names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     # Of equal rows, which may have different takes, each gets one: the copies are numbered, and each take has a range of numbers.
     taken = mixed(docs).filter("taken > 0").groupBy("node", "size", "target", "taken").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("node").orderBy("taken").rowsBetween(Window.unboundedPreceding, 0))
-    taken = taken.withColumn("_to", upto).select(F.col("node").alias("_node"), "size", "target", "taken", "_n", "_to")
-    rows = docs.withColumn("_key", row_key()).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    return rows.join(taken, (F.col("_key") == F.col("_node")) & F.col("_copy").between(F.col("_to") - F.col("_n") + 1, F.col("_to"))).drop("_key", "_copy", "_node", "_n", "_to")
+    taken = taken.withColumn("_to", upto)
+    rows = docs.withColumn("_key", row_key()).toDF(*names.values(), "_key").withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    out = rows.join(taken, (F.col("_key") == F.col("node")) & F.col("_copy").between(F.col("_to") - F.col("_n") + 1, F.col("_to")))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("size", "target", "taken")), "size", "target", "taken")

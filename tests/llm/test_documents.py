@@ -127,8 +127,8 @@ def test_licence_rules(spark, text, wanted):
 def test_apportionment(spark):
     """Against seats given one by one to the highest quotient."""
     groups = {"a": ([5.0, 3.0, 1.0], 10), "b": ([100.0, 1.0, 1.0, 1.0], 3), "c": ([7.0, 7.0, 7.0], 4), "d": ([0.0, 2.0], 5), "e": ([1.0] * 9, 2), "f": ([3.0], 7), "g": ([9.0, 5.5, 1e-9], 1000), "h": ([4.0, 1.0], 0)}
-    df = spark.createDataFrame([(g, i, v, n) for g, (votes, n) in groups.items() for i, v in enumerate(votes)], "g string, i int, v double, n long")
-    got = {(r.g, r.i): r.quota for r in mixing.apportioned(df, "g", "i", "v", "n").collect()}
+    df = spark.createDataFrame([(g, i, v, n) for g, (votes, n) in groups.items() for i, v in enumerate(votes)], "rank string, i int, v double, n long")
+    got = {(r.rank, r.i): r.quota for r in mixing.apportioned(df, "rank", "i", "v", "n").collect()}
     for g, (votes, n) in groups.items():
         won = [0] * len(votes)
         for _ in range(n):
