@@ -8,7 +8,10 @@ article, written out with a fixed seed), labels the blocks of a page jointly by
 
 Character references are decoded, white space inside a block becomes one space, and the article's
 blocks are joined by one line end. A null, empty or text-free page gives an empty text. Markup that
-is broken off or not closed ends with the page. Repeated rows give repeated results.
+is broken off or not closed ends with the page. The open elements are kept as a stack with counts, so
+a page takes time by its length however deep its elements are nested. Of two labellings that score
+alike the one that leaves a block out is taken. Repeated rows give repeated results, rows without
+page_id or url keep their nulls; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,10 +53,53 @@ _CONCEPT = {w: c for c, words in CONCEPTS.items() for w in words.split()}
 ANCESTORS = ("nav", "header", "footer", "aside", "article", "main", "form", "section", "ul", "ol", "table", "blockquote", "figure", "dialog", "button", "select", "label", "details", "pre", "dl")
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]:
-    """Leaf blocks: text, ancestors' tags, concepts of their attributes, and how many characters are links."""
+class Open:
+    """The open elements, with what a block's features ask of them kept up to date: every step costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.blocks: list[int] = []  # places of block elements
+        self.concepts: list[tuple[str, ...]] = []
+        self.held: dict[str, int] = {}  # open elements of each concept
+        self.near: list[str] = []  # concepts in order
+
+    def push(self, tag: str, concepts: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.concepts.append(concepts)
+        self.near.extend(concepts)
+        for c in concepts:
+            self.held[c] = self.held.get(c, 0) + 1
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            concepts = self.concepts.pop()
+            del self.near[len(self.near) - len(concepts) :]
+            for c in concepts:
+                self.held[c] -= 1
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, -1 without any."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def state(self) -> tuple[str, tuple[str, ...], tuple[str, ...], str]:
+        """The innermost block's tag, known ancestors' tags, concepts, and the innermost concept."""
+        tag = self.tags[self.blocks[-1]] if self.blocks else ""
+        return tag, tuple(t for t in ANCESTORS if self.places.get(t)), tuple(c for c, n in self.held.items() if n), self.near[-1] if self.near else ""
+
+
+def blocks(page: str) -> list[tuple[str, tuple[str, tuple[str, ...], tuple[str, ...], str], int]]:
+    """Leaf blocks: text, the state of the open elements, and how many characters are links."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = Open()
     held: list[str] = []
     links = 0
 
@@ -62,7 +108,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, tuple(t for t, _ in stack), tuple(c for _, cs in stack for c in cs), links))
+            out.append((text, opened.state(), links))
         links = 0
 
     def add(text: str) -> None:
@@ -70,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]
         if "&" in text:
             text = unescape(text)
         held.append(text)
-        if any(t == "a" for t, _ in stack[-4:]):
+        if "a" in opened.tags[-4:]:
             links += len(text.strip())
 
     at, n = 0, len(page)
@@ -88,12 +134,10 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]
         if m[1] or m[4]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end does not close a block
+            place = opened.last(tag)
+            # An inline end does not close a block.
+            if place >= 0 and (tag in BLOCK or not opened.blocks or opened.blocks[-1] < place):
+                opened.close(place)
             continue
         attributes = m[3] if m[2] else m[6]
         if tag in RAW:
@@ -111,33 +155,27 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]
         if tag in BLOCK:
             flush()
             # A new block closes an open paragraph; list items, cells and the like close each other.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in KEEPS.get(tag, BLOCK):
-                    break
+            if opened.blocks and opened.tags[opened.blocks[-1]] == "p":
+                opened.close(opened.blocks[-1])
+            if tag in CLOSES:
+                place = opened.last(*CLOSES[tag])
+                if place >= 0 and place > opened.last(*KEEPS[tag]):
+                    opened.close(place)
         concepts = tuple(dict.fromkeys(c for a in _ATTRIBUTE.findall(attributes) for w in _WORDS.findall(a.lower()) if (c := _CONCEPT.get(w)))) if attributes else ()
-        stack.append((tag, concepts))
+        opened.push(tag, concepts)
     flush()
     return out
 
 
 def features(all_blocks: list) -> list[list[str]]:
     out = []
-    for text, tags, concepts, links in all_blocks:
+    for text, (tag, tags, concepts, near), links in all_blocks:
         words = text.count(" ") + 1
-        f = ["bias", f"tag={next((t for t in reversed(tags) if t in BLOCK), '')}", f"words={words.bit_length()}", f"links={min(4, 4 * links // max(len(text), 1))}"]
-        f += [f"in={t}" for t in dict.fromkeys(tags) if t in ANCESTORS]
-        f += [f"of={c}" for c in dict.fromkeys(concepts)]
-        if concepts:
-            f.append(f"near={concepts[-1]}")
+        f = ["bias", f"tag={tag}", f"words={words.bit_length()}", f"links={min(4, 4 * links // max(len(text), 1))}"]
+        f += [f"in={t}" for t in tags]
+        f += [f"of={c}" for c in concepts]
+        if near:
+            f.append(f"near={near}")
         f.append("stop" if text[-1] in ".!?\"'»”" else "no stop")
         if "©" in text or "all rights reserved" in text.lower():
             f.append("rights")

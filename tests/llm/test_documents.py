@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -280,6 +281,16 @@ def test_pages_held_out():
     assert wrong <= 0.01 * all_blocks
 
 
+def test_deep_pages_take_time_by_their_length():
+    took = []
+    for n in (4000, 32000):
+        page = "".join(f'<div class="content c{i}"><i>text {i}.</b>' for i in range(n)) + "</p></i>" * n
+        began = time.perf_counter()
+        assert len(html.features(html.blocks(page))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
+
+
 def test_viterbi_is_the_best_path():
     field = html.Field()
     field.weights = {"a": [0.3, -0.2], "b": [-0.5, 0.4], "c": [0.0, 0.1]}
