@@ -1,94 +1,170 @@
 """Licence statements by sentence rules, with DataFrame functions.
 
-Texts are cut into sentences at line ends and after ``.``, ``;`` or ``:`` followed by white space.
-A sentence with one of the trigger words is normalised (lower case, punctuation and white space to
-single spaces) and mapped to the identifier of a known licence sentence; other sentences have none
-and break a sequence. Each maximal sequence of identifiers is matched against the ordered rules: the
-longest rules come first and a rule claims the identifiers it matches, so a full licence text counts
-once, not once more for a sentence that also stands alone.
-
-A null text has no sentences. One row for each claimed rule, with the numbers of its first sentence
-(from 0, of those that are not blank) and how many sentences it covers. Repeated rows give repeated
-results; other columns are ignored.
+A text is cut into sentences at blank lines and after ``.``, ``;``, ``!`` or ``?`` (or ``:`` at a line's
+end) followed by white space; other line ends are white space, as licence texts come wrapped. Copyright
+lines and SPDX identifiers are sentences of their own. A sentence is normalised (lower case, runs of
+anything but letters and digits as one space) and mapped to the identifier of a known licence sentence,
+an index into ``SENTENCES``; unknown ones get none and break a sequence. The sequence of
+identifiers is matched against the ordered rules: the longest rules come first and a rule claims the
+identifiers it matches, so a full licence text counts once, not once more for a sentence that also
+stands alone.
+
+A null text has no sentences. One row for each claimed rule, with the number of its first sentence
+(from 0, of those with a letter) and how many sentences it covers; of several patterns that fit a
+sentence, and of several rules, the first counts. Repeated rows give repeated results; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
 
-TRIGGER = r"licen[sc]|copyright|permission|warrant|redistribut|rights reserved|public domain|spdx|liabilit"
-
-#: Known sentences, as patterns of their normalised form, with one letter each. The first that fits counts.
-SENTENCES = [
-    ("a", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document) is (released|licensed|distributed|available)) under the mit licen[sc]e$"),
-    ("b", r"^((the )?mit licen[sc]e( mit)?)$"),
-    ("c", r"^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "),
-    ("d", r"^the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software$"),
-    ("e", r"^the software is provided as is without warranty of any kind express or implied"),
-    ("f", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document) is (released|licensed|distributed|available)) under the apache licen[sc]e( version)? 2( 0)?( the license)?$"),
-    ("g", r"^you may not use this (file|work) except in compliance with the license$"),
-    ("h", r"^you may obtain a copy of the license at"),
-    ("i", r"^unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("j", r"^see the license for the specific language governing permissions and limitations under the license$"),
-    ("k", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document|program) is (released|licensed|distributed|available)) under the gnu general public licen[sc]e( gpl)?( version)? 3( 0)?( or later)?$"),
-    ("l", r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("m", r"^this program is distributed in the hope that it will be useful but without any warranty"),
-    ("n", r"^you should have received a copy of the gnu general public license"),
-    ("o", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document) is (released|licensed|distributed|available)) under (a |the )?(cc|creative commons) by nc( 4 0)?( licen[sc]e)?$"),
-    ("p", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document) is (released|licensed|distributed|available)) under (a |the )?(cc|creative commons) by sa( 4 0)?( licen[sc]e)?$"),
-    ("q", r"^(released|licensed|distributed|available|this (work|software|project|code|file|text|document) is (released|licensed|distributed|available)) under (a |the )?(cc|creative commons) by( 4 0)?( licen[sc]e)?$"),
-    ("r", r"^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$"),
-    ("s", r"^(1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("t", r"^(2 )?redistributions in binary form must reproduce the above copyright notice"),
-    ("u", r"^(3 )?neither the name of .* may be used to endorse or promote products"),
-    ("v", r"^this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
-    ("w", r"^(this (work|software|document) is |dedicated to |placed )?(in )?(the )?public domain$"),
-    ("x", r"^all rights reserved$"),
-    ("y", r"^(spdx license identifier .*)$"),
-    ("z", r"^(copyright( c)? [0-9]{4}.*)$"),
-]
-
-#: Ordered rules: licence, name of the rule, and the sequence of sentences as a pattern over their letters.
+#: Only texts with one of these words are looked at.
+TRIGGER = r"licen[sc]|copyright|permission|warrant|redistribut|rights reserved|public domain|spdx|liabilit|gpl|\bcc0\b|\bcc[ -]by\b|creative commons"
+
+#: Licences that are named in statements: the identifier, and its name as a pattern of the normalised form.
+NAMED = [
+    ("MIT", r"mit( x11)?"), ("Apache-2.0", r"apache( software)?( licen[sc]e)?( version| v)? ?2( 0)?"), ("Apache-1.1", r"apache( software)?( licen[sc]e)?( version| v)? ?1 1"),
+    ("LGPL-2.1", r"(gnu )?(lesser|library) general public( licen[sc]e)?( lgpl)?( version| v)? ?2( [01])?|(gnu )?lgpl( version| v)? ?2( [01])?"), ("LGPL-3.0", r"(gnu )?lesser general public( licen[sc]e)?( lgpl)?( version| v)? ?3( 0)?|(gnu )?lgpl( version| v)? ?3( 0)?"),
+    ("AGPL-3.0", r"(gnu )?affero general public( licen[sc]e)?( agpl)?( version| v)? ?3( 0)?|(gnu )?agpl( version| v)? ?3( 0)?"),
+    ("GPL-2.0", r"(gnu )?general public( licen[sc]e)?( gpl)?( version| v)? ?2( 0)?|(gnu )?gpl( version| v)? ?2( 0)?"), ("GPL-3.0", r"(gnu )?general public( licen[sc]e)?( gpl)?( version| v)? ?3( 0)?|(gnu )?gpl( version| v)? ?3( 0)?"),
+    ("BSD-2-Clause", r"(bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"), ("BSD-3-Clause", r"(bsd 3 clause|3 clause bsd|(new|modified|revised) bsd)"), ("BSD", r"bsd"), ("ISC", r"isc"), ("Zlib", r"zlib( libpng)?"),
+    ("MPL-2.0", r"mozilla public( licen[sc]e)?( mpl)?( version| v)? ?2( 0)?|mpl( version| v)? ?2( 0)?"), ("EPL-2.0", r"eclipse public( licen[sc]e)?( epl)?( version| v)? ?2( 0)?|epl( version| v)? ?2( 0)?"), ("BSL-1.0", r"boost software( licen[sc]e)?( version)?( 1 0)?"),
+    ("Artistic-2.0", r"artistic( licen[sc]e)?( version)? 2( 0)?"), ("EUPL-1.2", r"european union public( licen[sc]e)?( version| v)?( 1 2)?|eupl( version| v)?( 1 2)?"), ("Unlicense", r"unlicen[sc]e"), ("WTFPL", r"wtfpl|do what the fuck you want to public( licen[sc]e)?"),
+    ("CC0-1.0", r"(cc0|creative commons (zero|cc0))( universal)?( version| v)?( 1 0)?( universal)?"), ("CC-BY-NC-SA-4.0", r"(cc|creative commons) (by nc sa|attribution noncommercial sharealike)( 4 0)?( international)?"), ("CC-BY-NC-ND-4.0", r"(cc|creative commons) (by nc nd|attribution noncommercial noderivatives)( 4 0)?( international)?"),
+    ("CC-BY-NC-4.0", r"(cc|creative commons) (by nc|attribution noncommercial)( 4 0)?( international)?"), ("CC-BY-ND-4.0", r"(cc|creative commons) (by nd|attribution noderivatives)( 4 0)?( international)?"), ("CC-BY-SA-4.0", r"(cc|creative commons) (by sa|attribution sharealike)( 4 0)?( international)?"),
+    ("CC-BY-4.0", r"(cc|creative commons) (by|attribution)( 4 0)?( international)?"), ("OFL-1.1", r"sil open font( licen[sc]e)?( version)?( 1 1)?"), ("PSF-2.0", r"(python software foundation|psf)( licen[sc]e)?( version| v)?( 2)?"), ("Proprietary", r"(proprietary|commercial)"),
+]
+_SUBJECT = r"(this|the|all) (work|software|project|code|source code|file|text|document|program|library|package|material|content|article)"
+_SAYS = rf"({_SUBJECT} )?((is|are|was) )?((re)?licen[sc]ed|released|distributed|available|made available|published|provided|covered|free software)( for use| to you)?( under| by)( the)?( terms of( the)?)?"
+
+#: Known sentences, as patterns of the whole normalised form; an identifier is the place in this list. The first that fits counts.
+SENTENCES: list[tuple[str, str]] = [
+    ("mit grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software .*"),
+    ("mit notice", r"(the above copyright notice and this permission notice|the above copyright notice and this permission notice including the next paragraph) shall be included in all copies or substantial portions of the software"),
+    ("mit disclaimer", r"the software is provided as is without warranty of any kind express or implied.*"),
+    ("mit liability", r"in no event shall the authors or copyright holders be liable.*"),
+    ("apache compliance", r"you may not use this (file|work) except in compliance with the license"),
+    ("apache copy", r"you may obtain a copy of the license at( https? www apache org licenses license 2 0( (html|txt))?)?"),
+    ("apache address", r"https? www apache org licenses license 2 0( (html|txt))?"),
+    ("apache disclaimer", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
+    ("apache see", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
+    ("bsd source", r"([1a] )?redistributions of source code must retain the above copyright notice.*"),
+    ("bsd binary", r"([2b] )?redistributions in binary form must reproduce the above copyright notice.*"),
+    ("bsd names", r"([34c] )?(neither the name of .*|the name of the author) may (not )?be used to endorse or promote products.*"),
+    ("bsd disclaimer", r"this software is provided by .* as is and any express or implied warranties.*"),
+    ("bsd liability", r"in no event shall .* be liable for any direct indirect incidental special exemplary or consequential damages.*"),
+    ("isc grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc disclaimer", r"the software is provided as is and .* disclaims all warranties.*"),
+    ("isc liability", r"in no event shall .* be liable for any special direct indirect or consequential damages.*"),
+    ("zlib disclaimer", r"this software is provided as is without any express or implied warranty"),
+    ("zlib liability", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("gpl2 notice", r".*you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (either )?version 2.*"),
+    ("gpl3 notice", r".*you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (either )?version 3.*"),
+    ("lgpl2 notice", r".*you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation (either )?version 2.*"),
+    ("lgpl3 notice", r".*you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (either )?version 3.*"),
+    ("agpl notice", r".*you can redistribute it and or modify it under the terms of the gnu affero general public license.*"),
+    ("gpl free", r"this (program|software|library) is free software"),
+    ("gpl terms", r".*you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl terms", r".*you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation"),
+    ("gpl version 2", r"(either )?version 2( [01])? of the license( or at your option any later version)?"),
+    ("gpl version 3", r"(either )?version 3( 0)? of the license( or at your option any later version)?"),
+    ("gpl hope", r".*is distributed in the hope that it will be useful but without any warranty.*"),
+    ("gpl implied", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl see", r"see the gnu (lesser |library |affero )?general public license for more details"),
+    ("gpl copy", r"you should have received a copy of the gnu (lesser |library |affero )?general public license.*"),
+    ("gpl else", r"if not (see|write to).*"),
+    ("mpl notice", r"this source code form is subject to the terms of the mozilla public license v(ersion)? ?2 0"),
+    ("mpl copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
+    ("epl notice", r"(this program and the accompanying materials|all rights reserved this program and the accompanying materials) are made available under the terms of the eclipse public license v?(ersion )? ?2 0.*"),
+    ("boost grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("boost notice", r"distributed under the boost software license version 1 0.*"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense grant", r"anyone is free to copy modify publish use compile sell or distribute this software.*"),
+    ("public domain", rf"({_SUBJECT} (is|has been) )?(hereby )?((dedicated|placed|released|committed) )?(to |in |into )?the public domain"),
+    ("all rights reserved", r"all rights reserved"),
+    ("copyright", r"(portions )?copyright( c)? ([0-9]{4}|by ).*"),
+    ("spdx", r"spdx license identifier .*"),
+    *((f"says {k}", rf"{_SAYS} ({v})( licen[sc]e)?( the licen[sc]e)?( (or|and) (any |at your option any )?later( version)?)?( a copy of .*)?") for k, v in NAMED),
+    *((f"title {k}", rf"(the |licen[sc]e )?({v}) licen[sc]e( (mit|isc|zlib|agpl|lgpl|gpl|mpl|epl|wtfpl))?( (version|v) ?[0-9]( [0-9])?)?( (january|february|june|november) ([0-9]+ )?[0-9]{{4}})?" if k not in ("Proprietary",) else r"proprietary licen[sc]e") for k, v in NAMED),
+]
+IDS = {name: i for i, (name, _) in enumerate(SENTENCES)}
+
+
+def _rule(text: str) -> str:
+    """A rule's pattern over identifiers: each name in angle brackets becomes ``<its number>``; a star stands for all names that begin so."""
+
+    def one(m: re.Match) -> str:
+        found = [i for name, i in IDS.items() if name == m[1] or (m[1].endswith("*") and name.startswith(m[1][:-1]))]
+        return "(<" + ">|<".join(map(str, found)) + ">)"
+
+    return re.sub(r"<([^>]*)>", one, text)
+
+
+_HEAD = "(<title *>)?(<copyright>|<all rights reserved>)*"
+_GPL = "<gpl hope>(<gpl implied>)?(<gpl see>)?(<gpl copy>)?(<gpl else>)?"
+#: Ordered rules: licence, name of the rule, and the sequence of sentences.
 RULES = [
-    ("MIT", "full text", "b?z?x?cde"), ("BSD-3-Clause", "full text", "z?x?r?stuv"), ("BSD-2-Clause", "full text", "z?x?r?stv"), ("Apache-2.0", "full notice", "z?fg?h?ij?"), ("GPL-3.0", "full notice", "z?lm?n?"),
-    ("MIT", "statement", "z?a"), ("Apache-2.0", "statement", "z?f"), ("GPL-3.0", "statement", "z?k"), ("CC-BY-NC-4.0", "statement", "z?o"), ("CC-BY-SA-4.0", "statement", "z?p"), ("CC-BY-4.0", "statement", "z?q"),
-    ("MIT", "title", "b"), ("BSD", "part of the text", "[rstuv]+"), ("MIT", "part of the text", "[cde]+"), ("Apache-2.0", "part of the notice", "[ghij]+"), ("GPL-3.0", "part of the notice", "[mn]+"),
-    ("SPDX", "identifier", "y"), ("Public-Domain", "statement", "w"), ("Proprietary", "all rights reserved", "z?x"), ("Unknown", "copyright only", "z+"),
+    (licence, rule, _rule(pattern))
+    for licence, rule, pattern in [
+        ("MIT", "full text", f"{_HEAD}<mit grant><mit notice><mit disclaimer>(<mit liability>)?"), ("BSD-3-Clause", "full text", f"{_HEAD}<bsd grant><bsd source><bsd binary><bsd names><bsd disclaimer>(<bsd liability>)?"), ("BSD-2-Clause", "full text", f"{_HEAD}<bsd grant><bsd source><bsd binary><bsd disclaimer>(<bsd liability>)?"),
+        ("Apache-2.0", "full notice", f"{_HEAD}<says Apache-2.0><apache compliance>(<apache copy>)?(<apache address>)?<apache disclaimer>(<apache see>)?"), ("ISC", "full text", f"{_HEAD}<isc grant><isc disclaimer>(<isc liability>)?"), ("Zlib", "full text", f"{_HEAD}<zlib disclaimer><zlib liability><zlib grant>"),
+        *((k, "full notice", f"{_HEAD}(<gpl free>)?({notice}){_GPL}") for k, notice in [("GPL-2.0", "<gpl2 notice>|<gpl terms><gpl version 2>"), ("GPL-3.0", "<gpl3 notice>|<gpl terms><gpl version 3>"), ("LGPL-2.1", "<lgpl2 notice>|<lgpl terms><gpl version 2>"), ("LGPL-3.0", "<lgpl3 notice>|<lgpl terms><gpl version 3>"), ("AGPL-3.0", "<agpl notice>(<gpl version 3>)?")]),
+        ("MPL-2.0", "full notice", f"{_HEAD}<mpl notice>(<mpl copy>)?"), ("EPL-2.0", "full notice", f"{_HEAD}<epl notice>"), ("BSL-1.0", "full text", f"{_HEAD}<boost grant>"), ("BSL-1.0", "full notice", f"{_HEAD}<boost notice>"), ("Unlicense", "full text", f"{_HEAD}<unlicense>(<unlicense grant>)?"),
+        *((k, "statement", f"(<copyright>)*<says {k}>") for k, _ in NAMED), *((k, "title", f"<title {k}>") for k, _ in NAMED),
+        *((k, "part of the notice", p) for k, p in [("GPL-2.0", "<gpl2 notice>|(<gpl free>)?<gpl terms><gpl version 2>"), ("GPL-3.0", "<gpl3 notice>|(<gpl free>)?<gpl terms><gpl version 3>"), ("LGPL-2.1", "<lgpl2 notice>|(<gpl free>)?<lgpl terms><gpl version 2>"), ("LGPL-3.0", "<lgpl3 notice>|(<gpl free>)?<lgpl terms><gpl version 3>"), ("AGPL-3.0", "<agpl notice>")]),
+        ("BSD", "part of the text", "(<bsd *>)+"), ("MIT", "part of the text", "(<mit *>)+"), ("Apache-2.0", "part of the notice", "(<apache *>)+"), ("ISC", "part of the text", "(<isc *>)+"), ("Zlib", "part of the text", "(<zlib *>)+"), ("GPL", "part of the notice", "(<gpl *>)+"), ("MPL-2.0", "part of the notice", "<mpl copy>"), ("Unlicense", "part of the text", "<unlicense grant>"),
+        ("SPDX", "identifier", "<spdx>"), ("Public-Domain", "statement", "<public domain>"), ("Proprietary", "all rights reserved", "(<copyright>)*<all rights reserved>"), ("Unknown", "copyright only", "(<copyright>)+"),
+    ]
 ]
-#: Where a sentence ends, put in front of a mark that no text has after white space is normalised.
-_ENDS = r"\n|(?:[.;:])[ \t\r]+"
+#: Lines that are sentences of their own get blank lines around them.
+_LINES = r"(?i)(\n[^a-z0-9\n]*(?:(?:portions )?copyright[ ]*(?:\(c\)|©|[0-9]{4}|by )|spdx-license-identifier:)[^\n]*)"
+#: Initials end no sentence.
+_INITIAL = r"\b([A-Za-z])\. "
+_ENDS = r"\n[^A-Za-z0-9\n]*\n|[.;!?][\"')\]]*[ \t\r\n]+|:[ \t\r]*\n"
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"
 _PATTERN = "|".join(f"({p})" for _, _, p in RULES)
+#: What every known sentence has one of.
+_KNOWN = r"licen[sc]|copyright|permission|warrant|redistribut|rights reserved|public domain|liab|gnu|public|software|program|apache|mpl|gpl|^cc|[^a-z]cc|^if not "
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """doc_id and ``seq``: for each sentence one letter, ``-`` for a sentence that is not known."""
+    """doc_id, the ``parts`` (sentences with a letter), and ``seq``: for each its identifier in angle brackets, ``<>`` for one that is not known."""
     normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "))
 
-    def letter(x):
-        out = F.lit("-")
-        for name, pattern in reversed(SENTENCES):
-            out = F.when(x.rlike(pattern), F.lit(name)).otherwise(out)
-        return F.when(x.rlike(TRIGGER) | x.rlike("^(you|see|neither|this program|unless)"), out).otherwise(F.lit("-"))
+    def identifier(x: Column) -> Column:
+        out = F.lit("<>")
+        for i, (_, pattern) in reversed(list(enumerate(SENTENCES))):
+            out = F.when(x.rlike(f"^(?:{pattern})$"), F.lit(f"<{i}>")).otherwise(out)
+        return F.when(x.rlike(_KNOWN), out).otherwise(F.lit("<>"))
 
     docs = texts(documents).filter(F.lower("text").rlike(TRIGGER))
-    parts = F.filter(F.transform(F.split("text", _ENDS), normal), lambda x: x != "")
-    return docs.withColumn("_parts", parts).select("doc_id", F.array_join(F.transform("_parts", letter), "").alias("seq"))
+    apart = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace("text", _INITIAL, "$1 ")), F.lit(_LINES), F.lit("\n\n$1\n\n"))
+    docs = docs.withColumn("parts", F.filter(F.split(apart, _ENDS), lambda x: x.rlike("[A-Za-z]")))
+    return docs.withColumn("_normal", F.transform("parts", normal)).select("doc_id", "parts", F.array_join(F.transform("_normal", identifier), "").alias("seq"))
 
 
 def licences(documents: DataFrame) -> DataFrame:
-    """One row for each rule that a document's sentences match: doc_id, licence, rule, first sentence, sentences."""
-    seq = sentences(documents).filter(F.col("seq").rlike("[a-z]"))
-    found = seq.select("doc_id", F.regexp_extract_all("seq", F.lit(f"({_PATTERN})"), F.lit(0)).alias("found"), F.split("seq", _PATTERN, -1).alias("rest"))
-    rows = found.select("doc_id", "rest", "found", F.posexplode("found").alias("i", "m"))
-    before = F.aggregate(F.slice("found", 1, F.col("i")), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice("rest", 1, F.col("i") + 1), F.lit(0), lambda n, x: n + F.length(x))
+    """One row for each rule that a document's sentences match: doc_id, licence, rule, first sentence, sentences. An SPDX rule's licence is what the line says."""
+    seq = sentences(documents).filter(F.col("seq").rlike("[0-9]"))
+    found = seq.select("doc_id", "parts", F.regexp_extract_all("seq", F.lit(f"({_PATTERN})"), F.lit(0)).alias("found"), F.split("seq", _PATTERN, -1).alias("rest"))
+    rows = found.select("doc_id", "parts", "rest", "found", F.posexplode("found").alias("i", "m"))
+    many = lambda x: F.length(x) - F.length(F.translate(x, "<", ""))  # sentences of a piece of the sequence
+    before = many(F.array_join(F.slice("found", 1, F.col("i")), "")) + many(F.array_join(F.slice("rest", 1, F.col("i") + 1), ""))
     which = F.lit(None).cast("string")
     for licence, rule, pattern in reversed(RULES):
         which = F.when(F.col("m").rlike(f"^(?:{pattern})$"), F.lit(f"{licence}\t{rule}")).otherwise(which)
-    out = rows.select("doc_id", F.split(which, "\t").alias("x"), before.cast("long").alias("first_sentence"), F.length("m").cast("long").alias("n_sentences"))
-    return out.select("doc_id", F.col("x")[0].alias("licence"), F.col("x")[1].alias("rule"), "first_sentence", "n_sentences")
+    out = rows.select("doc_id", F.split(which, "\t").alias("x"), F.get("parts", before).alias("part"), before.cast("long").alias("first_sentence"), many(F.col("m")).cast("long").alias("n_sentences"))
+    said = F.nullif(F.regexp_extract("part", _SPDX, 1), F.lit(""))
+    licence = F.when(F.col("x")[0] == "SPDX", F.coalesce(said, F.lit("SPDX"))).otherwise(F.col("x")[0])
+    return out.select("doc_id", licence.alias("licence"), F.col("x")[1].alias("rule"), "first_sentence", "n_sentences")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,23 +172,26 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same in SQL: sentences are rows, and a document's letters are matched one claim at a time."""
-    letter = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in SENTENCES)
+    """The same in SQL: sentences are rows, and a document's identifiers are matched one claim at a time."""
+    quoted = lambda x: x.replace("'", "''")
+    identifier = " ".join(f"WHEN regexp_matches(x, '^(?:{quoted(p)})$') THEN '<{i}>'" for i, (_, p) in enumerate(SENTENCES))
     which = " ".join(f"WHEN regexp_matches(m, '^(?:{p})$') THEN '{lic}\t{rule}'" for lic, rule, p in RULES)
     return rf"""
 WITH RECURSIVE s AS (
-  SELECT row_number() OVER () AS rid, doc_id, [y for y in [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) for x in string_split_regex(text, '\n|(?:[.;:])[ \t\r]+')] if y <> ''] AS l
+  SELECT row_number() OVER () AS rid, doc_id, [x for x in string_split_regex(regexp_replace(chr(10) || regexp_replace(text, '{_INITIAL}', '\1 ', 'g'), '{_LINES}', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g'), '{quoted(_ENDS)}') if regexp_matches(x, '[A-Za-z]')] AS parts
   FROM documents WHERE regexp_matches(lower(text), '{TRIGGER}')),
+l AS (SELECT rid, doc_id, parts, [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) for x in parts] AS l FROM s),
 q AS (
-  SELECT rid, doc_id, array_to_string([CASE WHEN NOT (regexp_matches(x, '{TRIGGER}') OR regexp_matches(x, '^(you|see|neither|this program|unless)')) THEN '-' {letter} ELSE '-' END for x in l], '') AS seq
-  FROM s),
+  SELECT rid, doc_id, parts, array_to_string([CASE WHEN NOT regexp_matches(x, '{_KNOWN}') THEN '<>' {identifier} ELSE '<>' END for x in l], '') AS seq
+  FROM l),
 r AS (
-  SELECT rid, doc_id, seq, 0 AS pos, CAST(NULL AS VARCHAR) AS m, 0 AS first FROM q WHERE regexp_matches(seq, '[a-z]')
+  SELECT rid, doc_id, seq, parts, 0 AS pos, CAST(NULL AS VARCHAR) AS m, 0 AS first FROM q WHERE regexp_matches(seq, '[0-9]')
   UNION ALL
-  SELECT rid, doc_id, seq, pos + strpos(substr(seq, pos + 1), e) - 1 + length(e), e, pos + strpos(substr(seq, pos + 1), e) - 1
-  FROM (SELECT *, regexp_extract(substr(seq, pos + 1), '{_PATTERN}') AS e FROM r) WHERE e <> '')
-SELECT doc_id, split_part(w, chr(9), 1) AS licence, split_part(w, chr(9), 2) AS rule, CAST(first AS BIGINT) AS first_sentence, CAST(length(m) AS BIGINT) AS n_sentences
-FROM (SELECT *, CASE {which} END AS w FROM r WHERE m IS NOT NULL)
+  SELECT rid, doc_id, seq, parts, pos + strpos(substr(seq, pos + 1), e) - 1 + length(e), e, pos + strpos(substr(seq, pos + 1), e) - 1
+  FROM (SELECT *, regexp_extract(substr(seq, pos + 1), '{_PATTERN}') AS e FROM r) WHERE e <> ''),
+c AS (SELECT *, split_part(w, chr(9), 1) AS lic, length(substr(seq, 1, first)) - length(replace(substr(seq, 1, first), '<', '')) AS n FROM (SELECT *, CASE {which} END AS w FROM r WHERE m IS NOT NULL))
+SELECT doc_id, CASE WHEN lic = 'SPDX' THEN coalesce(nullif(regexp_extract(parts[n + 1], '{_SPDX}', 1), ''), 'SPDX') ELSE lic END AS licence, split_part(w, chr(9), 2) AS rule, CAST(n AS BIGINT) AS first_sentence, CAST(length(m) - length(replace(m, '<', '')) AS BIGINT) AS n_sentences
+FROM c
 """
 
 

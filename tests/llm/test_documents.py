@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import time
 from collections import Counter, defaultdict
 
@@ -110,19 +111,73 @@ def test_licences(spark, sf):
     same(spark, sf, licenses.op5_licences, licenses.ORACLE)
 
 
-MIT = """Copyright (c) 2020 Someone
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with it.
+def wrapped(text, width=78, lead=""):
+    return "\n".join(line for part in text.split("\n\n") for line in [*textwrap.wrap(" ".join(part.split()), width, initial_indent=lead, subsequent_indent=lead), lead.rstrip()])
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+APACHE = """Copyright 2019 Someone Else
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Copyright (c) 2001, Some University. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."""
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {k}General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {k}General Public License for more details.\n\nYou should have received a copy of the GNU {k}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+ISC = 'Copyright (c) 2004 A. Person <a@b.org>\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.'
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+FULL = [("MIT", "full text", MIT), ("Apache-2.0", "full notice", APACHE), ("BSD-3-Clause", "full text", BSD), ("BSD-2-Clause", "full text", "\n\n".join(x for x in BSD.split("\n\n") if not x.startswith("3."))), ("ISC", "full text", ISC), ("MPL-2.0", "full notice", MPL)]
+FULL += [(n, "full notice", GPL.format(k=k, v=v)) for n, k, v in [("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-2.1", "Lesser ", 2.1), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3)]]
+SAID = [("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This program is distributed under the GPL v2 or later."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-SA-4.0", "The text is available under the Creative Commons Attribution-ShareAlike 4.0 International License."), ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."), ("Unlicense", "Released under the Unlicense."), ("EPL-2.0", "Available under the Eclipse Public License 2.0."), ("CC0-1.0", "Released under CC0 1.0 Universal.")]
+
+
+def test_full_texts(spark):
+    """Licence texts as they come: in one line each paragraph, wrapped, and as comments; and between prose."""
+    texts, wanted = [], []
+    for name, rule, text in FULL:
+        for t in (text, wrapped(text), wrapped(text, 60, "# "), wrapped(text, 70, " * "), "Some prose before.\n\n" + wrapped(text) + "\n\nAnd after it.\n"):
+            wanted.append((len(texts), name, rule))
+            texts.append(t)
+    rows = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.licence, r.rule) for r in rows) == wanted
+
+
+def test_statements_and_identifiers(spark):
+    texts = [f"Some prose.\nMore of it. {t} Then prose." for _, t in SAID] + ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n", "This is a license to print money.", "The license was revoked. Permission to land was refused.", "Copyright (c) 2020 Someone\nx", "", None]
+    rows = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    wanted = [(i, k, "statement", 2) for i, (k, _) in enumerate(SAID)] + [(len(SAID), "MIT", "identifier", 0), (len(SAID) + 1, "GPL-2.0-only WITH Classpath-exception-2.0", "identifier", 0), (len(SAID) + 4, "Unknown", "copyright only", 0)]
+    assert sorted((r.doc_id, r.licence, r.rule, r.first_sentence) for r in rows) == wanted
+
+
+def test_licences_of_texts_as_in_sql(spark, tmp_path):
+    texts = [t for _, _, x in FULL for t in (x, wrapped(x), wrapped(x, 50, "// "))] + [t for _, t in SAID] + [None, "", "\n" * 50, "SPDX-License-Identifier: \n", "copyright 1999\ncopyright 2000\nall rights reserved"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, licenses.op5_licences(spark, tmp_path).collect())) == sorted(con.execute(licenses.ORACLE).fetchall())
 
 
-@pytest.mark.parametrize(
-    ("text", "wanted"),
-    [(MIT, [("MIT", "full text", 0, 4)]), ("Some text.\nReleased under the MIT License.\nMore. All rights reserved.", [("MIT", "statement", 1, 1), ("Proprietary", "all rights reserved", 3, 1)]), ("This is a license to print money.", []), ("Licensed under the Apache License, Version 2.0.", [("Apache-2.0", "statement", 0, 1)]), ("", []), (None, [])],
-)
-def test_licence_rules(spark, text, wanted):
-    rows = licenses.licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert sorted((r.licence, r.rule, r.first_sentence, r.n_sentences) for r in rows) == sorted(wanted)
+def test_licences_odd(spark, odd):
+    assert licenses.licences(odd).collect() == [] and licenses.licences(odd.filter("false")).count() == 0
 
 
 def test_apportionment(spark):
