@@ -279,7 +279,7 @@ def test_scores_prefer_the_corpus(spark):
     corpus = [(i, line()) for i in range(400)]
     held = [(1000 + i, line()) for i in range(20)]
     mixed = [(2000 + i, " ".join(r.permutation(t.split()))) for i, (_, t) in enumerate(held)]
-    rows = {x.doc_id: x for x in lmscore.scored(spark.createDataFrame(corpus + held + mixed, "doc_id long, text string"), rounds=4).collect()}
+    rows = {x.doc_id: x for x in lmscore.scored(spark.createDataFrame(corpus + held + mixed, "doc_id long, text string").coalesce(1), rounds=40, batch_words=1024, rate=0.05).collect()}
     assert np.mean([rows[1000 + i].mean_log_p for i in range(20)]) > np.mean([rows[2000 + i].mean_log_p for i in range(20)]) + 0.3
     assert all(math.isclose(x.log_p, x.mean_log_p * x.n_words, rel_tol=1e-6) for x in rows.values())
 
@@ -287,21 +287,64 @@ def test_scores_prefer_the_corpus(spark):
 def test_gradient():
     """The network's step goes down the slope that differences give."""
     r = np.random.default_rng(3)
-    net = lmscore.Network(r.normal(0, 0.3, sum(int(np.prod(s)) for s in lmscore.Network.SHAPES)))
-    x, y = r.integers(0, lmscore.CLASSES + 1, (64, 2 * lmscore.SIDE)), r.integers(0, lmscore.CLASSES, 64)
+    net = lmscore.Network(np.concatenate([r.normal(0, 0.3, lmscore.Network.SIZE), np.full(lmscore.Network.SIZE, 1e-6)]))
+    x, y = r.integers(0, lmscore.EDGE + 1, (64, 2 * lmscore.SIDE)), r.integers(0, lmscore.CLASSES, 64)
+    old = [p.copy() for p in net.parts]
     before = net.log_p(x, y).mean()
-    for _ in range(30):
-        net.learn(x, y)
-    assert net.log_p(x, y).mean() > before + 1
+    net.squares = [np.full(p.shape, 1e12, np.float32) for p in net.parts]  # the step is then the slope itself, scaled
+    net.learn(x, y, 1e6)
+    slope = [a - b for a, b in zip(net.parts, old, strict=True)]
+    for i, g in enumerate(slope):
+        at = np.unravel_index(np.argmax(abs(g)), g.shape)
+        probe = lmscore.Network(np.zeros(2 * lmscore.Network.SIZE))
+        probe.parts = [p.copy() for p in old]
+        probe.parts[i][at] += 1e-2
+        up = probe.log_p(x, y).mean()
+        probe.parts[i][at] -= 2e-2
+        assert math.isclose((up - probe.log_p(x, y).mean()) / 2e-2, g[at], rel_tol=0.05)
+    assert net.log_p(x, y).mean() > before
 
 
 def test_probabilities_sum_to_one():
-    counts = {i: n for i, n in enumerate([50, 30, 10, 5, 1])}
-    hashes = tk.mix(np.arange(1, 6, dtype=np.uint64))
-    v = lmscore.Vocabulary(hashes, np.array(list(counts.values()), float), {200: (8, 4)})
-    classes, log = v(hashes)
-    assert np.allclose(np.exp(log), 1)  # few words: each has a class of its own
-    assert math.isclose(math.exp(v.log_unknown[200]), 0.25, rel_tol=1e-6)
+    """Of the classes in any context, and of the words of each class."""
+    r = np.random.default_rng(8)
+    net = lmscore.Network(np.concatenate([r.normal(0, 0.3, lmscore.Network.SIZE), np.ones(lmscore.Network.SIZE)]))
+    context = np.repeat(r.integers(0, lmscore.EDGE + 1, (1, 2 * lmscore.SIDE)), lmscore.CLASSES, axis=0)
+    assert math.isclose(np.exp(net.log_p(context, np.arange(lmscore.CLASSES)).astype(float)).sum(), 1, rel_tol=1e-4)
+    hashes, counts = tk.mix(np.arange(1, 2001, dtype=np.uint64)), np.arange(2000, 0, -1).astype(float)
+    v = lmscore.Vocabulary(hashes, counts, {1000: 7})
+    ids, classes = v(hashes)
+    total = np.bincount(classes, np.exp(v.log_p(ids, classes)), lmscore.CLASSES)
+    total[1000] += 7 / v.total[1000]
+    assert np.allclose(total, 1)
+
+
+def test_scores_beat_unigrams_on_held_out_documents(spark, sf):
+    """Documents that were neither counted nor trained on, by the network and by word counts alone."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet").filter("doc_id < 4000 AND doc_id % 2 = 0")
+    train, held = docs.filter("doc_id % 20 <> 0").coalesce(1), docs.filter("doc_id % 20 = 0")
+    counts = lmscore.counted(train)
+    known = lmscore.vocabulary(counts)
+    network = lmscore.trained(lmscore.texts(train), known, rounds=8, batch_words=2048)
+    got = lmscore.scored_by(held, counts, known, network).agg({"log_p": "sum", "n_words": "sum"}).first()
+    n = Counter(w for r in train.collect() for w in words(r.text))
+    of = [math.log(max(n[w], 1) / n.total()) for r in held.collect() for w in words(r.text)]
+    assert got["sum(n_words)"] == len(of) and got["sum(log_p)"] / len(of) > np.mean(of) + 0.02
+
+
+def test_every_count_is_used(spark):
+    """A word beyond the vocabulary scores by its own count: texts alike but for one such word differ by its log-count."""
+    common = [f"c{i}" for i in range(lmscore.VOCABULARY)] * 6
+    docs = [(0, " ".join(common)), (1, "c1 c2 rare1 c3"), (2, "c1 c2 rare2 c3"), (3, "rare2 " * 3), (4, "rare1")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    counts = lmscore.counted(frame)
+    known = lmscore.vocabulary(counts)
+    zero = np.zeros(2 * lmscore.Network.SIZE)
+    rows = {r.doc_id: r for r in lmscore.scored_by(frame, counts, known, zero).collect()}
+    a, b = (tk.word_hashes(next(tk.batches(pa.array([w])))) for w in ("rare1", "rare2"))
+    size = known.log_total[known(b)[1][0]] - known.log_total[known(a)[1][0]]
+    assert math.isclose(rows[2].log_p - rows[1].log_p, math.log(4) - math.log(2) - size, rel_tol=1e-5)
+    assert math.isclose(rows[3].log_p, 3 * rows[3].mean_log_p, rel_tol=1e-9)
 
 
 def test_scores_odd(spark, odd):
