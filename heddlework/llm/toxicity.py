@@ -6,7 +6,8 @@ classes, and on the probabilities of the earlier categories. While a later model
 probabilities are out-of-fold predictions, so that it sees them as wrong as they will be on new text.
 
 Models are trained on at most ``sample`` labelled documents (half of them positive for the last
-category, where there are as many), chosen by a seeded hash of their ids. Every document is scored
+category, where there are as many), chosen by a seeded hash of their ids. Probabilities are corrected
+from the sample's share of positives to that among all labels. Every document is scored
 on its whole text. A null or empty text has no features and gets the models' constants. Labels for
 missing documents, null labels and further columns are ignored; of several labels for one document
 the highest counts. Without labelled documents of both classes a category's probability is the share
@@ -115,8 +116,19 @@ def chain(models: list[Linear], ids: np.ndarray, first: np.ndarray) -> np.ndarra
     return p
 
 
-def sampled(documents: DataFrame, labels: DataFrame, categories: list[str], sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of at most sample labelled documents."""
+def odds(sample: np.ndarray, share: float | None) -> float:
+    """By which factor the sample's odds of a positive are above those among all labels."""
+    inside = sample.mean() if len(sample) else 0.0
+    return inside / (1 - inside) * (1 - share) / share if 0 < inside < 1 and share else 1.0
+
+
+def corrected(p: np.ndarray, factors: list[float]) -> np.ndarray:
+    """Probabilities by the share of positives among all labels, from those of models trained on the balanced sample."""
+    return p / (p + (1 - p) * np.array(factors))
+
+
+def sampled(documents: DataFrame, labels: DataFrame, categories: list[str], sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Features and labels of at most sample labelled documents, and the share of positives among all labels."""
     last = categories[-1]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(c) for c in categories)).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     picked = known.filter(f"{last} = 1").orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(sample // 2).unionByName(known.filter(f"{last} = 0").orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(sample // 2))
@@ -129,31 +141,35 @@ def sampled(documents: DataFrame, labels: DataFrame, categories: list[str], samp
                 out += [ids[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in categories), pa.array(out, pa.binary())], names=["doc_id", *categories, "ids"])
 
-    # The sample has a fixed bound, and so has what is broadcast.
+    # The sample has a fixed bound, and so has what is broadcast. Of several texts of one id the least by its features counts.
     held = texts(documents).join(F.broadcast(picked), "doc_id")
-    rows = held.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", ids binary").dropDuplicates(["doc_id"]).collect()
+    held = held.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} int" for c in categories) + ", ids binary")
+    rows = held.groupBy("doc_id", *categories).agg(F.min("ids").alias("ids")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int32)
     first = np.concatenate([[0], np.cumsum([len(r["ids"]) // 4 for r in rows])]).astype(np.int64)
-    return ids, first, np.array([[r[c] for c in categories] for r in rows], np.int64).reshape(-1, len(categories))
+    share = known.agg(*(F.avg(F.col(c)).alias(c) for c in categories)).first()
+    return ids, first, np.array([[r[c] for c in categories] for r in rows], np.int64).reshape(-1, len(categories)), [share[c] for c in categories]
 
 
 def scored(documents: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> DataFrame:
-    """doc_id and, for each category, its probability ``p_<category>``."""
-    models = train(*sampled(documents, labels, categories, sample))
-    sent = documents.sparkSession.sparkContext.broadcast(models)
+    """doc_id and, for each category, its probability ``p_<category>`` and the verdict ``is_<category>``: whether it is likelier than not in the sample, where half are positive if there are as many."""
+    ids, first, known, shares = sampled(documents, labels, categories, sample)
+    sent = documents.sparkSession.sparkContext.broadcast((train(ids, first, known), [odds(known[:, i], x) for i, x in enumerate(shares)]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            parts = [chain(sent.value, *features(b)) for b in tk.batches(batch.column("text"), tk.NOT_ALNUM, lower=True)]
+            parts = [chain(sent.value[0], *features(b)) for b in tk.batches(batch.column("text"), tk.NOT_ALNUM, lower=True)]
             if parts:
                 p = np.concatenate(parts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(p.shape[1]))], names=["doc_id", *(f"p_{c}" for c in categories)])
+                true = corrected(p, sent.value[1])
+                columns = [*(pa.array(true[:, i]) for i in range(p.shape[1])), *(pa.array(p[:, i] >= 0.5) for i in range(p.shape[1]))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(f"p_{c}" for c in categories), *(f"is_{c}" for c in categories)])
 
-    return texts(documents).mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in categories))
+    return texts(documents).mapInArrow(run, "doc_id long, " + ", ".join([*(f"p_{c} double" for c in categories), *(f"is_{c} boolean" for c in categories)]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document is toxic; the chain's first link, quality, informs the second."""
     out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["quality", "toxic"])
-    return out.select("doc_id", F.col("p_toxic").alias("toxicity"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return out.select("doc_id", F.col("p_toxic").alias("toxicity"), F.col("is_toxic").alias("toxic"), F.col("p_quality").alias("quality"))
