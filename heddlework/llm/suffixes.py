@@ -170,10 +170,11 @@ def matches(rows: DataFrame) -> DataFrame:
     """The suffixes with an equal key in another text: doc_id, part, pos, more, and other, a document that has it."""
     ordered = rows.repartitionByRange("key", "doc_id", "part", "pos").sortWithinPartitions("key", "doc_id", "part", "pos")
     found = cut(ordered.mapInArrow(neighbours, MATCH), "suffixes")
-    # Two edges for each range: of those with one key, each is matched with one of another document.
+    # Two edges for each range. Of those with one key, each has the first or else the last of the key's texts as another.
     edges = found.filter("edge").select("key", "doc_id", "part", "pos", "more").distinct()
-    other = edges.select("key", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
-    met = edges.join(other, "key").filter("doc_id != other OR part != other_part").groupBy("doc_id", "part", "pos", "more").agg(F.min("other").alias("other"))
+    own = F.struct("doc_id", "part")
+    ends = edges.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
+    met = edges.join(ends, "key").select("doc_id", "part", "pos", "more", F.when(own != F.col("lo"), F.col("lo.doc_id")).otherwise(F.col("hi.doc_id")).alias("other"))
     both = found.filter("NOT edge").select("doc_id", "part", "pos", "more", "other").unionByName(met)
     # What holds for the first position of a key in a text holds for the further ones.
     return both.select("doc_id", "part", F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>"))).alias("places"), "other")
