@@ -11,14 +11,17 @@ Two texts are linked if the Jaccard similarity of their sets of 5-word shingles
    are verified exactly on their sets. Links are counted and reduced to a spanning forest in the task.
 4. Connected components of the links are the classes.
 
-No step writes a row for each pair: buckets and components of more than ``BLOCK`` nodes are cut into
-blocks, each pair of blocks is a task of its own, and a task returns counts and a forest, so rows
-grow with the nodes. Texts move once, to the component they may be linked in.
+No step writes a row for each pair: buckets and components of more than ``BLOCK`` nodes or ``BYTES`` of
+text are cut into blocks, each pair of blocks is a group of its own, and a task returns counts and a
+forest, so rows grow with the nodes. A text moves once, or as often as its component has blocks: the
+links of every text are counted, and a component of N different texts that are all alike has N * N / 2
+of them to verify, however the work is dealt.
 
 A text with fewer than five words has one shingle, all its words. Null and empty texts and such of
 white space alone have none: each class of them is the equal texts. ``class_id`` is the least doc_id
 of the class (null only if all are); ``n_links`` counts the other documents that a document is
-linked to, equal texts included, ``n_text_links`` the other texts. Repeated rows count as copies.
+linked to, equal texts included, ``n_text_links`` the other texts. Repeated rows count as copies. Other
+columns are ignored by the operator and kept by the stage.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from .common import cut, table, texts
 from .components import components
 
 HASHES, BAND, STEP = 96, 4, 16
-BLOCK = 1024
+BLOCK, BYTES = 1024, 64 << 20
 THRESHOLD, TOLERANCE = 0.8, 1e-6
 
 
@@ -70,18 +73,21 @@ def surviving(one: np.ndarray, others: np.ndarray, least: list[int]) -> np.ndarr
 
 
 def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, node, sig): node is a digest of the text, sig null for a text without shingles."""
+    """(doc_id, node, sig, bytes): node is a digest of the text, sig null for a text without shingles, bytes the text's length."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out: list[bytes | None] = []
+            sizes: list[np.ndarray] = []
             for b in tk.batches(batch.column("text")):
                 values, first = tk.shingles(b, n)
                 sigs = tk.minhash(values, first, HASHES).astype(np.uint16)
                 out += [s.tobytes() if full else None for s, full in zip(sigs, first[:-1] < first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(out, pa.binary())], names=["doc_id", "node", "sig"])
+                sizes.append(np.diff(b.offsets))
+            size = pa.array(np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(out, pa.binary()), size], names=["doc_id", "node", "sig", "bytes"])
 
-    return documents.mapInArrow(run, "doc_id long, node binary, sig binary")
+    return documents.mapInArrow(run, "doc_id long, node binary, sig binary, bytes long")
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -231,7 +237,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float
     least = least_matches(threshold, tolerance)
     docs = texts(documents).withColumn("node", F.unhex(F.md5("text")))
     signed = cut(signatures(docs, n), "signatures")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "nodes")
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "nodes")
     full = nodes.filter("sig IS NOT NULL")
 
     bands = banded(full)
@@ -241,8 +247,10 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float
     near = members.select("bucket", "lo", "hi", "node", "sig").mapInArrow(lambda rows: candidate_edges(rows, least), EDGES)
     candidates = cut(components(near), "candidates")
 
-    sizes = cut(candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    members = cut(candidates.join(sizes, "root").join(full, "node"), "members")
+    members = cut(candidates.join(full, "node"), "candidate-nodes")
+    # In nodes; a component of long texts counts as more of them.
+    size = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("bytes") / BYTES * BLOCK).cast("long"))
+    members = cut(members.join(members.groupBy("root").agg(size.alias("size")), "root"), "members")
     # The text of one document of each node; the same row given twice is one node again in the task.
     held = docs.join(members.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep"))).drop("_node")
     held = block_pairs(held, "root", "size").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
@@ -267,6 +275,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # By root: unrelated texts that share a doc_id may have equal class_ids.
     first = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
     first = cut(first.select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")), "kept")
-    rows = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rows = rows.join(first, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return rows.dropDuplicates(["_node", "_id"]).select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), node.alias("_node"), F.col("doc_id").cast("long").alias("_row"))
+    rows = rows.join(first, (F.col("_node") == F.col("_kept")) & F.col("_row").eqNullSafe(F.col("_id")))
+    return rows.dropDuplicates(["_node", "_id"]).select(*(F.col(n).alias(c) for c, n in names.items()))

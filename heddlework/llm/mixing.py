@@ -116,6 +116,6 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixed(docs).filter("taken > 0").groupBy("node", "size", "target", "taken").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("node").orderBy("taken").rowsBetween(Window.unboundedPreceding, 0))
     taken = taken.withColumn("_to", upto)
-    rows = docs.withColumn("_key", row_key()).toDF(*names.values(), "_key").withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), row_key().alias("_key")).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     out = rows.join(taken, (F.col("_key") == F.col("node")) & F.col("_copy").between(F.col("_to") - F.col("_n") + 1, F.col("_to")))
     return out.select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("size", "target", "taken")), "size", "target", "taken")
