@@ -38,6 +38,16 @@ def leaks(docs, items, threshold=0.8):
     return sorted((d, i) for d, t in docs for i, q in want.items() if q and len(q & shingles(t)) >= threshold * len(q) - 1e-9)
 
 
+def test_items_of_few_words(spark):
+    """Five to nine words inside long documents, several hundred times."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(5 + i % 5))) for i in range(40)] + [(40, "just one"), (41, ""), (42, None)]
+    text = lambda n: " ".join(f"w{r.randrange(99999)}" for _ in range(n))
+    docs = [(i, f"{text(r.randrange(400))} {items[i % 40][1]} {text(r.randrange(400))}") for i in range(400)] + [(900, "just one"), (901, None), (902, items[3][1])]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((x.doc_id, x.item_id) for x in got.collect()) == leaks(docs, items)
+
+
 def test_decontamination(spark, documents, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = decontamination.contaminated(documents, items)

@@ -45,6 +45,25 @@ def test_empty_documents(spark, sf, documents):
         assert docs.count() == 0
 
 
+def test_odd_rows_through_all_stages(spark, sf, odd):
+    """Nulls, blanks, long texts, repeated rows and clashing names: each stage on the odd rows, and all in a row."""
+    good = [(100 + i, " ".join(f"g{i}x{j}" for j in range(30 + i)), s, "en", 1, 2, "n") for i, s in enumerate(["s", "t", None, "s"])]
+    docs = odd.unionByName(spark.createDataFrame([*good, good[0], (None, *good[1][1:])], odd.schema))
+    extra = {"target": "1.5", "taken": "7", "kept": "'x'", "n_words": "3", "_key": "'k'", "_base": "0", "c1": "'c'", "root": "1", "x": "0", "_node": "1", "_copy": "2", "_t": "3", "sig": "'s'"}
+    docs = docs.selectExpr("*", *(f"{v} AS {k}" for k, v in extra.items()))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, kept):
+            out = corpus_pipeline.cut(stage(spark, rows, sf), "odd")
+            if name == "mixing":
+                assert out.columns == [c for c in docs.columns if c not in ("size", "target", "taken")] + ["size", "target", "taken"]
+            else:
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            out.collect()
+        kept = out
+    assert {r.text for r in kept.collect()} <= {g[1] for g in good}
+
+
 def test_rows_are_told_apart_by_id_and_text(spark):
     """Null ids and one id on several texts: each stage judges rows, not ids."""
     r = random.Random(6)
