@@ -8,8 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names of values that must not reach an audit log, and that a shown connection must hide. Fixed values.
-REDACTED_KEYS = ("password", "token", "secret", "api_key", "apiKey", "access_token", "refresh_token", "private_key")
-MASKED_KEYS = ("password", "secret", "token", "api_key", "private_key")
+REDACTED_KEYS = ("password", "secret", "api_key", "access_key", "secret_key", "token", "private_key", "credentials")
+MASKED_KEYS = ("password", "secret", "api_key", "access_key", "secret_key")
+#: Audit actions by severity; all others are info.
+WARNING_ACTIONS = ("login_failed", "password_change")
+CRITICAL_ACTIONS = ("datasource_delete", "task_delete", "config_change")
 
 
 def glob_regex(pattern: str) -> str:
@@ -75,9 +78,13 @@ def template_regex(template: Column) -> Column:
 
 
 def redacted_json(text: Column, keys: tuple[str, ...] = REDACTED_KEYS, by: str = "[REDACTED]") -> Column:
-    """JSON text with the string, number, true, false or null values of the keys replaced, at any depth."""
+    """JSON text with the values of the keys replaced, at any depth; a value that is an object or a list itself holds at most three levels."""
     names = "|".join(map(re.escape, keys))
-    return F.regexp_replace(text, rf'"({names})"(\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^,\s\}}\]\[\{{]+)', rf'"$1"$2"{by}"')
+    string, other = r'"(?:[^"\\]|\\.)*+"', r"[^,\s\}\]\[\{\"]++"
+    nested = rf"(?:{string}|[^\{{\}}\[\]\"]++)*+"
+    for _ in range(2):
+        nested = rf"(?:{string}|[^\{{\}}\[\]\"]++|[\{{\[]{nested}[\}}\]])*+"
+    return F.regexp_replace(text, rf'"({names})"(\s*:\s*)(?:{string}|[\{{\[]{nested}[\}}\]]|{other})', rf'"$1"$2"{by}"')
 
 
 def redacted_map(m: Column, keys: tuple[str, ...] = REDACTED_KEYS, by: str = "[REDACTED]") -> Column:
@@ -109,7 +116,7 @@ def hashed_id(*parts: Column) -> Column:
 
 
 def severity(action: Column) -> Column:
-    return F.when(action.isin("login_failed", "password_change"), "warning").when(action.endswith("delete") | action.startswith("delete") | (action == "config_change"), "critical").otherwise("info")
+    return F.when(action.isin(*WARNING_ACTIONS), "warning").when(action.isin(*CRITICAL_ACTIONS), "critical").otherwise("info")
 
 
 def file_format(path: Column) -> Column:

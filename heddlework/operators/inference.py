@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 # SQL types of inferred types.
 SQL_TYPES = {"boolean": "BOOLEAN", "integer": "BIGINT", "number": "DOUBLE", "string": "TEXT", "array": "JSON", "object": "JSON"}
 
@@ -72,8 +74,7 @@ def inferred_documents(df: DataFrame, json: str, key: str, max_depth: int = 10,
     types = merged_types(values, merge).withColumnRenamed("n", "n_values")
     # Each path once in a document, as names in an object are distinct.
     out = types.join(kinds, "path")
-    place = F.row_number().over(Window.orderBy("path"))  # one row for each path, not for each document
-    return out.select("path", place.alias("ordinal"), "data_type", sql_type(F.col("data_type")).alias("sql_type"), (F.coalesce("not_null", F.lit(0)) < total).alias("nullable"), F.round(F.col("n_values") * 100.0 / max(total, 1), 4).alias("coverage"), "kinds")
+    return ranked(out, F.col("path")).select("path", (F.col("rank") + 1).cast("int").alias("ordinal"), "data_type", sql_type(F.col("data_type")).alias("sql_type"), (F.coalesce("not_null", F.lit(0)) < total).alias("nullable"), F.round(F.col("n_values") * 100.0 / max(total, 1), 4).alias("coverage"), "kinds")
 
 
 def text_kind(value: Column) -> Column:
@@ -85,10 +86,15 @@ def text_kind(value: Column) -> Column:
 
 
 def delimited(lines: DataFrame, line: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """Lines of delimited text as columns of text; a line with another number of fields is left out."""
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
-    fields = lines.withColumn("_n", F.size(F.split(line, F.lit("\\" + sep)))).filter(F.col("_n") == len(columns))
-    return fields.select(F.from_csv(F.col(line), schema, {"sep": sep}).alias("x")).select("x.*")
+    """Lines of delimited text as columns of text; a line with another number of fields, quoted ones being one, is left out."""
+    return parsed_lines(lines, line, columns, sep).filter("malformed IS NULL").drop("malformed")
+
+
+def parsed_lines(lines: DataFrame, line: str, columns: list[str], sep: str = ",") -> DataFrame:
+    """The same, with ``malformed``: the line itself if its number of fields is another."""
+    schema = ", ".join(f"`{c}` STRING" for c in columns) + ", `_malformed` STRING"
+    x = F.from_csv(F.col(line), schema, {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    return lines.select(x.alias("x")).select(*(F.col("x")[c].alias(c) for c in columns), F.col("x._malformed").alias("malformed"))
 
 
 def inferred_text(df: DataFrame, merge: str = "most_common") -> DataFrame:
@@ -130,9 +136,10 @@ def key_patterns(df: DataFrame, key: str, pattern: Column, samples: int = 5) ->
     # Keys are made distinct and ranked before they are collected, so each pattern's list is short.
     few = rows.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("key"))).filter(F.col("_r") <= samples)
     few = few.groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("samples"))
-    w = Window.orderBy(F.desc("n"), "pattern")  # one row for each pattern
-    out = counts.join(few, "pattern").withColumns({"place": F.row_number().over(w), "covered": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy())})
-    return out.select("place", "pattern", "n", F.round(F.col("covered") * 100.0 / F.col("total"), 4).alias("coverage"), "samples")
+    # Keys without separators are patterns of their own, so there may be as many patterns as keys.
+    out = ranked(counts, F.desc("n"), F.col("pattern"), total="n", running="covered")
+    total = out.agg(F.sum("n").alias("total"))
+    return out.join(few, "pattern").crossJoin(F.broadcast(total)).select((F.col("rank") + 1).cast("int").alias("place"), "pattern", "n", F.round(F.col("covered") * 100.0 / F.col("total"), 4).alias("coverage"), "samples")  # total is one row
 
 
 def pattern_columns(patterns: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def prefixes(objects: DataFrame, key: str, prefix: str = "", delimiter: str = "/
 def prefix_partitions(objects: DataFrame, key: str, table: str, delimiter: str = "/") -> DataFrame:
     """One partition for each prefix below a table's."""
     found = prefixes(objects, key, f"{table}{delimiter}", delimiter)
-    return found.select(F.concat(F.lit("prefix-"), (F.row_number().over(Window.orderBy("prefix")) - 1).cast("string")).alias("name"), F.concat(F.lit(f"prefix = '{table}{delimiter}"), "prefix", F.lit(f"{delimiter}'")).alias("expression"), "n_objects")
+    return ranked(found, F.col("prefix")).select(F.concat(F.lit("prefix-"), F.col("rank").cast("string")).alias("name"), F.concat(F.lit(f"prefix = '{table}{delimiter}"), "prefix", F.lit(f"{delimiter}'")).alias("expression"), "n_objects")
 
 
 def first_structured(objects: DataFrame, key: str, prefix: str, format: str) -> DataFrame:

@@ -10,6 +10,8 @@ from_pos, alias, table_name) and insert_columns (stmt_id, pos, column_name).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +116,18 @@ def to_base(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """Edges (target, source) through views and derived tables replaced by edges from base columns only.
 
     Each round replaces sources that are targets themselves by what those are known to come from, so
-    the length of the chains that are resolved doubles. It ends when no such source is left, or after
-    so many rounds, which bounds circular definitions.
+    the length of the chains that are resolved doubles. It ends when no such source is left. What is
+    left after so many rounds, for chains of a million steps, comes from itself: an error.
     """
     out = kept(edges.select("target", "source").distinct())
     for _ in range(rounds):
         if not out.join(out.select(F.col("target").alias("source")), "source", "left_semi").limit(1).count():
-            break
+            return out
         rules = out.select(F.col("target").alias("_t"), F.col("source").alias("_s"))
         out = kept(out.join(rules, F.col("source") == F.col("_t"), "left").select("target", F.coalesce("_s", "source").alias("source")).distinct())
+    left = out.join(out.select(F.col("target").alias("source")), "source", "left_semi").select("source").limit(5).collect()
+    if left:
+        raise ValueError(f"definitions that come from themselves: {', '.join(r.source for r in left)}")
     return out
 
 
@@ -138,13 +143,18 @@ def complexity(lineage: DataFrame) -> DataFrame:
     return g.withColumn("score", F.col("n_columns") * 1.0 + F.col("n_sources") * 0.5 + F.col("n_operators") * 2.0)
 
 
-# Words that tell of streams in an expression.
-STREAM_WORDS = {"time": ("CURRENT_TIMESTAMP", "DATE_FORMAT", "EXTRACT", "TIMESTAMPDIFF", "TO_TIMESTAMP", "UNIX_TIMESTAMP", "PROCTIME", "ROWTIME"), "window": ("TUMBLE", "HOP", "SESSION", "CUMULATE", "OVER", "ROW_NUMBER", "RANK", "LAG", "LEAD"), "watermark": ("WATERMARK", "CURRENT_WATERMARK")}
+# What tells of streams in an expression, as it is spelled.
+STREAM_WORDS = {
+    "time": ("CURRENT_TIMESTAMP", "NOW()", "event_time", "WATERMARK", "INTERVAL", "EXTRACT", "DATE_FORMAT", "TIMESTAMP"),
+    "window": ("TUMBLE", "HOP", "SESSION", "OVER", "ROW_NUMBER", "RANK", "DENSE_RANK", "LAG", "LEAD"),
+    "watermark": ("WATERMARK", "FOR SYSTEM_TIME AS OF"),
+}
 
 
 def stream_features(lineage: DataFrame) -> DataFrame:
     """How many expressions use each family of stream functions."""
-    return lineage.agg(*(F.count_if(F.upper("operator").rlike("|".join(words))).alias(f"n_{k}") for k, words in STREAM_WORDS.items()))
+    uses = lambda words: functools.reduce(Column.__or__, (F.contains(F.col("operator"), F.lit(w)) for w in words))
+    return lineage.agg(*(F.count_if(uses(words)).alias(f"n_{k}") for k, words in STREAM_WORDS.items()))
 
 
 def graph_edges(lineage: DataFrame, confidence: float = 1.0) -> DataFrame:

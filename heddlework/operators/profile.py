@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import cut
+from .ranks import ranked
+
 
 def _numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
@@ -27,11 +30,58 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
 
 
+#: Quartiles, as hundredths.
+QUARTILES = (25, 50, 75)
+
+
+def value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(i, number, text, n): how often each value that is not null occurs in each column, by the column's place.
+
+    Numbers that a double holds exactly are counted as doubles, all others as text, so no column is written out as text for nothing.
+    """
+    number = lambda f: isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType))
+    groups = [([i for i, f in enumerate(fields) if number(f)], "CAST({c} AS DOUBLE)", "CAST(NULL AS STRING)"), ([i for i, f in enumerate(fields) if not number(f)], "{d}", "CAST({c} AS STRING)")]
+    out = None
+    for places, n, t in groups:
+        if not places:
+            continue
+        cells = []
+        for i in places:
+            c = f"`{fields[i].name}`"
+            d = f"CAST({c} AS DOUBLE)" if _numeric(fields[i].dataType) else "CAST(NULL AS DOUBLE)"
+            cells.append(f"{i}, {n.format(c=c, d=d)}, {t.format(c=c)}")
+        part = df.selectExpr(f"stack({len(places)}, {', '.join(cells)}) AS (i, number, text)").filter("number IS NOT NULL OR text IS NOT NULL")
+        part = part.groupBy("i", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quartiles(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(i, p25, p50, p75) of counted numbers, by linear interpolation: values in order of column and size are numbered in ranges, so no column is one task.
+
+    totals is (i, total), one row for each column.
+    """
+    numbers = ranked(counts.filter("number IS NOT NULL").groupBy("i", "number").agg(F.sum("n").alias("n")), F.col("i"), F.col("number"), total="n", running="upto")
+    first = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # How many numbers the columns in front have.
+    offsets = totals.withColumn("front", F.coalesce(F.sum("total").over(first), F.lit(0)))
+    at = numbers.join(F.broadcast(offsets), "i").withColumn("upto", F.col("upto") - F.col("front"))
+    sides = []
+    for q in QUARTILES:
+        place = (F.col("total") - 1) * q / 100.0
+        for side in (F.floor(place), F.ceil(place)):
+            sides.append(F.max(F.when((F.col("upto") - F.col("n") <= side) & (side < F.col("upto")), F.col("number"))))
+    near = at.groupBy("i", "total").agg(*(s.alias(f"_{k}") for k, s in enumerate(sides)))
+    between = lambda k, q: F.col(f"_{2 * k}") + (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}")) * ((F.col("total") - 1) * q / 100.0 - F.floor((F.col("total") - 1) * q / 100.0))
+    return near.select("i", *(between(k, q).alias(f"p{q}") for k, q in enumerate(QUARTILES)))
+
+
 def column_statistics(df: DataFrame, columns: list[str] | None = None, exact: bool = True, quantiles: bool = True) -> DataFrame:
     """One row for each column: counts, least and greatest value as text, mean, deviation and quartiles.
 
-    All but the exact distinct counts come from one pass over the table. Exact distinct counts take a
-    second one that is reduced per value before it is shuffled; ``exact=False`` estimates them instead.
+    Counts, extremes and moments come from one pass. Exact distinct counts and quartiles come from a
+    second one that counts equal values before it shuffles; quartiles are then read from values numbered
+    in ranges. ``exact=False`` estimates both in the first pass.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
@@ -42,20 +92,23 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, exact: bo
             aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         if _numeric(f.dataType):
             aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
-            if quantiles:
-                aggs.append(F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}"))
+            if quantiles and not exact:
+                aggs.append(F.percentile_approx(c.cast("double"), [q / 100 for q in QUARTILES], 10000).alias(f"q{i}"))
     one = df.agg(*aggs)
     none, rows = "CAST(NULL AS DOUBLE)", []
     for i, f in enumerate(fields):
         number = _numeric(f.dataType)
-        q = [f"q{i}[{k}]" if number and quantiles else none for k in range(3)]
-        rows.append(f"'{f.name}', '{f.dataType.simpleString()}', n, n - v{i}, {f'd{i}' if not exact else 'CAST(NULL AS LONG)'}, lo{i}, hi{i}, {f'm{i}' if number else none}, {f's{i}' if number else none}, {', '.join(q)}")
-    out = one.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS (column_name, data_type, row_count, null_count, distinct_count, min_value, max_value, avg_value, stddev_value, p25, p50, p75)")
+        q = [f"q{i}[{k}]" if number and quantiles and not exact else none for k in range(3)]
+        rows.append(f"{i}, '{f.name}', '{f.dataType.simpleString()}', n, n - v{i}, {f'd{i}' if not exact else 'CAST(NULL AS LONG)'}, lo{i}, hi{i}, {f'm{i}' if number else none}, {f's{i}' if number else none}, {', '.join(q)}")
+    out = one.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS (i, column_name, data_type, row_count, null_count, distinct_count, min_value, max_value, avg_value, stddev_value, p25, p50, p75)")
     if exact:
-        values = unpivoted(df, [f.name for f in fields]).filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.lit(1).alias("one"))
-        distinct = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
-        out = out.join(F.broadcast(distinct), "column_name", "left").withColumn("distinct_count", F.coalesce("_d", F.lit(0)).cast("long")).drop("_d")  # one row for each column
-    return out
+        counts = cut(value_counts(df, fields), "value-counts")
+        found = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("total"))
+        found = cut(found, "distinct-counts")  # one row for each column, as what is broadcast here
+        out = out.drop("distinct_count").join(F.broadcast(found.drop("total")), "i", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
+        if quantiles:
+            out = out.drop("p25", "p50", "p75").join(F.broadcast(quartiles(counts, found.filter("total > 0").select("i", "total"))), "i", "left")
+    return out.select("column_name", "data_type", "row_count", "null_count", "distinct_count", "min_value", "max_value", "avg_value", "stddev_value", "p25", "p50", "p75")
 
 
 def top_values(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> DataFrame:
@@ -128,7 +181,7 @@ def batch_result(df: DataFrame, error: Column) -> DataFrame:
 
 
 #: Error codes that are worth a second try. Fixed values.
-RETRYABLE = ("NETWORK_ERROR", "TIMEOUT", "RATE_LIMITED", "CONNECTION_ERROR", "UNAVAILABLE")
+RETRYABLE = ("NETWORK_ERROR", "TIMEOUT", "DEADLINE_EXCEEDED")
 
 
 def error_counts(errors: DataFrame, *keys: str) -> DataFrame:

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, version: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, version: str, values: list[str], bin_seconds: int = 7 * 86_400) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time; left outer.
 
-    One shuffle by key: both sides are put on one time line, and the last version is carried along.
-    A version of the same instant counts as visible.
+    Both sides are put on one time line, cut into bins, and the last version is carried along within
+    each bin, so a key with many rows is many groups. What a bin begins with is the last version of
+    the bins before it, from one row for each key and bin. A version of the same instant counts as
+    visible; of several versions of one instant any may be the latest. A left row without time has no version.
     """
-    line = left.withColumns({"_t": F.col(time), "_kind": F.lit(1), "_v": F.lit(None).cast(_struct(right, values))})
-    other = right.select(F.col(key), F.col(version).alias("_t"), F.lit(0).alias("_kind"), F.struct(*values).alias("_v"))
+    bin_of = F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (bin_seconds * 1_000_000))
+    kind = _struct(right, values)
+    line = left.withColumns({"_t": F.col(time), "_kind": F.lit(1), "_v": F.lit(None).cast(kind)}).withColumn("_bin", bin_of)
+    other = right.select(F.col(key), F.col(version).alias("_t"), F.lit(0).alias("_kind"), F.struct(*values).alias("_v")).filter("_t IS NOT NULL").withColumn("_bin", bin_of)
+    lasts = other.groupBy(key, "_bin").agg(F.max_by("_v", "_t").alias("_last"))
+    bins = lasts.unionByName(line.select(key, "_bin", F.lit(None).cast(kind).alias("_last")).distinct()).groupBy(key, "_bin").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(F.col(key).alias("_key"), F.col("_bin").alias("_b"), F.last("_last", ignorenulls=True).over(before).alias("_first")).filter("_first IS NOT NULL")
     both = line.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key, "_bin").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_kind = 1")
-    return out.select(*left.columns, *(F.col("_v")[v].alias(v) for v in values))
+    out = out.join(carried, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_b")), "left").withColumn("_v", F.coalesce("_v", "_first"))
+    return out.select(*left.columns, *(F.when(F.col(time).isNotNull(), F.col("_v")[v]).alias(v) for v in values))
 
 
 def _struct(df: DataFrame, values: list[str]) -> str:
@@ -40,28 +50,52 @@ def within(left: DataFrame, right: DataFrame, key: str, time: str, other_time: s
     return a.join(b, [key, "_bin"]).filter(near).drop("_bin")
 
 
-def funnel(df: DataFrame, key: str, time: str, event: str, steps: list[str], seconds: int) -> DataFrame:
-    """For each key the most steps done in order within the seconds after a first step.
+def folded(df: DataFrame, key: str, time: str, tie: str, event: str, start: Callable[[], list], step: Callable[[list, int, str], None], result: Callable[[list], int], name: str) -> DataFrame:
+    """(key, name): for each key what a walk over its events in order of time comes to.
 
-    The state of the walk over a key's events holds, for each number of steps, the latest time at
-    which a walk that got so far began; that is enough for the greatest level.
+    Events are sorted by key within partitions and read as a stream, so what is held is the state of
+    one key, however many events it has. One key's walk cannot be split: it is one task's work. Times
+    are microseconds.
+    """
+    rows = df.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.col(event).alias("e")).filter("t IS NOT NULL")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, state = None, None
+        for batch in parts:
+            keys, results = [], []
+            ks = batch.column("k").to_pylist()
+            for k, t, e in zip(ks, batch.column("t").to_pylist(), batch.column("e").to_pylist(), strict=True):
+                if state is None or k != who:
+                    if state is not None:
+                        keys.append(who)
+                        results.append(result(state))
+                    who, state = k, start()
+                step(state, t, e)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("k").type), pa.array(results, pa.int64())], names=[key, name])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([who], batch.column("k").type), pa.array([result(state)], pa.int64())], names=[key, name])
+
+    kind = df.schema[key].dataType.simpleString()
+    return rows.repartition("k").sortWithinPartitions("k", "t", "i").drop("i").mapInArrow(run, f"`{key}` {kind}, `{name}` long")
+
+
+def funnel(df: DataFrame, key: str, time: str, tie: str, event: str, steps: list[str], seconds: int) -> DataFrame:
+    """For each key with any of the steps the most of them done in order within the seconds after a first one.
+
+    The state holds, for each number of steps, the latest time at which a walk that got so far began;
+    that is enough for the greatest level. One event can be one step of a walk only.
     """
-    events = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(event).alias("e"))))
-    n = len(steps)
-    start = F.array(*(F.lit(None).cast("long") for _ in range(n)))
 
-    def walk(state: Column, x: Column) -> Column:
-        new = []
-        for i, s in enumerate(steps):
-            old = F.get(state, F.lit(i))
-            began = x["t"] if i == 0 else F.get(state, F.lit(i - 1))
-            ok = (x["e"] == s) & began.isNotNull() & (x["t"] - began <= seconds * 1_000_000)
-            new.append(F.when(ok, F.greatest(began, old) if i else began).otherwise(old))
-        return F.array(*new)
+    def step(began: list, t: int, e: str) -> None:
+        for i in range(len(steps) - 1, -1, -1):
+            if steps[i] != e:
+                continue
+            first = t if i == 0 else began[i - 1]
+            if first is not None and t - first <= seconds * 1_000_000:
+                began[i] = first if began[i] is None else max(first, began[i])
 
-    level = F.aggregate("events", start, walk, lambda s: F.size(F.filter(s, lambda x: x.isNotNull())))
-    only = df.filter(F.col(event).isin(*steps)).groupBy(key).agg(events.alias("events"))
-    return only.select(key, level.alias("level"))
+    level = lambda began: sum(x is not None for x in began)
+    return folded(df.filter(F.col(event).isin(*steps)), key, time, tie, event, lambda: [None] * len(steps), step, level, "level")
 
 
 def latest(df: DataFrame, key: str, order: str, tie: str, n: int = 1) -> DataFrame:
@@ -101,7 +135,7 @@ def sliding_decisions(df: DataFrame, client: str, time: str, tie: str, limit: in
 
     A decision depends on earlier ones, so it is not a window function. Requests are sorted by client
     within partitions and read as a stream; what is held is the allowed times of one client's window,
-    at most limit of them, however many requests it has.
+    at most limit of them, however many requests it has. One client's decisions are one task's work.
     """
     schema = df.schema.add("allowed", "boolean")
 
@@ -154,14 +188,28 @@ def bucket_decisions(df: DataFrame, client: str, time: str, tie: str, limit: int
     return df.repartition(client).sortWithinPartitions(client, time, tie).mapInPandas(run, schema)
 
 
-def segments(orders: DataFrame, customer: str, time: str, amount: str, as_of_date: str) -> DataFrame:
-    """Recency, frequency and monetary scores from 1 to 5, and the customer's segment."""
-    g = orders.groupBy(customer).agg(F.datediff(F.lit(as_of_date).cast("date"), F.max(F.to_date(time))).alias("recency"), F.count(F.lit(1)).alias("frequency"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("monetary"))
-    score = lambda c, bounds, less: _score(F.col(c), bounds, less)
-    g = g.withColumns({"r": score("recency", (30, 90, 180, 365), True), "f": score("frequency", (20, 10, 5, 2), False), "m": score("monetary", (1_000_000, 500_000, 200_000, 50_000), False)})
-    high = lambda c: F.col(c) >= 4
-    segment = F.when(high("r") & high("f") & high("m"), "champion").when(high("f") & high("m"), "at risk").when(high("r") & high("f"), "loyal").when(high("r"), "recent").when(high("m"), "big spender").otherwise("other")
-    return g.withColumn("segment", segment)
+# Bounds of the scores 5, 4, 3 and 2, and segments in the order in which they are tried.
+RECENCY, FREQUENCY, MONETARY = (7, 14, 30, 60), (10, 5, 3, 2), (10_000, 5_000, 1_000, 500)
+SEGMENTS = [
+    ("r_score >= 4 AND f_score >= 4 AND m_score >= 4", "高价值用户"),
+    ("r_score >= 4 AND f_score >= 4", "重要保持用户"),
+    ("r_score >= 4 AND m_score >= 4", "重要发展用户"),
+    ("f_score >= 4 AND m_score >= 4", "重要挽留用户"),
+    ("r_score >= 4", "新用户"),
+    ("f_score >= 4", "一般保持用户"),
+    ("m_score >= 4", "一般发展用户"),
+]
+NO_SEGMENT = "流失用户"
+
+
+def segments(orders: DataFrame, customer: str, order: str, time: str, amount: str, as_of_date: str) -> DataFrame:
+    """Recency, frequency (distinct orders) and monetary scores from 1 to 5, their sum, and the customer's segment."""
+    g = orders.groupBy(customer).agg(F.datediff(F.lit(as_of_date).cast("date"), F.max(F.to_date(time))).alias("recency_days"), F.count_distinct(order).alias("frequency"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("monetary"))
+    g = g.withColumns({"r_score": _score(F.col("recency_days"), RECENCY, True), "f_score": _score(F.col("frequency"), FREQUENCY, False), "m_score": _score(F.col("monetary"), MONETARY, False)})
+    segment = F.lit(NO_SEGMENT)
+    for condition, name in reversed(SEGMENTS):
+        segment = F.when(F.expr(condition), name).otherwise(segment)
+    return g.withColumns({"rfm_score": F.col("r_score") + F.col("f_score") + F.col("m_score"), "user_segment": segment})
 
 
 def _score(c: Column, bounds: tuple, less: bool) -> Column:

@@ -94,8 +94,10 @@ def a30(spark, sf):
 
 
 def a31(spark, sf):
-    items = _lineage(spark, sf).withColumn("operator", F.when(F.col("pos") == 0, F.concat(F.lit("TUMBLE("), "operator", F.lit(")"))).when(F.col("pos") == 1, F.concat(F.lit("date_format("), "operator", F.lit(")"))).otherwise(F.col("operator")))
-    return L.stream_features(items)
+    """Expressions with stream functions around them, some spelled in small letters, which do not count."""
+    around = lambda name: F.concat(F.lit(name), F.lit("("), "operator", F.lit(")"))
+    operator = F.when(F.col("pos") == 0, around("TUMBLE")).when(F.col("pos") == 1, around("DATE_FORMAT")).when(F.col("pos") == 2, around("date_format")).when(F.col("pos") == 3, F.concat(F.lit("WATERMARK FOR event_time AS "), "operator")).when(F.col("pos") == 4, F.concat(F.lit("DENSE_RANK() OVER "), "operator"))
+    return L.stream_features(_lineage(spark, sf).withColumn("operator", F.coalesce(operator, "operator")))
 
 
 def l8(spark, sf):
@@ -124,6 +126,6 @@ ORACLES = {
     "a28_table_rollup": f"SELECT target, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources FROM {_EDGES} GROUP BY 1",
     "a29_lineage_report": f"SELECT count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets, count(*) AS n_edges, 3 * (SELECT count(*) FROM part) AS n_statements FROM {_EDGES}",
     "a30_complexity": f"WITH {_F} SELECT stmt_id, count(*) AS n_columns, CAST(sum(n_sources) AS BIGINT) AS n_sources, max(n_sources) AS max_sources, round(avg(n_sources), 6) AS avg_sources, count(*) FILTER (operator LIKE 'SUM%') AS n_operators, CAST(count(*) + 0.5 * sum(n_sources) + 2.0 * count(*) FILTER (operator LIKE 'SUM%') AS DOUBLE) AS score FROM y GROUP BY 1",
-    "a31_stream_features": f"WITH {_F} SELECT count(*) FILTER (pos = 1) AS n_time, count(*) FILTER (pos = 0) AS n_window, CAST(0 AS BIGINT) AS n_watermark FROM y",
+    "a31_stream_features": f"WITH {_F} SELECT count(*) FILTER (pos IN (1, 3)) AS n_time, count(*) FILTER (pos IN (0, 4)) AS n_window, count(*) FILTER (pos = 3) AS n_watermark FROM y",
     "l8_graph_edges": f"WITH {_F} SELECT s AS source_id, 'derived_from' AS type, CAST(1.0 AS DOUBLE) AS confidence, CAST(sum(branches) AS BIGINT) AS n, count(DISTINCT target || ':' || stmt_id) AS n_ids FROM x GROUP BY 1",
 }

@@ -40,33 +40,69 @@ def p5(spark, sf):
     return _keys(spark, sf).filter(X.matches_glob(F.col("key"), "user:1*:cl?ck")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Databases, schemas and users as sources list them, some of the system's own among them.
+LISTED = {
+    "mysql": ["mysql", "shop", "sys", "information_schema", "Sys"],
+    "postgres": ["public", "pg_catalog", "pg_temp_3", "pg_toast_temp_1", "pgbench"],
+    "oracle": ["XDB", "HR", "XS$NULL", "PUBLIC", "sys"],
+    "sqlserver": ["dbo", "guest", "sys", "INFORMATION_SCHEMA", "sales"],
+    "clickhouse": ["default", "system", "INFORMATION_SCHEMA", "systems", "logs"],
+}
+
+
+def _of(names, i):
+    return F.element_at(F.array(*(F.lit(x) for x in names)), (i % len(names) + 1).cast("int"))
+
+
 def p6(spark, sf):
-    return table(spark, sf, "nation").filter(~F.col("n_name").isin("FRANCE", "GERMANY") & ~F.col("n_name").like("U%")).select("n_nationkey", "n_name")
+    c = table(spark, sf, "customer")
+    listed = None
+    for dialect, names in LISTED.items():
+        own = c.select("c_custkey", F.lit(dialect).alias("dialect"), _of(names, F.col("c_custkey")).alias("name"))
+        own = own.filter(~Y.is_system(F.col("name"), dialect))
+        listed = own if listed is None else listed.unionByName(own)
+    return listed
+
+
+def p6_engines(spark, sf):
+    engine = _of(["MergeTree", "View", "MaterializedView", "Dictionary", "Log"], F.col("p_partkey"))
+    return table(spark, sf, "part").select("p_partkey", engine.alias("engine")).filter(Y.is_table_engine(F.col("engine"), "clickhouse"))
+
+
+#: Types as each dialect spells them.
+SPELLED = {
+    "mysql": ["int", "TINYINT", "double", "decimal", "varchar", "longtext", "date", "datetime", "blob", "bit", "enum", "json"],
+    "postgres": ["int4", "bigint", "double precision", "numeric", "character varying", "text", "time with time zone", "timestamp without time zone", "bytea", "jsonb", "uuid", "money"],
+    "hive": ["tinyint", "bigint", "double precision", "decimal(10,2)", "varchar(20)", "array<int>", "map<string,int>", "struct<a:int>", "uniontype<int,string>", "timestamp with local time zone", "interval_day_time", "BINARY"],
+    "clickhouse": ["Int8", "Nullable(Int32)", "UInt64", "Float32", "Nullable(Decimal(10, 2))", "FixedString(16)", "DateTime64(3)", "Date", "Array(String)", "Map(String, Int8)", "Enum8('a'=1)", "Nullable(Bool)"],
+    "doris": ["tinyint", "smallint", "INT", "largeint", "float", "decimalv3(9,2)", "varchar(20)", "text", "datetimev2", "boolean", "map<int,int>", "bitmap"],
+    "sqlserver": ["nvarchar", "INT", "money", "real", "bit", "datetime2", "image", "uniqueidentifier", "xml", "geography", "date", "numeric"],
+    "elasticsearch": ["keyword", "long", "integer", "short", "byte", "half_float", "scaled_float", "date", "nested", "geo_shape", "ip", "flattened"],
+    "avro": ["null", "long", "bytes", "com.acme.Money", '["null", "long"]', '{"type": "record", "name": "r"}', '{"type": "enum"}', '["null", {"type": "array", "items": "int"}]', '{"type": "map"}', '{"type": "fixed"}', '{"name": 1}', '["null"]'],
+}
 
 
 def _types(spark, sf):
-    p = table(spark, sf, "part")
-    t = F.element_at(F.array(*(F.lit(x) for x in ("varchar(20)", "decimal(10,2)", "int", "bigint", "text", "datetime", "map<string,int>", "char(3)", "blob", "geometry"))), (F.col("p_size") % 10 + 1).cast("int"))
-    return p.select("p_partkey", t.alias("t"))
+    return table(spark, sf, "part").select("p_partkey", *(_of(names, F.col("p_partkey")).alias(d) for d, names in SPELLED.items()))
 
 
 def p7(spark, sf):
-    t = _types(spark, sf)
-    return t.select("p_partkey", *(Y.canonical(d, F.col("t")).alias(d) for d in ("mysql", "postgres", "hive", "clickhouse", "doris")))
+    return _types(spark, sf).select("p_partkey", *(Y.canonical(d, F.col(d)).alias(d) for d in SPELLED))
 
 
 def p8(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", _of(["varchar(20)", "decimal(10,2)", "int", "character varying(7)", "DECIMAL(9, 0)", "numeric(5)", "char(3)", "text"], F.col("p_partkey")).alias("t"))
     a, b, c = Y.type_parameters(F.col("t"))
-    return _types(spark, sf).select("p_partkey", a.alias("length"), b.alias("precision"), c.alias("scale"))
+    return t.select("p_partkey", a.alias("length"), b.alias("precision"), c.alias("scale"))
 
 
 def p9(spark, sf):
-    kind = F.when(F.col("o_orderstatus") == "F", "BASE TABLE").when(F.col("o_orderstatus") == "O", "foreign table").otherwise("SEQUENCE")
-    return table(spark, sf, "orders").select(Y.table_type(kind).alias("table_type")).groupBy("table_type").agg(F.count(F.lit(1)).alias("n"))
+    kind = _of(["BASE TABLE", "view", "MATERIALIZED VIEW", "foreign table", "SEQUENCE", "EXTERNAL_TABLE", "VIRTUAL_VIEW", "SYSTEM VIEW", "MANAGED_TABLE"], F.col("o_orderkey"))
+    return table(spark, sf, "orders").select(kind.alias("kind"), *(Y.table_type(kind, d).alias(d) for d in Y.TABLE_TYPES)).groupBy("kind", *Y.TABLE_TYPES).agg(F.count(F.lit(1)).alias("n"))
 
 
 def p10(spark, sf):
-    cls = F.concat(F.lit("org.apache.hadoop.hive.ql.io."), F.element_at(F.array(*(F.lit(x) for x in ("OrcInputFormat", "parquet.MapredParquetInputFormat", "TextInputFormat", "Other"))), (F.col("p_size") % 4 + 1).cast("int")))
+    cls = F.concat(F.lit("org.apache.hadoop."), _of(["hive.ql.io.orc.OrcInputFormat", "hive.ql.io.parquet.MapredParquetInputFormat", "mapred.TextInputFormat", "mapred.SequenceFileInputFormat", "hive.ql.io.RCFileInputFormat", "hive.ql.io.avro.AvroContainerInputFormat", "json.JsonInput", "Other"], F.col("p_partkey")))
     return table(spark, sf, "part").select(Y.storage_format(cls).alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,8 +118,9 @@ def p13(spark, sf):
 
 
 def p14(spark, sf):
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("mysql", "Hive", "mongodb", "redis", "kafka", "minio", "other"))), (F.col("c_custkey") % 7 + 1).cast("int"))
-    return table(spark, sf, "customer").select("c_custkey", Y.category(kind).alias("category"))
+    kind = _of(["mysql", "starrocks", "mongodb", "etcd", "rocketmq", "s3", "oss", "Hive", "other"], F.col("c_custkey"))
+    c = table(spark, sf, "customer").select("c_custkey", Y.category(kind).alias("category"))
+    return c.withColumn("valid", Y.is_category(F.col("category")))
 
 
 def _requests(spark, sf):
@@ -117,23 +154,23 @@ def p18(spark, sf):
 
 
 def p19(spark, sf):
-    j = F.concat(F.lit('{"user": "u", "password": "p'), F.col("user_id").cast("string"), F.lit('", "inner": {"token": 5, "k": "v"}}'))
+    j = F.concat(F.lit('{"user": "u", "password": "p'), F.col("user_id").cast("string"), F.lit('", "inner": {"token": 5, "k": "v", "secret_key": "x\\"y", "credentials": {"a": {"b": [1, "}"]}}}, "access_token": "t"}'))
     return table(spark, sf, "events").select("event_id", X.redacted_json(j).alias("details"))
 
 
 def p19_map(spark, sf):
-    m = F.create_map(F.lit("secret"), "c_name", F.lit("segment"), "c_mktsegment")
+    m = F.create_map(F.lit("access_key"), "c_name", F.lit("segment"), "c_mktsegment", F.lit("credentials"), "c_name", F.lit("refresh_token"), "c_name")
     r = X.redacted_map(m)
-    return table(spark, sf, "customer").select("c_custkey", r["secret"].alias("secret"), r["segment"].alias("segment"))
+    return table(spark, sf, "customer").select("c_custkey", *(r[k].alias(k) for k in ("access_key", "segment", "credentials", "refresh_token")))
 
 
 def p20(spark, sf):
-    m = X.masked_config(F.create_map(F.lit("password"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")), F.lit("host"), "c_mktsegment"))
-    return table(spark, sf, "customer").select("c_custkey", m["password"].alias("password"), m["host"].alias("host"), X.masked(F.col("c_name"), 3).alias("name"))
+    m = X.masked_config(F.create_map(F.lit("password"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")), F.lit("access_key"), "c_name", F.lit("secret_key"), "c_name", F.lit("token"), "c_name", F.lit("host"), "c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", *(m[k].alias(k) for k in ("password", "access_key", "secret_key", "token", "host")), X.masked(F.col("c_name"), 3).alias("name"))
 
 
 def p21(spark, sf):
-    action = F.element_at(F.array(*(F.lit(x) for x in ("login_failed", "task_delete", "config_change", "login", "password_change"))), (F.col("event_id") % 5 + 1).cast("int"))
+    action = _of(["login_failed", "task_delete", "config_change", "login", "password_change", "datasource_delete", "template_delete", "token_refresh"], F.col("event_id"))
     return table(spark, sf, "events").select(action.alias("action")).withColumn("severity", X.severity(F.col("action"))).groupBy("action", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -186,47 +223,55 @@ def s4(spark, sf):
 
 
 QUERIES = {
-    "p1_glob": p1, "p2_regex": p2, "p3_rules": p3, "p3_rule_table": p3_table, "p4_two_stages": p4, "p5_key_scan": p5, "p6_system_objects": p6, "p7_canonical_types": p7, "p8_type_parameters": p8, "p9_table_types": p9, "p10_storage_formats": p10,
+    "p1_glob": p1, "p2_regex": p2, "p3_rules": p3, "p3_rule_table": p3_table, "p4_two_stages": p4, "p5_key_scan": p5, "p6_system_objects": p6, "p6_table_engines": p6_engines, "p7_canonical_types": p7, "p8_type_parameters": p8, "p9_table_types": p9, "p10_storage_formats": p10,
     "p11_partition_specs": p11, "p13_flags": p13, "p14_categories": p14, "p15_path_templates": p15, "p16_access": p16, "p17_normal_paths": p17, "p18_validation": p18, "p19_redacted_json": p19, "p19_redacted_map": p19_map, "p20_masking": p20,
     "p21_severity": p21, "p22_list_filter": p22, "p23_word_search": p23, "p24_predicates": p24, "p24_quantified": p24_quantified, "p25_distinct": p25, "p26_incremental": p26, "p27_log_lines": p27, "f12_identifiers": f12, "s4_file_format": s4,
 }
 
-_T = "(SELECT p_partkey, ['varchar(20)', 'decimal(10,2)', 'int', 'bigint', 'text', 'datetime', 'map<string,int>', 'char(3)', 'blob', 'geometry'][p_size % 10 + 1] AS t FROM part)"
 _R = "(SELECT event_id, user_id, event_type, CASE event_type WHEN 'click' THEN '/api/v1/tasks/' || user_id || '/start' WHEN 'view' THEN '/api/v1/tasks/' || user_id ELSE '/api/v1/health' END AS path, CASE user_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'operator' ELSE 'viewer' END AS role FROM events)"
 _P = "CASE event_type WHEN 'click' THEN 'task:start' WHEN 'view' THEN 'task:read' END"
 
 
-def _case(column: str, names: dict, otherwise: str) -> str:
-    return f"CASE {' '.join(f'WHEN {column} = {k!r} THEN {v!r}' for k, v in names.items())} ELSE {otherwise} END"
+def _sql_list(names):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in names) + "]"
 
 
-_B = {"varchar": "varchar", "decimal": "decimal", "int": "int", "bigint": "bigint", "text": "text", "datetime": "datetime", "map": "map", "char": "char", "blob": "blob", "geometry": "geometry"}
-_EXACT = {d: _case("b", {b: n for n, types in Y.EXACT[d].items() for b in types.split() if b in _B}, "upper(b)") for d in Y.EXACT}
-_PREFIX = {d: "CASE " + " ".join(f"WHEN starts_with(t, '{p}') THEN '{n}'" for p, n in Y.PREFIXES[d]) + " ELSE 'TEXT' END" for d in Y.PREFIXES}
-
+# What each type of SPELLED must become, by the sources' own rules.
+_CANONICAL = {
+    "mysql": ["INTEGER", "INTEGER", "FLOAT", "DECIMAL", "STRING", "STRING", "DATE", "TIMESTAMP", "BINARY", "BIT", "ENUM", "JSON"],
+    "postgres": ["INTEGER", "INTEGER", "FLOAT", "DECIMAL", "STRING", "STRING", "TIME", "TIMESTAMP", "BINARY", "JSON", "UUID", "MONEY"],
+    "hive": ["INTEGER", "INTEGER", "FLOAT", "DECIMAL", "STRING", "ARRAY", "MAP", "STRUCT", "UNION", "TIMESTAMP", "INTERVAL_DAY_TIME", "BINARY"],
+    "clickhouse": ["TINYINT", "INTEGER", "BIGINT", "REAL", "DECIMAL", "CHAR", "TIMESTAMP", "DATE", "ARRAY", "TEXT", "ENUM", "BOOLEAN"],
+    "doris": ["TINYINT", "SMALLINT", "INTEGER", "BIGINT", "REAL", "DECIMAL", "VARCHAR", "TEXT", "TIMESTAMP", "BOOLEAN", "MAP", "BLOB"],
+    "sqlserver": ["TEXT", "INTEGER", "NUMERIC", "DOUBLE", "BOOLEAN", "TIMESTAMP", "BLOB", "UUID", "XML", "TEXT", "TIMESTAMP", "NUMERIC"],
+    "elasticsearch": ["string", "bigint", "int", "smallint", "tinyint", "float", "decimal", "timestamp", "object", "geometry", "string", "string"],
+    "avro": ["null", "bigint", "bytes", "com.acme.Money", "bigint", "record", "enum", "array", "map", "complex", "object", "union"],
+}
+_LISTED = {d: _sql_list(names) for d, names in LISTED.items()}
 ORACLES = {
+    "p6_table_engines": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'MergeTree' ELSE 'Log' END AS engine FROM part WHERE p_partkey % 5 IN (0, 4)",
     "p1_glob": "SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*a[a-m]*' OR p_name GLOB '?o*'",
     "p2_regex": "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)brass|^promo')",
     "p3_rules": "SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '^Brand#[1-3].$') AND NOT regexp_matches(p_brand, '#1[2-4]$') AND p_brand <> 'Brand#22'",
     "p3_rule_table": "SELECT n_nationkey, n_name FROM nation a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE b.n_nationkey % 10 = 0 AND right(b.n_name, 1) = right(a.n_name, 1)) AND EXISTS (SELECT 1 FROM nation b WHERE b.n_nationkey % 10 = 5 AND right(b.n_name, 1) = right(a.n_name, 1))",
     "p4_two_stages": "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer%' AND c_name NOT LIKE '%7' AND regexp_matches(c_name, '[0-4]$')",
     "p5_key_scan": "SELECT count(*) AS n FROM events WHERE regexp_matches('user:' || user_id || ':' || event_type, '^user:1.*:cl.ck$')",
-    "p6_system_objects": "SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN ('FRANCE', 'GERMANY') AND n_name NOT LIKE 'U%'",
-    "p7_canonical_types": f"SELECT p_partkey, {', '.join(f'{_EXACT[d]} AS {d}' for d in _EXACT)}, {', '.join(f'{_PREFIX[d]} AS {d}' for d in _PREFIX)} FROM (SELECT *, regexp_replace(t, '[(<].*$', '') AS b FROM {_T})",
-    "p8_type_parameters": f"SELECT p_partkey, CASE t WHEN 'varchar(20)' THEN 20 WHEN 'char(3)' THEN 3 END AS length, CASE t WHEN 'decimal(10,2)' THEN 10 END AS precision, CASE t WHEN 'decimal(10,2)' THEN 2 END AS scale FROM {_T}",
-    "p9_table_types": "SELECT CASE o_orderstatus WHEN 'F' THEN 'TABLE' WHEN 'O' THEN 'EXTERNAL_TABLE' ELSE 'SEQUENCE' END AS table_type, count(*) AS n FROM orders GROUP BY 1",
-    "p10_storage_formats": "SELECT ['ORC', 'PARQUET', 'TEXTFILE', 'UNKNOWN'][p_size % 4 + 1] AS format, count(*) AS n FROM part GROUP BY 1",
+    "p6_system_objects": "SELECT c_custkey, dialect, name FROM (" + " UNION ALL ".join(f"SELECT c_custkey, '{d}' AS dialect, {x}[c_custkey % 5 + 1] AS name FROM customer" for d, x in _LISTED.items()) + ") WHERE (dialect, name) IN (('mysql', 'shop'), ('mysql', 'Sys'), ('postgres', 'public'), ('postgres', 'pgbench'), ('oracle', 'HR'), ('oracle', 'sys'), ('sqlserver', 'dbo'), ('sqlserver', 'sales'), ('clickhouse', 'default'), ('clickhouse', 'systems'), ('clickhouse', 'logs'))",
+    "p7_canonical_types": "SELECT p_partkey, " + ", ".join(f"{_sql_list(names)}[p_partkey % 12 + 1] AS {d}" for d, names in _CANONICAL.items()) + " FROM part",
+    "p8_type_parameters": "SELECT p_partkey, [20, NULL, NULL, 7, NULL, NULL, 3, NULL][p_partkey % 8 + 1] AS length, [NULL, 10, NULL, NULL, 9, 5, NULL, NULL][p_partkey % 8 + 1] AS precision, [NULL, 2, NULL, NULL, 0, NULL, NULL, NULL][p_partkey % 8 + 1] AS scale FROM part",
+    "p9_table_types": "SELECT ['BASE TABLE', 'view', 'MATERIALIZED VIEW', 'foreign table', 'SEQUENCE', 'EXTERNAL_TABLE', 'VIRTUAL_VIEW', 'SYSTEM VIEW', 'MANAGED_TABLE'][i] AS kind, ['TABLE', 'VIEW', 'TABLE', 'TABLE', 'TABLE', 'TABLE', 'TABLE', 'TABLE', 'TABLE'][i] AS mysql, ['TABLE', 'VIEW', 'MATERIALIZED_VIEW', 'EXTERNAL_TABLE', 'TABLE', 'TABLE', 'TABLE', 'TABLE', 'TABLE'][i] AS postgres, ['TABLE', 'VIEW', 'TABLE', 'TABLE', 'TABLE', 'EXTERNAL_TABLE', 'VIEW', 'TABLE', 'TABLE'][i] AS hive, count(*) AS n FROM (SELECT o_orderkey % 9 + 1 AS i FROM orders) GROUP BY i",
+    "p10_storage_formats": "SELECT ['orc', 'parquet', 'text', 'sequencefile', 'rcfile', 'avro', 'json', ''][p_partkey % 8 + 1] AS format, count(*) AS n FROM part GROUP BY 1",
     "p11_partition_specs": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dt, o_orderstatus AS status, 2 AS n FROM orders",
     "p13_flags": "SELECT p_partkey, p_size % 3 = 0 AS nullable, p_size % 4 = 0 AS auto_increment FROM part",
-    "p14_categories": "SELECT c_custkey, ['RDBMS', 'DataWarehouse', 'DocumentDB', 'KeyValue', 'MessageQueue', 'ObjectStorage', ''][c_custkey % 7 + 1] AS category FROM customer",
+    "p14_categories": "SELECT c_custkey, category, category <> '' AS valid FROM (SELECT c_custkey, ['RDBMS', 'DataWarehouse', 'DocumentDB', 'KeyValue', 'MessageQueue', 'ObjectStorage', 'ObjectStorage', '', ''][c_custkey % 9 + 1] AS category FROM customer)",
     "p15_path_templates": "SELECT event_type, CASE event_type WHEN 'click' THEN '/api/v1/tasks/*/start' WHEN 'view' THEN '/api/v1/tasks/*' END AS template, count(*) AS n FROM events GROUP BY 1, 2",
     "p16_access": f"SELECT role, permission, permission IS NULL OR role = 'admin' OR (role = 'operator' AND permission = 'task:start') OR (role = 'viewer' AND permission = 'task:read') AS allowed, count(*) AS n FROM (SELECT *, {_P} AS permission FROM {_R}) GROUP BY 1, 2, 3",
     "p17_normal_paths": f"SELECT regexp_replace(path, '/[0-9]+', '/:id') AS route, count(*) AS n FROM {_R} GROUP BY 1",
     "p18_validation": "SELECT c_custkey, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, '; ') AS errors FROM (SELECT c_custkey, [x for x in [CASE WHEN length(c_name) > 0 THEN NULL ELSE 'c_name: is required' END, CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'c_acctbal: must not be negative' END, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN NULL ELSE 'c_mktsegment: is not supported' END] if x IS NOT NULL] AS e FROM customer)",
-    "p19_redacted_json": """SELECT event_id, '{"user": "u", "password": "[REDACTED]", "inner": {"token": "[REDACTED]", "k": "v"}}' AS details FROM events""",
-    "p19_redacted_map": "SELECT c_custkey, '[REDACTED]' AS secret, c_mktsegment AS segment FROM customer",
-    "p20_masking": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '********' END AS password, c_mktsegment AS host, left(c_name, 3) || '****' || right(c_name, 3) AS name FROM customer",
-    "p21_severity": "SELECT action, CASE WHEN action IN ('login_failed', 'password_change') THEN 'warning' WHEN action IN ('task_delete', 'config_change') THEN 'critical' ELSE 'info' END AS severity, count(*) AS n FROM (SELECT ['login_failed', 'task_delete', 'config_change', 'login', 'password_change'][event_id % 5 + 1] AS action FROM events) GROUP BY 1, 2",
+    "p19_redacted_json": '''SELECT event_id, '{"user": "u", "password": "[REDACTED]", "inner": {"token": "[REDACTED]", "k": "v", "secret_key": "[REDACTED]", "credentials": "[REDACTED]"}, "access_token": "t"}' AS details FROM events''',
+    "p19_redacted_map": "SELECT c_custkey, '[REDACTED]' AS access_key, c_mktsegment AS segment, '[REDACTED]' AS credentials, c_name AS refresh_token FROM customer",
+    "p20_masking": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '********' END AS password, '********' AS access_key, '********' AS secret_key, c_name AS token, c_mktsegment AS host, left(c_name, 3) || '****' || right(c_name, 3) AS name FROM customer",
+    "p21_severity": "SELECT ['login_failed', 'task_delete', 'config_change', 'login', 'password_change', 'datasource_delete', 'template_delete', 'token_refresh'][i] AS action, ['warning', 'critical', 'critical', 'info', 'warning', 'critical', 'info', 'info'][i] AS severity, count(*) AS n FROM (SELECT event_id % 8 + 1 AS i FROM events) GROUP BY i",
     "p22_list_filter": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50",
     "p23_word_search": r"SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT doc_id, len(list_intersect(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['the', 'license', 'idiot'])) AS score FROM documents) WHERE score > 0",
     "p24_predicates": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND (o_orderstatus IN ('F', 'O') OR o_orderpriority ILIKE '%urgent%') AND o_custkey IS NOT NULL",

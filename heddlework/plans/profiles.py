@@ -119,7 +119,7 @@ def a26(spark, sf):
 
 
 def a27(spark, sf):
-    code = F.when(F.col("l_linenumber") == 1, "TIMEOUT").when(F.col("l_linenumber") == 2, "NETWORK_ERROR").when(F.col("l_linenumber") == 3, "AUTH_ERROR").otherwise("NOT_FOUND")
+    code = F.element_at(F.array(*(F.lit(x) for x in ("TIMEOUT", "NETWORK_ERROR", "AUTH_ERROR", "DEADLINE_EXCEEDED", "NOT_FOUND", "RATE_LIMITED"))), (F.col("l_linenumber") % 6 + 1).cast("int"))
     return P.error_counts(table(spark, sf, "lineitem").withColumn("code", code).withColumnRenamed("l_returnflag", "category"), "category")
 
 
@@ -183,7 +183,7 @@ ORACLES = {
     "a24_result_summary": "SELECT user_id % 50 AS task, counter, CAST(sum(v) AS BIGINT) AS total FROM (SELECT user_id, unnest(['records', 'errors', 'warnings']) AS counter, unnest([event_id % 7, event_id % 2, event_id % 3]) AS v FROM events) GROUP BY ALL",
     "a25_batch_result": "SELECT count(*) AS total, count(*) FILTER (c_acctbal >= 0 OR c_acctbal IS NULL) AS success, count(*) FILTER (c_acctbal < 0) AS failed FROM customer",
     "a26_run_summary": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS success, count(*) FILTER (o_orderstatus <> 'F') AS failed, count(DISTINCT o_custkey) AS tables, round(count(DISTINCT o_custkey) / count(*), 6) AS tables_per_second FROM orders GROUP BY 1",
-    "a27_error_counts": "SELECT l_returnflag AS category, code, count(*) AS n, code IN ('TIMEOUT', 'NETWORK_ERROR') AS retryable FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'NETWORK_ERROR' WHEN 3 THEN 'AUTH_ERROR' ELSE 'NOT_FOUND' END AS code FROM lineitem) GROUP BY 1, 2",
+    "a27_error_counts": "SELECT l_returnflag AS category, ['TIMEOUT', 'NETWORK_ERROR', 'AUTH_ERROR', 'DEADLINE_EXCEEDED', 'NOT_FOUND', 'RATE_LIMITED'][l_linenumber % 6 + 1] AS code, count(*) AS n, l_linenumber % 6 IN (0, 1, 3) AS retryable FROM lineitem GROUP BY l_returnflag, l_linenumber % 6",
     "a32_group_having": "SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS n_orders, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 10",
     "a33_rollup": "SELECT CAST(y AS INTEGER) AS year, o_orderstatus, count(*) AS n, CAST(grouping_id(y, o_orderstatus) AS INTEGER) AS level FROM (SELECT year(o_orderdate) AS y, o_orderstatus FROM orders) GROUP BY ROLLUP (y, o_orderstatus)",
     "a34_bitmap_distinct": "SELECT event_type, count(DISTINCT user_id) AS n_distinct FROM events GROUP BY 1",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators.temporal import as_of
+from ..sources.storage import shared_folder
 from ..streaming import streams as S
 from .common import table
 
@@ -17,8 +21,8 @@ def _text(df, *columns):
 
 
 def r2(spark, sf):
-    out = S.upsert_sink(S.tumbling(_events(spark, sf), "ts", "1 hour", "event_type"), ["window_start", "event_type"])
-    return _text(out.drop("uv"), "window_start", "window_end")
+    out = S.upsert_sink(S.tumbling(_events(spark, sf), "ts", "1 hour", "event_type", exact=True), ["window_start", "event_type"])
+    return _text(out, "window_start", "window_end")
 
 
 def r3(spark, sf):
@@ -60,7 +64,30 @@ def r9(spark, sf):
 
 
 def r11(spark, sf):
-    return S.paths(table(spark, sf, "events"), "user_id", "ts", "event_type", "view", "click", "purchase", 60, 1_000_000)
+    return S.paths(table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type", "view", "click", "purchase", 60, 1_000_000)
+
+
+def r1(spark, sf):
+    """Every fiftieth event comes two batches after most others: in windows that the watermark had passed a batch before it is dropped."""
+    path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ("event_id % 50 > 1", "event_id % 50 = 1", "event_id % 50 = 0"):
+        e.filter(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "5 seconds")
+    return _text(S.upsert_sink(S.hopping(stream, "ts", "1 hour", "1 hour", "event_type"), ["window_start", "event_type"]), "window_start", "window_end")
+
+
+def r5_versions(spark, sf):
+    """Events with the version of their user's row that held at their time: orders of the user change the status."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("since")).agg(F.max("o_orderstatus").alias("status"))
+    out = S.upsert_sink(_events(spark, sf).select("event_id", "user_id", "ts"), [], "append")
+    return as_of(out, o, "user_id", "ts", "since", ["status"]).select("event_id", "status")
+
+
+def r12(spark, sf):
+    e = _events(spark, sf).select("user_id", "ts")
+    out = S.upsert_sink(S.limited(e, "user_id", "ts", 3, 86_400), [], "append")
+    return out.groupBy("user_id", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
 def r14(spark, sf):
@@ -69,11 +96,24 @@ def r14(spark, sf):
     return S.upsert_sink(S.audited(e, "details"), [], "append").select("event_id", "audit_id", "action", "details", "severity")
 
 
-QUERIES = {"r2_tumbling": r2, "r3_hopping": r3, "r4_sessions": r4, "r5_stream_dimension": r5, "r6_stream_interval": r6, "r8_alerts": r8, "r9_live_ranking": r9, "r11_paths": r11, "r14_audit": r14}
+QUERIES = {"r2_tumbling": r2, "r3_hopping": r3, "r4_sessions": r4, "r5_stream_dimension": r5, "r6_stream_interval": r6, "r8_alerts": r8, "r9_live_ranking": r9, "r11_paths": r11, "r14_audit": r14, "r1_late_rows": r1, "r5_versions": r5_versions, "r12_stream_limiter": r12}
 
 _F = "'%Y-%m-%d %H:%M:%S'"
+_SEQ = "e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events)"
 ORACLES = {
-    "r2_tumbling": f"SELECT strftime(date_trunc('hour', ts), {_F}) AS window_start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, {_F}) AS window_end, event_type, count(*) AS pv FROM events GROUP BY ALL",
+    "r11_paths": f"""
+WITH RECURSIVE {_SEQ},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS began, CAST(0 AS BIGINT) AS n FROM e WHERE k = 1
+  UNION ALL SELECT r.user_id, e.k, CASE event_type WHEN 'view' THEN t WHEN 'click' THEN began END, n + (event_type = 'purchase' AND began IS NOT NULL AND t - began BETWEEN 60000000 AND 1000000000000)::INT FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, max(n) AS n_matches FROM r GROUP BY 1 HAVING max(n) > 0""",
+    "r12_stream_limiter": f"""
+WITH RECURSIVE {_SEQ},
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BOOLEAN) AS allowed FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, CASE WHEN len(h) < 3 THEN list_append(h, t) ELSE h END, len(h) < 3 FROM (SELECT e.user_id, e.k, e.t, list_filter(r.held, lambda x: e.t - x < 86400000000) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, allowed, count(*) AS n FROM r WHERE k > 0 GROUP BY 1, 2""",
+    "r1_late_rows": f"WITH w AS (SELECT *, date_trunc('hour', ts) AS s, (SELECT max(ts) FROM events WHERE event_id % 50 > 1) - INTERVAL 5 SECOND AS mark FROM events) SELECT strftime(s, {_F}) AS window_start, strftime(s + INTERVAL 1 HOUR, {_F}) AS window_end, event_type, count(*) AS n FROM w WHERE event_id % 50 <> 0 OR s + INTERVAL 1 HOUR > mark GROUP BY ALL",
+    "r5_versions": "WITH o AS (SELECT o_custkey AS u, o_orderdate AS since, max(o_orderstatus) AS status FROM orders GROUP BY 1, 2) SELECT event_id, (SELECT arg_max(status, since) FROM o WHERE u = user_id AND since <= ts) AS status FROM events",
+    "r2_tumbling": f"SELECT strftime(date_trunc('hour', ts), {_F}) AS window_start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, {_F}) AS window_end, event_type, count(*) AS pv, count(DISTINCT user_id) AS uv FROM events GROUP BY ALL",
     "r3_hopping": f"SELECT strftime(s, {_F}) AS window_start, strftime(s + INTERVAL 6 HOUR, {_F}) AS window_end, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('hour', ts) - to_hours(k) AS s FROM events, (SELECT unnest(range(0, 6)) AS k)) GROUP BY ALL",
     "r4_sessions": f"WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, strftime(min(ts), {_F}) AS window_start, count(*) AS n, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM b GROUP BY user_id, g HAVING count(*) >= 2",
     "r5_stream_dimension": "SELECT c_mktsegment, count(*) AS n FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY 1",

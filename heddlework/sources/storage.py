@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import csv
 import shutil
 import tempfile
 import uuid
@@ -55,18 +56,20 @@ def csv_text(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     Skipped rows are the first lines of each file, which stand in the file's first block.
     """
     if not skip_rows:
-        df = spark.read.csv(path, sep=sep, header=header, mode="DROPMALFORMED", inferSchema=False)
+        df = spark.read.csv(path, sep=sep, escape='"', header=header, mode="DROPMALFORMED", inferSchema=False)
         return df if header else df.toDF(*(f"column_{i + 1}" for i in range(len(df.columns))))
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     first = lines.filter("_b = 0").withColumn("_r", F.row_number().over(Window.partitionBy("_f").orderBy("_i")))
     head = first.filter(F.col("_r") == skip_rows + 1).select("value").limit(1).collect()
     if not head:
         return spark.createDataFrame([], "column_1 string")
-    names = [c.strip() for c in head[0][0].split(sep)]
-    names = names if header else [f"column_{i + 1}" for i in range(len(names))]
+    names = next(csv.reader([head[0][0]], delimiter=sep))
+    names = [c.strip() for c in names] if header else [f"column_{i + 1}" for i in range(len(names))]
     rows = first.filter(F.col("_r") > skip_rows + header).select("value").unionByName(lines.filter("_b > 0").select("value"))
-    schema = ", ".join(f"`{n}` STRING" for n in names)
-    return rows.filter(F.size(F.split("value", F.lit("\\" + sep))) == len(names)).select(F.from_csv("value", schema, {"sep": sep}).alias("x")).select("x.*")
+    # Fields are counted by the parser, so a separator in quotes counts as none.
+    schema = ", ".join(f"`{n}` STRING" for n in names) + ", `_malformed` STRING"
+    x = F.from_csv("value", schema, {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    return rows.select(x.alias("x")).filter("x._malformed IS NULL").select(*(F.col("x")[n].alias(n) for n in names))
 
 
 def json_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

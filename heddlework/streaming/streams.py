@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.temporal import folded
 from ..sources.storage import shared_folder
 
 #: Messages of a topic, and of a queue, where nothing else is known of them. Fixed values.
@@ -28,9 +29,10 @@ def event_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def tumbling(df: DataFrame, time: str, size: str, *keys: str, user: str = "user_id") -> DataFrame:
-    """Views and estimated users in windows one after the other."""
-    return _flat(df.groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("pv"), F.approx_count_distinct(user, 0.01).alias("uv")))
+def tumbling(df: DataFrame, time: str, size: str, *keys: str, user: str = "user_id", exact: bool = False) -> DataFrame:
+    """Views and users in windows one after the other; users estimated, or, with a state that grows with a window's users, counted."""
+    users = F.size(F.collect_set(user)).cast("long") if exact else F.approx_count_distinct(user, 0.01)
+    return _flat(df.groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("pv"), users.alias("uv")))
 
 
 def hopping(df: DataFrame, time: str, size: str, slide: str, *keys: str) -> DataFrame:
@@ -69,18 +71,16 @@ def audited(events: DataFrame, detail: str) -> DataFrame:
     return filled.withColumn(detail, redacted_json(F.col(detail))).withColumn("severity", severity(F.col("action")))
 
 
-def paths(df: DataFrame, key: str, time: str, event: str, first: str, middle: str, last: str, least: int, most: int) -> DataFrame:
-    """Matches of ``first middle* last`` in a key's events, least to most seconds long, by a fold over them; matches do not overlap."""
-    events = F.array_sort(F.collect_list(F.struct(F.unix_timestamp(F.col(time).cast("timestamp")).alias("t"), F.col(event).alias("e"))))
-    start = F.struct(F.lit(None).cast("long").alias("began"), F.lit(0).cast("long").alias("n"))
+def paths(df: DataFrame, key: str, time: str, tie: str, event: str, first: str, middle: str, last: str, least: int, most: int) -> DataFrame:
+    """Matches of ``first middle* last`` in a key's events, least to most seconds long, for keys with any; matches do not overlap."""
 
-    def step(s, x):
-        took = x["t"] - s["began"]
-        hit = (x["e"] == last) & s["began"].isNotNull() & took.between(least, most)
-        began = F.when(x["e"] == first, x["t"]).when((x["e"] == middle) & s["began"].isNotNull(), s["began"])
-        return F.struct(began.alias("began"), (s["n"] + hit.cast("long")).alias("n"))
+    def step(state: list, t: int, e: str) -> None:
+        began = state[0]
+        if e == last and began is not None and least <= (t - began) / 1e6 <= most:
+            state[1] += 1
+        state[0] = t if e == first else began if e == middle else None
 
-    return df.groupBy(key).agg(events.alias("x")).select(key, F.aggregate("x", start, step, lambda s: s["n"]).alias("n_matches")).filter("n_matches > 0")
+    return folded(df, key, time, tie, event, lambda: [None, 0], step, lambda state: state[1], "n_matches").filter("n_matches > 0")
 
 
 def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int) -> DataFrame:
@@ -113,8 +113,12 @@ def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int)
     return stream.select(client, time).groupBy(client).applyInPandasWithState(run, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Runs the stream over what is there and gives the last row of each key; batches are files in the shared folder."""
+def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update", order: list[str] | None = None) -> DataFrame:
+    """Runs the stream over what is there and gives the last row of each key; batches are files in the shared folder.
+
+    The last row is that of the latest batch, within it the greatest by the columns of ``order``, and
+    of rows that are equal in these the greatest by all columns as text.
+    """
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -126,5 +130,5 @@ def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update") -> Dat
     rows = spark.read.schema(stream.schema.add("_batch", T.IntegerType())).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     if not keys:
         return rows.drop("_batch", "number")
-    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), *(F.desc(c) for c in order or []), F.desc(F.to_json(F.struct(*stream.columns))))
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch", "number")

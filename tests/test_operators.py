@@ -108,9 +108,11 @@ def test_lineage_of_statements(spark):
     assert good.count() == 0 and errors.count() == 1
 
 
-def test_views_with_a_loop_end(spark):
-    e = spark.createDataFrame([("v", "w"), ("w", "v"), ("x", "base")], "target string, source string")
-    assert lineage.to_base(e, rounds=3).filter("target = 'x'").first().source == "base"
+def test_views_with_a_loop_are_an_error(spark):
+    edges = spark.createDataFrame([("v", "w"), ("w", "v"), ("x", "base")], "target string, source string")
+    with pytest.raises(ValueError, match="come from themselves"):
+        lineage.to_base(edges, rounds=3)
+    assert [tuple(r) for r in lineage.to_base(edges.filter("target = 'x'"), rounds=3).collect()] == [("x", "base")]
 
 
 def _times(spark, rows):
@@ -148,7 +150,7 @@ def test_stream_limit_equals_batch(spark, tmp_path):
 def test_funnel_takes_the_best_walk(spark):
     rows = [(1, "v", 0), (1, "v", 50), (1, "c", 55), (1, "p", 58), (2, "c", 0), (2, "v", 5), (3, "v", 0), (3, "c", 100)]
     df = spark.createDataFrame([(k, e, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, e, s in rows], "k int, e string, t timestamp")
-    assert {r.k: r.level for r in temporal.funnel(df, "k", "t", "e", ["v", "c", "p"], 10).collect()} == {1: 3, 2: 1, 3: 1}
+    assert {r.k: r.level for r in temporal.funnel(df, "k", "t", "e", "e", ["v", "c", "p"], 10).collect()} == {1: 3, 2: 1, 3: 1}
 
 
 def test_as_of_sees_the_same_instant(spark):
@@ -198,3 +200,26 @@ def test_export_and_import(spark):
     lines = spark.createDataFrame([('{"id": 1, "name": "a"}',), ("{bad",), ('{"name": "b"}',)], "line string")
     good, bad = storage.imported(lines, "line", "id int, name string", ["id"])
     assert good.count() == 1 and sorted(r.error for r in bad.collect()) == ["malformed", "missing id"]
+
+
+def test_quoted_fields_stay_whole(spark, tmp_path):
+    lines = ['id,name', '1,"Doe, Jane"', '2,plain', '3,one,too many', '4', '5,"a ""b"", c"']
+    df = spark.createDataFrame([(x,) for x in lines[1:]], "line string")
+    assert sorted(tuple(r) for r in inference.delimited(df, "line", ["id", "name"]).collect()) == [("1", "Doe, Jane"), ("2", "plain"), ("5", 'a "b", c')]
+    assert sorted(r.malformed for r in inference.parsed_lines(df, "line", ["id", "name"]).filter("malformed IS NOT NULL").collect()) == ["3,one,too many", "4"]
+    (tmp_path / "a.csv").write_text("\n".join(["skipped", *lines]))
+    rows = storage.csv_text(spark, str(tmp_path / "a.csv"), skip_rows=1)
+    assert rows.columns == ["id", "name"] and sorted(tuple(r) for r in rows.collect()) == [("1", "Doe, Jane"), ("2", "plain"), ("5", 'a "b", c')]
+
+
+def test_ranks_over_ranges(spark):
+    from heddlework.operators.ranks import ranked
+
+    df = spark.range(500).select(((F.col("id") * 7919) % 500).alias("k"), (F.col("id") % 3).alias("n")).repartition(6)
+    rows = sorted(ranked(df, F.desc("k"), total="n").collect(), key=lambda r: -r.k)
+    assert [r["rank"] for r in rows] == list(range(500))
+    total = 0
+    for r in rows:
+        total += r.n
+        assert r.running == total
+    assert ranked(df.filter("false"), F.col("k")).count() == 0
