@@ -5,12 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
 
 def table_view(connectors: DataFrame, catalogs: DataFrame, schemas: DataFrame, tables: DataFrame) -> DataFrame:
     """Tables with the names of their schema, catalog and connector."""
     return tables.join(schemas, "schema_id").join(catalogs, "catalog_id").join(connectors, "connector_id")
 
 
+def column_view(catalogs: DataFrame, schemas: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Columns with the names of their table, schema and catalog; columns without a table are left out."""
+    return columns.join(tables, "table_id").join(schemas, "schema_id").join(catalogs, "catalog_id")
+
+
+def index_columns(indexes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(owner, index_name, seq, column_name, non_unique): the columns of each index of (owner, index_name, non_unique), by their position."""
+    return indexes.join(columns, ["owner", "index_name"]).select("owner", "index_name", F.col("position").alias("seq"), "column_name", "non_unique")
+
+
+#: What names a row of each stored table within its parent; rows without a parent are named by themselves.
+UNIQUE_KEYS = {
+    "connectors": ["id"], "catalogs": ["connector_id", "name"], "schemas": ["catalog_id", "name"], "tables": ["schema_id", "name"], "columns": ["table_id", "name"], "column_statistics": ["id"], "partitions": ["table_id", "name"],
+    "lineage_nodes": ["id"], "lineage_edges": ["id"],
+}
+
+
+def stored(tables: dict[str, DataFrame], path: str, version: str = "updated_at") -> dict[str, DataFrame]:
+    """Writes catalog or lineage tables below a path, each row of one unique key once, and reads them back.
+
+    Of several rows of a key the last by ``version`` stays (any of equals). What the path already has
+    of a table stays where no new row has its key. Edges without a confidence get 1.
+    """
+    out = {}
+    for name, df in tables.items():
+        spark = df.sparkSession
+        keys, at = UNIQUE_KEYS[name], f"{path}/{name}"
+        if name == "lineage_edges":
+            own = F.coalesce("confidence", F.lit(1.0)) if "confidence" in df.columns else F.lit(1.0)
+            df = df.withColumn("confidence", own.cast("decimal(3,2)"))
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        old = cut(spark.read.parquet(at), name) if exists else df.limit(0)
+        upserted(old, df, keys, version).write.mode("overwrite").parquet(at)
+        out[name] = spark.read.parquet(at)
+    return out
+
+
 def edge_view(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the names and types of both ends."""
     end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("type").alias(f"{side}_type"))

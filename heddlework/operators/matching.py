@@ -87,3 +87,19 @@ def past(df: DataFrame, column: str, last: object) -> tuple[DataFrame, DataFrame
     """Rows beyond the stored value, and the next value to store as one row."""
     new = df.filter(F.col(column) > F.lit(last)) if last is not None else df
     return new, new.agg(F.coalesce(F.max(column), F.lit(last)).alias("last_value"))
+
+
+#: What a dependency may be on.
+DEPENDENCY_TYPES = ("workflow", "time")
+
+
+def dependency_errors(dependencies: DataFrame) -> DataFrame:
+    """Adds ``error``, null for a valid dependency: a workflow needs an id, a time window hours 0 to 23 and 0 to 24 in order."""
+    kind, start, end = F.col("type"), F.col("start_hour"), F.col("end_hour")
+    workflow = F.when(F.coalesce("workflow_id", F.lit("")) == "", F.lit("workflow dependency requires workflow_id"))
+    window = (
+        F.when(start.isNull() & end.isNull(), F.lit("time dependency requires time_window")).when(~F.coalesce(start, F.lit(0)).between(0, 23), F.concat(F.lit("invalid start_hour: "), start.cast("string")))
+        .when(~F.coalesce(end, F.lit(0)).between(0, 24), F.concat(F.lit("invalid end_hour: "), end.cast("string"))).when(F.coalesce(start, F.lit(0)) >= F.coalesce(end, F.lit(0)), F.lit("start_hour must be less than end_hour"))
+    )
+    unknown = F.concat(F.lit("unknown dependency type: "), F.coalesce(kind, F.lit("")))
+    return dependencies.withColumn("error", F.when(kind == DEPENDENCY_TYPES[0], workflow).when(kind == DEPENDENCY_TYPES[1], window).otherwise(unknown))

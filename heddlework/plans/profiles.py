@@ -62,8 +62,9 @@ def a5(spark, sf):
 
 
 def a6(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("index_name"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("column_name"), (F.col("p_size") % 2).alias("non_unique"))
-    return P.assembled_indexes(p)
+    """Orders as indexes of their lines."""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("index_name"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("column_name"), (F.col("l_partkey") % 2).alias("non_unique"))
+    return P.assembled_indexes(l)
 
 
 def a7(spark, sf):
@@ -172,7 +173,7 @@ ORACLES = {
     "a3_top_values": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS INTEGER) AS place FROM (SELECT column_name, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")) + ") GROUP BY ALL)) WHERE place <= 5",
     "a4_part_statistics": f"SELECT CAST(partition_id AS INTEGER) AS partition_id, CAST(sum(rows) AS BIGINT) AS row_count, CAST(sum(bytes) AS BIGINT) AS size_bytes, count(*) AS part_count FROM {_PARTS} WHERE active = 1 GROUP BY partition_id",
     "a5_allocated_size": "SELECT CASE WHEN year(o_orderdate) < 1995 THEN 'old' ELSE 'new' END AS table_name, count(*) AS row_count, count(*) * 8192 AS size_bytes FROM orders GROUP BY 1",
-    "a6_index_assembly": "SELECT p_brand AS index_name, string_agg(p_type, ',' ORDER BY p_partkey, p_type) AS columns, max(p_size % 2) = 0 AS is_unique, count(*) AS n_columns FROM part GROUP BY p_brand",
+    "a6_index_assembly": "SELECT l_orderkey AS index_name, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS columns, max(l_partkey % 2) = 0 AS is_unique, count(*) AS n_columns FROM lineitem GROUP BY 1",
     "a7_partition_listing": "SELECT l_returnflag AS table_name, strftime(l_shipdate, '%Y%m') AS partition_name, min(l_linenumber) AS ordinal FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2",
     "a8_topic_statistics": "SELECT topic, CAST(sum(CASE WHEN p <> 3 THEN latest - earliest ELSE 0 END) AS BIGINT) AS message_count, CAST(sum(CASE WHEN p <> 3 THEN latest - earliest ELSE 0 END) * 1024 AS BIGINT) AS size_estimate, count(*) AS partition_count FROM (SELECT event_type AS topic, user_id % 4 AS p, min(event_id) AS earliest, max(event_id) + 1 AS latest FROM events GROUP BY 1, 2) GROUP BY topic",
     "a20_counts_with_totals": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",

@@ -130,3 +130,38 @@ def sampled(df: DataFrame, size: int, seed: int = 0, first: bool = False, drop:
     """At most size rows, at random or the first that come, without generated ids."""
     df = df.drop(*drop)
     return df.limit(size) if first else df.orderBy(F.rand(seed)).limit(size)
+
+
+#: Columns of a topic's messages and of a queue's, where no schema is registered (name, type, type of the source, nullable, comment).
+MESSAGE_COLUMNS = {
+    "topic": [("key", "bytes", "bytes", True, "Message key"), ("value", "bytes", "bytes", True, "Message value"), ("timestamp", "timestamp", "timestamp", False, "Message timestamp"), ("partition", "int", "int32", False, "Partition number"), ("offset", "long", "int64", False, "Message offset")],
+    "queue": [("routing_key", "string", "string", True, "Message routing key"), ("payload", "bytes", "bytes", True, "Message payload"), ("properties", "object", "object", True, "Message properties"), ("timestamp", "timestamp", "timestamp", True, "Message timestamp"), ("exchange", "string", "string", True, "Source exchange")],
+}
+
+
+def message_columns(names: DataFrame, kind: str, registered: DataFrame | None = None) -> DataFrame:
+    """Column records of topics or queues (name): the default ones for each that has no registered columns."""
+    rows = F.array(*(F.struct(F.lit(i + 1).alias("ordinal_position"), *(F.lit(x).alias(k) for k, x in zip(("column_name", "data_type", "source_type", "nullable", "comment"), c, strict=True))) for i, c in enumerate(MESSAGE_COLUMNS[kind])))
+    names = names.select("name").distinct()
+    if registered is not None:
+        names = names.join(registered.select("name").distinct(), "name", "left_anti")
+    return names.select("name", F.inline(rows))
+
+
+SCHEMA_JSON = "struct<database:string,table:string,columns:array<struct<name:string,data_type:string,nullable:boolean,primary_key:boolean,comment:string>>>"
+
+
+def schemas_from_json(text: DataFrame, column: str) -> DataFrame:
+    """Column records from JSON of table schemas, a list of them or a single one; the database is default where it is empty, names are lower case."""
+    body = F.trim(column)
+    many = F.when(body.startswith("["), F.from_json(body, f"array<{SCHEMA_JSON}>")).otherwise(F.array(F.from_json(body, SCHEMA_JSON)))
+    tables = text.select(F.inline(many)).filter("`table` IS NOT NULL")
+    cols = tables.select(F.lower(F.coalesce(F.nullif("database", F.lit("")), F.lit("default"))).alias("database"), F.lower("table").alias("table"), F.posexplode("columns").alias("ordinal", "c"))
+    return cols.select("database", "table", (F.col("ordinal") + 1).alias("ordinal"), "c.name", "c.data_type", F.coalesce("c.nullable", F.lit(False)).alias("nullable"), F.coalesce("c.primary_key", F.lit(False)).alias("primary_key"), F.coalesce("c.comment", F.lit("")).alias("comment"))
+
+
+def schemas_to_json(columns: DataFrame) -> DataFrame:
+    """One row of JSON for each table, its columns in order; tables are narrow, so each is one group."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "name", "data_type", "nullable", "primary_key", "comment")))
+    tables = columns.groupBy("database", "table").agg(F.transform(ordered, lambda c: F.struct(*(c[k].alias(k) for k in ("name", "data_type", "nullable", "primary_key", "comment")))).alias("columns"))
+    return tables.select("database", "table", F.to_json(F.struct("database", "table", "columns")).alias("json"))
