@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
 from .ranks import ranked
 
 # SQL types of inferred types.
@@ -28,19 +29,20 @@ def _kind(schema: Column) -> Column:
 def document_values(df: DataFrame, json: str, key: str, max_depth: int = 10) -> DataFrame:
     """(key, path, kind) for each field of each JSON object, by dotted path; arrays are leaves, objects are opened to max_depth.
 
-    One pass for each level; it ends with the first level that has no objects. Text that is no JSON object has no fields.
+    Documents are parsed once. Each level's fields are written to the shared folder, and the next level
+    opens the objects among them; it ends with the first level that has none. Text that is no JSON object has no fields.
     """
     level = df.select(F.col(key).alias("key"), F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v"))
+    level = level.withColumn("kind", _kind(F.schema_of_variant("v"))).filter("kind = 'object'")
     out = None
     for depth in range(max_depth):
-        # Only objects have fields by name.
-        level = level.filter(F.schema_of_variant("v").startswith("OBJECT"))
         fields = _fields(level)
-        kinds = fields.select("key", "path", _kind(F.schema_of_variant("v")).alias("kind"))
+        fields = cut(fields.withColumn("kind", _kind(F.schema_of_variant("v"))).withColumn("v", F.when(F.col("kind") == "object", F.col("v"))), "fields")
+        kinds = fields.select("key", "path", "kind")
         out = kinds if out is None else out.unionByName(kinds)
-        if depth + 1 == max_depth or fields.filter(F.schema_of_variant("v").startswith("OBJECT")).limit(1).count() == 0:
+        level = fields.filter("kind = 'object'")
+        if depth + 1 == max_depth or level.limit(1).count() == 0:
             break
-        level = fields
     return out
 
 
