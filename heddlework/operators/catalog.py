@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.types import canonical, is_system, type_parameters
 from ..sources.storage import cut
 
 
@@ -18,6 +19,29 @@ def column_view(catalogs: DataFrame, schemas: DataFrame, tables: DataFrame, colu
     return columns.join(tables, "table_id").join(schemas, "schema_id").join(catalogs, "catalog_id")
 
 
+def snapshot_columns(columns: DataFrame, keys: DataFrame, dialect: str) -> DataFrame:
+    """Column records from rows as an information schema has them, read by any reader (jdbc or landed files).
+
+    columns: table_schema, table_name, column_name, ordinal_position, data_type, is_nullable, column_default, extra and
+    column_comment; keys: table_schema, table_name and column_name of the primary keys. Schemas of the system are left out.
+    """
+    on = ["table_schema", "table_name", "column_name"]
+    own = columns.filter(~is_system(F.col("table_schema"), dialect))
+    marked = own.join(keys.select(*on).distinct().withColumn("_key", F.lit(True)), on, "left")
+    length, precision, scale = type_parameters(F.col("data_type"))
+    return marked.select(
+        *on, "ordinal_position", canonical(dialect, F.regexp_replace("data_type", r"\(.*$", "")).alias("data_type"), F.col("data_type").alias("source_type"), length.alias("length"), precision.alias("precision"), scale.alias("scale"),
+        (F.upper("is_nullable") == "YES").alias("is_nullable"), F.col("column_default").alias("default_value"), F.coalesce(F.lower("extra").contains("auto_increment"), F.lit(False)).alias("is_auto_increment"), F.coalesce("_key", F.lit(False)).alias("is_primary_key"), F.coalesce("column_comment", F.lit("")).alias("comment"),
+    )
+
+
+def described_table(rows: DataFrame, partitions: DataFrame, key: str, order: str, name: str, type_: str, comment: str) -> DataFrame:
+    """Columns of many tables from their DESCRIBE rows, partition columns flagged, with how many listed partitions each table has."""
+    cols = described(rows, key, order, name, type_, comment).filter("section IN ('columns', 'partition')")
+    n = partitions.filter("spec LIKE '%=%'").groupBy(key).agg(F.count_distinct("spec").alias("n_partitions"))
+    return cols.join(n, key, "left").withColumn("n_partitions", F.coalesce("n_partitions", F.lit(0)).cast("long"))
+
+
 def index_columns(indexes: DataFrame, columns: DataFrame) -> DataFrame:
     """(owner, index_name, seq, column_name, non_unique): the columns of each index of (owner, index_name, non_unique), by their position."""
     return indexes.join(columns, ["owner", "index_name"]).select("owner", "index_name", F.col("position").alias("seq"), "column_name", "non_unique")

@@ -42,6 +42,23 @@ def g11(spark, sf):
     return M.dependency_errors(d).groupBy("type", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def s10(spark, sf):
+    """Lines as an information schema's columns: every fifth order is a table of the system."""
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_returnflag").alias("f"))
+    of = lambda *names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("p") % len(names) + 1).cast("int"))
+    name = {"table_schema": F.when(F.col("l_orderkey") % 5 == 0, "sys").otherwise("shop"), "table_name": F.concat(F.lit("t"), F.col("l_orderkey").cast("string")), "column_name": F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))}
+    rows = l.withColumns(name).withColumns({"ordinal_position": F.col("l_linenumber"), "data_type": of("int", "varchar(20)", "decimal(10,2)", "geometry"), "is_nullable": F.when(F.col("f") == "N", "NO").otherwise("YES"), "column_default": F.when(F.col("f") == "A", "0"), "extra": F.when(F.col("l_linenumber") == 1, "auto_increment"), "column_comment": F.lit(None).cast("string")})
+    return C.snapshot_columns(rows, rows.filter("ordinal_position = 1"), "mysql")
+
+
+def s11(spark, sf):
+    """Orders as partitioned tables: lines are DESCRIBE rows, the fourth opens the partition columns; events of the day are partitions."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber"])
+    rows = l.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 4, "# Partition Information").otherwise(F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))).alias("name"), F.lit("string").alias("type"), F.lit("").alias("comment"))
+    parts = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_partkey") % 3 == 0, "junk").otherwise(F.concat(F.lit("dt="), F.date_format("l_shipdate", "yyyy-MM"))).alias("spec"))
+    return C.described_table(rows, parts, "l_orderkey", "l_linenumber", "name", "type", "comment").groupBy("is_partition", "n_partitions").agg(F.count(F.lit(1)).alias("n"))
+
+
 def s12(spark, sf):
     """Topics are kinds of events; those with clicks in their name have a registered schema."""
     topics = table(spark, sf, "events").select(F.col("event_type").alias("name"))
@@ -112,7 +129,7 @@ def s22(spark, sf):
 
 
 QUERIES = {
-    "j2_column_view": j2, "j6_index_columns": j6, "g11_dependency_errors": g11, "s12_message_columns": s12, "s13_queue_columns": s13, "s14_catalog_sink": s14, "s15_lineage_sink": s15, "s18_catalog_json": s18, "t2_page": t2, "t5_listings": t5, "f5_case": f5, "s20_buckets": s20, "s22_document_sample": s22,
+    "j2_column_view": j2, "j6_index_columns": j6, "g11_dependency_errors": g11, "s10_snapshot": s10, "s11_described_tables": s11, "s12_message_columns": s12, "s13_queue_columns": s13, "s14_catalog_sink": s14, "s15_lineage_sink": s15, "s18_catalog_json": s18, "t2_page": t2, "t5_listings": t5, "f5_case": f5, "s20_buckets": s20, "s22_document_sample": s22,
 }
 
 _C = "(SELECT CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'DW' END AS d, 'T' || l_orderkey AS t, l_linenumber AS ordinal, 'c' || l_linenumber AS name, l_returnflag AS data_type, l_returnflag = 'N' AS nullable, l_linenumber = 1 AS primary_key FROM lineitem)"
@@ -123,6 +140,11 @@ ORACLES = {
 WITH d AS (SELECT o_orderkey % 4 AS q, o_orderkey % 3 = 0 AS blank, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 27 - 1 END AS s, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 28 END AS e FROM orders)
 SELECT ['workflow', 'time', 'time', 'event'][q + 1] AS type, CASE q WHEN 0 THEN CASE WHEN blank THEN 'workflow dependency requires workflow_id' END WHEN 3 THEN 'unknown dependency type: event'
   ELSE CASE WHEN s IS NULL THEN 'time dependency requires time_window' WHEN s < 0 OR s > 23 THEN 'invalid start_hour: ' || s WHEN e > 24 THEN 'invalid end_hour: ' || e WHEN s >= e THEN 'start_hour must be less than end_hour' END END AS error, count(*) AS n FROM d GROUP BY 1, 2""",
+    "s10_snapshot": """
+SELECT 'shop' AS table_schema, 't' || l_orderkey AS table_name, 'c' || l_linenumber AS column_name, l_linenumber AS ordinal_position, ['INTEGER', 'STRING', 'DECIMAL', 'GEOMETRY'][k] AS data_type, ['int', 'varchar(20)', 'decimal(10,2)', 'geometry'][k] AS source_type, CASE k WHEN 2 THEN 20 END AS length, CASE k WHEN 3 THEN 10 END AS precision, CASE k WHEN 3 THEN 2 END AS scale,
+  f <> 'N' AS is_nullable, CASE f WHEN 'A' THEN '0' END AS default_value, l_linenumber = 1 AS is_auto_increment, l_linenumber = 1 AS is_primary_key, '' AS comment
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) % 4 + 1 AS k, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) WHERE l_orderkey % 5 <> 0""",
+    "s11_described_tables": "WITH r AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS i FROM lineitem), p AS (SELECT l_orderkey AS o, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS n FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1) SELECT i > 4 AND EXISTS (SELECT 1 FROM r x WHERE x.o = r.o AND x.i = 4) AS is_partition, coalesce(p.n, 0) AS n_partitions, count(*) AS n FROM r LEFT JOIN p ON p.o = r.o WHERE i <> 4 GROUP BY 1, 2",
     "s12_message_columns": "SELECT name, CAST(i AS INTEGER) AS ordinal_position, ['key', 'value', 'timestamp', 'partition', 'offset'][i] AS column_name, ['bytes', 'bytes', 'timestamp', 'int', 'long'][i] AS data_type, ['bytes', 'bytes', 'timestamp', 'int32', 'int64'][i] AS source_type, i < 3 AS nullable, ['Message key', 'Message value', 'Message timestamp', 'Partition number', 'Message offset'][i] AS comment FROM (SELECT DISTINCT event_type AS name FROM events WHERE event_type NOT LIKE '%click%'), (SELECT unnest(range(1, 6)) AS i)",
     "s13_queue_columns": "SELECT name, CAST(i AS INTEGER) AS ordinal_position, ['routing_key', 'payload', 'properties', 'timestamp', 'exchange'][i] AS column_name, ['string', 'bytes', 'object', 'timestamp', 'string'][i] AS data_type, ['string', 'bytes', 'object', 'timestamp', 'string'][i] AS source_type, true AS nullable, ['Message routing key', 'Message payload', 'Message properties', 'Message timestamp', 'Source exchange'][i] AS comment FROM (SELECT DISTINCT c_mktsegment AS name FROM customer), (SELECT unnest(range(1, 6)) AS i)",
     "s14_catalog_sink": "SELECT o_custkey AS schema_id, o_orderpriority AS name, coalesce(max(o_orderkey) FILTER (o_orderkey % 2 = 1), max(o_orderkey)) AS updated_at FROM orders GROUP BY 1, 2",
