@@ -75,9 +75,16 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
 
 
 def closes_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate edges (source_id, target_id) with whether they would close a cycle: the source is reached from the target."""
-    ends = reached(edges, candidates.select(F.col("target_id").alias("node_id")))
-    back = ends.select(F.col("start_id").alias("target_id"), F.col("node_id").alias("source_id"), F.lit(True).alias("_hit"))
+    """Candidate edges (source_id, target_id) with whether they would close a cycle: the source is reached from the target.
+
+    Only nodes on or between cycles of the edges and all candidates together can matter, so walks are
+    made among those alone, one from each distinct target.
+    """
+    ends = candidates.select("source_id", "target_id").distinct()
+    near = kept(cyclic_nodes(edges.select("source_id", "target_id").unionByName(ends)))
+    among = lambda df: df.join(near.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(near.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
+    found = reached(among(edges.select("source_id", "target_id")), among(ends).select(F.col("target_id").alias("node_id")))
+    back = found.select(F.col("start_id").alias("target_id"), F.col("node_id").alias("source_id"), F.lit(True).alias("_hit"))
     return candidates.join(back, ["source_id", "target_id"], "left").withColumn("closes", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -134,7 +134,9 @@ def g3(spark, sf):
 
 
 def g4(spark, sf):
-    return G.subgraph(_edges(spark, sf), _nodes(spark, sf).filter("node_id = 'n:3'").select("node_id"))[1]
+    """Around all nations of two regions: their region above them and their customers below."""
+    starts = table(spark, sf, "nation").filter("n_regionkey IN (1, 3)").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node_id"))
+    return G.subgraph(_edges(spark, sf), starts)[1]
 
 
 def g6(spark, sf):
@@ -208,7 +210,7 @@ ORACLES = {
     "g1_node_removal": f"SELECT * FROM {_E} WHERE NOT (source_id LIKE 'n%2' OR target_id LIKE 'n%2')",
     "g2_upstream": "WITH c AS (SELECT 'c:' || c_custkey AS s, 'n:' || c_nationkey AS n, 'r:' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT s AS start_id, s AS node_id, 0 AS depth FROM c UNION ALL SELECT s, n, 1 FROM c UNION ALL SELECT s, r, 2 FROM c",
     "g3_downstream": "SELECT 'r:' || r_regionkey AS start_id, 'r:' || r_regionkey AS node_id, 0 AS depth FROM region UNION ALL SELECT 'r:' || n_regionkey, 'n:' || n_nationkey, 1 FROM nation UNION ALL SELECT 'r:' || n_regionkey, 'c:' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey",
-    "g4_subgraph": f"SELECT * FROM {_E} WHERE source_id = 'n:3' OR target_id = 'n:3'",
+    "g4_subgraph": "SELECT 'r:' || n_regionkey AS source_id, 'n:' || n_nationkey AS target_id FROM nation WHERE n_regionkey IN (1, 3) UNION ALL SELECT DISTINCT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 3)",
     "g6_containment": f"SELECT DISTINCT * FROM {_E}",
     "g7_rollup": "SELECT 'r' AS source_group, 'n' AS target_group, count(*) AS n FROM nation UNION ALL SELECT 'n', 'c', count(*) FROM customer",
     "g8_cycle_test": "SELECT 'n:' || n_nationkey AS source_id, 'r:1' AS target_id, n_regionkey = 1 AS closes FROM nation",

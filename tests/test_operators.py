@@ -1,5 +1,6 @@
 """Behaviour that the driver's tables do not show: odd inputs, limits and order."""
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -99,6 +100,24 @@ def test_graph_with_cycles(spark):
     assert graph.reached(e, start.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_by_definition(spark, seed):
+    """Nodes on a cycle, or on a way from one to another; and candidates, whose source is reached from their target."""
+    r = random.Random(seed)
+    edges = {(r.randrange(30), r.randrange(30)) for _ in range(32)}
+    reach = {v: {v} for v in range(30)}
+    for _ in range(30):
+        for a, b in edges:
+            reach[a] |= reach[b]
+    on = {a for a, b in edges if a in reach[b]}
+    wanted = {v for v in range(30) if reach[v] & on and any(v in reach[c] for c in on)}
+    frame = spark.createDataFrame(sorted(edges), "source_id int, target_id int")
+    assert {x.node_id for x in graph.cyclic_nodes(frame).collect()} == wanted
+    candidates = [(r.randrange(30), r.randrange(30)) for _ in range(20)]
+    found = graph.closes_cycle(frame, spark.createDataFrame(candidates, "source_id int, target_id int")).collect()
+    assert sorted((x.source_id, x.target_id, x.closes) for x in found) == sorted((a, b, a in reach[b]) for a, b in candidates)
+
+
 def test_lineage_of_statements(spark):
     scripts = spark.createDataFrame([(1, "-- c\nINSERT INTO a.b SELECT x FROM c JOIN D ON 1=1; nonsense; SELECT * FROM e")], "id int, t string")
     s = lineage.statements(scripts, "id", "t")
