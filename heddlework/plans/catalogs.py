@@ -213,6 +213,7 @@ ORACLES = {
     "g4_subgraph": "SELECT 'r:' || n_regionkey AS source_id, 'n:' || n_nationkey AS target_id FROM nation WHERE n_regionkey IN (1, 3) UNION ALL SELECT DISTINCT 'n:' || c_nationkey, 'c:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 3)",
     "g6_containment": f"SELECT DISTINCT * FROM {_E}",
     "g7_rollup": "SELECT 'r' AS source_group, 'n' AS target_group, count(*) AS n FROM nation UNION ALL SELECT 'n', 'c', count(*) FROM customer",
+    "g8_cyclic_nodes": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1 WHERE o.o_custkey <> p.o_custkey), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t), c AS (SELECT DISTINCT s FROM f WHERE s = t), a AS (SELECT s AS v FROM c UNION SELECT t FROM f WHERE s IN (FROM c)), b AS (SELECT s AS v FROM c UNION SELECT s FROM f WHERE t IN (FROM c)) SELECT v AS node_id FROM a INTERSECT SELECT v FROM b",
     "g8_cycle_test": "SELECT 'n:' || n_nationkey AS source_id, 'r:1' AS target_id, n_regionkey = 1 AS closes FROM nation",
     "g9_adjacency": f"SELECT node_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS targets FROM {_N} LEFT JOIN {_E} e ON e.source_id = node_id GROUP BY 1",
     "g12_edge_filter": f"SELECT *, (length(target_id) % 3) / 2.0 AS confidence FROM {_E} WHERE source_id LIKE 'n%' AND (length(target_id) % 3) / 2.0 >= 0.5",

@@ -67,6 +67,20 @@ def s21(spark, sf):
     return table(spark, sf, "orders").sample(0.1, seed=3).select("o_orderkey")
 
 
+def s21_bounds(spark, sf):
+    """Samples by share, by rows and by bucket: whether their sizes are what was asked for, and all their rows are the table's."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    o.createOrReplaceTempView("heddlework_sampled")
+    total = o.agg(F.count(F.lit(1)).alias("n"))
+    sizes = None
+    for how, low, high in (("10 PERCENT", 0.05, 0.15), ("BUCKET 1 OUT OF 4", 0.2, 0.3)):
+        rows = spark.sql(f"SELECT o_orderkey FROM heddlework_sampled TABLESAMPLE ({how}) REPEATABLE (3)")
+        hit = rows.join(o.withColumn("known", F.lit(True)), "o_orderkey", "left").agg(F.count(F.lit(1)).alias("k"), F.count("known").alias("known"))
+        one = hit.crossJoin(total).select(F.lit(how).alias("how"), F.col("k").between(F.col("n") * low, F.col("n") * high).alias("within"), (F.col("k") == F.col("known")).alias("known"))  # one row each
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return sizes
+
+
 def s23(spark, sf):
     t = {n: table(spark, sf, n) for n in ("customer", "orders", "nation", "supplier")}
     run = C.collected(t, "full", exclude=["supp*"])
@@ -78,8 +92,9 @@ def s23_incremental(spark, sf):
     return C.collected(t, "incremental", since={"events": ("event_id", 100), "customer": ("c_custkey", 50)})[1].select("table_name", "row_count")
 
 
-QUERIES = {"s1_csv": s1, "s1_csv_skip": s1_skip, "s2_json": s2, "s3_parquet_columns": s3, "s6_listing": s6, "s16_export": s16, "s17_import": s17, "s19_partition_overwrite": s19, "s21_sample": s21, "s23_collection": s23, "s23_incremental": s23_incremental}
+QUERIES = {"s1_csv": s1, "s1_csv_skip": s1_skip, "s2_json": s2, "s3_parquet_columns": s3, "s6_listing": s6, "s16_export": s16, "s17_import": s17, "s19_partition_overwrite": s19, "s21_sample": s21, "s21_bounds": s21_bounds, "s23_collection": s23, "s23_incremental": s23_incremental}
 ORACLES = {
+    "s21_bounds": "SELECT unnest(['10 PERCENT', 'BUCKET 1 OUT OF 4']) AS how, true AS within, true AS known",
     "s1_csv": "SELECT i AS ordinal, ['s_suppkey', 's_name', 's_nationkey'][i] AS path, ['integer', 'string', 'integer'][i] AS data_type, ['BIGINT', 'TEXT', 'BIGINT'][i] AS sql_type, false AS nullable, (SELECT count(*) FROM supplier) AS n FROM (SELECT unnest([1, 2, 3]) AS i)",
     "s1_csv_skip": "SELECT count(*) - 3 AS n FROM nation",
     "s2_json": "SELECT c_custkey, c_name FROM customer",
