@@ -17,7 +17,7 @@
    not know are joined from the table of counts. A document's score is the sum over its words.
 
 A null or empty text has no words: score 0 and no mean. Repeated rows count as often as they occur
-and get equal scores. A word without a count (only in texts that were not counted) stands for one
+and get equal scores. Of words that occur equally often those of lower hashes are known. A word without a count (only in texts that were not counted) stands for one
 occurrence. Other columns are ignored. Scores depend a little on how files are split over tasks.
 """
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from .common import WORD, cut, join_by_source, table
 
 
@@ -28,16 +29,6 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.col("text").cast("string"))))
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Adds a rank, from 0, over the whole table without one task for all rows: ranges, their sizes, places in them."""
-    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
-    sizes = parts.groupBy("_part").count()
-    # One row for each partition.
-    before = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.coalesce("_before", F.lit(0)) + place - 1).drop("_part", "_before")
-
-
 def apportioned(df: DataFrame, group: str, item: str, votes: str, seats: str) -> DataFrame:
     """Adds ``quota``: within each group, its seats to the highest quotients votes / (2 * i + 1), i = 0, 1, ...
 

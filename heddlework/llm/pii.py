@@ -9,7 +9,8 @@ estimates how reliable each labeler is and the probability that a pattern is per
 logistic span classifier is trained on those probabilities and decides which candidates are added.
 Base spans always stay.
 
-A null text is empty and has no spans. Repeated rows give repeated results. Positions are code
+A null text is empty and has no spans. Repeated rows give repeated results. A candidate that is as
+likely as not is added; spans of several kinds that begin at one place are all reported. Positions are code
 points, ends exclusive. Other columns are ignored by the operator and kept by the pipeline's stage.
 """
 
