@@ -2,7 +2,7 @@
 
 A text is cut into sentences at blank lines and after ``.``, ``;``, ``!`` or ``?`` (or ``:`` at a line's
 end) followed by white space; other line ends are white space, as licence texts come wrapped. Copyright
-lines and SPDX identifiers are sentences of their own. A sentence is normalised (lower case, runs of
+lines, SPDX identifiers and lines that are a whole statement are sentences of their own. A sentence is normalised (lower case, runs of
 anything but letters and digits as one space) and mapped to the identifier of a known licence sentence,
 an index into ``SENTENCES``; unknown ones get none and break a sequence. The sequence of
 identifiers is matched against the ordered rules: the longest rules come first and a rule claims the
@@ -126,6 +126,8 @@ RULES = [
 ]
 #: Lines that are sentences of their own get blank lines around them.
 _LINES = r"(?i)(\n[^a-z0-9\n]*(?:(?:portions )?copyright[ ]*(?:\(c\)|©|[0-9]{4}|by )|spdx-license-identifier:)[^\n]*)"
+#: So do lines that are a whole statement, whatever line is in front of them.
+_STATEMENTS = r"(?i)\n([^a-z0-9\n]*(?:(?:(?:this|the|all) \w+(?: \w+)? (?:is|are) )?(?:licensed|released|available|published) under [^\n]*\.|all rights reserved\.?)[^a-z0-9\n]*)\n"
 #: Initials end no sentence.
 _INITIAL = r"\b([A-Za-z])\. "
 _ENDS = r"\n[^A-Za-z0-9\n]*\n|[.;!?][\"')\]]*[ \t\r\n]+|:[ \t\r]*\n"
@@ -146,7 +148,8 @@ def sentences(documents: DataFrame) -> DataFrame:
         return F.when(x.rlike(_KNOWN), out).otherwise(F.lit("<>"))
 
     docs = texts(documents).filter(F.lower("text").rlike(TRIGGER))
-    apart = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace("text", _INITIAL, "$1 ")), F.lit(_LINES), F.lit("\n\n$1\n\n"))
+    apart = F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace("text", _INITIAL, "$1 "), F.lit("\n")), F.lit(_LINES), F.lit("\n\n$1\n\n"))
+    apart = F.regexp_replace(apart, F.lit(_STATEMENTS), F.lit("\n\n$1\n\n"))
     docs = docs.withColumn("parts", F.filter(F.split(apart, _ENDS), lambda x: x.rlike("[A-Za-z]")))
     return docs.withColumn("_normal", F.transform("parts", normal)).select("doc_id", "parts", F.array_join(F.transform("_normal", identifier), "").alias("seq"))
 
@@ -178,7 +181,7 @@ def _oracle() -> str:
     which = " ".join(f"WHEN regexp_matches(m, '^(?:{p})$') THEN '{lic}\t{rule}'" for lic, rule, p in RULES)
     return rf"""
 WITH RECURSIVE s AS (
-  SELECT row_number() OVER () AS rid, doc_id, [x for x in string_split_regex(regexp_replace(chr(10) || regexp_replace(text, '{_INITIAL}', '\1 ', 'g'), '{_LINES}', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g'), '{quoted(_ENDS)}') if regexp_matches(x, '[A-Za-z]')] AS parts
+  SELECT row_number() OVER () AS rid, doc_id, [x for x in string_split_regex(regexp_replace(regexp_replace(chr(10) || regexp_replace(text, '{_INITIAL}', '\1 ', 'g') || chr(10), '{_LINES}', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g'), '{_STATEMENTS}', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g'), '{quoted(_ENDS)}') if regexp_matches(x, '[A-Za-z]')] AS parts
   FROM documents WHERE regexp_matches(lower(text), '{TRIGGER}')),
 l AS (SELECT rid, doc_id, parts, [trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) for x in parts] AS l FROM s),
 q AS (

@@ -168,6 +168,13 @@ def test_statements_and_identifiers(spark):
     assert sorted((r.doc_id, r.licence, r.rule, r.first_sentence) for r in rows) == wanted
 
 
+def test_statement_lines_after_lines_without_a_stop(spark):
+    texts = [f"A heading without a stop\n{t}\nmore of it" for _, t in SAID if t.startswith(("Rel", "Lic", "This w"))] + ["from from from\nLicensed under CC BY-NC 4.0.", "A title\n  All rights reserved\nA text"]
+    rows = licenses.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    wanted = [k for k, t in SAID if t.startswith(("Rel", "Lic", "This w"))] + ["CC-BY-NC-4.0", "Proprietary"]
+    assert sorted((r.doc_id, r.licence, r.first_sentence) for r in rows) == [(i, k, 1) for i, k in enumerate(wanted)]
+
+
 def test_licences_of_texts_as_in_sql(spark, tmp_path):
     texts = [t for _, _, x in FULL for t in (x, wrapped(x), wrapped(x, 50, "// "))] + [t for _, t in SAID] + [None, "", "\n" * 50, "SPDX-License-Identifier: \n", "copyright 1999\ncopyright 2000\nall rights reserved"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
