@@ -233,7 +233,7 @@ ORACLE = f"""
 WITH RECURSIVE steps AS (SELECT n::BIGINT AS byte, n::BIGINT AS c, 0 AS k FROM range(256) r(n)
   UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
 crc_table AS MATERIALIZED (SELECT byte, c FROM steps WHERE k = 8),
-split AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+split AS MATERIALIZED (SELECT 0 AS side, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
   UNION ALL SELECT 1, row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), '{_ASCII_UPPER}', '{_ASCII_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark),
 words AS MATERIALIZED (SELECT side, r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM split),
 runs AS (SELECT side, r, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM words WINDOW p AS (PARTITION BY side, r ORDER BY i)),

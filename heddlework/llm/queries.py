@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, licenses, quality
+from . import importance, licenses, merkle, quality
 from .decontamination import op1_decontamination
 from .html import op8_html
 from .importance import op13_importance
 from .jaccard import op10_jaccard
 from .licenses import op5_licences
 from .lmscore import op3_lm_scoring
+from .merkle import op12_merkle
 from .mixing import op6_mixing
 from .pii import op4_pii
 from .quality import op9_quality
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
+    "op12_merkle": op12_merkle,
     "op13_importance": op13_importance,
 }
-ORACLES: dict[str, str] = {"op5_licences": licenses.ORACLE, "op9_quality": quality.ORACLE, "op13_importance": importance.ORACLE}
+ORACLES: dict[str, str] = {"op5_licences": licenses.ORACLE, "op9_quality": quality.ORACLE, "op12_merkle": merkle.ORACLE, "op13_importance": importance.ORACLE}
