@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut, shared_folder
 
-__all__ = ["WORD", "cut", "join_by_source", "shared_folder", "table", "texts"]
+__all__ = ["WORD", "cut", "groups", "join_by_source", "shared_folder", "table", "texts"]
 
 #: A word of a whole text: what is not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +27,15 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def groups(column: pa.Array, size: int) -> Iterator[tuple[slice, list[str]]]:
+    """Texts of an Arrow column in groups of about so many bytes, with their rows; a longer text is a group of its own."""
+    begin, upto = 0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + size)))
+        yield slice(begin, end), column[begin:end].to_pylist()
+        begin = end
+
+
 def join_by_source(rows: DataFrame, small: DataFrame, on: str, most: int = 100_000, salts: int = 64) -> DataFrame:
     """Left join of rows to one row for each value of ``on``, nulls equal to nulls, when a value may hold a third of all rows.
 

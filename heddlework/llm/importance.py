@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked
-from .common import cut, table, texts
+from .common import cut, groups, table, texts
 
 BUCKETS, LONGEST, LEAST_WORDS, SEED = 10_000, 3, 20, "42"
 #: Percent of the eligible documents that are drawn.
@@ -158,14 +158,10 @@ def featured(documents: DataFrame, buckets: int = BUCKETS, longest: int = LONGES
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, column, begin = batch.column("doc_id"), batch.column("text"), 0
-            upto = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False))
-            while begin < len(batch):
-                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PIECE)))
-                words, found = bucketed(column[begin:end].to_pylist(), buckets, longest)
-                arrays = [ids[begin:end], pa.array(words), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+            for part, group in groups(batch.column("text"), PIECE):
+                words, found = bucketed(group, buckets, longest)
+                arrays = [batch.column("doc_id")[part], pa.array(words), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_features", "buckets"])
-                begin = end
 
     return texts(documents).mapInArrow(run, "doc_id long, n_words long, n_features long, buckets binary")
 

@@ -11,6 +11,7 @@ from .decontamination import op1_decontamination
 from .html import op8_html
 from .importance import op13_importance
 from .jaccard import op10_jaccard
+from .langid import op11_langid
 from .licenses import op5_licences
 from .lmscore import op3_lm_scoring
 from .merkle import op12_merkle
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_jaccard": op10_jaccard,
+    "op11_langid": op11_langid,
     "op12_merkle": op12_merkle,
     "op13_importance": op13_importance,
 }
