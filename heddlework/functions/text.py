@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,14 +78,51 @@ def template_regex(template: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"(?<=^|/)\*(?=/|$)", "[^/]+"), F.lit("$"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A column made from a value that is computed once, wherever the column uses it."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Tokens of JSON text: strings, marks, white space, other values, and a quote that closes no string. They cover all of a text.
+JSON_TOKEN = r'"(?:[^"\\]++|\\[\s\S])*+"|[\{\}\[\]:,]|\s++|[^\s\{\}\[\]:,"]++|"'
+#: So many tokens are put together before they are appended to what is there, so that long texts are not copied for each token.
+TOKEN_BLOCK = 256
+
+
 def redacted_json(text: Column, keys: tuple[str, ...] = REDACTED_KEYS, by: str = "[REDACTED]") -> Column:
-    """JSON text with the values of the keys replaced, at any depth; a value that is an object or a list itself holds at most three levels."""
-    names = "|".join(map(re.escape, keys))
-    string, other = r'"(?:[^"\\]|\\.)*+"', r"[^,\s\}\]\[\{\"]++"
-    nested = rf"(?:{string}|[^\{{\}}\[\]\"]++)*+"
-    for _ in range(2):
-        nested = rf"(?:{string}|[^\{{\}}\[\]\"]++|[\{{\[]{nested}[\}}\]])*+"
-    return F.regexp_replace(text, rf'"({names})"(\s*:\s*)(?:{string}|[\{{\[]{nested}[\}}\]]|{other})', rf'"$1"$2"{by}"')
+    """JSON text with the whole values of the keys replaced at any depth, whether objects, lists or plain values, also inside lists.
+
+    Names are compared after unescaping. What is outside the values stays as it was written. Text that is
+    no valid JSON stays if it has none of the names, and is replaced as a whole if it has, as where a value
+    would end is not known then.
+    """
+    unescaped = lambda t: F.when(t.contains("\\"), F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")).otherwise(F.substring(t, F.lit(2), F.length(t) - 2))
+    replaced = F.to_json(F.array(F.lit(by))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(by)))) - 2)
+
+    def step(a: Column, t: Column) -> Column:
+        """The next token: pending is 1 after one of the keys, 2 after its colon; skip is the depth at which a value that is left out ends, or -1."""
+        turn = F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        depth, inside, blank = a["depth"] + turn, a["skip"] >= 0, t.rlike(r"^\s")
+        value = ~inside & ~blank & (a["pending"] == 2)
+        out = F.when(inside, F.lit("")).when(value, replaced).otherwise(t)
+        skip = F.when(inside & (depth > a["skip"]), a["skip"]).when(value & (turn == 1), a["depth"]).otherwise(-1)
+        key = t.startswith('"') & unescaped(t).isin(*keys)
+        pending = F.when(inside | value, 0).when(blank, a["pending"]).when((a["pending"] == 1) & (t == ":"), 2).when(key, 1).otherwise(0)
+        return F.struct(F.concat(a["out"], out).alias("out"), depth.alias("depth"), skip.alias("skip"), pending.alias("pending"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit(-1).alias("skip"), F.lit(0).alias("pending"))
+
+    def block(a: Column, tokens: Column) -> Column:
+        return bound(F.aggregate(tokens, a.withField("out", F.lit("")), step), lambda own: own.withField("out", F.concat(a["out"], own["out"])))
+
+    def blocks(tokens: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / TOKEN_BLOCK).cast("int")), lambda i: F.slice(tokens, i * TOKEN_BLOCK + 1, TOKEN_BLOCK))
+
+    done = F.aggregate(bound(F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0)), blocks), begin, block)["out"]
+    named = F.lit(False)
+    for k in keys:
+        named = named | text.contains(k)
+    return F.when(text.isNull() | ~(named | text.contains("\\u")), text).when(F.try_parse_json(text).isNotNull(), done).otherwise(F.lit(by))
 
 
 def redacted_map(m: Column, keys: tuple[str, ...] = REDACTED_KEYS, by: str = "[REDACTED]") -> Column:

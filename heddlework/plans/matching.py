@@ -154,8 +154,14 @@ def p18(spark, sf):
 
 
 def p19(spark, sf):
-    j = F.concat(F.lit('{"user": "u", "password": "p'), F.col("user_id").cast("string"), F.lit('", "inner": {"token": 5, "k": "v", "secret_key": "x\\"y", "credentials": {"a": {"b": [1, "}"]}}}, "access_token": "t"}'))
-    return table(spark, sf, "events").select("event_id", X.redacted_json(j).alias("details"))
+    """Documents in JSON of depth 1 to 20 around secrets, some in lists, with one key in three written with an escape."""
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 20).cast("int").alias("depth"), (F.col("doc_id") % 2 == 0).alias("listed"), (F.col("doc_id") % 3 == 0).alias("escaped"), "lang", "text")
+    quoted = F.col("text")
+    for raw, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        quoted = F.replace(quoted, F.lit(raw), F.lit(written))
+    secret = F.concat(F.when(F.col("escaped"), '{"pass\\u0077ord": ').otherwise('{"password": '), F.lit('{"a": [{"b": "}"}, 5]}, "k": "'), quoted, F.lit('", "token": "'), F.col("lang"), F.lit('"}'))
+    opening, closing = F.when(F.col("listed"), '{"a": [').otherwise('{"a": '), F.when(F.col("listed"), ', 1]}').otherwise("}")
+    return d.select("doc_id", X.redacted_json(F.concat(F.repeat(opening, F.col("depth")), secret, F.repeat(closing, F.col("depth")))).alias("details"))
 
 
 def p19_map(spark, sf):
@@ -268,7 +274,10 @@ ORACLES = {
     "p16_access": f"SELECT role, permission, permission IS NULL OR role = 'admin' OR (role = 'operator' AND permission = 'task:start') OR (role = 'viewer' AND permission = 'task:read') AS allowed, count(*) AS n FROM (SELECT *, {_P} AS permission FROM {_R}) GROUP BY 1, 2, 3",
     "p17_normal_paths": f"SELECT regexp_replace(path, '/[0-9]+', '/:id') AS route, count(*) AS n FROM {_R} GROUP BY 1",
     "p18_validation": "SELECT c_custkey, CAST(len(e) AS INTEGER) AS n_errors, array_to_string(e, '; ') AS errors FROM (SELECT c_custkey, [x for x in [CASE WHEN length(c_name) > 0 THEN NULL ELSE 'c_name: is required' END, CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'c_acctbal: must not be negative' END, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN NULL ELSE 'c_mktsegment: is not supported' END] if x IS NOT NULL] AS e FROM customer)",
-    "p19_redacted_json": '''SELECT event_id, '{"user": "u", "password": "[REDACTED]", "inner": {"token": "[REDACTED]", "k": "v", "secret_key": "[REDACTED]", "credentials": "[REDACTED]"}, "access_token": "t"}' AS details FROM events''',
+    "p19_redacted_json": '''SELECT doc_id, repeat(CASE WHEN doc_id % 2 = 0 THEN '{"a": [' ELSE '{"a": ' END, doc_id % 20)
+  || CASE WHEN doc_id % 3 = 0 THEN '{"pass\\u0077ord": ' ELSE '{"password": ' END || '"[REDACTED]", "k": "'
+  || replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '", "token": "[REDACTED]"}'
+  || repeat(CASE WHEN doc_id % 2 = 0 THEN ', 1]}' ELSE '}' END, doc_id % 20) AS details FROM documents''',
     "p19_redacted_map": "SELECT c_custkey, '[REDACTED]' AS access_key, c_mktsegment AS segment, '[REDACTED]' AS credentials, c_name AS refresh_token FROM customer",
     "p20_masking": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '********' END AS password, '********' AS access_key, '********' AS secret_key, c_name AS token, c_mktsegment AS host, left(c_name, 3) || '****' || right(c_name, 3) AS name FROM customer",
     "p21_severity": "SELECT ['login_failed', 'task_delete', 'config_change', 'login', 'password_change', 'datasource_delete', 'template_delete', 'token_refresh'][i] AS action, ['warning', 'critical', 'critical', 'info', 'warning', 'critical', 'info', 'info'][i] AS severity, count(*) AS n FROM (SELECT event_id % 8 + 1 AS i FROM events) GROUP BY i",

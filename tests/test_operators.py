@@ -1,5 +1,6 @@
 """Behaviour that the driver's tables do not show: odd inputs, limits and order."""
 
+import json
 import random
 import re
 from datetime import datetime, timedelta
@@ -9,10 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from heddlework.functions.text import glob_regex, masked, matches_regex, normal_path, partition_values, redacted_json
+from heddlework.functions.text import REDACTED_KEYS, glob_regex, masked, matches_regex, normal_path, partition_values, redacted_json
 from heddlework.operators import catalog, graph, inference, lineage, matching, profile, temporal
 from heddlework.sources import storage
 from heddlework.streaming import streams
+from heddlework.streaming.streams import audited
 
 
 @pytest.mark.parametrize(
@@ -242,3 +244,40 @@ def test_ranks_over_ranges(spark):
         total += r.n
         assert r.running == total
     assert ranked(df.filter("false"), F.col("k")).count() == 0
+
+
+def redacted(v):
+    if isinstance(v, dict):
+        return {k: "[REDACTED]" if k in REDACTED_KEYS else redacted(x) for k, x in v.items()}
+    return [redacted(x) for x in v] if isinstance(v, list) else v
+
+
+def nested(rnd, depth):
+    kind = rnd.random()
+    if depth and kind < 0.5:
+        return {rnd.choice([*REDACTED_KEYS, "a", 'k"q', "pass\\word", "x y"]): nested(rnd, depth - 1) for _ in range(rnd.randint(0, 4))}
+    if depth and kind < 0.7:
+        return [nested(rnd, depth - 1) for _ in range(rnd.randint(0, 4))]
+    return rnd.choice([1, -2.5, True, None, "token", 'a}"]{[,:\\', "é😀", "", '"password": "x"'])
+
+
+def test_secrets_are_redacted_at_any_depth(spark):
+    rnd = random.Random(4)
+    deep = {"password": {"deep": ["LEAK"]}}
+    docs = [nested(rnd, 6) for _ in range(300)] + [{"credentials": [[[[["LEAK"]]]]]}, [{"k": i, "token": [i]} for i in range(2000)]]
+    for i in range(30):
+        docs.append(deep)
+        deep = {"a": deep} if i % 2 else [deep, 1]
+    texts = [json.dumps(d, indent=rnd.choice([None, 2]), ensure_ascii=rnd.random() < 0.5) for d in docs]
+    texts = [t.replace('"password"', '"pass\\u0077ord"') if i % 3 == 0 else t for i, t in enumerate(texts)]
+    odd = {None: None, "": "", "plain text": "plain text", "5": "5", '"token"': '"token"', '{"password": "x': "[REDACTED]", "{'password': 'x'}": "[REDACTED]", '{"a": "u, "secret": "x"}': "[REDACTED]"}
+    df = spark.createDataFrame(list(enumerate([*texts, *odd])), "i int, t string")
+    got = {r.i: r.r for r in df.select("i", redacted_json(F.col("t")).alias("r")).collect()}
+    assert all(json.loads(got[i]) == redacted(d) for i, d in enumerate(docs))
+    assert [got[len(docs) + i] for i in range(len(odd))] == list(odd.values())
+
+
+def test_audit_hides_a_deep_secret(spark):
+    deep = '{"a": [' * 9 + '{"token": {"x": ["LEAK"]}}' + "]}" * 9
+    row = audited(spark.createDataFrame([(1, "login", deep)], "event_id long, action string, details string"), "details").first()
+    assert "LEAK" not in row.details and "[REDACTED]" in row.details
