@@ -16,7 +16,8 @@ documents are never shuffled, and no task holds more than a batch of documents a
 
 Empty inputs: a document or item that is null, empty or only white space has no shingles and takes
 no part. Text with fewer than ``n`` words is one shingle. Repeated document rows give repeated
-results; items with equal text are all reported. Other columns are ignored.
+results; items with equal text are all reported, and those without id with a null item_id. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,22 +145,22 @@ def item_blocks(items: DataFrame, n: int, hashes: int, max_shingles: int) -> Ite
     The driver reads the items one Spark partition after the other and builds one block at a time; each
     block is then sent to the executors, which keep it on disk where memory is short.
     """
-    ids: list[int] = []
+    ids: list[int | None] = []
     sets: list[np.ndarray] = []
     size = 0
-    for row in items.filter(F.col("item_id").isNotNull()).toLocalIterator():
+    for row in items.toLocalIterator():
         for b in tk.batches(pa.array([row["text"]], pa.string())):
             values = np.unique(tk.shingles(b, n)[0])
         if not len(values):
             continue
         if sets and size + len(values) > max_shingles:
-            yield Index(np.array(ids, np.int64), sets, hashes)
+            yield Index(np.array(ids, object), sets, hashes)
             ids, sets, size = [], [], 0
         ids.append(row["item_id"])
         sets.append(values)
         size += len(values)
     if sets:
-        yield Index(np.array(ids, np.int64), sets, hashes)
+        yield Index(np.array(ids, object), sets, hashes)
 
 
 def held(index: Index, texts: pa.Array, n: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -188,7 +189,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 5, thresho
             for batch in rows:
                 for doc, item, shared in held(index, batch.column("text"), n, threshold):
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc)), pa.array(index.ids[item]), pa.array(shared), pa.array(index.sizes[item]), pa.array(shared / index.sizes[item])],
+                        [batch.column("doc_id").take(pa.array(doc)), pa.array(index.ids[item], pa.int64()), pa.array(shared), pa.array(index.sizes[item]), pa.array(shared / index.sizes[item])],
                         names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
                     )
 

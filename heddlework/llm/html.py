@@ -34,10 +34,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 # Fixed lists of HTML: elements without content, with raw content that is no text, and that break lines.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math noembed noframes xmp object".split())
+RAW = set("script style title textarea template iframe noembed noframes annotation annotation-xml".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol "
-    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: An open element of these is closed by a new element of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -116,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, tuple[str, ...], tuple[str,
         if "&" in text:
             text = unescape(text)
         held.append(text)
-        if "a" in opened.tags[-4:]:
+        if opened.places.get("a"):
             links += len(text.strip())
 
     at, n = 0, len(page)

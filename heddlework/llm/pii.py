@@ -43,7 +43,7 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[^\s,;\"']{6,}+)|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "address": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:\(at\)|\[at\])\x20?[{_HOST}]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[{_HOST}]++){{1,8}}",
+    "address": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:\(at\)|\[at\])\x20?[{_HOST}]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[{_HOST}]++)++",
     "contact": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 #: A text without this has no match, and the pattern isn't tried.

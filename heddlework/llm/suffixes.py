@@ -14,7 +14,7 @@ share only a part of a run has no influence. Runs that overlap or touch are merg
 
 A text of fewer than ``least`` words (null: none) has no passage. Words are maximal runs of what is
 not ASCII white space. Equal rows count as one document, rows of one doc_id with different texts as
-different ones; rows without doc_id are left out. Other columns are ignored.
+different ones; so are rows without doc_id, whose passages have a null doc_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,6 +125,8 @@ def whole(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
     return documents.mapInArrow(run, SUFFIXES)
 
 
+#: Stands for a null doc_id while documents are compared; with the text's hash beside it, it keeps different texts apart.
+NO_ID = (1 << 63) - 1
 MATCH = "edge boolean, key long, doc_id long, part int, pos int, more array<int>, other long"
 
 
@@ -182,7 +184,7 @@ def matches(rows: DataFrame) -> DataFrame:
 
 def passages(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
     """One row for each passage: doc_id, its first word, the word after its last, and a document that has a part of it too."""
-    docs = texts(documents).filter("doc_id IS NOT NULL").withColumn("part", F.hash("text"))
+    docs = texts(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("part", F.hash("text"))
     # A text has no more marks than words.
     marks = cut(matches(suffixes(docs, least, w)).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("places")).alias("marks")), "marks")
     around = docs.join(marks, ["doc_id", "part"]).select("doc_id", "part", "text", "marks")
@@ -191,7 +193,8 @@ def passages(documents: DataFrame, least: int = LEAST, w: int = W) -> DataFrame:
     found = found.withColumn("_new", F.coalesce((F.col("start") - F.lag("start").over(by) > least).cast("int"), F.lit(1)))
     found = found.withColumn("_passage", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     out = found.groupBy("doc_id", "part", "_passage").agg(F.min("start").alias("start"), (F.max("start") + least).alias("stop"), F.min("other").alias("other_id"))
-    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "other_id")
+    known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return out.select(known("doc_id"), "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), known("other_id"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

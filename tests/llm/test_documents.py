@@ -11,6 +11,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from heddlework.llm import html, licenses, lmscore, mixing, pii, quality, toxicity
 from heddlework.llm import textkernel as tk
@@ -492,3 +494,58 @@ def test_quality_odd(spark, odd):
     assert quality.judged(odd).count() == len(ODD)
     assert quality.judged(odd.filter("false")).count() == 0
     assert quality.judged(odd.filter("text = ''")).collect()[0].n_words == 0
+
+
+STATEMENTS = {
+    "Released under the WTFPL.": "WTFPL", "This project is released under MIT.": "MIT", "Released under ISC.": "ISC",
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER.": "ISC",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.": "Unlicense",
+    "Licensed under the MIT License (see LICENSE).": "MIT", "This software is released under the MIT license, see LICENSE.": "MIT",
+    "The code is dual licensed under MIT or Apache-2.0.": "MIT OR Apache-2.0", "Licensed under Apache 2.0 and MIT.": "Apache-2.0 AND MIT",
+    "Copyright 2020 X.\nLicensed under either the MIT license or the Apache License, Version 2.0, see LICENSE-MIT.": "MIT OR Apache-2.0",
+    "This file is part of Foo, which is licensed under the Apache License, Version 2.0.": "Apache-2.0", "This is not licensed under the MIT license.": None,
+    "Written by J. R. R. Smith. Licensed under the GPL v2 or later.": "GPL-2.0", "esós. Licensed under MIT.": "MIT", "If not, see you later.": None,
+}
+
+
+def test_ordinary_licence_statements(spark):
+    df = spark.createDataFrame(list(enumerate(STATEMENTS)), "doc_id long, text string")
+    got = sorted(map(tuple, licenses.licences(df).collect()))
+    assert {i: x for i, x, *_ in got} == {i: x for i, x in enumerate(STATEMENTS.values()) if x}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert got == sorted(con.execute(licenses.ORACLE).fetchall())
+
+
+@pytest.mark.parametrize("name", list(licenses.IDS))
+def test_every_known_sentence_passes_the_filters(name):
+    pattern = dict(licenses.SENTENCES)[name]
+
+    @given(st.from_regex(f"(?s:{pattern})", fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz0123456789 "))
+    @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck), database=None)
+    def passes(text):
+        assert re.search(licenses.FILTER, text), text
+        assert re.search(licenses.TEXT_FILTER, text.replace(" ", ",\n"))
+        assert any(s in text for s in licenses.STEMS)
+
+    passes()
+
+
+def test_written_out_address_of_any_length(spark):
+    """Found or not, an address is one span: it never ends in the middle."""
+    text = "mail bob (at) a.b.c.d.e.f.g.h.i.j.k.l.com now"
+    match = spark.createDataFrame([(text,)], "t string").selectExpr(f"regexp_extract(t, r'{pii.PATTERNS['address']}', 0)").first()[0]
+    assert match == text[5:-4]
+
+
+def test_article_text_of_rare_elements_stays():
+    page = "<body><article><p>Where <math><semantics><mi>x=5</mi><annotation>x=5 tex</annotation></semantics></math> holds.</p><noscript><p>Shown without scripts.</p></noscript><object data=a>Instead.</object><svg><title>t</title><text>Axis</text></svg></article></body>"
+    text = "\n".join(x[0] for x in html.blocks(page))
+    for part in ("Where x=5 holds.", "Shown without scripts.", "Instead.", "Axis"):
+        assert part in text
+    assert "tex" not in text.replace("text", "")
+
+
+def test_links_at_any_depth():
+    deep = "<a href=x>" + "<b>" * 9 + "word" + "</b>" * 9 + "</a>"
+    assert html.blocks(f"<p>{deep}</p>")[0][2] == 4

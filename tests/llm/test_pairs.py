@@ -76,7 +76,8 @@ def test_short_items_in_long_documents(spark):
 def test_odd_documents_and_items(spark, odd):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six"), (4, "one"), (None, "one")], "item_id long, text string")
     got = decontamination.contaminated(odd, items)
-    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(4, 4), (5, 4), (5, 4), (9, 3), (10, 3)]
+    # An item without id is an item too: its matches have a null item_id.
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == sorted([(4, 4), (5, 4), (5, 4), (9, 3), (10, 3), (4, None), (5, None), (5, None)], key=str)
     assert decontamination.contaminated(odd.filter("false"), items).count() == 0
     assert decontamination.contaminated(odd, items.filter("false")).count() == 0
 
@@ -246,3 +247,18 @@ def test_neighbours_across_ranges(spark, k):
         assert {(r.doc_id, r.start, r.stop) for r in suffixes.passages(docs).collect()} == {(i, 0, 60) for i in range(5)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_passages_of_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (None, text), (None, "other " * 60), (None, text + " more")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.start, r.stop) for r in suffixes.passages(df).collect()), key=str)
+    assert got == [(1, 0, 80), (None, 0, 80), (None, 0, 80)]
+
+
+def test_items_without_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"a b {item} c"), (2, "clean text of a few words here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, None), (1, 7)}
+    assert [r.doc_id for r in decontamination.cleaned(docs, items.filter("item_id IS NULL")).collect()] == [2]
