@@ -154,6 +154,22 @@ def g8(spark, sf):
     return G.cyclic_nodes(o.join(n, "o_orderkey").select(F.col("o_custkey").alias("source_id"), F.col("next").alias("target_id")).filter("source_id <> target_id"))
 
 
+def _customer_edges(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    n = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("next"))
+    return o.join(n, "o_orderkey").select(F.col("o_custkey").alias("source_id"), F.col("next").alias("target_id"))
+
+
+def g8_all(spark, sf):
+    """Every edge between customers, loops too, with whether it is on a cycle."""
+    e = _customer_edges(spark, sf).distinct()
+    return G.closes_cycle(e, e).select("source_id", "target_id", "closes")
+
+
+def g8_components(spark, sf):
+    return G.components(_customer_edges(spark, sf))
+
+
 def g8_closing(spark, sf):
     e = _edges(spark, sf)
     candidates = _nodes(spark, sf).filter("type = 'n'").select(F.col("node_id").alias("source_id"), F.lit("r:1").alias("target_id"))
@@ -183,7 +199,7 @@ def g13(spark, sf):
 QUERIES = {
     "j1_table_view": j1, "j3_edge_view": j3, "j4_enrichment": j4, "j7_foreign_keys": j7, "j8_boundaries": j8, "j9_consumer_lag": j9, "j10_bindings": j10, "j11_delete_safety": j11, "j13_templates": j13, "j27_merge": j27, "j28_update_from": j28, "j29_bulk_result": j29,
     "l9_catalog_lookup": l9, "p12_describe": p12, "u2_upsert": u2, "u2_duplicates": u2_duplicates, "u3_union_listing": u3, "g1_node_removal": g1, "g2_upstream": g2, "g3_downstream": g3, "g4_subgraph": g4, "g6_containment": g6, "g7_rollup": g7, "g8_cyclic_nodes": g8,
-    "g8_cycle_test": g8_closing, "g9_adjacency": g9, "g12_edge_filter": g12, "g13_recursive_hierarchy": g13,
+    "g8_cycle_test": g8_closing, "g8_edges_on_cycles": g8_all, "g8_components": g8_components, "g9_adjacency": g9, "g12_edge_filter": g12, "g13_recursive_hierarchy": g13,
 }
 
 _N = "(SELECT 'r:' || r_regionkey AS node_id, r_name AS name, 'r' AS type FROM region UNION ALL SELECT 'n:' || n_nationkey, n_name, 'n' FROM nation UNION ALL SELECT 'c:' || c_custkey, c_name, 'c' FROM customer)"
@@ -214,6 +230,8 @@ ORACLES = {
     "g6_containment": f"SELECT DISTINCT * FROM {_E}",
     "g7_rollup": "SELECT 'r' AS source_group, 'n' AS target_group, count(*) AS n FROM nation UNION ALL SELECT 'n', 'c', count(*) FROM customer",
     "g8_cyclic_nodes": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1 WHERE o.o_custkey <> p.o_custkey), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t), c AS (SELECT DISTINCT s FROM f WHERE s = t), a AS (SELECT s AS v FROM c UNION SELECT t FROM f WHERE s IN (FROM c)), b AS (SELECT s AS v FROM c UNION SELECT s FROM f WHERE t IN (FROM c)) SELECT v AS node_id FROM a INTERSECT SELECT v FROM b",
+    "g8_edges_on_cycles": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t) SELECT g.s AS source_id, g.t AS target_id, g.s = g.t OR EXISTS (SELECT 1 FROM f WHERE f.s = g.t AND f.t = g.s) AS closes FROM g",
+    "g8_components": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t) SELECT a.s AS node_id, min(a.t) AS component FROM f a JOIN f b ON a.s = b.t AND a.t = b.s GROUP BY a.s HAVING count(*) > 1",
     "g8_cycle_test": "SELECT 'n:' || n_nationkey AS source_id, 'r:1' AS target_id, n_regionkey = 1 AS closes FROM nation",
     "g9_adjacency": f"SELECT node_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS targets FROM {_N} LEFT JOIN {_E} e ON e.source_id = node_id GROUP BY 1",
     "g12_edge_filter": f"SELECT *, (length(target_id) % 3) / 2.0 AS confidence FROM {_E} WHERE source_id LIKE 'n%' AND (length(target_id) % 3) / 2.0 >= 0.5",

@@ -120,6 +120,26 @@ def test_cycles_by_definition(spark, seed):
     assert sorted((x.source_id, x.target_id, x.closes) for x in found) == sorted((a, b, a in reach[b]) for a, b in candidates)
 
 
+@pytest.mark.parametrize("ring", [False, True])
+def test_long_chains_take_few_rounds(spark, monkeypatch, ring):
+    """A chain of 10 000 edges, and the same with an edge back: tables written grow with its logarithm."""
+    written, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: written.append(1) or kept(df))
+    chain = spark.range(10_000).selectExpr("id AS source_id", "id + 1 AS target_id")
+    if ring:
+        chain = chain.unionByName(spark.sql("SELECT 10000L AS source_id, 5L AS target_id"))
+    found = graph.components(chain)
+    assert (found.count(), found.filter("component <> 5").count()) == ((9_996, 0) if ring else (0, 0))
+    assert len(written) <= 40
+
+
+def test_components_by_definition(spark):
+    """Chains into rings, rings of runs, double ways between nodes."""
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 6), (8, 8), (9, 1), (7, 10), (10, 11), (12, 13), (13, 14), (14, 12), (12, 15), (15, 14), (20, 21), (21, 22), (22, 20)]
+    found = graph.components(spark.createDataFrame(edges, "source_id int, target_id int"))
+    assert {r.node_id: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 12: 12, 13: 12, 14: 12, 15: 12, 20: 20, 21: 20, 22: 20}
+
+
 def test_lineage_of_statements(spark):
     scripts = spark.createDataFrame([(1, "-- c\nINSERT INTO a.b SELECT x FROM c JOIN D ON 1=1; nonsense; SELECT * FROM e")], "id int, t string")
     s = lineage.statements(scripts, "id", "t")
