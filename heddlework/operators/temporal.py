@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.storage import cut
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, version: str, values: list[str], bin_seconds: int = 7 * 86_400) -> DataFrame:
@@ -50,52 +52,47 @@ def within(left: DataFrame, right: DataFrame, key: str, time: str, other_time: s
     return a.join(b, [key, "_bin"]).filter(near).drop("_bin")
 
 
-def folded(df: DataFrame, key: str, time: str, tie: str, event: str, start: Callable[[], list], step: Callable[[list, int, str], None], result: Callable[[list], int], name: str) -> DataFrame:
-    """(key, name): for each key what a walk over its events in order of time comes to.
-
-    Events are sorted by key within partitions and read as a stream, so what is held is the state of
-    one key, however many events it has. One key's walk cannot be split: it is one task's work. Times
-    are microseconds.
-    """
-    rows = df.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.col(event).alias("e")).filter("t IS NOT NULL")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, state = None, None
-        for batch in parts:
-            keys, results = [], []
-            ks = batch.column("k").to_pylist()
-            for k, t, e in zip(ks, batch.column("t").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                if state is None or k != who:
-                    if state is not None:
-                        keys.append(who)
-                        results.append(result(state))
-                    who, state = k, start()
-                step(state, t, e)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("k").type), pa.array(results, pa.int64())], names=[key, name])
-        if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([who], batch.column("k").type), pa.array([result(state)], pa.int64())], names=[key, name])
-
-    kind = df.schema[key].dataType.simpleString()
-    return rows.repartition("k").sortWithinPartitions("k", "t", "i").drop("i").mapInArrow(run, f"`{key}` {kind}, `{name}` long")
-
-
 def funnel(df: DataFrame, key: str, time: str, tie: str, event: str, steps: list[str], seconds: int) -> DataFrame:
-    """For each key with any of the steps the most of them done in order within the seconds after a first one.
+    """(key, level): for each key with any of the steps the most of them done in order within the seconds after a first one.
 
-    The state holds, for each number of steps, the latest time at which a walk that got so far began;
-    that is enough for the greatest level. One event can be one step of a walk only.
+    A walk is no longer than the seconds, so each event stands in the time bin of that length in which a
+    walk may begin and in the one before, and a key with all rows is as many groups as its time line has bins. In
+    a bin each event of step i gets the latest time at which a walk began whose step i - 1 is in front of
+    it: one window after the other over the same order. One event can be one step of a walk only.
+    Events without time take no part.
     """
-
-    def step(began: list, t: int, e: str) -> None:
-        for i in range(len(steps) - 1, -1, -1):
-            if steps[i] != e:
-                continue
-            first = t if i == 0 else began[i - 1]
-            if first is not None and t - first <= seconds * 1_000_000:
-                began[i] = first if began[i] is None else max(first, began[i])
-
-    level = lambda began: sum(x is not None for x in began)
-    return folded(df.filter(F.col(event).isin(*steps)), key, time, tie, event, lambda: [None] * len(steps), step, level, "level")
+    span = seconds * 1_000_000
+    rows = df.filter(F.col(event).isin(*steps)).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.col(event).alias("e")).filter("t IS NOT NULL")
+    own = F.floor(F.col("t") / span).cast("long") if span else F.col("t")
+    rows = rows.withColumn("own", own).withColumn("bin", F.explode(F.array("own", F.col("own") - 1)))
+    before = Window.partitionBy("k", "bin").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("s0", F.when((F.col("e") == steps[0]) & (F.col("own") == F.col("bin")), F.col("t")))
+    for n in range(1, len(steps)):
+        began = F.max(f"s{n - 1}").over(before)
+        rows = rows.withColumn(f"s{n}", F.when((F.col("e") == steps[n]) & (F.col("t") - began <= span), began))
+    level = F.lit(0)
+    for n in range(len(steps)):
+        level = F.when(F.col(f"s{n}").isNotNull(), n + 1).otherwise(level)
+    return rows.groupBy(F.col("k").alias(key)).agg(F.max(level).cast("long").alias("level"))
+
+
+def paths(df: DataFrame, key: str, time: str, tie: str, event: str, first: str, middle: str, last: str, least: int, most: int) -> DataFrame:
+    """(key, n_matches): matches of ``first middle* last`` in a key's events, least to most seconds long, for keys with any; matches do not overlap.
+
+    What decides is the event in front of the last one that is no middle one. It is at most the seconds
+    away, so each event stands in its own time bin of that length and in the next one, and a key with
+    all rows is many groups. Events without time take no part.
+    """
+    span = most * 1_000_000
+    rows = df.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.col(event).alias("e")).filter("t IS NOT NULL")
+    own = F.floor(F.col("t") / span).cast("long") if span else F.col("t")
+    rows = rows.withColumn("own", own).withColumn("bin", F.explode(F.array("own", F.col("own") + 1)))
+    before = Window.partitionBy("k", "bin").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    decides = (F.col("e") == first) | ~F.col("e").eqNullSafe(middle)
+    rows = rows.withColumn("x", F.last(F.when(decides, F.struct("e", "t")), ignorenulls=True).over(before))
+    long = F.col("t") - F.col("x.t")
+    found = rows.filter((F.col("e") == last) & (F.col("own") == F.col("bin")) & (F.col("x.e") == first) & long.between(least * 1_000_000, span))
+    return found.groupBy(F.col("k").alias(key)).agg(F.count(F.lit(1)).alias("n_matches"))
 
 
 def latest(df: DataFrame, key: str, order: str, tie: str, n: int = 1) -> DataFrame:
@@ -130,62 +127,118 @@ def ready(dependencies: DataFrame, executions: DataFrame, today: Column, now_hou
     return d.withColumn("_reason", reason).groupBy("workflow").agg((F.count("_reason") == 0).alias("ready"), F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col("place"))).alias("reason"))
 
 
+def _binned(df: DataFrame, time: str, seconds: int) -> DataFrame:
+    """Adds ``_t`` (microseconds) and ``_bin``, the number of its stretch of that many seconds."""
+    return df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_bin", F.floor(F.col("_t") / (seconds * 1_000_000)).cast("long"))
+
+
 def sliding_decisions(df: DataFrame, client: str, time: str, tie: str, limit: int, seconds: int) -> DataFrame:
     """Adds ``allowed``: fewer than limit allowed requests of the client in the seconds before, the window open at its start.
 
-    A decision depends on earlier ones, so it is not a window function. Requests are sorted by client
-    within partitions and read as a stream; what is held is the allowed times of one client's window,
-    at most limit of them, however many requests it has. One client's decisions are one task's work.
+    A decision depends on earlier ones, so it is not a window function. But where two bins of the
+    window's length in a row have no more requests than the limit, all requests of the second are
+    allowed, whatever was before: there a client's requests are cut, and each piece begins with the bin in front of
+    it, known to be allowed. Pieces are sorted within partitions and read as a stream; what is held
+    is the allowed times of one window. Only a client that goes on above its limit without such a pause is one task's work.
     """
-    schema = df.schema.add("allowed", "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
+    rows = _binned(df, time, seconds)
+    bins = rows.groupBy(F.col(client).alias("_c"), F.col("_bin").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_c").orderBy("_b")
+    one, two = F.lag("_b").over(order), F.lag("_b", 2).over(order)
+    n1, n2 = F.lag("_n").over(order), F.lag("_n", 2).over(order)
+    # Requests in the bin in front, and in the one before that; bins without any are not there.
+    near = F.when(one == F.col("_b") - 1, n1 + F.when(two == F.col("_b") - 2, n2).otherwise(0)).otherwise(0)
+    bins = bins.withColumn("_cut", F.coalesce(near, F.lit(0)) <= limit)
+    bins = bins.withColumn("_piece", F.max(F.when(F.col("_cut"), F.col("_b"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = rows.join(bins.select("_c", "_b", "_piece"), F.col(client).eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b"))).drop("_c", "_b").withColumn("_warm", F.lit(False))
+    starts = bins.filter("_cut").select("_c", F.col("_b").alias("_piece"))
+    warm = rows.join(starts, F.col(client).eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_piece") - 1)).drop("_c").withColumn("_warm", F.lit(True))
+    columns = df.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
 
-        who, held = None, deque()
+        piece, held = None, deque()
         for pdf in parts:
             out = []
-            for c, t in zip(pdf[client], pdf[time], strict=True):
-                if c != who:
-                    who, held = c, deque()
-                while held and (t - held[0]).total_seconds() >= seconds:
+            for c, p, t, known in zip(pdf[client], pdf["_piece"], pdf["_t"], pdf["_warm"], strict=True):
+                if (c, p) != piece:
+                    piece, held = (c, p), deque()
+                while held and t - held[0] >= seconds * 1_000_000:
                     held.popleft()
-                ok = len(held) < limit
+                ok = known or len(held) < limit
                 if ok:
                     held.append(t)
                 out.append(ok)
-            yield pdf.assign(allowed=out)
+            yield pdf.assign(allowed=out)[~pdf["_warm"]][[*columns, "allowed"]]
 
-    return df.repartition(client).sortWithinPartitions(client, time, tie).mapInPandas(run, schema)
+    return own.unionByName(warm).repartition(client, "_piece").sortWithinPartitions(client, "_piece", "_t", tie).mapInPandas(run, schema)
+
+
+def window_starts(rows: DataFrame, client: str, seconds: int) -> DataFrame:
+    """(_c, _bin, _start): the starts of fixed windows, each the first request at or after the end of the window before; rows are ``_binned``.
+
+    Starts are as far apart as a window is long, so a bin has one at most, and after an empty bin the
+    first request is one. From there on each request points to the first one a window later; the
+    table of pointers is joined to itself, so the starts that are known double in each round.
+    """
+    span = seconds * 1_000_000
+    times = cut(rows.select(F.col(client).alias("_c"), "_bin", "_t").distinct(), "times")
+    order = Window.partitionBy("_c").orderBy("_bin")
+    bins = times.groupBy("_c", "_bin").agg(F.min("_t").alias("_lo")).withColumn("_new", ~F.coalesce(F.lag("_bin").over(order) == F.col("_bin") - 1, F.lit(False)))
+    bins = cut(bins.withColumn("_run", F.sum(F.col("_new").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))), "bins")
+    probes = times.select("_c", (F.col("_bin") + 1).alias("_bin"), (F.col("_t") + span).alias("_x"), F.col("_t").alias("_from"))
+    line = times.select("_c", "_bin", F.col("_t").alias("_x"), F.lit(None).cast("long").alias("_from")).unionByName(probes)
+    down = Window.partitionBy("_c", "_bin").orderBy(F.desc("_x"), F.col("_from").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("_to", F.last(F.when(F.col("_from").isNull(), F.col("_x")), ignorenulls=True).over(down)).filter("_from IS NOT NULL")
+    after = bins.select(F.col("_c").alias("_d"), (F.col("_bin") - 1).alias("_e"), "_lo")
+    jumps = line.join(after, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_bin") == F.col("_e")), "left").select("_c", "_from", F.coalesce("_to", "_lo").alias("_to")).filter("_to IS NOT NULL")
+    starts = bins.filter("_new").select("_c", F.col("_lo").alias("_start"))
+    longest = bins.groupBy("_c", "_run").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        jumps = cut(jumps, "jumps")
+        far = jumps.select(F.col("_c").alias("_d"), F.col("_from").alias("_f"), F.col("_to").alias("_next"))
+        more = starts.join(far, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_start") == F.col("_f"))).select("_c", F.col("_next").alias("_start"))
+        starts = cut(starts.unionByName(more).distinct(), "starts")
+        jumps = jumps.join(far, F.col("_c").eqNullSafe(F.col("_d")) & (F.col("_to") == F.col("_f"))).select("_c", "_from", F.col("_next").alias("_to"))
+    return starts.select("_c", F.floor(F.col("_start") / span).cast("long").alias("_b"), "_start")
 
 
 def bucket_decisions(df: DataFrame, client: str, time: str, tie: str, limit: int, burst: int, seconds: int) -> DataFrame:
     """Adds ``allowed``: a fixed window that begins with a client's first request, and a bucket of burst tokens.
 
     A request at or after the window's end opens a new one with a full bucket. Within it, tokens come
-    back as whole numbers of elapsed * limit / seconds since the last refill, up to burst.
+    back as whole numbers of elapsed * limit / seconds since the last refill, up to burst. Windows are
+    found first (``window_starts``); each is decided by itself, so a client is as many groups as it has windows.
     """
-    schema = df.schema.add("allowed", "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField("allowed", T.BooleanType())])
+    rows = _binned(df, time, seconds)
+    starts = cut(window_starts(rows, client, seconds), "window-starts")
+    for name, back in (("_here", 0), ("_front", 1)):
+        at = starts.select(F.col("_c").alias("_d"), (F.col("_b") + back).alias("_e"), F.col("_start").alias(name))
+        rows = rows.join(at, F.col(client).eqNullSafe(F.col("_d")) & (F.col("_bin") == F.col("_e")), "left").drop("_d", "_e")
+    rows = rows.withColumn("_began", F.when(F.col("_here") <= F.col("_t"), F.col("_here")).otherwise(F.col("_front")))
+    columns = df.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who = began = refilled = None
-        count = tokens = 0
+        window, refilled, count, tokens = None, 0, 0, 0
         for pdf in parts:
             out = []
-            for c, t in zip(pdf[client], pdf[time], strict=True):
-                if c != who or (t - began).total_seconds() >= seconds:
-                    who, began, refilled, count, tokens = c, t, t, 0, burst
+            for c, began, t in zip(pdf[client], pdf["_began"], pdf["_t"], strict=True):
+                if (c, began) != window:
+                    window, refilled, count, tokens = (c, began), t, 0, burst
                 else:
-                    more = int((t - refilled).total_seconds() * limit / seconds)
+                    more = int((t - refilled) / 1e6 * limit / seconds)
                     if more > 0:
                         tokens, refilled = min(burst, tokens + more), t
                 ok = count < limit and tokens > 0
                 if ok:
                     count, tokens = count + 1, tokens - 1
                 out.append(ok)
-            yield pdf.assign(allowed=out)
+            yield pdf.assign(allowed=out)[[*columns, "allowed"]]
 
-    return df.repartition(client).sortWithinPartitions(client, time, tie).mapInPandas(run, schema)
+    return rows.repartition(client, "_began").sortWithinPartitions(client, "_began", "_t", tie).mapInPandas(run, schema)
 
 
 # Bounds of the scores 5, 4, 3 and 2, and segments in the order in which they are tried.

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.temporal import as_of
+from ..operators.temporal import as_of, paths
 from ..sources.storage import shared_folder
 from ..streaming import streams as S
 from .common import table
@@ -64,7 +64,7 @@ def r9(spark, sf):
 
 
 def r11(spark, sf):
-    return S.paths(table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type", "view", "click", "purchase", 60, 1_000_000)
+    return paths(table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type", "view", "click", "purchase", 60, 1_000_000)
 
 
 def r1(spark, sf):

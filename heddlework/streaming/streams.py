@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.temporal import folded
 from ..sources.storage import shared_folder
 
 #: Messages of a topic, and of a queue, where nothing else is known of them. Fixed values.
@@ -71,18 +70,6 @@ def audited(events: DataFrame, detail: str) -> DataFrame:
     return filled.withColumn(detail, redacted_json(F.col(detail))).withColumn("severity", severity(F.col("action")))
 
 
-def paths(df: DataFrame, key: str, time: str, tie: str, event: str, first: str, middle: str, last: str, least: int, most: int) -> DataFrame:
-    """Matches of ``first middle* last`` in a key's events, least to most seconds long, for keys with any; matches do not overlap."""
-
-    def step(state: list, t: int, e: str) -> None:
-        began = state[0]
-        if e == last and began is not None and least <= (t - began) / 1e6 <= most:
-            state[1] += 1
-        state[0] = t if e == first else began if e == middle else None
-
-    return folded(df, key, time, tie, event, lambda: [None, 0], step, lambda state: state[1], "n_matches").filter("n_matches > 0")
-
-
 def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int) -> DataFrame:
     """Sliding-window limits on a stream with a watermark: (client, time, allowed).
 

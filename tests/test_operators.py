@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -162,7 +162,7 @@ def _times(spark, rows):
 
 
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 60)), min_size=1, max_size=25))
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=6, deadline=None, phases=[Phase.generate])
 def test_sliding_limit_by_definition(spark, rows):
     got = {r.id: r.allowed for r in temporal.sliding_decisions(_times(spark, rows), "c", "t", "id", 2, 10).collect()}
     allowed = []
@@ -173,6 +173,67 @@ def test_sliding_limit_by_definition(spark, rows):
             allowed.append((c, s))
 
 
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 90)), min_size=1, max_size=40))
+@settings(max_examples=5, deadline=None, phases=[Phase.generate])
+def test_bucket_limit_by_definition(spark, rows):
+    got = {r.id: r.allowed for r in temporal.bucket_decisions(_times(spark, rows), "c", "t", "id", 4, 2, 10).collect()}
+    state = {}
+    for i, (c, s) in sorted(enumerate(rows), key=lambda x: (x[1][1], x[0])):
+        began, refilled, count, tokens = state.get(c, (None, None, 0, 0))
+        if began is None or s - began >= 10:
+            began, refilled, count, tokens = s, s, 0, 2
+        elif int((s - refilled) * 4 / 10) > 0:
+            tokens, refilled = min(2, tokens + int((s - refilled) * 4 / 10)), s
+        ok = count < 4 and tokens > 0
+        assert got[i] == ok
+        state[c] = (began, refilled, count + ok, tokens - ok)
+
+
+def test_one_client_is_many_groups(spark):
+    """One client has all requests, three in four seconds without a pause: its walks, pieces and windows are dealt over many tasks."""
+    n = 3000
+    df = spark.range(n).selectExpr("CAST(id AS int) AS id", "'a' AS c", "timestamp_seconds(1700000000 + id * 4 DIV 3) AS t", "element_at(array('v', 'c', 'p'), CAST(id % 3 + 1 AS int)) AS e")
+    sliding = temporal.sliding_decisions(df, "c", "t", "id", 20, 10)
+    bucket = temporal.bucket_decisions(df, "c", "t", "id", 4, 2, 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (sliding, bucket):
+            sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()]
+            assert sum(sizes) == n and max(sizes) < n / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert temporal.funnel(df, "c", "t", "id", "e", ["v", "c", "p"], 10).first().level == 3
+    assert temporal.paths(df, "c", "t", "id", "e", "v", "c", "p", 0, 10).first().n_matches == n // 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_funnels_and_paths_by_definition(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice([1, 2, 3]), r.choice("vcpx"), r.randrange(120), i) for i in range(150)]
+    df = spark.createDataFrame([(k, e, datetime(2024, 1, 1) + timedelta(seconds=s), i) for k, e, s, i in rows], "k int, e string, t timestamp, i int")
+    for steps in (["v", "c", "p"], ["v", "v", "c"], ["c"]):
+        best = {}
+        for k in {x[0] for x in rows if x[1] in steps}:
+            events = sorted((s, i, e) for a, e, s, i in rows if a == k)
+            began, level = [None] * len(steps), 0
+            for s, _, e in events:
+                for n in range(len(steps) - 1, -1, -1):
+                    first = s if n == 0 else began[n - 1]
+                    if steps[n] == e and first is not None and s - first <= 10:
+                        began[n] = max(first, began[n] or first)
+                        level = max(level, n + 1)
+            best[k] = level
+        assert {x.k: x.level for x in temporal.funnel(df, "k", "t", "i", "e", steps, 10).collect()} == best
+    counts = {}
+    for k in (1, 2, 3):
+        began = None
+        for s, _, e in sorted((s, i, e) for a, e, s, i in rows if a == k):
+            if e == "p" and began is not None and 2 <= s - began <= 15:
+                counts[k] = counts.get(k, 0) + 1
+            began = s if e == "v" else began if e == "c" else None
+    assert {x.k: x.n_matches for x in temporal.paths(df, "k", "t", "i", "e", "v", "c", "p", 2, 15).collect()} == counts
+
+
 def test_bucket_limit(spark):
     rows = [("a", 0), ("a", 0), ("a", 1), ("a", 5), ("a", 11), ("a", 11), ("a", 11)]
     got = [r.allowed for r in temporal.bucket_decisions(_times(spark, rows), "c", "t", "id", 4, 2, 10).orderBy("id").collect()]
