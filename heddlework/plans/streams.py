@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.temporal import as_of, paths
+from ..operators.temporal import paths
 from ..sources.storage import shared_folder
 from ..streaming import streams as S
 from .common import table
@@ -77,11 +77,23 @@ def r1(spark, sf):
     return _text(S.upsert_sink(S.hopping(stream, "ts", "1 hour", "1 hour", "event_type"), ["window_start", "event_type"]), "window_start", "window_end")
 
 
+def _with_end(spark, sf, name, columns, key, time):
+    """A table as a stream whose last row, with a key that is none, is later than all others: so all waiting rows go out."""
+    schema = table(spark, sf, name).select(*columns).schema
+    path = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+    end = {key: F.lit(-1), time: F.lit("2200-01-01").cast("timestamp")}
+    spark.range(1).select(*(end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(path)
+    rows = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf).select(*columns)
+    both = rows.unionByName(spark.readStream.schema(schema).parquet(path))
+    return both.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, "1 day")
+
+
 def r5_versions(spark, sf):
-    """Events with the version of their user's row that held at their time: orders of the user change the status."""
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("since")).agg(F.max("o_orderstatus").alias("status"))
-    out = S.upsert_sink(_events(spark, sf).select("event_id", "user_id", "ts"), [], "append")
-    return as_of(out, o, "user_id", "ts", "since", ["status"]).select("event_id", "status")
+    """Events with the version of their user's row that held at their time: orders of the user change the status. One streaming query over both."""
+    events = _with_end(spark, sf, "events", ["event_id", "user_id", "ts"], "user_id", "ts")
+    orders = _with_end(spark, sf, "orders", ["o_custkey", "o_orderdate", "o_orderstatus"], "o_custkey", "o_orderdate").toDF("user_id", "since", "status")
+    out = S.upsert_sink(S.versioned(events, orders, "user_id", "ts", "since", ["status"]), [], "append")
+    return out.select("event_id", "status")
 
 
 def r12(spark, sf):

@@ -5,6 +5,7 @@ Event times are timestamps with a time zone, as watermarks need; ``event_stream`
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.storage import shared_folder
 
@@ -70,34 +71,124 @@ def audited(events: DataFrame, detail: str) -> DataFrame:
     return filled.withColumn(detail, redacted_json(F.col(detail))).withColumn("severity", severity(F.col("action")))
 
 
+#: Keeps the state of the processors below in RocksDB, outside the heap, with changes alone in a checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+class Limiter(StatefulProcessor):
+    """Sliding-window limits of one client: a list of the allowed times of its window, and a timer that clears it."""
+
+    def __init__(self, client: str, time: str, limit: int, seconds: int) -> None:
+        self.client, self.time, self.limit, self.span = client, time, limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [x[0] for x in self.held.get()] if self.held.exists() else []
+        parts = list(rows)
+        pdf = pd.concat(parts).sort_values(self.time, kind="stable") if len(parts) > 1 else parts[0].sort_values(self.time, kind="stable")
+        allowed = []
+        for t in _micros(pdf[self.time]):
+            held = [x for x in held if t - x < self.span]
+            allowed.append(len(held) < self.limit)
+            if allowed[-1]:
+                held.append(t)
+        self.held.put([(x,) for x in held])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        last = max(held, default=0) // 1000 + 2 * self.span // 1000
+        self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({self.client: [key[0]] * len(pdf), self.time: pdf[self.time].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int) -> DataFrame:
     """Sliding-window limits on a stream with a watermark: (client, time, allowed).
 
-    State is the allowed times of a client's window; it goes when the watermark is two windows past them.
+    State is the allowed times of a client's window, in RocksDB (the session's state store is set to it); it goes when the watermark is two windows past them.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     kind = stream.schema[client].dataType.simpleString()
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        for pdf in parts:
-            pdf = pdf.sort_values(time)
-            out = []
-            for t in pdf[time]:
-                at = t.timestamp()
-                held = [x for x in held if at - x < seconds]
-                ok = len(held) < limit
-                if ok:
-                    held.append(at)
-                out.append(ok)
-            yield pd.DataFrame({client: key[0], time: pdf[time].to_numpy(), "allowed": out})
-        state.update((held,))
-        last = max([state.getCurrentWatermarkMs(), *(int(x * 1000) for x in held)])
-        state.setTimeoutTimestamp(last + 2 * seconds * 1000)
-
-    return stream.select(client, time).groupBy(client).applyInPandasWithState(run, f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.select(client, time).groupBy(client).transformWithStateInPandas(Limiter(client, time, limit, seconds), f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "Append", "EventTime")
+
+
+class Versions(StatefulProcessor):
+    """The versions of one key by event time, and the rows that wait until the watermark has passed them."""
+
+    def __init__(self, key: str, rest: list[str]) -> None:
+        self.key, self.rest = key, rest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.versions = handle.getMapState("versions", "since long", "value string")
+        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: dict[int, list[str]] = {}
+        for pdf in rows:
+            for t, version, row in zip(_micros(pdf["t"]), pdf["version"], pdf["row"], strict=True):
+                if row is None:
+                    old = self.versions.getValue((t,)) if self.versions.containsKey((t,)) else None
+                    self.versions.updateValue((t,), (max(version, old[0]) if old else version,))
+                else:
+                    new.setdefault(t, []).append(row)
+        for t, own in new.items():
+            known = list(self.waiting.getValue((t,))[0]) if self.waiting.containsKey((t,)) else []
+            self.waiting.updateValue((t,), (known + own,))
+            self.handle.registerTimer(max(t // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        done = sorted(x[0] for x in self.waiting.keys() if x[0] < mark)  # noqa: SIM118
+        since = sorted(x[0] for x in self.versions.keys())  # noqa: SIM118
+        out = []
+        for t in done:
+            at = bisect.bisect_right(since, t)
+            version = self.versions.getValue((since[at - 1],))[0] if at else None
+            out += [(key[0], row, version) for row in self.waiting.getValue((t,))[0]]
+            self.waiting.removeKey((t,))
+        # Of the versions that the watermark has passed only the last can still hold for a row.
+        for t in since[: max(0, bisect.bisect_right(since, mark) - 1)]:
+            self.versions.removeKey((t,))
+        if out:
+            yield pd.DataFrame(out, columns=["k", "row", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def versioned(stream: DataFrame, versions: DataFrame, key: str, time: str, since: str, values: list[str]) -> DataFrame:
+    """Rows of a stream with the values of the latest version of their key at or before their time, as a stream.
+
+    Both sides are streams with watermarks. A row waits until the watermark has passed its time, so
+    versions that come late, but within the watermark's delay, count; then it goes out, and versions
+    older than the last one in front of the watermark go from the state. Of several versions of one
+    instant the greatest as JSON holds. Rows and versions without time or key are left out.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rest = [c for c in stream.columns if c != key]
+    kind = stream.schema[key].dataType.simpleString()
+    json = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    rows = stream.select(F.col(key).alias("k"), F.col(time).cast("timestamp").alias("t"), F.lit(None).cast("string").alias("version"), json(rest).alias("row"))
+    other = versions.select(F.col(key).cast(kind).alias("k"), F.col(since).cast("timestamp").alias("t"), json(values).alias("version"), F.lit(None).cast("string").alias("row"))
+    line = rows.unionByName(other).filter("k IS NOT NULL AND t IS NOT NULL")
+    out = line.groupBy("k").transformWithStateInPandas(Versions(key, rest), f"k {kind}, row string, version string", "Append", "EventTime")
+    schema = lambda df, columns: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    parsed = out.select(F.col("k").alias(key), F.from_json("row", schema(stream, rest)).alias("_r"), F.from_json("version", schema(versions, values)).alias("_v"))
+    return parsed.select(key, *(F.col("_r")[c].alias(c) for c in rest), *(F.col("_v")[c].alias(c) for c in values))
 
 
 def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update", order: list[str] | None = None) -> DataFrame:

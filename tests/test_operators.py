@@ -249,6 +249,37 @@ def test_stream_limit_equals_batch(spark, tmp_path):
     assert sorted((r.c, r.t, r.allowed) for r in got.collect()) == sorted((r.c, r.t, r.allowed) for r in batch.collect())
 
 
+def _appended(stream, path):
+    """Runs a stream over the files that are there, from its checkpoint on, and gives all rows written so far."""
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out").collect()
+
+
+def test_stream_limit_goes_on_from_its_checkpoint(spark, tmp_path):
+    rows = [("a", 0), ("a", 1), ("b", 2), ("a", 3), ("a", 11), ("b", 12), ("a", 12), ("b", 13)]
+    wanted = sorted((r.c, r.t, r.allowed) for r in temporal.sliding_decisions(_times(spark, rows), "c", "t", "id", 2, 10).collect())
+    for half in ("id < 4", "id >= 4"):
+        _times(spark, rows).filter(half).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id int, c string, t timestamp").parquet(f"{tmp_path}/in").withWatermark("t", "1 minute")
+        got = _appended(streams.limited(stream, "c", "t", 2, 10), tmp_path)
+        assert len(got) in (4, 8)
+    assert sorted((r.c, r.t, r.allowed) for r in got) == wanted
+
+
+def test_stream_takes_late_versions_and_goes_on(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    events = [[(1, "a", at(10)), (2, "a", at(40)), (3, "b", at(5))], [(4, "a", at(60)), (5, "b", at(70)), (6, "c", at(65))], [(9, "x", at(10_000))]]
+    versions = [[("a", at(0), "v0"), ("a", at(50), "v50"), ("b", at(6), "w6")], [("a", at(30), "v30"), ("a", at(50), "v51")], [("x", at(10_000), "end")]]
+    for e, v in zip(events, versions, strict=True):
+        spark.createDataFrame(e, "id int, k string, t timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        spark.createDataFrame(v, "k string, since timestamp, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/v")
+        left = spark.readStream.schema("id int, k string, t timestamp").parquet(f"{tmp_path}/e").withWatermark("t", "30 seconds")
+        right = spark.readStream.schema("k string, since timestamp, v string").parquet(f"{tmp_path}/v").withWatermark("since", "30 seconds")
+        got = {r.id: r.v for r in _appended(streams.versioned(left, right, "k", "t", "since", ["v"]), tmp_path)}
+    assert got == {1: "v0", 2: "v30", 3: None, 4: "v51", 5: "w6", 6: None}
+
+
 def test_funnel_takes_the_best_walk(spark):
     rows = [(1, "v", 0), (1, "v", 50), (1, "c", 55), (1, "p", 58), (2, "c", 0), (2, "v", 5), (3, "v", 0), (3, "c", 100)]
     df = spark.createDataFrame([(k, e, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, e, s in rows], "k int, e string, t timestamp")
