@@ -72,12 +72,6 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/"), lambda x: F.when(x.rlike(identifier), ":id").otherwise(x)), "/")
 
 
-def template_regex(template: Column) -> Column:
-    """A path template, in which a segment ``*`` stands for any one segment, as a regular expression."""
-    quoted = F.regexp_replace(template, r"([.+?()\[\]{}|^$\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"(?<=^|/)\*(?=/|$)", "[^/]+"), F.lit("$"))
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """A column made from a value that is computed once, wherever the column uses it."""
     return F.transform(F.array(value), use)[0]

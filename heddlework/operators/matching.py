@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import allowed, template_regex
+from ..functions.text import allowed
+from ..sources.storage import cut
 
 
 def filtered(df: DataFrame, column: str, *rules: dict) -> DataFrame:
@@ -15,18 +16,46 @@ def filtered(df: DataFrame, column: str, *rules: dict) -> DataFrame:
     return df
 
 
+def literal_grams(pattern: Column) -> Column:
+    """Runs of three characters that every match of a regular expression has; empty where none can be told.
+
+    Escapes and classes stand for any character, and so does what an asterisk or question mark makes
+    optional. Expressions with groups, alternatives or counts have none.
+    """
+    gap = "\u0000"
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"\\.", gap), r"\[\^?\]?[^\]]*\]", gap), r"[\s\S][*?]", gap)
+    runs = F.split(plain, r"[\x00.^$+]")
+    grams = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= 3), _grams))
+    return F.when(pattern.rlike(r"[(){|]"), F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+
+def _grams(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
+
+
 def filtered_by_table(df: DataFrame, column: str, rules: DataFrame, most: int = 10_000) -> DataFrame:
     """As ``filtered`` with the rules in a table (pattern, exclude) of regular expressions.
 
-    Every value is compared with every pattern, so the table must be small; its size is checked.
+    Rules are indexed by three characters that each match must have, of several the ones that
+    fewest values have. A value is compared only with the rules of its own threes, by an equi-join.
+    Rules without such characters are compared with every value; they are broadcast, and their number is checked.
     """
-    n = rules.limit(most + 1).count()
+    rules = cut(rules.select(F.col("pattern").alias("_p"), F.col("exclude").alias("_x"), literal_grams(F.col("pattern")).alias("_g")).distinct(), "rules")
+    values = cut(df.select(F.col(column).alias("_v")).filter("_v IS NOT NULL").distinct(), "values")
+    of_value = values.select("_v", F.explode(F.array_distinct(F.when(F.length("_v") >= 3, _grams(F.col("_v"))))).alias("_k"))
+    common = of_value.groupBy(F.col("_k").alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = rules.select("_p", "_x", F.explode("_g").alias("_f")).join(common, "_f", "left").groupBy("_p", "_x").agg(F.min_by("_f", F.coalesce("_n", F.lit(0))).alias("_k"))
+    hits = of_value.join(keyed, "_k").filter(F.rlike("_v", "_p")).select("_v", "_x")
+    rest = rules.filter(F.size("_g") == 0)
+    n = rest.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"more than {most} patterns")
-    rules = F.broadcast(rules.select(F.col("pattern").alias("_p"), F.col("exclude").alias("_x")))
-    out = df.join(rules.filter("_x"), F.rlike(F.col(column), F.col("_p")), "left_anti")
+        raise ValueError(f"more than {most} patterns without three plain characters in a row")
+    if n:
+        hits = hits.unionByName(values.join(F.broadcast(rest), F.rlike("_v", "_p")).select("_v", "_x"))
+    hits = cut(hits.distinct(), "hits")
+    out = df.join(hits.filter("_x"), F.col(column) == F.col("_v"), "left_anti")
     if rules.filter("NOT _x").limit(1).count():
-        out = out.join(rules.filter("NOT _x"), F.rlike(F.col(column), F.col("_p")), "left_semi")
+        out = out.join(hits.filter("NOT _x"), F.col(column) == F.col("_v"), "left_semi")
     return out
 
 
@@ -46,13 +75,24 @@ def validated(df: DataFrame, checks: list[tuple[str, Column, str]]) -> DataFrame
 def with_template(requests: DataFrame, templates: DataFrame, path: str = "path") -> DataFrame:
     """Requests with the template of their path, if any; an exact one goes before one with ``*``.
 
-    Templates are joined on their number of segments and first segment or, where that is ``*``, by
-    number alone; they are a small table of the service and are broadcast below Spark's threshold.
+    Templates are a trie: for each level a table of (segments in all, what is in front, segment). The
+    distinct paths walk down it by equi-joins, one for each level, with their own segment and with ``*``.
     """
-    t = templates.withColumns({"_regex": template_regex(F.col("template")), "_n": F.size(F.split("template", "/")), "_wild": F.col("template").contains("*")})
-    distinct = requests.select(path).distinct().withColumn("_m", F.size(F.split(path, "/")))
-    hit = distinct.join(t, (F.col("_m") == F.col("_n")) & F.rlike(F.col(path), F.col("_regex")))
-    best = hit.withColumn("_r", F.row_number().over(Window.partitionBy(path).orderBy("_wild", "template"))).filter("_r = 1").drop("_r", "_m", "_n", "_wild", "_regex")
+    trie = cut(templates.select("template", F.split("template", "/").alias("_s")).distinct(), "templates")
+    depth = trie.agg(F.max(F.size("_s"))).first()[0] or 0
+    at = requests.select(path).filter(F.col(path).isNotNull()).distinct().withColumn("_s", F.split(path, "/")).withColumn("_n", F.size("_s")).withColumn("_at", F.lit(""))
+    ends = None
+    for i in range(depth):
+        front = F.array_join(F.slice("_s", 1, i), "/") if i else F.lit("")
+        level = trie.filter(F.size("_s") > i).select(F.size("_s").alias("_m"), front.alias("_from"), F.col("_s")[i].alias("_seg"), F.array_join(F.slice("_s", 1, i + 1), "/").alias("_to")).distinct()
+        own = at.filter(F.col("_n") > i).withColumn("_own", F.explode(F.array_distinct(F.array(F.col("_s")[i], F.when(F.col("_s")[i] != "", "*").otherwise(F.col("_s")[i])))))
+        at = own.join(level, (F.col("_n") == F.col("_m")) & (F.col("_at") == F.col("_from")) & (F.col("_own") == F.col("_seg"))).select(path, "_s", "_n", F.col("_to").alias("_at"))
+        done = at.filter(F.col("_n") == i + 1).select(path, F.col("_at").alias("_found"))
+        ends = done if ends is None else ends.unionByName(done)
+    if ends is None:
+        ends = at.select(path, F.col("_at").alias("_found")).filter("false")
+    hit = ends.join(templates, F.col("_found") == F.col("template")).drop("_found")
+    best = hit.withColumn("_r", F.row_number().over(Window.partitionBy(path).orderBy(F.col("template").contains("*"), "template"))).filter("_r = 1").drop("_r")
     return requests.join(best, path, "left")
 
 

@@ -21,7 +21,8 @@ def _text(df, *columns):
 
 
 def r2(spark, sf):
-    out = S.upsert_sink(S.tumbling(_events(spark, sf), "ts", "1 hour", "event_type", exact=True), ["window_start", "event_type"])
+    events = _with_end(spark, sf, "events", ["user_id", "event_type", "ts"], "user_id", "ts")
+    out = S.upsert_sink(S.tumbling(events, "ts", "1 hour", "event_type", exact=True), [], "append")
     return _text(out, "window_start", "window_end")
 
 

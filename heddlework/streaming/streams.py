@@ -30,9 +30,15 @@ def event_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
 
 
 def tumbling(df: DataFrame, time: str, size: str, *keys: str, user: str = "user_id", exact: bool = False) -> DataFrame:
-    """Views and users in windows one after the other; users estimated, or, with a state that grows with a window's users, counted."""
-    users = F.size(F.collect_set(user)).cast("long") if exact else F.approx_count_distinct(user, 0.01)
-    return _flat(df.groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("pv"), users.alias("uv")))
+    """Views and users in windows one after the other; users are estimated or, in append mode only, counted.
+
+    Counted users are rows of the state, one for each window and user, which a second aggregation adds up
+    when the watermark closes the window; no row holds a window's users.
+    """
+    if exact:
+        by_user = df.groupBy(F.window(time, size), *keys, user).agg(F.count(F.lit(1)).alias("n"))
+        return _flat(by_user.groupBy("window", *keys).agg(F.sum("n").alias("pv"), F.count(user).alias("uv")))
+    return _flat(df.groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("pv"), F.approx_count_distinct(user, 0.01).alias("uv")))
 
 
 def hopping(df: DataFrame, time: str, size: str, slide: str, *keys: str) -> DataFrame:
