@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import sketches as K
+from ..sources.storage import cut
 from .common import table
 
 _LINEITEM = {
@@ -157,7 +159,17 @@ def a38(spark, sf):
     return g.withColumn("median", F.round("median", 4))
 
 
-QUERIES = {
+def a2_merged(spark, sf):
+    """The profile of all lines but a tenth, stored, and an increment merged into it; quartiles are made exact in one pass over all."""
+    lines = table(spark, sf, "lineitem")
+    late = F.coalesce(F.col("l_orderkey") % 10 == 0, F.lit(False))
+    stored = cut(K.sketched(lines.filter(~late)), "profile")
+    profile = cut(K.merged(stored, K.sketched(lines.filter(late))), "profile")
+    exact = K.described(profile).select("column_name", "row_count", "null_count", "min", "max", "mean")
+    return exact.join(K.exact_quartiles(lines, profile), "column_name")
+
+
+QUERIES = {"a2_merged_profile": a2_merged, 
     "a1_table_statistics": a1, "a2_column_statistics": a2, "a2_distinct_estimates": a2_approx, "a3_top_values": a3, "a4_part_statistics": a4, "a5_allocated_size": a5, "a6_index_assembly": a6, "a7_partition_listing": a7,
     "a8_topic_statistics": a8, "a20_counts_with_totals": a20, "a21_status_summary": a21, "a22_operation_counters": a22, "a23_duration_histogram": a23, "a23_histogram_quantile": a23_quantile, "a24_result_summary": a24, "a25_batch_result": a25,
     "a26_run_summary": a26, "a27_error_counts": a27, "a32_group_having": a32, "a33_rollup": a33, "a34_bitmap_distinct": a34, "a35_sketch_distinct": a35, "a37_pivot": a37, "a38_ordered_set_aggregates": a38,
@@ -167,6 +179,13 @@ _PARTS = "(SELECT p AS partition_id, m AS part, n AS rows, n * 100 + m AS bytes,
 _HISTOGRAM = " UNION ALL ".join(f"SELECT event_type, {b} AS le, count(*) FILTER (value <= {b}) AS n FROM events GROUP BY event_type" if b else "SELECT event_type, CAST(NULL AS DOUBLE) AS le, count(value) AS n FROM events GROUP BY event_type" for b in [*(f"CAST({b} AS DOUBLE)" for b in _BOUNDS), None])
 
 ORACLES = {
+    "a2_merged_profile": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, avg({c}) AS mean, "
+        + ", ".join(f"quantile_cont({c}::DOUBLE, {q / 100}) AS p{q}" for q in (25, 50, 75))
+        + " FROM lineitem"
+        for c, kind in _LINEITEM.items()
+        if kind in ("bigint", "int", "double")
+    ),
     "a1_table_statistics": "SELECT count(*) AS row_count, count(DISTINCT l_returnflag || strftime(l_shipdate, '%Y-%m')) AS partition_count FROM lineitem",
     "a2_column_statistics": _a2_sql(),
     "a2_distinct_estimates": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, true AS within FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),

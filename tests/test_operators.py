@@ -5,13 +5,14 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from heddlework.functions.text import REDACTED_KEYS, glob_regex, masked, matches_regex, normal_path, partition_values, redacted_json
-from heddlework.operators import catalog, graph, inference, lineage, matching, profile, temporal
+from heddlework.operators import catalog, graph, inference, lineage, matching, profile, sketches, temporal
 from heddlework.sources import storage
 from heddlework.streaming import streams
 from heddlework.streaming.streams import audited
@@ -417,3 +418,21 @@ def test_audit_hides_a_deep_secret(spark):
     deep = '{"a": [' * 9 + '{"token": {"x": ["LEAK"]}}' + "]}" * 9
     row = audited(spark.createDataFrame([(1, "login", deep)], "event_id long, action string, details string"), "details").first()
     assert "LEAK" not in row.details and "[REDACTED]" in row.details
+
+
+def test_merged_profiles(spark, monkeypatch):
+    """Two halves make the profile of the whole, exactly where that is exact; quartiles are exact even with useless brackets."""
+    rows = [(i, float(i % 97) if i % 5 else None, f"k{i % 13}", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v double, k string, e double").repartition(4)
+    exact = ["column_name", "row_count", "null_count", "min_text", "max_text", "min", "max"]
+    whole, both = sketches.sketched(df), sketches.merged(sketches.sketched(df.filter("id < 1000")), sketches.sketched(df.filter("id >= 1000")))
+    assert sorted(map(tuple, whole.select(exact).collect()), key=str) == sorted(map(tuple, both.select(exact).collect()), key=str)
+    said = {r.column_name: r for r in sketches.described(both).collect()}
+    assert abs(said["id"].about_distinct - 3000) < 200 and said["k"].about_distinct == 13
+    assert abs(said["id"].mean - 1499.5) < 1e-9 and abs(said["id"].stddev - 866.1697294) < 1e-6 and abs(said["id"].about_p50 - 1500) < 30
+    wanted = {c: tuple(round(x, 9) for x in np.percentile([r[i] for r in rows if r[i] is not None], (25, 50, 75))) for i, c in ((0, "id"), (1, "v"))}
+    for profile in (both, sketches.sketched(df.filter("id >= 2900")).withColumn("row_count", F.lit(3000)).withColumn("null_count", F.when(F.col("column_name") == "v", 600).when(F.col("column_name") == "id", 0).otherwise(3000))):
+        bounds = profile.withColumn("min", F.when(F.col("min").isNotNull(), F.lit(0.0))).withColumn("max", F.when(F.col("column_name") == "id", 2999.0).when(F.col("column_name") == "v", 96.0))
+        got = {r.column_name: tuple(round(x, 9) for x in r[1:]) for r in sketches.exact_quartiles(df, bounds).collect()}
+        assert got == wanted
+    assert sketches.described(sketches.sketched(df.filter("false"))).count() == 4
