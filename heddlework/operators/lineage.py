@@ -1,9 +1,9 @@
 """Lineage from statement logs and from tables of facts about statements.
 
-No SQL is parsed here beyond bounded patterns: scripts are split at semicolons (also inside string
-literals), statements classified by their first words, table names read after FROM, JOIN, INTO and
+No SQL is parsed here beyond bounded patterns: scripts are split at semicolons outside string
+literals, statements classified by their first words, table names read after FROM, JOIN, INTO and
 CREATE, and column definitions of CREATE TABLE split at commas of depth one. Column lineage joins
-facts that any parser can land: select_items (stmt_id, branch, pos, alias, column_name, expr),
+facts that any parser can land (``selects`` reads them from SELECT statements): select_items (stmt_id, branch, pos, alias, column_name, expr),
 expr_refs (stmt_id, branch, pos, ref_pos, qualifier, column_name), from_items (stmt_id, branch,
 from_pos, alias, table_name) and insert_columns (stmt_id, pos, column_name).
 """
@@ -23,7 +23,9 @@ _NAME = r'[`"\[]?[\w$]+[`"\]]?(?:\s*\.\s*[`"\[]?[\w$]+[`"\]]?)*'
 def statements(scripts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, sql): statements of scripts without comment lines; blank ones and those that are neither DDL nor DML are left out."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*--.*$", ""), r"(?s)/\*.*?\*/", " ")
-    parts = scripts.select(key, F.posexplode(F.split(plain, ";")).alias("pos", "sql")).withColumn("sql", F.trim(F.regexp_replace("sql", r"^\s+|\s+$", "")))
+    pieces = F.regexp_extract_all(plain, F.lit(r"'[^']*+'|[^;']++|[;']"), F.lit(0))
+    marked = F.array_join(F.transform(pieces, lambda x: F.when(x == ";", "\u0000").otherwise(x)), "")
+    parts = scripts.select(key, F.posexplode(F.split(marked, "\u0000")).alias("pos", "sql")).withColumn("sql", F.trim(F.regexp_replace("sql", r"^\s+|\s+$", "")))
     return parts.filter(F.col("sql").rlike(r"(?i)^(SELECT|INSERT|UPDATE|DELETE|MERGE|TRUNCATE|CREATE|DROP|ALTER|WITH|REPLACE)\b"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lineage as L
+from ..operators import selects
 from .common import table
 
 
@@ -104,7 +105,53 @@ def l8(spark, sf):
     return L.graph_edges(_lineage(spark, sf)).groupBy("source_id", "type", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("edge_id").alias("n_ids"))
 
 
-QUERIES = {"l1_statements": l1, "l2_kinds": l2, "l3_table_lineage": l3, "l4_ddl_columns": l4, "l5_column_lineage": l5, "j14_binding": j14, "j16_stars": j16, "j18_base_columns": j18, "a28_table_rollup": a28, "a29_lineage_report": a29, "a30_complexity": a30, "a31_stream_features": a31, "l8_graph_edges": l8}
+def _sql(key, *parts):
+    """A text with a column's value in place of each None."""
+    return F.concat(*(F.col(key).cast("string") if x is None else F.lit(x) for x in parts))
+
+
+def _no_catalog(spark):
+    return spark.createDataFrame([], "table_name string, column_name string, ordinal int")
+
+
+def l6(spark, sf):
+    """Sources inside nested calls, CASE, OVER, common table expressions, scalar subqueries and set operations."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 4
+    size = "p_size"
+    text = (
+        F.when(k == 0, _sql(size, "SELECT SUM(CASE WHEN o.c1 > ", None, " THEN o.c2 ELSE o.c3 * o.c2 END) AS total, UPPER(TRIM(name)) n, COUNT(*) FROM ods.orders o WHERE o.c9 = 1"))
+        .when(k == 1, _sql(size, "INSERT INTO dw.t", None, " (x, y) SELECT ROW_NUMBER() OVER (PARTITION BY u.k", None, " ORDER BY u.ts DESC), CAST(v.w AS DECIMAL(10,2)) FROM dim.users u LEFT JOIN `dim`.`v` AS v ON u.id = v.id"))
+        .when(k == 2, _sql(size, "WITH c AS (SELECT id, a + b AS ab FROM base", None, ") SELECT COALESCE(ab, 'x;,(') AS v, (SELECT MAX(d) FROM dim WHERE dim.id = c.id) FROM c"))
+        .otherwise(_sql(size, "CREATE VIEW w", None, " AS SELECT IF(d.a IS NULL, 0, d.a) AS z, 1 one -- last\nFROM (SELECT a1 AS a FROM t", None, " UNION ALL SELECT a2 FROM s) d"))
+    )
+    return selects.text_lineage(p.select("p_partkey", text.alias("sql")), "p_partkey", _no_catalog(spark))[0]
+
+
+def l7(spark, sf):
+    """Every statement with its error or the number of its outputs."""
+    k = F.col("p_partkey") % 6
+    p = table(spark, sf, "part")
+    texts = ["SELECT a, b FROM t", "SELECT a FROM t WHERE n = 'open", "SELECT f(a FROM t", "DROP TABLE t", "SELECT a, FROM t", "SELECT a FROM"]
+    text = F.element_at(F.array(*(F.lit(x) for x in texts)), k.cast("int") + 1)
+    rows = p.select("p_partkey", text.alias("sql"))
+    found, errors = selects.text_lineage(rows, "p_partkey", _no_catalog(spark))
+    n = found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_outputs"))
+    return rows.select("p_partkey").join(errors, "p_partkey", "left").join(n, "p_partkey", "left").withColumn("n_outputs", F.coalesce("n_outputs", F.lit(0)))
+
+
+def l10(spark, sf):
+    """A pipeline of three statements for each part, from its script down to base columns."""
+    k = "p_partkey"
+    script = _sql(
+        k, "-- daily\nCREATE OR REPLACE TEMPORARY VIEW detail", None, " AS SELECT o.id, CONCAT(u.first, ';', u.last) AS name, o.pay FROM ods.orders o JOIN dim.users u ON o.uid = u.id;\nINSERT OVERWRITE TABLE dws.rfm", None, " SELECT id, name, COUNT(DISTINCT pay) AS freq FROM detail", None,
+        " GROUP BY id, name;\nINSERT INTO ads.seg", None, " WITH r AS (SELECT *, NTILE(5) OVER (ORDER BY freq DESC) AS score FROM dws.rfm", None, ") SELECT id, CASE WHEN score > 3 THEN name ELSE 'none; yet' END AS label FROM r;",
+    )
+    s = L.statements(table(spark, sf, "part").select(k, script.alias("script")), k, "script").withColumn("stmt", F.concat_ws("/", k, "pos"))
+    catalog = table(spark, sf, "part").select(F.concat(F.lit("dws.rfm"), F.col(k).cast("string")).alias("table_name"), F.posexplode(F.array(*(F.lit(c) for c in ("id", "name", "freq")))).alias("ordinal", "column_name"))
+    return selects.base_lineage(selects.text_lineage(s.select("stmt", "sql"), "stmt", catalog)[0])
+
+
+QUERIES = {"l6_function_sources": l6, "l7_batch_errors": l7, "l10_pipeline_lineage": l10, "l1_statements": l1, "l2_kinds": l2, "l3_table_lineage": l3, "l4_ddl_columns": l4, "l5_column_lineage": l5, "j14_binding": j14, "j16_stars": j16, "j18_base_columns": j18, "a28_table_rollup": a28, "a29_lineage_report": a29, "a30_complexity": a30, "a31_stream_features": a31, "l8_graph_edges": l8}
 
 _F = """
 l AS (SELECT l_orderkey AS stmt_id, l_linenumber - 1 AS pos, max(l_returnflag) AS flag, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2),
@@ -115,6 +162,14 @@ y AS (SELECT stmt_id, pos, target, CASE branches WHEN 2 THEN s || ',' || s ELSE
 _ONE = "CREATE TABLE IF NOT EXISTS dw.t (id BIGINT PRIMARY KEY, amount DECIMAL(10,2) NOT NULL DEFAULT 0, note VARCHAR(20) COMMENT ''free, text'')"
 _EDGES = "(SELECT p_partkey, p_size, unnest(['ods.base' || p_size, 'ods.orders', 'dw.t' || p_size]) AS source, unnest(['dw.t' || p_size, 'dw.t' || p_size, 'RESULT_SET']) AS target FROM part)"
 ORACLES = {
+    "l6_function_sources": """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'dw.t' || p_size WHEN 3 THEN 'w' || p_size ELSE 'RESULT_SET' END AS target_table, CAST(i - 1 AS INTEGER) AS pos, t[i] AS target, s[i] AS sources, CASE s[i] WHEN '' THEN 0 ELSE len(string_split(s[i], ',')) END AS n_sources, e[i] AS operator FROM (
+  SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, p_size,
+    CASE p_partkey % 4 WHEN 0 THEN ['total', 'n', '_col2'] WHEN 1 THEN ['x', 'y'] WHEN 2 THEN ['v', '_col1'] ELSE ['z', 'one'] END AS t,
+    CASE p_partkey % 4 WHEN 0 THEN ['ods.orders.c1,ods.orders.c2,ods.orders.c3,ods.orders.c2', 'ods.orders.name', ''] WHEN 1 THEN ['dim.users.k' || p_size || ',dim.users.ts', 'dim.v.w'] WHEN 2 THEN ['base' || p_size || '.a,base' || p_size || '.b', 'dim.d'] ELSE ['s.a2,t' || p_size || '.a1,s.a2,t' || p_size || '.a1', ''] END AS s,
+    CASE p_partkey % 4 WHEN 0 THEN ['SUM(CASE WHEN o.c1 > ' || p_size || ' THEN o.c2 ELSE o.c3 * o.c2 END)', 'UPPER(TRIM(name))', 'COUNT(*)'] WHEN 1 THEN ['ROW_NUMBER() OVER (PARTITION BY u.k' || p_size || ' ORDER BY u.ts DESC)', 'CAST(v.w AS DECIMAL(10,2))'] WHEN 2 THEN ['COALESCE(ab, ''x;,('')', 'subquery'] ELSE ['IF(d.a IS NULL, 0, d.a)', '1'] END AS e FROM part))""",
+    "l7_batch_errors": "SELECT p_partkey, [NULL, 'unclosed quote', 'unbalanced brackets', 'no SELECT', 'missing output', 'missing table'][p_partkey % 6 + 1] AS error, CASE p_partkey % 6 WHEN 0 THEN 2 ELSE 0 END AS n_outputs FROM part",
+    "l10_pipeline_lineage": "SELECT t[1] || p_partkey || '.' || t[2] AS target, t[3] AS source FROM (SELECT p_partkey, unnest([['detail', 'id', 'ods.orders.id'], ['detail', 'name', 'dim.users.first'], ['detail', 'name', 'dim.users.last'], ['detail', 'pay', 'ods.orders.pay'], ['dws.rfm', 'id', 'ods.orders.id'], ['dws.rfm', 'name', 'dim.users.first'], ['dws.rfm', 'name', 'dim.users.last'], ['dws.rfm', 'freq', 'ods.orders.pay'], ['ads.seg', 'id', 'ods.orders.id'], ['ads.seg', 'label', 'ods.orders.pay'], ['ads.seg', 'label', 'dim.users.first'], ['ads.seg', 'label', 'dim.users.last']]) AS t FROM part)",
     "l1_statements": f"SELECT p_partkey, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS length FROM (SELECT p_partkey, unnest([0, 1, 4]) AS pos, unnest([length('{_ONE}') + length(p_size::VARCHAR), length('INSERT INTO dw.t WITH c AS (SELECT id FROM ods.base) SELECT c.id, o.amount FROM c JOIN `ods`.`Orders` o ON c.id = o.id') + 2 * length(p_size::VARCHAR), length('SELECT * FROM dw.t') + length(p_size::VARCHAR)]) AS n FROM part)",
     "l2_kinds": "SELECT unnest(['create', 'insert', 'select']) AS kind, count(*) AS n FROM part",
     "l3_table_lineage": f"SELECT p_partkey, target, source FROM {_EDGES}",

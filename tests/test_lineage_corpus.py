@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from heddlework.operators import lineage
+from heddlework.operators import lineage, selects
 
 # Statements as facts: target, tables with their aliases, and output columns with the columns they read. Names are fixed values.
 BATCH = [
@@ -64,3 +64,32 @@ def test_batch_pipeline(spark):
 def test_streaming_pipeline(spark):
     found = base_columns(spark, STREAM)
     assert {t: {c: " ".join(sorted(s)) for c, s in found[t].items()} for t in STREAM_WANTED} == STREAM_WANTED
+
+
+def text_of(target, sources, columns):
+    """A statement that writes these columns: each read inside a call with a string that looks like code, in CASE or OVER by turns."""
+    forms = ("COALESCE({}, 'x, (y')", "CASE WHEN {} > 1 THEN 1 END", "ROW_NUMBER() OVER (ORDER BY {})", "{}")
+    outputs = []
+    for i, (name, reads) in enumerate(columns.items()):
+        reads = reads.split()
+        body = forms[i % 4].format(f"CONCAT({', '.join(reads)})" if len(reads) > 1 else reads[0]) if reads else "'none'"
+        outputs.append(f"{body} AS {name}")
+    tables = " JOIN ".join(t if t == a else f"{t} AS {a}" for a, t in sources.items())
+    return f"INSERT INTO {target} SELECT {', '.join(outputs)} FROM {tables}"
+
+
+def base_columns_of_text(spark, statements):
+    rows = spark.createDataFrame([(s, text_of(*x)) for s, x in enumerate(statements)], "stmt int, sql string")
+    found, errors = selects.text_lineage(rows, "stmt", spark.createDataFrame([], "table_name string, column_name string, ordinal int"))
+    assert not errors.count()
+    out: dict[str, dict[str, set]] = {}
+    for r in selects.base_lineage(found).collect():
+        table, _, column = r.target.rpartition(".")
+        out.setdefault(table, {}).setdefault(column, set()).add(r.source)
+    return out
+
+
+def test_pipelines_from_text(spark):
+    for statements, wanted in ((BATCH, BATCH_WANTED), (STREAM, STREAM_WANTED)):
+        found = base_columns_of_text(spark, statements)
+        assert {t: {c: " ".join(sorted(s)) for c, s in found[t].items()} for t in wanted} == wanted
