@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import canonical, is_system, type_parameters
-from ..sources.storage import cut
+from ..sources.versions import at_version, commit
 
 
 def table_view(connectors: DataFrame, catalogs: DataFrame, schemas: DataFrame, tables: DataFrame) -> DataFrame:
@@ -54,24 +54,21 @@ UNIQUE_KEYS = {
 }
 
 
-def stored(tables: dict[str, DataFrame], path: str, version: str = "updated_at") -> dict[str, DataFrame]:
+def stored(tables: dict[str, DataFrame], path: str, version: str = "updated_at", buckets: int = 64) -> dict[str, DataFrame]:
     """Writes catalog or lineage tables below a path, each row of one unique key once, and reads them back.
 
     Of several rows of a key the last by ``version`` stays (any of equals). What the path already has
-    of a table stays where no new row has its key. Edges without a confidence get 1.
+    of a table stays where no new row has its key. Edges without a confidence get 1. Each table is kept in
+    versions (``sources.versions``): only buckets with new keys are written, and readers of an old version are not disturbed.
     """
     out = {}
     for name, df in tables.items():
-        spark = df.sparkSession
         keys, at = UNIQUE_KEYS[name], f"{path}/{name}"
         if name == "lineage_edges":
             own = F.coalesce("confidence", F.lit(1.0)) if "confidence" in df.columns else F.lit(1.0)
             df = df.withColumn("confidence", own.cast("decimal(3,2)"))
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        old = cut(spark.read.parquet(at), name) if exists else df.limit(0)
-        upserted(old, df, keys, version).write.mode("overwrite").parquet(at)
-        out[name] = spark.read.parquet(at)
+        n = commit(df, at, keys, lambda old, new, keys=keys: upserted(old, new, keys, version), buckets)
+        out[name] = at_version(df.sparkSession, at, n)
     return out
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import types as Y
 from ..operators import matching as M
+from ..operators import search as R
+from ..sources.storage import shared_folder
 from .common import table
 
 
@@ -186,7 +190,21 @@ def p22(spark, sf):
 
 
 def p23(spark, sf):
-    return M.word_search(table(spark, sf, "documents"), "doc_id", ["text"], ["the", "license", "idiot"])
+    return R.search(spark, _index(spark, sf), ["the", "license", "idiot"]).select(F.col("key").alias("doc_id"), F.col("n_terms").cast("int").alias("score"))
+
+
+def _index(spark, sf):
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    R.write_index(table(spark, sf, "documents"), "doc_id", ["text"], path)
+    return path
+
+
+def p23_ranked(spark, sf):
+    return R.search(spark, _index(spark, sf), ["the", "license", "idiot"]).select(F.col("key").alias("doc_id"), "n_terms", F.round("score", 6).alias("score"))
+
+
+def p23_phrase(spark, sf):
+    return R.phrase(spark, _index(spark, sf), ["of", "the"]).select(F.col("key").alias("doc_id"), "n")
 
 
 def p24(spark, sf):
@@ -231,7 +249,7 @@ def s4(spark, sf):
 QUERIES = {
     "p1_glob": p1, "p2_regex": p2, "p3_rules": p3, "p3_rule_table": p3_table, "p4_two_stages": p4, "p5_key_scan": p5, "p6_system_objects": p6, "p6_table_engines": p6_engines, "p7_canonical_types": p7, "p8_type_parameters": p8, "p9_table_types": p9, "p10_storage_formats": p10,
     "p11_partition_specs": p11, "p13_flags": p13, "p14_categories": p14, "p15_path_templates": p15, "p16_access": p16, "p17_normal_paths": p17, "p18_validation": p18, "p19_redacted_json": p19, "p19_redacted_map": p19_map, "p20_masking": p20,
-    "p21_severity": p21, "p22_list_filter": p22, "p23_word_search": p23, "p24_predicates": p24, "p24_quantified": p24_quantified, "p25_distinct": p25, "p26_incremental": p26, "p27_log_lines": p27, "f12_identifiers": f12, "s4_file_format": s4,
+    "p21_severity": p21, "p22_list_filter": p22, "p23_word_search": p23, "p23_ranked_search": p23_ranked, "p23_phrase": p23_phrase, "p24_predicates": p24, "p24_quantified": p24_quantified, "p25_distinct": p25, "p26_incremental": p26, "p27_log_lines": p27, "f12_identifiers": f12, "s4_file_format": s4,
 }
 
 _R = "(SELECT event_id, user_id, event_type, CASE event_type WHEN 'click' THEN '/api/v1/tasks/' || user_id || '/start' WHEN 'view' THEN '/api/v1/tasks/' || user_id ELSE '/api/v1/health' END AS path, CASE user_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'operator' ELSE 'viewer' END AS role FROM events)"
@@ -282,6 +300,13 @@ ORACLES = {
     "p20_masking": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '********' END AS password, '********' AS access_key, '********' AS secret_key, c_name AS token, c_mktsegment AS host, left(c_name, 3) || '****' || right(c_name, 3) AS name FROM customer",
     "p21_severity": "SELECT ['login_failed', 'task_delete', 'config_change', 'login', 'password_change', 'datasource_delete', 'template_delete', 'token_refresh'][i] AS action, ['warning', 'critical', 'critical', 'info', 'warning', 'critical', 'info', 'info'][i] AS severity, count(*) AS n FROM (SELECT event_id % 8 + 1 AS i FROM events) GROUP BY i",
     "p22_list_filter": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50",
+    "p23_ranked_search": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT count(*) AS texts, sum(len(w)) AS words FROM d),
+n AS (SELECT doc_id, len(w) AS length, t, len(list_filter(w, lambda x: x = t)) AS n FROM d, (SELECT unnest(['the', 'license', 'idiot']) AS t)),
+f AS (SELECT t, count(*) AS having_it FROM n WHERE n > 0 GROUP BY 1)
+SELECT doc_id, count(*) AS n_terms, round(sum(ln(1 + (texts - having_it + 0.5) / (having_it + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length * texts / words))), 6) AS score FROM n JOIN f USING (t), s WHERE n > 0 GROUP BY 1""",
+    "p23_phrase": r"WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, len([1 for i in range(1, len(w)) if w[i] = 'of' and w[i + 1] = 'the']) AS n FROM d) SELECT * FROM n WHERE n > 0",
     "p23_word_search": r"SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT doc_id, len(list_intersect(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['the', 'license', 'idiot'])) AS score FROM documents) WHERE score > 0",
     "p24_predicates": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000 AND (o_orderstatus IN ('F', 'O') OR o_orderpriority ILIKE '%urgent%') AND o_custkey IS NOT NULL",
     "p24_quantified": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount = 0)",
