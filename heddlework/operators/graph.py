@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
+from .ranks import within
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -227,11 +228,19 @@ def closes_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node with its targets in order, joined by commas; empty without any."""
+    """Each node with its targets in order, joined by commas; empty without any. For nodes of very many targets see ``adjacency_blocks``."""
     lists = edges.groupBy(F.col("source_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("targets"))
     return nodes.select("node_id").distinct().join(lists, "node_id", "left").withColumn("targets", F.coalesce("targets", F.lit("")))
 
 
+def adjacency_blocks(edges: DataFrame, size: int = 1024) -> DataFrame:
+    """(node_id, block, targets): each node's targets in order, in lists of at most ``size``; a node with a third of all edges is many lists."""
+    e = edges.select(F.col("source_id").alias("node_id"), "target_id").distinct()
+    placed = within(e, ["node_id"], F.col("target_id"))
+    lists = placed.groupBy("node_id", F.floor(F.col("place") / size).alias("block")).agg(F.array_sort(F.collect_list("target_id")).alias("targets"))
+    return lists
+
+
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without some nodes and their edges."""
     ids = gone.select("node_id").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.storage import cut
+from . import ranks
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, version: str, values: list[str], bin_seconds: int = 7 * 86_400) -> DataFrame:
@@ -106,11 +107,10 @@ def actions(status: Column) -> Column:
 
 
 def running_gauge(df: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
-    """How many are under way at each start and end; at one instant ends come after starts. Changes are summed by instant first."""
+    """How many are under way at each start and end; at one instant ends come after starts. Changes are summed by instant first, and a key's instants are sorted in ranges."""
     change = df.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.*")
     steps = change.filter("t IS NOT NULL").groupBy(*keys, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(*keys, "t", F.sum("d").over(w).alias("running"))
+    return ranks.within(steps, list(keys), F.col("t"), total="d").select(*keys, "t", "running")
 
 
 def ready(dependencies: DataFrame, executions: DataFrame, today: Column, now_hour: int, weekday: int) -> DataFrame:

@@ -180,6 +180,10 @@ def g9(spark, sf):
     return G.adjacency(_nodes(spark, sf).select("node_id"), _edges(spark, sf))
 
 
+def g9_blocks(spark, sf):
+    return G.adjacency_blocks(_edges(spark, sf), 8).select("node_id", "block", F.array_join("targets", ",").alias("targets"))
+
+
 def g1(spark, sf):
     gone = _nodes(spark, sf).filter("type = 'n' AND node_id LIKE '%2'").select("node_id")
     return G.without_nodes(_nodes(spark, sf), _edges(spark, sf), gone)[1]
@@ -199,7 +203,7 @@ def g13(spark, sf):
 QUERIES = {
     "j1_table_view": j1, "j3_edge_view": j3, "j4_enrichment": j4, "j7_foreign_keys": j7, "j8_boundaries": j8, "j9_consumer_lag": j9, "j10_bindings": j10, "j11_delete_safety": j11, "j13_templates": j13, "j27_merge": j27, "j28_update_from": j28, "j29_bulk_result": j29,
     "l9_catalog_lookup": l9, "p12_describe": p12, "u2_upsert": u2, "u2_duplicates": u2_duplicates, "u3_union_listing": u3, "g1_node_removal": g1, "g2_upstream": g2, "g3_downstream": g3, "g4_subgraph": g4, "g6_containment": g6, "g7_rollup": g7, "g8_cyclic_nodes": g8,
-    "g8_cycle_test": g8_closing, "g8_edges_on_cycles": g8_all, "g8_components": g8_components, "g9_adjacency": g9, "g12_edge_filter": g12, "g13_recursive_hierarchy": g13,
+    "g8_cycle_test": g8_closing, "g8_edges_on_cycles": g8_all, "g8_components": g8_components, "g9_adjacency": g9, "g9_adjacency_blocks": g9_blocks, "g12_edge_filter": g12, "g13_recursive_hierarchy": g13,
 }
 
 _N = "(SELECT 'r:' || r_regionkey AS node_id, r_name AS name, 'r' AS type FROM region UNION ALL SELECT 'n:' || n_nationkey, n_name, 'n' FROM nation UNION ALL SELECT 'c:' || c_custkey, c_name, 'c' FROM customer)"
@@ -233,6 +237,7 @@ ORACLES = {
     "g8_edges_on_cycles": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t) SELECT g.s AS source_id, g.t AS target_id, g.s = g.t OR EXISTS (SELECT 1 FROM f WHERE f.s = g.t AND f.t = g.s) AS closes FROM g",
     "g8_components": "WITH RECURSIVE g AS MATERIALIZED (SELECT DISTINCT o.o_custkey AS s, p.o_custkey AS t FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 1), f AS (SELECT s, t FROM g UNION SELECT f.s, g.t FROM f JOIN g ON g.s = f.t) SELECT a.s AS node_id, min(a.t) AS component FROM f a JOIN f b ON a.s = b.t AND a.t = b.s GROUP BY a.s HAVING count(*) > 1",
     "g8_cycle_test": "SELECT 'n:' || n_nationkey AS source_id, 'r:1' AS target_id, n_regionkey = 1 AS closes FROM nation",
+    "g9_adjacency_blocks": f"SELECT node_id, (place - 1) // 8 AS block, string_agg(target_id, ',' ORDER BY target_id) AS targets FROM (SELECT source_id AS node_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY target_id) AS place FROM (SELECT DISTINCT source_id, target_id FROM {_E})) GROUP BY 1, 2",
     "g9_adjacency": f"SELECT node_id, coalesce(string_agg(DISTINCT target_id, ',' ORDER BY target_id), '') AS targets FROM {_N} LEFT JOIN {_E} e ON e.source_id = node_id GROUP BY 1",
     "g12_edge_filter": f"SELECT *, (length(target_id) % 3) / 2.0 AS confidence FROM {_E} WHERE source_id LIKE 'n%' AND (length(target_id) % 3) / 2.0 >= 0.5",
     "g13_recursive_hierarchy": f"SELECT 'r:' || r_regionkey AS root, 0 AS level, 1 AS n FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'r:' || n_regionkey, 1, count(*) FROM nation GROUP BY 1 UNION ALL SELECT 'r:' || n_regionkey, 2, count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1",

@@ -69,13 +69,14 @@ def r11(spark, sf):
 
 
 def r1(spark, sf):
-    """Every fiftieth event comes two batches after most others: in windows that the watermark had passed a batch before it is dropped."""
-    path = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    """Every fiftieth event comes two runs after most others: in windows that the watermark had passed by then it is dropped. Each run goes on from the last one's state."""
+    path, state = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("late", "late-state"))
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for part in ("event_id % 50 > 1", "event_id % 50 = 1", "event_id % 50 = 0"):
-        e.filter(part).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "5 seconds")
-    return _text(S.upsert_sink(S.hopping(stream, "ts", "1 hour", "1 hour", "event_type"), ["window_start", "event_type"]), "window_start", "window_end")
+        e.filter(part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(e.schema).parquet(path).withWatermark("ts", "5 seconds")
+        out = S.upsert_sink(S.hopping(stream, "ts", "1 hour", "1 hour", "event_type"), ["window_start", "event_type"], path=state)
+    return _text(out, "window_start", "window_end")
 
 
 def _with_end(spark, sf, name, columns, key, time):

@@ -197,14 +197,16 @@ def versioned(stream: DataFrame, versions: DataFrame, key: str, time: str, since
     return parsed.select(key, *(F.col("_r")[c].alias(c) for c in rest), *(F.col("_v")[c].alias(c) for c in values))
 
 
-def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update", order: list[str] | None = None) -> DataFrame:
+def upsert_sink(stream: DataFrame, keys: list[str], mode: str = "update", order: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Runs the stream over what is there and gives the last row of each key; batches are files in the shared folder.
 
+    With a ``path``, its state and rows are kept there, and the next call goes on with what has come since.
+
     The last row is that of the latest batch, within it the greatest by the columns of ``order``, and
     of rows that are equal in these the greatest by all columns as text.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/number={number}")

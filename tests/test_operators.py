@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from heddlework.functions.text import REDACTED_KEYS, glob_regex, masked, matches_regex, normal_path, partition_values, redacted_json
-from heddlework.operators import catalog, graph, inference, lineage, matching, profile, sketches, temporal
+from heddlework.operators import catalog, graph, inference, lineage, matching, profile, ranks, sketches, temporal
 from heddlework.sources import storage
 from heddlework.streaming import streams
 from heddlework.streaming.streams import audited
@@ -436,3 +436,29 @@ def test_merged_profiles(spark, monkeypatch):
         got = {r.column_name: tuple(round(x, 9) for x in r[1:]) for r in sketches.exact_quartiles(df, bounds).collect()}
         assert got == wanted
     assert sketches.described(sketches.sketched(df.filter("false"))).count() == 4
+
+
+def test_places_and_percentiles_of_one_hot_key(spark):
+    """One key and a null key have nearly all rows: they lie in several partitions, and places and sums are by key."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + [None, "b"]), float(rng.randrange(500)), i) for i in range(3000)] + [("c", None, 3000), ("one", 7.0, 3001)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(6)
+    got = ranks.within(df, ["k"], F.col("i"), total="i").withColumn("p", F.spark_partition_id()).collect()
+    by = {}
+    for k, _, i in rows:
+        by.setdefault(k, []).append(i)
+    for r in got:
+        assert r.place == by[r.k].index(r.i) and r.running == sum(by[r.k][: r.place + 1])
+    assert len(got) == len(rows)
+    found = {r.k: r.p for r in ranks.percentile_within(df, ["k"], "v", 0.95, "p").collect()}
+    values = {k: [v for k2, v, _ in rows if k2 == k and v is not None] for k in by}
+    assert found.keys() == {k for k, v in values.items() if v}
+    for k, p in found.items():
+        assert p == pytest.approx(np.percentile(values[k], 95))
+
+
+def test_adjacency_in_blocks(spark):
+    edges = spark.createDataFrame([("hub", f"t{i:04}") for i in range(2500)] * 2 + [("a", "b")], "source_id string, target_id string")
+    got = {(r.node_id, r.block): r.targets for r in graph.adjacency_blocks(edges).collect()}
+    assert {k: len(v) for k, v in got.items()} == {("hub", 0): 1024, ("hub", 1): 1024, ("hub", 2): 452, ("a", 0): 1}
+    assert [t for b in range(3) for t in got[("hub", b)]] == [f"t{i:04}" for i in range(2500)]
