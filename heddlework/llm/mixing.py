@@ -9,9 +9,10 @@ every block goes to the highest quotient ``votes / (2 * blocks so far + 1)``. Sh
 A shard's blocks are numbered along that order. With a quota of ``q`` and ``n`` blocks, each block
 is taken ``q // n`` times and the first ``q % n`` once more; a document takes the words of its blocks.
 
-A null text has size 0. Documents that are equal in id, source and text are interchangeable. With no
-words at all every target is 0. Reruns agree: the order depends on the ids and the seed alone, and for
-documents without id, or with one id, on source and text. Other columns are ignored by the operator and
+A null text has size 0. Documents that are equal in id, source and text are interchangeable; those that
+are more than a shard are numbered and dealt one by one, so a row repeated a third of the time, or an id that
+a third of all rows have, is spread over shards as others are. With no words at all every target is 0.
+Reruns agree: the order depends on ids, sources, texts and the seed alone. Other columns are ignored by the operator and
 kept by the stage.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import ranked
+from ..operators.ranks import ranked, within
 from .common import WORD, cut, join_by_source, table
 
 
@@ -29,6 +30,20 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")), F.col("text").cast("string"))))
 
 
+def hot_copies(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Adds ``_copy``: 1, 2, 3... for rows whose key more than ``most`` rows have, 0 for all others.
+
+    Keys are counted in parts before the shuffle, and the rows of hot ones numbered in ranges that cut a key.
+    """
+    hot = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key, F.lit(True).alias("_hot")), "hot")
+    if not hot.limit(1).count():
+        return df.withColumn("_copy", F.lit(0).cast("long"))
+    marked = join_by_source(df, hot, key)
+    many = cut(marked.filter("_hot").withColumn("_row", F.monotonically_increasing_id()), "copies")
+    numbered = within(many, [key], F.col("_row"), name="_copy").withColumn("_copy", (F.col("_copy") + 1).cast("long")).drop("_row")
+    return marked.filter("_hot IS NULL").withColumn("_copy", F.lit(0).cast("long")).unionByName(numbered).drop("_hot")
+
+
 def apportioned(df: DataFrame, group: str, item: str, votes: str, seats: str) -> DataFrame:
     """Adds ``quota``: within each group, its seats to the highest quotients votes / (2 * i + 1), i = 0, 1, ...
 
@@ -80,14 +95,13 @@ def mixed(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     sources = apportioned(sources, "all", "rank", "target", "blocks").withColumn("shards", F.ceil(F.col("n_docs") / shard_documents).cast("long"))
     sources = cut(sources.select("source", "rank", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "quotas")
 
-    docs = join_by_source(sizes, sources, "source")
-    # Documents without id are dealt by their keys.
-    dealt = lambda s: F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(s), "node")).otherwise(F.xxhash64(F.lit(s), "doc_id"))
+    docs = join_by_source(hot_copies(sizes, "node", shard_documents), sources, "source")
+    dealt = lambda s: F.xxhash64(F.lit(s), "node", "_copy")
     docs = docs.withColumn("shard", F.pmod(dealt(seed), "shards")).withColumn("order", dealt(seed + 1))
     shards = docs.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportioned(cut(shards, "shards"), "rank", "shard", "shard_size", "source_quota").select("rank", "shard", "shard_size", "quota")
 
-    upto = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size", "node").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("order", "node", "_copy").rowsBetween(Window.unboundedPreceding, 0))
     docs = docs.withColumn("upto", upto).join(shards, ["rank", "shard"])
     n_blocks = F.ceil(F.col("shard_size") / block)
     quota = F.least(F.col("quota"), n_blocks * int(cap))
@@ -100,13 +114,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).drop("node")
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shard_documents: int = 2048) -> DataFrame:
     """Pipeline stage, the last: the documents of which the mix takes words, with ``size``, ``target`` and ``taken``, which replace columns of these names."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     # Of equal rows, which may have different takes, each gets one: the copies are numbered, and each take has a range of numbers.
-    taken = mixed(docs).filter("taken > 0").groupBy("node", "size", "target", "taken").agg(F.count(F.lit(1)).alias("_n"))
+    taken = mixed(docs, shard_documents=shard_documents).filter("taken > 0").groupBy("node", "size", "target", "taken").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("node").orderBy("taken").rowsBetween(Window.unboundedPreceding, 0))
     taken = taken.withColumn("_to", upto)
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), row_key().alias("_key")).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    rows = hot_copies(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), row_key().alias("_key")), "_key", shard_documents)
+    few = F.row_number().over(Window.partitionBy("_key", "_copy").orderBy(F.lit(0)))
+    rows = rows.withColumn("_copy", F.when(F.col("_copy") > 0, F.col("_copy")).otherwise(few))
     out = rows.join(taken, (F.col("_key") == F.col("node")) & F.col("_copy").between(F.col("_to") - F.col("_n") + 1, F.col("_to")))
     return out.select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("size", "target", "taken")), "size", "target", "taken")

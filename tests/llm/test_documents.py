@@ -244,6 +244,28 @@ def test_mixing_odd(spark, odd):
     assert {r.taken for r in mixing.mixed(odd.filter("text IS NULL")).collect()} == {0}
 
 
+def test_mixing_of_hot_rows_and_ids(spark):
+    """One row is a third of the table, one id another third: both are spread over shards, and every copy comes back once."""
+    r = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{i}" for i in r.integers(0, 9999, n))
+    same = text(30)
+    docs = [(1, same, "s")] * 400 + [(2, text(int(r.integers(5, 60))), "s") for _ in range(400)] + [(i, text(int(r.integers(5, 60))), "t") for i in range(10, 410)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(7)
+    copies = mixing.hot_copies(df.withColumn("k", mixing.row_key()), "k", 20).collect()
+    assert sorted(x._copy for x in copies if x.doc_id == 1) == list(range(1, 401)) and {x._copy for x in copies if x.doc_id != 1} == {0}
+    rows = mixing.mixed(df, shard_documents=20).collect()
+    assert sorted((x.doc_id, x.size, x.source) for x in rows) == sorted((i, len(words(t)), s) for i, t, s in docs)
+    targets = wanted_targets({s: sum(len(words(t)) for _, t, x in docs if x == s) for s in "st"})
+    for s in "st":
+        assert abs(sum(x.taken for x in rows if x.source == s) - targets[s]) <= 0.05 * targets[s] + 64
+    assert all(0 <= x.taken <= 2 * x.size for x in rows)
+    again = mixing.mixed(df.repartition(3), shard_documents=20).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
+    kept = mixing.mix_stage(spark, df, "", shard_documents=20).collect()
+    assert sorted((x.text, x.taken) for x in kept if x.doc_id == 1) == sorted((same, x.taken) for x in rows if x.doc_id == 1 and x.taken)
+    assert Counter((x.doc_id, x.size, x.taken) for x in kept) == Counter((x.doc_id, x.size, x.taken) for x in rows if x.taken)
+
+
 def test_toxicity(spark, sf):
     """Labels of a third of the documents are held out; probabilities agree with how many are toxic."""
     at = sf.replace("sf0.001", "sf0.1")
