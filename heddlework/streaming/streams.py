@@ -5,11 +5,11 @@ Event times are timestamps with a time zone, as watermarks need; ``event_stream`
 
 from __future__ import annotations
 
-import bisect
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,59 +130,99 @@ def limited(stream: DataFrame, client: str, time: str, limit: int, seconds: int)
     return stream.select(client, time).groupBy(client).transformWithStateInPandas(Limiter(client, time, limit, seconds), f"`{client}` {kind}, `{time}` timestamp, allowed boolean", "Append", "EventTime")
 
 
+def _packed(pdf: pd.DataFrame) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    batch = pa.Table.from_pandas(pdf, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_table(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(chunk).read_all().to_pandas()
+
+
 class Versions(StatefulProcessor):
-    """The versions of one key by event time, and the rows that wait until the watermark has passed them."""
+    """The versions of one bucket's keys by event time, and the rows that wait until the watermark has passed them.
 
-    def __init__(self, key: str, rest: list[str]) -> None:
-        self.key, self.rest = key, rest
+    State is read and written in chunks of rows, as a call for each row or key costs more than all the rest.
+    A bucket has one timer, at its first waiting row.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getMapState("versions", "since long", "value string")
-        self.waiting = handle.getMapState("waiting", "at long", "rows array<string>")
+        self.versions = handle.getListState("versions", "chunk binary")
+        self.waiting = handle.getListState("waiting", "chunk binary")
+
+    def _wake(self, at: int, mark: int) -> None:
+        # A timer that is due is still listed, but goes when it has been handled.
+        at, timers = max(at // 1000 + 1, mark + 1), [t for t in self.handle.listTimers() if t > mark]
+        if all(at < t for t in timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new: dict[int, list[str]] = {}
+        first = None
         for pdf in rows:
-            for t, version, row in zip(_micros(pdf["t"]), pdf["version"], pdf["row"], strict=True):
-                if row is None:
-                    old = self.versions.getValue((t,)) if self.versions.containsKey((t,)) else None
-                    self.versions.updateValue((t,), (max(version, old[0]) if old else version,))
-                else:
-                    new.setdefault(t, []).append(row)
-        for t, own in new.items():
-            known = list(self.waiting.getValue((t,))[0]) if self.waiting.containsKey((t,)) else []
-            self.waiting.updateValue((t,), (known + own,))
-            self.handle.registerTimer(max(t // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            version = pdf["row"].isna()
+            new, own = pdf.loc[version, ["k", "at", "version"]], pdf.loc[~version, ["k", "at", "row"]]
+            if len(new):
+                self.versions.appendValue(_packed(new))
+            if len(own):
+                self.waiting.appendValue(_packed(own))
+                first = min(x for x in (first, int(own["at"].min())) if x is not None)
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        done = sorted(x[0] for x in self.waiting.keys() if x[0] < mark)  # noqa: SIM118
-        since = sorted(x[0] for x in self.versions.keys())  # noqa: SIM118
-        out = []
-        for t in done:
-            at = bisect.bisect_right(since, t)
-            version = self.versions.getValue((since[at - 1],))[0] if at else None
-            out += [(key[0], row, version) for row in self.waiting.getValue((t,))[0]]
-            self.waiting.removeKey((t,))
-        # Of the versions that the watermark has passed only the last can still hold for a row.
-        for t in since[: max(0, bisect.bisect_right(since, mark) - 1)]:
-            self.versions.removeKey((t,))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "row", "version"])
+        known = [_unpacked(x[0]) for x in self.versions.get()] if self.versions.exists() else []
+        known = pd.concat(known) if known else pd.DataFrame({"k": [], "at": pd.Series([], dtype="int64"), "version": []})
+        known = known.sort_values("version", kind="stable").drop_duplicates(["k", "at"], keep="last")
+        known = known.sort_values("at", kind="stable", ignore_index=True)
+        # Keys are compared as numbers of this call, whatever their type.
+        number = {k: i for i, k in enumerate(known["k"].unique())}
+        right = pd.DataFrame({"n": known["k"].map(number).astype("int64"), "at": known["at"], "version": known["version"]})
+        later = []
+        for chunk in list(self.waiting.get()) if self.waiting.exists() else []:
+            pdf = _unpacked(chunk[0])
+            due = pdf["at"] < mark
+            if not due.all():
+                later.append(pdf[~due])
+            if due.any():
+                left = pdf[due].sort_values("at", kind="stable", ignore_index=True)
+                left["n"] = left["k"].map(number).fillna(-1).astype("int64")
+                out = pd.merge_asof(left, right, on="at", by="n")
+                texts = {c: out[c].astype(object).where(out[c].notna(), None) for c in ("row", "version")}
+                yield pd.DataFrame({"k": out["k"] if out["k"].dtype.kind in "iufb" else out["k"].astype(object), **texts})
+        if later:
+            self.waiting.put([_packed(x) for x in later])
+        else:
+            self.waiting.clear()
+        # Of a key's versions that the watermark has passed only the last can still hold for a row.
+        past = known["at"] <= mark
+        left_over = pd.concat([known[past].drop_duplicates("k", keep="last"), known[~past]])
+        if len(left_over):
+            self.versions.put([_packed(left_over[i : i + 10_000]) for i in range(0, len(left_over), 10_000)])
+        if later:
+            self._wake(min(int(x["at"].min()) for x in later), mark // 1000)
 
     def close(self) -> None:
         pass
 
 
-def versioned(stream: DataFrame, versions: DataFrame, key: str, time: str, since: str, values: list[str]) -> DataFrame:
+def versioned(stream: DataFrame, versions: DataFrame, key: str, time: str, since: str, values: list[str], buckets: int = 512) -> DataFrame:
     """Rows of a stream with the values of the latest version of their key at or before their time, as a stream.
 
     Both sides are streams with watermarks. A row waits until the watermark has passed its time, so
     versions that come late, but within the watermark's delay, count; then it goes out, and versions
     older than the last one in front of the watermark go from the state. Of several versions of one
     instant the greatest as JSON holds. Rows and versions without time or key are left out.
+
+    Keys share ``buckets`` of state, each of which a task joins at once when its timer is due: it holds the
+    bucket's versions and waiting rows, not those of others.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rest = [c for c in stream.columns if c != key]
@@ -190,8 +230,8 @@ def versioned(stream: DataFrame, versions: DataFrame, key: str, time: str, since
     json = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     rows = stream.select(F.col(key).alias("k"), F.col(time).cast("timestamp").alias("t"), F.lit(None).cast("string").alias("version"), json(rest).alias("row"))
     other = versions.select(F.col(key).cast(kind).alias("k"), F.col(since).cast("timestamp").alias("t"), json(values).alias("version"), F.lit(None).cast("string").alias("row"))
-    line = rows.unionByName(other).filter("k IS NOT NULL AND t IS NOT NULL")
-    out = line.groupBy("k").transformWithStateInPandas(Versions(key, rest), f"k {kind}, row string, version string", "Append", "EventTime")
+    line = rows.unionByName(other).filter("k IS NOT NULL AND t IS NOT NULL").withColumns({"at": F.unix_micros("t"), "bucket": F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")})
+    out = line.groupBy("bucket").transformWithStateInPandas(Versions(), f"k {kind}, row string, version string", "Append", "EventTime")
     schema = lambda df, columns: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     parsed = out.select(F.col("k").alias(key), F.from_json("row", schema(stream, rest)).alias("_r"), F.from_json("version", schema(versions, values)).alias("_v"))
     return parsed.select(key, *(F.col("_r")[c].alias(c) for c in rest), *(F.col("_v")[c].alias(c) for c in values))

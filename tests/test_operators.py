@@ -305,6 +305,24 @@ def test_stream_takes_late_versions_and_goes_on(spark, tmp_path):
     assert got == {1: "v0", 2: "v30", 3: None, 4: "v51", 5: "w6", 6: None}
 
 
+def test_stream_versions_take_few_state_calls(spark, tmp_path):
+    """Keys share chunks of state: 400 keys of 20 rows each write no more of them than there are buckets."""
+    t0 = datetime(2024, 1, 1)
+    rows = spark.range(8_000).selectExpr("CAST(id AS INT) AS id", "concat('k', id % 400) AS k", f"TIMESTAMP '{t0}' + make_dt_interval(0, 0, 0, id) AS t")
+    rows.write.parquet(f"{tmp_path}/e")
+    rows.selectExpr("k", "t + INTERVAL 1 SECOND AS since", "CAST(id AS STRING) AS v").write.parquet(f"{tmp_path}/v")
+    for name, time in (("e", "id int, k string, t timestamp"), ("v", "k string, since timestamp, v string")):
+        spark.createDataFrame([(-1, "end", datetime(2025, 1, 1))] if name == "e" else [("end", datetime(2025, 1, 1), "")], time).write.mode("append").parquet(f"{tmp_path}/{name}")
+    left = spark.readStream.schema("id int, k string, t timestamp").parquet(f"{tmp_path}/e").withWatermark("t", "30 seconds")
+    right = spark.readStream.schema("k string, since timestamp, v string").parquet(f"{tmp_path}/v").withWatermark("since", "30 seconds")
+    stream = streams.versioned(left, right, "k", "t", "since", ["v"], buckets=8).select("id", "v")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: str(i - 400) if i >= 400 else None for i in range(8_000)}
+    assert max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 100
+
+
 def test_funnel_takes_the_best_walk(spark):
     rows = [(1, "v", 0), (1, "v", 50), (1, "c", 55), (1, "p", 58), (2, "c", 0), (2, "v", 5), (3, "v", 0), (3, "c", 100)]
     df = spark.createDataFrame([(k, e, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, e, s in rows], "k int, e string, t timestamp")
