@@ -6,6 +6,10 @@ commas there separate outputs. Column references are the names of an output that
 aliases, types, units nor reserved words: so arguments, conditions and results of CASE, and what OVER
 partitions and orders by all count. A statement's tokens are one group of a window, bounded by its text.
 
+Statements that differ only in names, literals, blanks and comments have one form (as in the digests of a statement
+log). Names become numbered marks, each form is read once, and its outputs are spelled with the names of every
+statement that has it; so the windows' work grows with the forms, and a statement costs its tokens and one join.
+
 Not told apart: parameters of lambda functions (they count as columns), brackets around identifiers
 (``[a b]``), and select lists of UPDATE, DELETE and MERGE.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import kept
 from .lineage import bound, expanded_stars, to_base
@@ -33,20 +38,28 @@ RESERVED = (
     + "CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP LOCALTIME LOCALTIMESTAMP SYSDATE PRECISION VARYING".split()
 )
 UNITS = "YEAR QUARTER MONTH WEEK DAY HOUR MINUTE SECOND MILLISECOND MICROSECOND".split()
+DATE_FUNCTIONS = "TIMESTAMPDIFF TIMESTAMPADD DATEADD DATEDIFF DATE_TRUNC".split()
+#: All words that the reading depends on. Other names are exchangeable.
+WORDS = [*RESERVED, *UNITS, *DATE_FUNCTIONS, "VIEW", "IF"]
+_NAME = r'(?s)^[\p{L}_$@#]|^["`].*["`]$|^["`].*\.'
 
 
 def _clean(name: Column) -> Column:
     return F.regexp_replace(name, r'[\s`"]', "")
 
 
+def _raw(sql: str) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(sql, "^" + _BLANK, ""), F.lit(TOKEN + _BLANK), F.lit(0))
+
+
 def token_table(stmts: DataFrame, key: str, sql: str = "sql") -> DataFrame:
     """(key, i, raw, tok, word, kind, level, query, rel, clause, branch, pos, …): one row for each token, with the query, clause and output that it stands in.
 
-    ``raw`` also has the blanks and comments behind the token. A query is named by its first token; the statement's own is 0.
+    ``sql`` is a text, or an array of tokens. ``raw`` also has the blanks and comments behind the token. A query is named by its first token; the statement's own is 0.
     """
-    raw = F.regexp_extract_all(F.regexp_replace(sql, "^" + _BLANK, ""), F.lit(TOKEN + _BLANK), F.lit(0))
+    raw = F.col(sql) if isinstance(stmts.schema[sql].dataType, T.ArrayType) else _raw(sql)
     t = stmts.select(key, F.posexplode(raw).alias("i", "raw")).withColumn("tok", F.regexp_extract("raw", "^" + TOKEN, 0))
-    kind = F.when(F.col("tok").rlike(r"(?s)^'.*'$"), "string").when(F.col("tok").rlike(r'^[\p{L}_$@#]|^["`].*["`]$|^["`].*\.'), "name").when(F.col("tok").rlike("^[0-9]"), "number").otherwise("mark")
+    kind = F.when(F.col("tok").rlike(r"(?s)^'.*'$"), "string").when(F.col("tok").rlike(_NAME), "name").when(F.col("tok").rlike("^[0-9]"), "number").otherwise("mark")
     all_ = Window.partitionBy(key).orderBy("i")
     t = t.withColumns({"word": F.upper("tok"), "kind": kind})
     t = t.withColumns({f"prev{n}": F.lag("word", n).over(all_) for n in (1, 2)} | {f"next{n}": F.lead("tok", n).over(all_) for n in (1, 2, 5, 6, 7)} | {"prev_kind": F.lag("kind").over(all_), "next_kind": F.lead("kind").over(all_)})
@@ -78,7 +91,7 @@ def _flagged(tokens: DataFrame, key: str) -> DataFrame:
     item = Window.partitionBy(key, "query", "branch", "pos")
     t = t.withColumns({"first_i": F.min("i").over(item), "last_i": F.max("i").over(item)})
     name, reserved, word = F.col("kind") == "name", F.col("word").isin(*RESERVED), F.col("word")
-    unit = flag((F.col("prev2") == "INTERVAL") & F.col("prev_kind").isin("string", "number")) | flag(word.isin(*UNITS) & (F.col("prev1") == "(") & ((F.upper("next1") == "FROM") | F.col("prev2").isin("TIMESTAMPDIFF", "TIMESTAMPADD", "DATEADD", "DATEDIFF", "DATE_TRUNC")))
+    unit = flag((F.col("prev2") == "INTERVAL") & F.col("prev_kind").isin("string", "number")) | flag(word.isin(*UNITS) & (F.col("prev1") == "(") & ((F.upper("next1") == "FROM") | F.col("prev2").isin(*DATE_FUNCTIONS)))
     ends = (F.col("prev1") == "AS") | (F.col("prev1") == ")") | F.col("prev_kind").isin("string", "number") | ((F.col("prev_kind") == "name") & (~F.col("prev1").isin(*RESERVED) | F.col("prev1").isin("END", "NULL", "TRUE", "FALSE")))
     alias = flag(name & (F.col("rel") == 0) & (F.col("i") == F.col("last_i")) & (F.col("i") > F.col("first_i")) & ends & ~reserved & ~word.contains(".")) & ~unit
     star = flag(((F.col("tok") == "*") | (name & word.endswith("*"))) & (F.col("first_i") == F.col("last_i")))
@@ -107,6 +120,7 @@ def select_facts(stmts: DataFrame, key: str, sql: str = "sql") -> dict[str, Data
     items = out.groupBy(F.col(key), "stmt_id", "query", "branch", "pos").agg(
         F.max(F.when(F.col("alias"), _clean(F.col("tok")))).alias("alias"), F.when(one & (F.count_if("ref") == 1), column).alias("column_name"),
         F.regexp_replace(F.regexp_replace(F.array_join(F.transform(texts, lambda x: x["raw"]), ""), r"\s+$", ""), r"^\(\)$", "subquery").alias("expr"), F.max("star").alias("star"),
+        F.array_sort(F.collect_list(F.when(~F.col("alias") & ~F.col("as"), F.col("i")))).alias("places"),
     )
     parts = _clean(F.col("tok"))
     qualifier = F.nullif(F.regexp_replace(parts, r"\.?[^.]*$", ""), F.lit(""))
@@ -147,21 +161,71 @@ def _errors(stmts: DataFrame, tokens: DataFrame, outputs: DataFrame, key: str) -
     return stmts.select(key).join(g, key, "left").select(key, why.alias("error")).filter("error IS NOT NULL")
 
 
-def text_lineage(stmts: DataFrame, key: str, catalog: DataFrame, sql: str = "sql") -> tuple[DataFrame, DataFrame]:
-    """Lineage of each statement's outputs from its text, and the statements that could not be read.
+#: A name in a form: the form, the name's number without and, in the case of its letters, with regard to case (0: lower case).
+_MARK, _BITS = r"^\?[0-9a-f]{32}_[0-9]+_[aA]{24}$", 24
 
-    (key, target_table, pos, target, sources, n_sources, operator): sources are columns of tables, found
-    through derived tables, common table expressions and scalar subqueries of the statement, in the order
-    of their places; a column that is read twice is there twice. Without INTO or CREATE the table is RESULT_SET. ``catalog`` (table_name,
-    column_name, ordinal) settles names without qualifier and stars; a star of an unknown table is left out.
-    A statement with an error has no lineage and doesn't touch that of others.
+
+def _parsed(name: Column) -> Column:
+    """A dotted name of a form as parts: the text, or the numbers of the name that belongs there."""
+    field = lambda p, i: F.split(p, "_")[i]
+    number = lambda p: F.conv(F.translate(field(p, 2), "aA", "01"), 2, 10).cast("int")
+    return F.transform(F.split(name, r"\."), lambda p: F.struct(p.alias("text"), F.when(p.rlike(_MARK), field(p, 1).cast("int")).alias("any"), F.when(p.rlike(_MARK), number(p)).alias("exact")))
+
+
+def _spelled(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda x: F.when(x["any"].isNull(), x["text"]).when(x["exact"] == 0, F.get("lowers", x["any"] - 1)).otherwise(F.get("names", x["exact"] - 1))), ".")
+
+
+def _forms(stmts: DataFrame, key: str, catalog: DataFrame, sql: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Statements (key, form, raw, names, lowers), the forms (form, tokens), and their catalog.
+
+    A form has the columns of the catalog's tables that its statements may read, so that stars and names without qualifier mean the same in all of them.
     """
+    none = F.array().cast("array<string>")
+    # Texts are small beside the work on them, so files alone would give few tasks.
+    stmts = stmts.select(key, sql).repartition(int(stmts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    t = stmts.select(key, F.coalesce(_raw(sql), none).alias("raw")).withColumn("tok", F.transform("raw", lambda r: F.regexp_extract(r, "^" + TOKEN, 0)))
+    t = t.withColumn("parts", F.transform("tok", lambda x: F.when(x.rlike(_NAME) & ~F.upper(x).isin(*WORDS), F.split(_clean(x), r"\.")).otherwise(none)))
+    fixed = lambda a: F.upper(a).isin(*WORDS, "*", "") | a.rlike("(?i)^_col[0-9]+$")
+    t = t.withColumn("names", F.filter(F.array_distinct(F.flatten("parts")), lambda a: ~fixed(a)))
+    columns = catalog.filter("table_name IS NOT NULL AND column_name IS NOT NULL")
+    if columns.limit(1).count():
+        t = kept(t)
+        tables = columns.groupBy(F.lower("table_name").alias("table_name")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("columns"))
+        behind = F.transform("tok", lambda x, i: F.when(x.rlike(_NAME) & F.upper(F.get("tok", i - 1)).isin("FROM", "JOIN", "TABLE", ","), F.lower(_clean(x))))
+        read = t.select(key, F.posexplode(F.array_distinct(F.filter(behind, lambda x: x.isNotNull()))).alias("place", "table_name")).join(tables, "table_name")
+        t = t.join(read.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "table_name", "columns"))).alias("read")), key, "left")
+        of_table = F.flatten(F.transform("read", lambda c: F.transform(c["columns"], lambda x: x["column_name"])))
+        t = t.withColumn("names", F.array_distinct(F.concat("names", F.filter(F.coalesce(of_table, none), lambda a: ~fixed(a)))))
+        # A table whose name is such words alone is no form's own: its statements keep all their names.
+        t = t.withColumn("names", F.when(F.coalesce(F.exists("read", lambda c: F.forall(F.split(c["table_name"], r"\."), fixed)), F.lit(False)), none).otherwise(F.col("names")))
+    else:
+        t = t.withColumn("read", F.lit(None).cast("array<struct<place:int,table_name:string,columns:array<struct<ordinal:int,column_name:string>>>>"))
+    t = t.withColumn("lowers", F.array_distinct(F.transform("names", F.lower)))
+    place = lambda a, e: F.concat(F.lit("?"), F.array_position("lowers", F.lower(a)).cast("string"), F.lit("_"), F.translate(F.lpad(F.bin(e), _BITS, "0"), "01", "aA"))
+    mark = lambda a: F.when(F.array_contains("names", a), place(a, F.array_position("names", a))).otherwise(a)
+    lower_mark = lambda a: F.when(F.array_contains("lowers", a), place(a, F.lit(0))).otherwise(a)
+    plain = F.transform("tok", lambda x: F.when(x.rlike(r"(?s)^'.*'$"), "'s'").when(x.rlike("^[0-9]"), "0").otherwise(x))
+    tokens = F.zip_with(plain, "parts", lambda x, p: F.when(F.size(p) == 0, x).otherwise(F.array_join(F.transform(p, lambda a: F.when(a == "*", a).otherwise(F.concat(F.lit('"'), mark(a), F.lit('"')))), ".")))
+    of = F.transform("read", lambda c: F.struct(F.array_join(F.transform(F.split(c["table_name"], r"\."), lower_mark), ".").alias("t"), F.transform(c["columns"], lambda x: F.struct(x["ordinal"].alias("o"), mark(x["column_name"]).alias("c"))).alias("cs")))
+    t = t.select(key, "raw", "names", "lowers", tokens.alias("tokens"), F.coalesce(of, F.array().cast("array<struct<t:string,cs:array<struct<o:int,c:string>>>>")).alias("read"))
+    t = kept(t.withColumn("form", F.md5(F.to_json(F.struct("tokens", "read")))))
+    forms = kept(t.select("form", "tokens", "read").distinct())
+    # Names are the form's own, so that no catalog is another's.
+    own = lambda c, around: F.regexp_replace(c, F.lit(rf"{around}\?([0-9]+_[aA]{{{_BITS}}})(?={around or '$|[.]'})"), F.concat(F.lit(f"{around}?"), "form", F.lit("_$1")))
+    flat = forms.select("form", F.explode("read").alias("r")).select("form", "r.t", F.explode("r.cs").alias("x"))
+    known = flat.select(own(F.col("t"), "").alias("table_name"), own(F.col("x.c"), "").alias("column_name"), F.col("x.o").alias("ordinal")).distinct()
+    return t, forms.select("form", F.transform("tokens", lambda x: own(x, '"')).alias("tokens")), known
+
+
+def _form_lineage(stmts: DataFrame, key: str, catalog: DataFrame, sql: str) -> tuple[DataFrame, DataFrame]:
+    """Outputs of each form (key, target_table, pos, target, listed, expr), and forms with errors; expr is the places of its tokens or, behind a star, a name."""
     f = select_facts(stmts, key, sql)
     errors = f["errors"]
     good = f["items"].join(errors, key, "left_anti")
     starry = good.filter("star").select("stmt_id", "branch", "pos")
     name = F.coalesce("alias", "column_name", F.concat(F.lit("_col"), F.col("pos").cast("string")))
-    outputs = good.filter("NOT star").withColumn("target", name)
+    outputs = good.filter("NOT star").withColumns({"target": name, "expr": F.struct(F.col("places").alias("at"), F.lit(None).cast("string").alias("named"))})
     catalog = catalog.select("table_name", "column_name", F.col("ordinal").cast("int").alias("ordinal"))
     inner = outputs.filter("query <> 0 AND branch = 0").select(F.col("stmt_id").alias("table_name"), F.col("target").alias("column_name"), F.col("pos").alias("ordinal"))
     known = kept(catalog.unionByName(inner))
@@ -171,7 +235,7 @@ def text_lineage(stmts: DataFrame, key: str, catalog: DataFrame, sql: str = "sql
     shift = F.coalesce(F.sum(F.coalesce("n", F.lit(1)) - 1).over(Window.partitionBy("stmt_id", "branch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = good.select("stmt_id", "branch", "pos").join(width, ["stmt_id", "branch", "pos"], "left").withColumn("shift", shift.cast("int")).drop("n")
     owner = good.select("stmt_id", F.col(key), "query").distinct()
-    stars = open_.join(places, ["stmt_id", "branch", "pos"]).join(owner, "stmt_id").select(F.col(key), "stmt_id", "query", "branch", (F.col("pos") + F.col("shift") + F.col("place") - 1).alias("pos"), F.col("column_name").alias("target"), F.concat_ws(".", "table_name", "column_name").alias("source"), F.lit(0).alias("ref_pos"), F.col("column_name").alias("expr"))
+    stars = open_.join(places, ["stmt_id", "branch", "pos"]).join(owner, "stmt_id").select(F.col(key), "stmt_id", "query", "branch", (F.col("pos") + F.col("shift") + F.col("place") - 1).alias("pos"), F.col("column_name").alias("target"), F.concat_ws(".", "table_name", "column_name").alias("source"), F.lit(0).alias("ref_pos"), F.struct(F.lit(None).cast("array<int>").alias("at"), F.col("column_name").alias("named")).alias("expr"))
 
     hit = bound(f["refs"], f["from_items"], known).select("stmt_id", "branch", "pos", "ref_pos", F.concat_ws(".", F.nullif("table_name", F.lit("")), "column_name").alias("source"))
     hit = kept(hit)
@@ -193,10 +257,33 @@ def text_lineage(stmts: DataFrame, key: str, catalog: DataFrame, sql: str = "sql
     top = whole.filter("query = 0").join(base.select(F.col("target").alias("source"), F.col("source").alias("_b")), "source", "left").withColumn("source", F.coalesce("_b", "source"))
     # What is left of a query's own names has no source: constants.
     top = top.withColumn("source", F.when(~F.col("source").startswith(F.concat(F.col(key).cast("string"), F.lit("#"))), F.col("source")))
-    listed = F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("branch", "ref_pos", "source"))))
-    out = top.groupBy(F.col(key), "stmt_id", "pos", "target", "expr").agg(F.array_join(F.transform(listed, lambda x: x["source"]), ",").alias("sources"), F.count("source").alias("n_sources"))
+    listed = F.collect_list(F.when(F.col("source").isNotNull(), F.struct("branch", "ref_pos", _parsed(F.col("source")).alias("source"))))
+    out = top.groupBy(F.col(key), "stmt_id", "pos", "target", "expr").agg(listed.alias("listed"))
     out = out.join(f["targets"], "stmt_id", "left").join(f["inserts"].withColumnRenamed("column_name", "_into"), ["stmt_id", "pos"], "left")
-    return out.select(F.col(key), F.coalesce("target_table", F.lit("RESULT_SET")).alias("target_table"), "pos", F.coalesce("_into", "target").alias("target"), "sources", "n_sources", F.col("expr").alias("operator")), errors
+    return out.select(F.col(key), F.coalesce("target_table", F.lit("RESULT_SET")).alias("target_table"), "pos", F.coalesce("_into", "target").alias("target"), "listed", "expr"), errors
+
+
+def text_lineage(stmts: DataFrame, key: str, catalog: DataFrame, sql: str = "sql") -> tuple[DataFrame, DataFrame]:
+    """Lineage of each statement's outputs from its text, and the statements that could not be read.
+
+    (key, target_table, pos, target, sources, n_sources, operator): sources are columns of tables, found
+    through derived tables, common table expressions and scalar subqueries of the statement, in the order
+    of their places; a column that is read twice is there twice. Without INTO or CREATE the table is RESULT_SET. ``catalog`` (table_name,
+    column_name, ordinal) settles names without qualifier and stars; a star of an unknown table is left out.
+    A statement with an error has no lineage and doesn't touch that of others.
+    """
+    catalog = catalog.select("table_name", "column_name", F.col("ordinal").cast("int").alias("ordinal"))
+    t, forms, known = _forms(stmts, key, catalog, sql)
+    out, errors = _form_lineage(forms, "form", known, "tokens")
+    out = out.withColumns({"target_table": _parsed(F.col("target_table")), "target": _parsed(F.col("target")), "named": _parsed(F.col("expr.named"))})
+    whole = t.select(key, "form", "raw", "names", "lowers").join(kept(out), "form")
+    text = F.array_join(F.transform("expr.at", lambda i: F.get("raw", i)), "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+$", ""), r"^\(\)$", "subquery")
+    listed = F.array_sort(F.transform("listed", lambda x: F.struct(x["branch"].alias("b"), x["ref_pos"].alias("p"), _spelled(x["source"]).alias("source"))))
+    return whole.select(
+        key, _spelled(F.col("target_table")).alias("target_table"), "pos", _spelled(F.col("target")).alias("target"),
+        F.array_join(F.transform(listed, lambda x: x["source"]), ",").alias("sources"), F.size("listed").cast("long").alias("n_sources"), F.coalesce(text, _spelled(F.col("named"))).alias("operator"),
+    ), t.select(key, "form").join(kept(errors), "form").select(key, "error")
 
 
 def base_lineage(lineage: DataFrame) -> DataFrame:

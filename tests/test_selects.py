@@ -3,6 +3,7 @@
 import pytest
 
 from heddlework.operators import lineage, selects
+from heddlework.plans.catalog import QUERIES
 
 TEXTS = {
     "SELECT a, b AS x, t.c y, COUNT(*) n FROM db.t t": [("a", "db.t.a"), ("x", "db.t.b"), ("y", "db.t.c"), ("n", "")],
@@ -54,3 +55,29 @@ def test_no_statements(spark):
     rows = spark.createDataFrame([], "k int, sql string")
     good, errors = selects.text_lineage(rows, "k", spark.createDataFrame([], "table_name string, column_name string, ordinal int"))
     assert good.count() == errors.count() == 0
+
+
+@pytest.mark.parametrize(("query", "forms"), [("l10_pipeline_lineage", 3), ("l6_function_sources", 4), ("l7_batch_errors", 6)])
+def test_statements_of_one_form_are_read_once(spark, sf, monkeypatch, query, forms):
+    read, whole = [], selects.token_table
+
+    def counted(stmts, *args):
+        read.append(stmts.count())
+        return whole(stmts, *args)
+
+    monkeypatch.setattr(selects, "token_table", counted)
+    QUERIES[query](spark, sf)
+    assert read == [forms]
+
+
+def test_names_come_back_as_each_statement_spells_them(spark):
+    """One form: names in small and capital letters, words that are also names, and columns of other tables."""
+    texts = ["SELECT u.Id, U.id AS i, Year, * FROM t1 u", "select v.Key, V.key as k, Year, * from  t2 v -- x", 'SELECT "w"."Id", W.id AS i, Year, * FROM t2 w']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, sql string")
+    catalog = spark.createDataFrame([("t1", "Id", 0), ("T2", "Key", 0)], "table_name string, column_name string, ordinal int")
+    got = {}
+    for r in selects.text_lineage(rows, "k", catalog)[0].orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append((r.target, r.sources, r.operator))
+    assert got[0] == [("Id", "t1.Id", "u.Id"), ("i", "t1.id", "U.id"), ("Year", "t1.Year", "Year"), ("Id", "t1.Id", "Id")]
+    assert got[1] == [("Key", "t2.Key", "v.Key"), ("k", "t2.key", "V.key"), ("Year", "t2.Year", "Year"), ("Key", "t2.Key", "Key")]
+    assert got[2] == [("Id", "t2.Id", '"w"."Id"'), ("i", "t2.id", "W.id"), ("Year", "t2.Year", "Year"), ("Key", "t2.Key", "Key")]
