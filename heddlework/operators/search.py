@@ -1,9 +1,10 @@
 """Word search from a stored index: one row for each place of a word, sorted by word, and ranked retrieval.
 
-Words are runs of letters and digits in small letters. The index is sorted in ranges of (word, key), so a word
-that is everywhere spans several files and a rare one is found by the statistics of few; nothing is
-grouped while it is built. Rows without key are left out; rows with one key count as one text. Texts
-are whole; a null one has no words.
+Words are runs of letters and digits in small letters. The index is in segments of texts, each sorted by word, as
+search engines keep it: texts are dealt out before they are split, so places are never shuffled, and a word is
+found in each segment by the statistics of its pages. A segment has a bounded amount of text, so there are as many
+as the texts need; nothing is grouped while it is built. Rows without key are left out; rows with one key count
+as one text. Texts are whole; a null one has no words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
+#: Bytes of text in a segment of the index, on average.
+SEGMENT = 16_000_000
+
 
 def words(*columns: str) -> Column:
     """Words of some columns in order; nulls are left out."""
@@ -21,10 +25,15 @@ def words(*columns: str) -> Column:
 
 def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> None:
     """Writes ``path/places`` (word, key, place, length of the text in words) and ``path/sizes`` (texts, words)."""
-    listed = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), words(*columns).alias("_w"))
-    places = listed.select("key", F.size("_w").alias("length"), F.posexplode("_w").alias("place", "word"))
-    places.select("word", "key", "place", "length").repartitionByRange("word", "key").sortWithinPartitions("word", "key", "place").write.parquet(f"{path}/places")
-    listed.agg(F.count_distinct("key").alias("n_texts"), F.coalesce(F.sum(F.size("_w")), F.lit(0)).alias("n_words")).write.parquet(f"{path}/sizes")
+    texts = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.concat_ws(" ", *columns).alias("text"))
+    n_texts, size = texts.agg(F.count_distinct("key"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    segments = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SEGMENT))
+    listed = texts.repartition(segments, "key", "text").select("key", words("text").alias("_w"))
+    # With a plain posexplode Spark would split each text before it is dealt out as well, to see whether it has words.
+    places = listed.select("key", F.size("_w").alias("length"), F.posexplode_outer("_w").alias("place", "word")).filter("word IS NOT NULL")
+    places.select("word", "key", "place", "length").sortWithinPartitions("word", "key", "place").write.parquet(f"{path}/places")
+    stored = df.sparkSession.read.schema("word string").parquet(f"{path}/places")
+    stored.agg(F.lit(n_texts).alias("n_texts"), F.count(F.lit(1)).alias("n_words")).write.parquet(f"{path}/sizes")
 
 
 def _terms(terms: list[str]) -> list[str]:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from heddlework.operators import matching, search
 
@@ -62,3 +63,23 @@ def test_only_the_words_are_read(spark, indexed):
 def test_empty_table(spark, tmp_path):
     search.write_index(spark.createDataFrame([], "id long, text string"), "id", ["text"], str(tmp_path / "i"))
     assert search.search(spark, str(tmp_path / "i"), ["the"]).count() == 0
+
+
+def test_texts_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    """A text is read for its size and for its words, not for bounds of ranges too; segments grow with the text, each in order of words."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return "b a " * 500 + str(i)
+
+    df = spark.range(40).select("id", F.udf(read, "string")("id").alias("text"))
+    monkeypatch.setattr(search, "SEGMENT", 4000, raising=False)
+    search.write_index(df, "id", ["text"], str(tmp_path / "i"))
+    assert seen.value <= 2 * 40
+    files = list((tmp_path / "i" / "places").glob("*.parquet"))
+    assert 10 < len(files) <= 21
+    for f in files:
+        found = [r.word for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert found == sorted(found)
+    assert spark.read.parquet(str(tmp_path / "i" / "sizes")).first().asDict() == {"n_texts": 40, "n_words": 40 * 1001}
