@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,44 +36,59 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
 QUARTILES = (25, 50, 75)
 
 
+def _counted(t: T.DataType) -> str:
+    """The type that a column's values are counted in: whole numbers as long, others as double, times as they are, all else as text."""
+    if isinstance(t, T.IntegralType):
+        return "bigint"
+    if isinstance(t, (T.FloatType, T.DoubleType)):
+        return "double"
+    return t.simpleString() if isinstance(t, (T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else "string"
+
+
 def value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """(i, number, text, n): how often each value that is not null occurs in each column, by the column's place.
+    """(i, number, n): a row for each value that is not null in each column, by the column's place, with the double next to it if it is a number, and how often it occurs.
 
-    Numbers that a double holds exactly are counted as doubles, all others as text, so no column is written out as text for nothing.
+    Columns of one type are counted in one pass, in that type, so no number or time is written out as text.
     """
-    number = lambda f: isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType))
-    groups = [([i for i, f in enumerate(fields) if number(f)], "CAST({c} AS DOUBLE)", "CAST(NULL AS STRING)"), ([i for i, f in enumerate(fields) if not number(f)], "{d}", "CAST({c} AS STRING)")]
+    kinds: dict[str, list[int]] = {}
+    for i, f in enumerate(fields):
+        kinds.setdefault(_counted(f.dataType), []).append(i)
     out = None
-    for places, n, t in groups:
-        if not places:
-            continue
-        cells = []
-        for i in places:
-            c = f"`{fields[i].name}`"
-            d = f"CAST({c} AS DOUBLE)" if _numeric(fields[i].dataType) else "CAST(NULL AS DOUBLE)"
-            cells.append(f"{i}, {n.format(c=c, d=d)}, {t.format(c=c)}")
-        part = df.selectExpr(f"stack({len(places)}, {', '.join(cells)}) AS (i, number, text)").filter("number IS NOT NULL OR text IS NOT NULL")
-        part = part.groupBy("i", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    for kind, places in kinds.items():
+        cells = ", ".join(f"{i}, CAST(`{fields[i].name}` AS {kind})" for i in places)
+        part = df.selectExpr(f"stack({len(places)}, {cells}) AS (i, value)").filter("value IS NOT NULL").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+        number = F.col("value").cast("double") if _numeric(fields[places[0]].dataType) else F.lit(None).cast("double")
+        part = part.select("i", number.alias("number"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: Parts of equal width that a column's numbers are counted in before its quartiles are looked for.
+PARTS = 4096
+
+
 def quartiles(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """(i, p25, p50, p75) of counted numbers, by linear interpolation: values in order of column and size are numbered in ranges, so no column is one task.
+    """(i, p25, p50, p75) of counted numbers, by linear interpolation.
 
-    totals is (i, total), one row for each column.
+    Numbers are summed up in parts of equal width, and only the parts that hold a quartile are sorted: in order of
+    column and size, numbered in ranges, so no column is one task even where one part has all its numbers.
+    totals is (i, total, lo, hi), one row for each column: how many numbers, and the least and greatest finite one.
     """
-    numbers = ranked(counts.filter("number IS NOT NULL").groupBy("i", "number").agg(F.sum("n").alias("n")), F.col("i"), F.col("number"), total="n", running="upto")
-    first = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    # How many numbers the columns in front have.
-    offsets = totals.withColumn("front", F.coalesce(F.sum("total").over(first), F.lit(0)))
-    at = numbers.join(F.broadcast(offsets), "i").withColumn("upto", F.col("upto") - F.col("front"))
-    sides = []
-    for q in QUARTILES:
-        place = (F.col("total") - 1) * q / 100.0
-        for side in (F.floor(place), F.ceil(place)):
-            sides.append(F.max(F.when((F.col("upto") - F.col("n") <= side) & (side < F.col("upto")), F.col("number"))))
-    near = at.groupBy("i", "total").agg(*(s.alias(f"_{k}") for k, s in enumerate(sides)))
+    # Halves, as the width of all doubles is none. Infinities and NaN have parts of their own.
+    lo, hi, width = F.coalesce("lo", F.lit(0.0)), F.coalesce("hi", F.lit(0.0)), F.col("hi") / 2 - F.col("lo") / 2
+    part = F.when(F.col("number") < lo, -1).when(F.col("number") > hi, PARTS + 1).when(width > 0, F.floor((F.col("number") / 2 - F.col("lo") / 2) / width * PARTS).cast("int")).otherwise(0)
+    numbers = counts.filter("number IS NOT NULL").join(F.broadcast(totals), "i").select("i", "total", "number", "n", part.alias("part"))
+    sums = numbers.groupBy("i", "total", "part").agg(F.sum("n").alias("n"))
+    sides = [side((F.col("total") - 1) * q / 100.0) for q in QUARTILES for side in (F.floor, F.ceil)]
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sums.withColumn("upto", upto).withColumn("front", F.col("upto") - F.col("n"))
+    holding = cut(placed.filter(functools.reduce(Column.__or__, ((F.col("front") <= s) & (s < F.col("upto")) for s in sides))).select("i", "part", "front"), "quartile-parts")  # at most six for each column
+    inside = numbers.join(F.broadcast(holding), ["i", "part"]).groupBy("i", "total", "part", "front", "number").agg(F.sum("n").alias("n"))
+    inside = ranked(inside, F.col("i"), F.col("number"), total="n", running="upto")
+    first = inside.groupBy("i", "part").agg(F.min(F.col("upto") - F.col("n")).alias("first"))
+    at = inside.join(F.broadcast(first), ["i", "part"]).withColumn("upto", F.col("upto") - F.col("first") + F.col("front"))
+    found = [F.max(F.when((F.col("upto") - F.col("n") <= s) & (s < F.col("upto")), F.col("number"))) for s in sides]
+    near = at.groupBy("i", "total").agg(*(f.alias(f"_{k}") for k, f in enumerate(found)))
     between = lambda k, q: F.col(f"_{2 * k}") + (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}")) * ((F.col("total") - 1) * q / 100.0 - F.floor((F.col("total") - 1) * q / 100.0))
     return near.select("i", *(between(k, q).alias(f"p{q}") for k, q in enumerate(QUARTILES)))
 
@@ -79,15 +96,17 @@ def quartiles(counts: DataFrame, totals: DataFrame) -> DataFrame:
 def column_statistics(df: DataFrame, columns: list[str] | None = None, exact: bool = True, quantiles: bool = True) -> DataFrame:
     """One row for each column: counts, least and greatest value as text, mean, deviation and quartiles.
 
-    Counts, extremes and moments come from one pass. Exact distinct counts and quartiles come from a
-    second one that counts equal values before it shuffles; quartiles are then read from values numbered
-    in ranges. ``exact=False`` estimates both in the first pass.
+    Counts, extremes and moments come from one pass, extremes of texts from another. Exact distinct counts and quartiles come from
+    one for each type that counts equal values before it shuffles; quartiles are then read from the few
+    values around them, numbered in ranges. ``exact=False`` estimates both in the first pass.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     aggs: list[Column] = [F.count(F.lit(1)).alias("n")]
+    texts: list[Column] = []  # extremes of variable length keep a whole aggregation from being compiled, so they have their own
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count(c).alias(f"v{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+        aggs.append(F.count(c).alias(f"v{i}"))
+        (aggs if _counted(f.dataType) != "string" else texts).extend([F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")])
         if not exact:
             aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         if _numeric(f.dataType):
@@ -95,6 +114,8 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, exact: bo
             if quantiles and not exact:
                 aggs.append(F.percentile_approx(c.cast("double"), [q / 100 for q in QUARTILES], 10000).alias(f"q{i}"))
     one = df.agg(*aggs)
+    if texts:
+        one = one.crossJoin(F.broadcast(df.agg(*texts)))  # one row each
     none, rows = "CAST(NULL AS DOUBLE)", []
     for i, f in enumerate(fields):
         number = _numeric(f.dataType)
@@ -103,11 +124,12 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, exact: bo
     out = one.selectExpr(f"stack({len(fields)}, {', '.join(rows)}) AS (i, column_name, data_type, row_count, null_count, distinct_count, min_value, max_value, avg_value, stddev_value, p25, p50, p75)")
     if exact:
         counts = cut(value_counts(df, fields), "value-counts")
-        found = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("total"))
+        finite = F.when(F.abs("number") < float("inf"), F.col("number"))
+        found = counts.groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("total"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
         found = cut(found, "distinct-counts")  # one row for each column, as what is broadcast here
-        out = out.drop("distinct_count").join(F.broadcast(found.drop("total")), "i", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
+        out = out.drop("distinct_count").join(F.broadcast(found.select("i", "distinct_count")), "i", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long"))
         if quantiles:
-            out = out.drop("p25", "p50", "p75").join(F.broadcast(quartiles(counts, found.filter("total > 0").select("i", "total"))), "i", "left")
+            out = out.drop("p25", "p50", "p75").join(F.broadcast(quartiles(counts, found.filter("total > 0").select("i", "total", "lo", "hi"))), "i", "left")
     return out.select("column_name", "data_type", "row_count", "null_count", "distinct_count", "min_value", "max_value", "avg_value", "stddev_value", "p25", "p50", "p75")
 
 

@@ -1,6 +1,7 @@
 """Behaviour that the driver's tables do not show: odd inputs, limits and order."""
 
 import json
+import math
 import random
 import re
 from datetime import datetime, timedelta
@@ -71,6 +72,32 @@ def test_statistics_of_odd_tables(spark):
     assert profile.top_values(df, 3).count() == 0
 
 
+@pytest.mark.parametrize("odd", [[], [1e300], [float("inf"), float("-inf"), float("nan")], [1.7e308, -1.7e308], [5e-324]])
+def test_quartiles_sort_only_the_parts_that_hold_them(spark, monkeypatch, odd):
+    """Numbers far from a quartile are counted but not sorted; outliers, infinities and whole numbers beyond a double change no result."""
+    sizes = []
+
+    def counted(df, *order, **more):
+        sizes.append(df.count())
+        return ranks.ranked(df, *order, **more)
+
+    monkeypatch.setattr(profile, "ranked", counted)
+    values = [float(x * x % 10007) for x in range(3000)] + odd
+    rows = [(v, 2**60 + i % 7, f"t{i % 5}", i % 9) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "v double, k long, t string, m int")
+    got = {r.column_name: r for r in profile.column_statistics(df).collect()}
+    ordered = sorted(values, key=lambda x: (math.isnan(x), x))
+    for name, numbers in (("v", ordered), ("k", sorted(float(r[1]) for r in rows)), ("m", sorted(float(r[3]) for r in rows))):
+        for q in (25, 50, 75):
+            at = (len(numbers) - 1) * q / 100
+            a, b = numbers[math.floor(at)], numbers[math.ceil(at)]
+            assert got[name][f"p{q}"] == a + (b - a) * (at - math.floor(at))
+    assert [got[c].distinct_count for c in "vktm"] == [len(set(map(str, values))), 7, 5, 9]
+    assert (got["t"].min_value, got["t"].max_value) == ("t0", "t4")
+    if not odd:
+        assert sizes and sizes[0] < 60
+
+
 def test_document_inference(spark):
     docs = [(1, '{"a": {"b": {"c": 1}}, "x": 1}'), (2, '{"a": {"b": 2}, "x": "s"}'), (3, "not json"), (4, None), (5, "[1]"), (6, '{"x": null}')]
     df = spark.createDataFrame(docs, "id int, doc string")
