@@ -507,3 +507,10 @@ def test_adjacency_in_blocks(spark):
     got = {(r.node_id, r.block): r.targets for r in graph.adjacency_blocks(edges).collect()}
     assert {k: len(v) for k, v in got.items()} == {("hub", 0): 1024, ("hub", 1): 1024, ("hub", 2): 452, ("a", 0): 1}
     assert [t for b in range(3) for t in got[("hub", b)]] == [f"t{i:04}" for i in range(2500)]
+
+
+def test_complexity_sorts_no_names(spark, sf):
+    """Outputs and their counted sources are all that is joined: one table of insert columns less is sorted in a task."""
+    from heddlework.plans.lineages import a30
+
+    assert a30(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
