@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddlework.operators import matching, search
+from heddlework.plans.catalog import QUERIES
 
 WORDS = ["the", "Data", "lake", "Éclair", "x1", "of"]
 
@@ -83,3 +84,20 @@ def test_texts_are_dealt_out_once(spark, tmp_path, monkeypatch):
         found = [r.word for r in spark.read.parquet(str(f)).coalesce(1).collect()]
         assert found == sorted(found)
     assert spark.read.parquet(str(tmp_path / "i" / "sizes")).first().asDict() == {"n_texts": 40, "n_words": 40 * 1001}
+
+
+def test_segments_of_the_phrase_query_grow_with_the_texts(spark, sf, monkeypatch):
+    """Its index isn't built in as few tasks as the file has row groups or the session has shuffle partitions."""
+    monkeypatch.setattr(search, "SEGMENT", 20_000, raising=False)
+    paths, whole = [], search.write_index
+
+    def written(*args):
+        paths.append(args[-1])
+        whole(*args)
+
+    monkeypatch.setattr(search, "write_index", written)
+    QUERIES["p23_phrase"](spark, sf)
+    size = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert len(paths) == 1 and size > 16 * 20_000
+    files = spark.read.parquet(f"{paths[0]}/places").inputFiles()
+    assert size // 20_000 / 2 < len(files) <= -(-size // 20_000) + 1
